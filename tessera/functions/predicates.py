@@ -135,7 +135,7 @@ def nested_projection(registry_df: DataFrame, sources_df: DataFrame, service: st
     deploy only when the service has a release source (left join on a deduplicated source list)."""
     src = sources_df.select(F.col(service).alias("_svc")).where(F.col("_svc").isNotNull()).distinct()
     j = registry_df.join(src, registry_df[service] == src["_svc"], "left")
-    host = F.element_at(F.col("hosts"), 1)
+    host = F.try_element_at(F.col("hosts"), F.lit(1))
     has_host = host.isNotNull() & (host != "")
     repo = F.col("repository")
     has_repo = repo.isNotNull() & (repo != "")
