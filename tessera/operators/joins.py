@@ -125,15 +125,14 @@ def first_seen_dedupe(df: DataFrame, keys: list[str], order: list[str], nonempty
     return _pick_per_key(df.where(cond), keys, order, last=False)
 
 
-def join_entitlements(subs: DataFrame, users: DataFrame, accounts: DataFrame | None = None,
-                      provider: str | None = None) -> DataFrame:
-    """Subscription ⨝ user (email, order id, until); with accounts: subscription ⨝ account filtered by provider."""
-    j = subs.join(users, subs["user_id"] == users["id"])
-    out = j.select(F.col("email"), F.col("order_id"), F.col("status"), F.col("until"))
-    if accounts is not None:
-        k = subs.join(accounts, subs["account_id"] == accounts["id"])
-        if provider is not None:
-            k = k.where(F.col("provider") == provider)
-        out = k.select(F.col("email"), F.col("external_id").alias("order_id"), F.col("status"),
-                       F.lit(None).cast("timestamp").alias("until"))
-    return out
+def join_entitlements(subs: DataFrame, users: DataFrame, sub_user: str = "user_id", user_id: str = "id") -> DataFrame:
+    """Subscription ⨝ user → (email, order_id, status, until)."""
+    j = subs.join(users, subs[sub_user] == users[user_id])
+    return j.select(users["email"], subs["order_id"], subs["status"], subs["until"])
+
+
+def provider_subscriptions(subs: DataFrame, accounts: DataFrame, provider: str, sub_account: str = "account_id",
+                           account_id: str = "id") -> DataFrame:
+    """Remote subscription ⨝ account, only the given provider → (email, order_id, status)."""
+    j = subs.where(subs["provider"] == provider).join(accounts, subs[sub_account] == accounts[account_id])
+    return j.select(accounts["email"], subs["external_id"].alias("order_id"), subs["status"])

@@ -178,4 +178,6 @@ def with_standins(sql: str, *names: str) -> str:
     if not names:
         return sql
     ctes = ", ".join(f"{n} as ({STANDIN_SQL[n]})" for n in names)
+    if sql.lstrip().lower().startswith("with "):
+        return f"with {ctes}, {sql.lstrip()[5:]}"
     return f"with {ctes} {sql}"
