@@ -85,10 +85,11 @@ def document_rules(docs: DataFrame, id_col: str, text_col: str, rules_df: DataFr
     """Per document: the names of the rules (name, pattern) it does not match, joined in rule order; documents
     that match every rule are left out. The rule list is one broadcast array (size-checked), so each document
     is tested in place — no documents × rules row product is materialized."""
+    # (?iu): case-insensitive with Unicode case folding, as the original (Python) rules match
     rules = broadcast_checked(rules_df.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("rank"), F.col("name"), F.concat(F.lit("(?i)"), F.col("pattern")).alias("pattern")))).alias("_rules")))
+        F.col("rank"), F.col("name"), F.concat(F.lit("(?iu)"), F.col("pattern")).alias("pattern")))).alias("_rules")))
     t = F.coalesce(F.col(text_col), F.lit(""))
-    failed = F.filter(F.col("_rules"), lambda r: ~t.rlike(r["pattern"]))
+    failed = F.filter(F.col("_rules"), lambda r: ~F.regexp_like(t, r["pattern"]))
     out = docs.select(F.col(id_col).alias("doc_id"), text_col).join(rules, how="cross") \
         .select("doc_id", F.transform(failed, lambda r: r["name"]).alias("_m"))
     return out.where(F.size("_m") > 0).select("doc_id", F.array_join("_m", "; ").alias("missing"))
@@ -131,7 +132,8 @@ def freshness_alert(runs_df: DataFrame, now: str, max_age_hours: int = MAX_AGE_H
         F.when(F.col("_ok").isNotNull() & ~F.coalesce(F.col("_ok.flag"), F.lit(False)), F.lit("ok record not ok")),
         F.when(F.col("_fail").isNotNull() & (F.col("_ok").isNull()
                                             | (F.col("_fail.finished_at") > F.col("_ok.finished_at"))),
-               F.concat(F.lit("failed at "), F.col("_fail.finished_at").cast("string"), F.lit(": "),
+               F.concat(F.lit("failed at "), F.date_format(F.col("_fail.finished_at"), "yyyy-MM-dd HH:mm:ss"),
+                        F.lit(": "),
                         F.coalesce(F.col("_fail.reason"), F.lit("")))),
         F.when(F.col("_verify").isNotNull() & ~F.col("_verify"), F.lit("restore verification failed"))))
     return agg.select("subject", (F.size(problems) > 0).alias("alert"),
