@@ -10,6 +10,6 @@ def load_all() -> None:
         importlib.import_module(f"tessera.plans.{m}")
 
 
-PLAN_MODULES = ["dashboards", "reconciliation", "intake", "fields", "operations", "quality", "retrieval"]
+PLAN_MODULES = ["dashboards", "reconciliation", "intake", "fields", "operations", "quality", "retrieval", "streams"]
 
 __all__ = ["BENCH", "ORACLES", "QUERIES", "load_all"]
