@@ -24,7 +24,8 @@ HEARTBEAT_SIGNALS = ("collector",)
 
 
 def limits_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(THRESHOLDS, "signal string, limit double, op string, missing_ok boolean")
+    from tessera.sources.tables import literal_frame
+    return literal_frame(spark, THRESHOLDS, "signal string, limit double, op string, missing_ok boolean")
 
 
 def threshold_alerts(signals_df: DataFrame, limits_df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import broadcast_checked
+from tessera.operators.joins import collect_rules
 
 VIOLATION_COLS = ["rule", "key", "detail"]
 
@@ -83,15 +83,14 @@ DOCUMENT_RULES = [
 
 def document_rules(docs: DataFrame, id_col: str, text_col: str, rules_df: DataFrame) -> DataFrame:
     """Per document: the names of the rules (name, pattern) it does not match, joined in rule order; documents
-    that match every rule are left out. The rule list is one broadcast array (size-checked), so each document
-    is tested in place — no documents × rules row product is materialized."""
-    # (?iu): case-insensitive with Unicode case folding, as the original (Python) rules match
-    rules = broadcast_checked(rules_df.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("rank"), F.col("name"), F.concat(F.lit("(?iu)"), F.col("pattern")).alias("pattern")))).alias("_rules")))
+    that match every rule are left out. The rule table is small (bounded read) and is compiled into one literal
+    ``rlike`` per rule, so each pattern is compiled once per task and each document is tested in place — no
+    documents × rules row product."""
+    rules = collect_rules(rules_df.select("rank", "name", "pattern").orderBy("rank"))
     t = F.coalesce(F.col(text_col), F.lit(""))
-    failed = F.filter(F.col("_rules"), lambda r: ~F.regexp_like(t, r["pattern"]))
-    out = docs.select(F.col(id_col).alias("doc_id"), text_col).join(rules, how="cross") \
-        .select("doc_id", F.transform(failed, lambda r: r["name"]).alias("_m"))
+    # (?iu): case-insensitive with Unicode case folding, as the original (Python) rules match
+    missing = F.array_compact(F.array(*[F.when(~t.rlike("(?iu)" + r["pattern"]), F.lit(r["name"])) for r in rules]))
+    out = docs.select(F.col(id_col).alias("doc_id"), missing.alias("_m"))
     return out.where(F.size("_m") > 0).select("doc_id", F.array_join("_m", "; ").alias("missing"))
 
 

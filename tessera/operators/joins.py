@@ -39,6 +39,19 @@ def within_bound(df: DataFrame, limit: int = BROADCAST_LIMIT, max_rows: int = BR
     return False
 
 
+RULES_MAX_ROWS = 1000
+
+
+def collect_rules(df: DataFrame, max_rows: int = RULES_MAX_ROWS) -> list:
+    """Read a small rule table (prefix lists, named patterns) so it can be compiled into literal expressions.
+    The size is proven by a bounded read (at most ``max_rows + 1`` rows); a larger table is an error, not a
+    silent cut."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"rule table has more than {max_rows} rows; use a join instead")
+    return rows
+
+
 def broadcast_checked(df: DataFrame, limit: int = BROADCAST_LIMIT, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only when the side is provably small; otherwise the plain side (a shuffle join)."""
     return F.broadcast(df) if within_bound(df, limit, max_rows) else df

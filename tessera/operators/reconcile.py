@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.predicates import status_class_expr
 from tessera.functions.scalar import event_root_id, strip_accents
-from tessera.operators.joins import broadcast_checked, within_bound
+from tessera.operators.joins import broadcast_checked, collect_rules
 
 # Divergence kinds, ignored test-order prefix.
 PAID_NOT_RELEASED = "paid_not_released"
@@ -35,17 +35,16 @@ def prefix_lookup(df: DataFrame, name_col: str, prefixes_df: DataFrame, out: str
     """Add ``out``: target of the first prefix (lowest rank) that the accent-free lower-case name starts with;
     null when none matches.
 
-    The rule list is turned into one sorted array (a one-row aggregate, size-checked) and broadcast to every
-    row; the match is then a per-row array filter — no shuffle of ``df`` and no regrouping by row."""
-    if not within_bound(prefixes_df):
-        raise ValueError("prefix list too large to broadcast")
-    rules = prefixes_df.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("rank").alias("rank"), strip_accents("prefix").alias("prefix"), F.col("target").alias("target"))))
-        .alias("_rules"))
-    norm = strip_accents(F.col(name_col))
-    matched = F.filter(F.col("_rules"), lambda r: F.startswith(norm, r["prefix"]))
-    return (df.join(F.broadcast(rules), how="cross")
-            .withColumn(out, F.try_element_at(matched, F.lit(1))["target"]).drop("_rules"))
+    The rule list is a small parameter table (bounded read, at most 1000 rules): its prefixes are folded by the
+    same Spark expression as the names, then compiled into one ``CASE WHEN startswith(...)`` in rank order. The
+    match is a plain projection inside whole-stage codegen — no join, no shuffle of ``df``, no regrouping."""
+    rules = collect_rules(prefixes_df.select("rank", strip_accents("prefix").alias("prefix"), "target")
+                          .orderBy("rank", "prefix"))
+    norm = F.col("_norm")
+    expr = F.lit(None).cast("string")
+    for r in reversed(rules):
+        expr = F.when(F.startswith(norm, F.lit(r["prefix"])), F.lit(r["target"])).otherwise(expr)
+    return df.withColumn("_norm", strip_accents(F.col(name_col))).withColumn(out, expr).drop("_norm")
 
 
 def release_roots(releases: DataFrame, product: str = "product", event_id: str = "event_id") -> DataFrame:
@@ -85,6 +84,10 @@ def known_ids(orders_df: DataFrame, fields: list[str], array_field: str | None =
 
 
 def _orders_with_target(orders: DataFrame, prefixes_df: DataFrame) -> DataFrame:
+    """Orders that count (not subscriptions, product is an object) with status class and target product.
+    Already classified input (from ``reconcile``) passes through, so the rules are compiled once."""
+    if {"target", "status_class"} <= set(orders.columns):
+        return orders
     o = orders.where((F.col("kind") != "subscription") & F.col("product_is_object"))
     o = o.select("account", F.col("order_id").cast("string").alias("order_id"),
                  F.lower(F.coalesce(F.col("email"), F.lit(""))).alias("email"),
@@ -140,6 +143,7 @@ def reconcile(orders: DataFrame, releases: DataFrame, active: DataFrame, prefixe
     entitlement base (not in ``base_products``; default: products with releases or entitlements) are skipped."""
     if base_products is None:
         base_products = releases.select("product").unionByName(active.select("product")).distinct()
+    orders = _orders_with_target(orders, prefixes_df)
     parts = [
         paid_not_released(orders, releases, active, prefixes_df, base_products),
         refunded_still_active(orders, active, prefixes_df, base_products),

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalar import concat_search_text, strip_accents, truncate_text
-from tessera.operators.joins import anti_done, first_seen_dedupe, within_bound
+from tessera.operators.joins import anti_done, broadcast_checked, first_seen_dedupe, within_bound
+from tessera.operators.layout import spread
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # Batch size and back-off of the embedding calls.
@@ -71,7 +72,7 @@ def fts_index(df: DataFrame, id_col: str, text_cols: list[str], language: str =
     """(token, doc_id, tf). With ``partitions`` the index is hash-partitioned by token, so a later match joins
     its query terms against co-located postings."""
     doc = concat_search_text(*text_cols)
-    t = df.select(F.col(id_col).alias("doc_id"), F.explode(tokens(doc)).alias("token"))
+    t = spread(df.select(id_col, *text_cols)).select(F.col(id_col).alias("doc_id"), F.explode(tokens(doc)).alias("token"))
     t = t.where(~F.col("token").isin(list(stop_words(language))))
     idx = t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     return idx.repartition(partitions, "token") if partitions else idx
@@ -84,12 +85,20 @@ def fts_match(index_df: DataFrame, query_df: DataFrame, k: int = 10, language: s
     q = (query_df.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
          .where(~F.col("token").isin(list(stop_words(language)))).distinct())
     n_terms = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    dfreq = index_df.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    # only the postings of query tokens are read further: a semi join against the (small, size-checked)
+    # distinct query-token set streams the index without shuffling it
+    post = index_df.join(broadcast_checked(q.select("token").distinct()), on="token", how="left_semi")
+    dfreq = post.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     ndocs = (n_docs if n_docs is not None else index_df.select("doc_id").distinct()).agg(
         F.count(F.lit(1)).alias("_N"))
     terms = q.join(dfreq, on="token").crossJoin(ndocs)   # ndocs is a one-row aggregate
     terms = terms.withColumn("_idf", F.log(F.col("_N") / F.col("_df")))
-    hits = index_df.join(terms, on="token", how="inner")
+    # conjunctive match, rarest term first: the candidates of a query are the postings of its rarest term;
+    # only (candidate, term) pairs are then looked up, so the work is min(df) × terms, not Σ df
+    rare = terms.groupBy("query_id").agg(F.min_by("token", F.struct("_df", "token")).alias("token"))
+    cand = post.join(broadcast_checked(rare), on="token").select("query_id", "doc_id")
+    need = cand.join(terms.select("query_id", "token", "_idf"), on="query_id")
+    hits = need.join(post.select("token", "doc_id", "tf"), on=["token", "doc_id"], how="inner")
     per_doc = hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_m"),
                                                      F.sum(F.col("tf") * F.col("_idf")).alias("_s"))
     full = per_doc.join(n_terms, on="query_id").where(F.col("_m") == F.col("_n"))
@@ -143,7 +152,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
             out_s = sims[rows, np.repeat(np.arange(len(qi)), kk)]
             yield pd.DataFrame({"query_id": out_q, "vec_id": pdf["id"].to_numpy()[rows], "score": out_s})
 
-    cand = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(
+    cand = spread(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))).mapInPandas(
         best, f"query_id {q_type}, vec_id {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (cand.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
@@ -232,7 +241,7 @@ def batch_embed(df: DataFrame, id_col: str, text_col: str, embedder: Embedder, d
                 vecs = _call_with_retry(embedder, texts[s:s + batch], dim, max_attempts=max_attempts)
                 yield pd.DataFrame({"id": ids[s:s + batch], "vector": list(vecs)})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(
         run, f"id {id_type}, vector array<float>")
 
 

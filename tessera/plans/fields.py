@@ -131,7 +131,8 @@ def q_expand_rules(spark, sf):
                    .otherwise("other").alias("kind"),
                    F.concat(F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("-"))), F.lit(".example.org"))
                    .alias("host"))
-    fixed = spark.createDataFrame(FIXED_MONITORS, "group string, name string, type string, target string")
+    from tessera.sources.tables import literal_frame
+    fixed = literal_frame(spark, FIXED_MONITORS, "group string, name string, type string, target string")
     return P.expand_rules(rec, fixed_df=fixed)
 
 

@@ -91,7 +91,8 @@ def _rules_sql() -> str:
     "regexp_matches(coalesce(d.text, ''), '(?i)' || r.pattern)) select doc_id, string_agg(name, '; ' order by "
     "rank) as missing from m group by doc_id"))
 def q_document_rules(spark, sf):
-    rules = spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(C.DOCUMENT_RULES, 1)],
+    from tessera.sources.tables import literal_frame
+    rules = literal_frame(spark, [(i, n, p) for i, (n, p) in enumerate(C.DOCUMENT_RULES, 1)],
                                   "rank int, name string, pattern string")
     return C.document_rules(Tables(spark, sf).documents, "doc_id", "text", rules)
 

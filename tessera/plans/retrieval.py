@@ -45,8 +45,10 @@ def _match_sql() -> str:
 
 
 def fts_matches(spark, sf):
+    """The index is a stored table in use (written once by ``fts_index``); here it is stored with a reliable
+    checkpoint in the shared checkpoint folder and then read by the match's three consumers."""
     t = Tables(spark, sf)
-    idx = S.fts_index(t.documents, "doc_id", ["text"])
+    idx = S.fts_index(t.documents, "doc_id", ["text"]).checkpoint()
     return S.fts_match(idx, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), K)
 
 

@@ -133,7 +133,8 @@ ENTITLEMENT_NOW = "2001-01-01 00:00:00"
 
 
 def prefixes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PREFIXES, "rank int, prefix string, target string")
+    from tessera.sources.tables import literal_frame
+    return literal_frame(spark, PREFIXES, "rank int, prefix string, target string")
 
 
 STANDIN_SQL = {
