@@ -157,8 +157,8 @@ def nearest_rank_p95(df: DataFrame, group: str, value: str, ok: str, p: float =
 
 def _value_at_rank(vals: DataFrame, group: str, targets: DataFrame) -> DataFrame:
     """Value at 0-based rank ``_k`` inside each group of (group, _v), via range partitioning."""
-    s = (vals.repartitionByRange(F.col(group), F.col("_v")).sortWithinPartitions(group, "_v")
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    from tessera.operators.ranking import sorted_with_ids
+    s = sorted_with_ids(vals, [group, "_v"])
     st = s.groupBy("_pid", group).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     st = st.withColumn("_before", F.sum("_cnt").over(Window.partitionBy(group).orderBy("_pid")) - F.col("_cnt"))
     st = st.join(targets, on=group).where((F.col("_k") >= F.col("_before")) &

@@ -18,10 +18,8 @@ def exact_percentile(df: DataFrame, group_cols: list[str], value_col: str, p: fl
     """One row per group: ``out`` = percentile_cont(p) of the non-null values (double), optional row count."""
     g = list(group_cols)
     vals = df.select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sorted_ = (vals.repartitionByRange(*[F.col(c) for c in g], F.col("_v"))
-               .sortWithinPartitions(*g, "_v")
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
+    from tessera.operators.ranking import sorted_with_ids
+    sorted_ = sorted_with_ids(vals, [*g, "_v"])
     # per (partition, group): first row id and row count; rows of one group are contiguous inside a partition
     stats = sorted_.groupBy("_pid", *g).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))

@@ -13,13 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def sorted_with_ids(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order``, tagged with their partition id and a row id that grows
+    with the sort order inside the partition. The result is stored once with a reliable checkpoint (in the
+    shared checkpoint folder): the per-partition counts and the rows then read the very same partitions, even
+    if a stage is retried after a lost executor or the range bounds would be sampled again."""
+    from tessera.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    s = (df.repartitionByRange(*[F.col(c) for c in order])
+         .sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    return s.checkpoint(eager=True)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], rank_col: str = "_rank") -> DataFrame:
     """``df`` plus ``rank_col``: 0-based position of the row inside its key by ``order`` (ties: any order)."""
     k = list(keys)
-    s = (df.repartitionByRange(*[F.col(c) for c in k + list(order)])
-         .sortWithinPartitions(*k, *order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = sorted_with_ids(df, k + list(order))
     stats = s.groupBy("_pid", *k).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))).orderBy("_pid")
     stats = stats.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
