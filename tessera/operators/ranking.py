@@ -39,6 +39,22 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], rank_col: str
         .drop("_pid", "_mid", "_first", "_before")
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` + ``out``: running total of ``value`` inside each key in ``order`` (current row included). The sum
+    of earlier partitions comes from the small per-(partition, key) totals; inside a partition the running sum is
+    a window over (partition, key), so a hot key is summed by many tasks in parallel."""
+    k = list(keys)
+    s = sorted_with_ids(df, k + list(order))
+    stats = s.groupBy("_pid", *k).agg(F.sum(value).alias("_psum"))
+    w = (Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))).orderBy("_pid")
+    stats = stats.withColumn("_before", F.sum("_psum").over(w) - F.col("_psum")).drop("_psum")
+    inner = Window.partitionBy("_pid", *k).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    local = s.withColumn("_local", F.sum(value).over(inner))
+    return (local.join(stats, on=["_pid", *k], how="inner")
+            .withColumn(out, F.col("_before") + F.col("_local"))
+            .drop("_pid", "_mid", "_local", "_before"))
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
                   prefix: str = "prev_") -> DataFrame:
     """``df`` plus ``prev_<col>`` of the previous row in the key by ``order`` (null for the first row)."""

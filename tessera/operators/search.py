@@ -133,27 +133,10 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     """Exact top-k by cosine similarity per query: (query_id, vec_id, score rounded to 6, rank)."""
     spark = vectors.sparkSession
     qids, qm = _query_matrix(queries, q_id, q_vec)
-    bq = spark.sparkContext.broadcast((qids, qm))
     id_type = vectors.schema[id_col].dataType.simpleString()
     q_type = queries.schema[q_id].dataType.simpleString()
-
-    def best(batches):
-        qi, qmat = bq.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(qi) == 0:
-                continue
-            v = np.vstack(pdf["v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            vn = np.linalg.norm(v, axis=1, keepdims=True)
-            sims = (v / np.where(vn == 0, 1.0, vn)) @ qmat.T          # batch × queries
-            kk = min(k, len(pdf))
-            top = np.argpartition(-sims, kk - 1, axis=0)[:kk]          # best kk rows per query
-            out_q = np.repeat(qi, kk)
-            rows = top.T.reshape(-1)
-            out_s = sims[rows, np.repeat(np.arange(len(qi)), kk)]
-            yield pd.DataFrame({"query_id": out_q, "vec_id": pdf["id"].to_numpy()[rows], "score": out_s})
-
     cand = spread(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))).mapInPandas(
-        best, f"query_id {q_type}, vec_id {id_type}, score double")
+        _topk_kernel(spark, qids, qm, k), f"query_id {q_type}, vec_id {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (cand.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))
@@ -171,23 +154,50 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int =
     normed = vectors.select(F.col(id_col).alias("vec_id"), _normalize(F.col(vec_col)).alias("v"))
     feats = normed.select("vec_id", "v", array_to_vector("v").alias("features"))
     model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="cell").fit(feats)
-    cells = model.transform(feats).select("vec_id", "v", "cell")
-    spark = vectors.sparkSession
+    # the model (lists × d centroids) and the query matrix are parameter-sized; probing is a small matrix product
     cent = np.array(model.clusterCenters())
-    cent_df = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(cent)], "cell int, c array<double>")
-    qn = queries.select(F.col(q_id).alias("query_id"), _normalize(F.col(q_vec)).alias("qv"))
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-    # queries × centroids is queries × lists (both small and bounded by the parameters)
-    qc = qn.crossJoin(F.broadcast(cent_df)).withColumn("_d", dot(F.col("qv"), F.col("c")))
-    wq = Window.partitionBy("query_id").orderBy(F.col("_d").desc(), F.col("cell"))
-    probe = qc.withColumn("_r", F.row_number().over(wq)).where(F.col("_r") <= probes).select("query_id", "qv", "cell")
-    scored = cells.join(F.broadcast(probe), on="cell").select(
-        "query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
+    cent = cent / np.where(np.linalg.norm(cent, axis=1, keepdims=True) == 0, 1.0,
+                           np.linalg.norm(cent, axis=1, keepdims=True))
+    qids, qm = _query_matrix(queries, q_id, q_vec)
+    nearest = np.argsort(-(qm @ cent.T), axis=1, kind="stable")[:, :probes]       # queries × probes
+    allowed = np.zeros((len(cent), len(qids)), dtype=bool)
+    for qi, cells_of_q in enumerate(nearest):
+        allowed[cells_of_q, qi] = True
+    probed = sorted({int(c) for c in nearest.ravel()})
+    # only vectors of probed cells are read (a table stored partitioned by cell prunes the rest at the scan)
+    cells = model.transform(feats).where(F.col("cell").isin(probed)).select(F.col("vec_id").alias("id"), "v", "cell")
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    q_type = queries.schema[q_id].dataType.simpleString()
+    cand = cells.mapInPandas(_topk_kernel(vectors.sparkSession, qids, qm, k, allowed),
+                             f"query_id {q_type}, vec_id {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (cand.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= k))
+
+
+def _topk_kernel(spark: SparkSession, qids, qm, k: int, allowed=None):
+    """Per batch of vectors: cosine scores against every query (one matrix product), optionally masked to the
+    (cell, query) pairs in ``allowed``, and only the best k rows per query are emitted."""
+    bq = spark.sparkContext.broadcast((qids, qm, allowed))
+
+    def best(batches):
+        qi, qmat, mask = bq.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(qi) == 0:
+                continue
+            v = np.vstack(pdf["v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+            vn = np.linalg.norm(v, axis=1, keepdims=True)
+            sims = (v / np.where(vn == 0, 1.0, vn)) @ qmat.T                 # batch × queries
+            if mask is not None:
+                sims = np.where(mask[pdf["cell"].to_numpy()], sims, -np.inf)
+            kk = min(k, len(pdf))
+            top = np.argpartition(-sims, kk - 1, axis=0)[:kk]               # best kk rows per query
+            rows = top.T.reshape(-1)
+            cols = np.repeat(np.arange(len(qi)), kk)
+            out = pd.DataFrame({"query_id": np.repeat(qi, kk), "vec_id": pdf["id"].to_numpy()[rows],
+                                "score": sims[rows, cols]})
+            yield out[np.isfinite(out["score"].to_numpy())]
+    return best
 
 
 # ---- embedding ------------------------------------------------------------------------------------------------
