@@ -104,7 +104,7 @@ def fts_match(index_df: DataFrame, query_df: DataFrame, k: int = 10, language: s
     full = per_doc.join(n_terms, on="query_id").where(F.col("_m") == F.col("_n"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     return (full.select("query_id", "doc_id", F.round("_s", 6).alias("score"))
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def _normalize(v):
@@ -139,7 +139,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
         _topk_kernel(spark, qids, qm, k), f"query_id {q_type}, vec_id {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (cand.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k))
+            .where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probes: int = 4,
@@ -172,7 +172,7 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int =
                              f"query_id {q_type}, vec_id {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (cand.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k))
+            .where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def _topk_kernel(spark: SparkSession, qids, qm, k: int, allowed=None):
@@ -280,4 +280,5 @@ def hybrid_search(text_hits: DataFrame, vector_hits: DataFrame, k: int = 10, c:
                            (F.lit(1.0) / (F.lit(c) + F.col("rank"))).alias("_s"))
     fused = t.unionByName(v).groupBy("query_id", "doc_id").agg(F.round(F.sum("_s"), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))

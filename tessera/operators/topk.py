@@ -33,4 +33,5 @@ def recent_per_key(df: DataFrame, key: str, ts: str, id_col: str, n: int = 200)
     a group limit (WindowGroupLimit) before the shuffle, so each map task forwards at most ``n`` rows per key —
     a hot key costs n rows per map task, not all its rows."""
     w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(id_col).desc())
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return (df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .withColumn("rank", F.col("rank").cast("bigint")))

@@ -47,7 +47,8 @@ def q_notices_by_status(spark, sf):
 
 
 @query("value_by_year", oracle=with_standins(
-    "select purchase_year as year, count(*) as notices, cast(round(sum(cast(estimated_value as decimal(38,2))), 2)"
+    "select cast(purchase_year as integer) as year, count(*) as notices, "
+    "cast(round(sum(cast(estimated_value as decimal(38,2))), 2)"
     " as decimal(38,2)) as estimated_value from notices where purchase_year is not null group by 1", "notices"))
 def q_value_by_year(spark, sf):
     return bi.value_by_year(notices(Tables(spark, sf)))
@@ -60,7 +61,8 @@ def q_top_organizations(spark, sf):
     return bi.top_organizations(notices(Tables(spark, sf)))
 
 
-_LATEST_SQL = ("select municipality, yr, period, row_id, amount, sphere, uf, region from ("
+_LATEST_SQL = ("select municipality, cast(yr as integer) as yr, cast(period as integer) as period, row_id, amount, "
+               "sphere, uf, region from ("
                "select *, row_number() over (partition by municipality, yr order by period desc nulls first, "
                "row_id desc) as rn from indicators where sphere = 'Municipal' and amount > 0) t where rn = 1")
 

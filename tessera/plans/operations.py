@@ -303,7 +303,7 @@ def q_check_summary(spark, sf):
 # ---- windows --------------------------------------------------------------------------------------------------
 @query("counter_rate", bench=True, oracle=with_standins(
     "select series, ts, delta, round(seconds, 6) as seconds, round(delta / seconds, 2) as rate from (select series, "
-    "ts, counter - lag(counter) over w as delta, greatest(1.0, epoch_us(ts) / 1000000.0 - epoch_us(lag(ts) over w) "
+    "ts, cast(counter - lag(counter) over w as bigint) as delta, greatest(1.0, epoch_us(ts) / 1000000.0 - epoch_us(lag(ts) over w) "
     "/ 1000000.0) as seconds, lag(ts) over w as pts from samples window w as (partition by series order by ts, "
     "event_id)) x where pts is not null", "samples"))
 def q_counter_rate(spark, sf):

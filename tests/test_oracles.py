@@ -3,6 +3,7 @@
 import pytest
 
 from tools.check_oracle import digest, spark_rows
+from tools.check_types import spark_type
 
 import __spark_entry__ as E
 
@@ -23,7 +24,11 @@ def test_entry_smoke(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, duck, name):
     from conftest import SMALL
-    cols, rows = spark_rows(QUERIES[name](spark, SMALL))
+    df = QUERIES[name](spark, SMALL)
+    cols, rows = spark_rows(df)
+    rel = duck.sql(ORACLES[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {f.name: spark_type(f.dataType.simpleString()) for f in df.schema.fields} == types
     r = duck.execute(ORACLES[name])
     ocols = [d[0] for d in r.description]
     orows = r.fetchall()
