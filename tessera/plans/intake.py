@@ -163,8 +163,18 @@ def q_read_ledger(spark, sf):
     return text.read_ledger(spark, path).select("key", "status", "seq")
 
 
-@query("read_json_orders")
+@query("read_json_orders", oracle=(
+    "select case when o_orderkey % 2 = 0 then 'one' else 'two' end as account, 'order' as kind, cast(o_orderkey as "
+    "varchar) as order_id, o_orderstatus as status, o_orderkey % 4 = 0 as product_is_object, case when o_orderkey "
+    "% 4 = 0 then o_orderpriority end as product_name, 'c' || cast(o_custkey as varchar) || '@x.com' as email, "
+    "'o' || cast(o_orderkey as varchar) as orders from orders"))
 def q_read_json_orders(spark, sf):
+    return _landed_orders(spark, sf).select(
+        "account", "kind", "order_id", "status", "product_is_object", "product_name", "email",
+        F.array_join("orders", ",").alias("orders"))
+
+
+def _landed_orders(spark, sf):
     o = Tables(spark, sf).orders
     k = F.col("o_orderkey")
     raw = o.select(

@@ -59,19 +59,33 @@ def q_upsert_votes_stream(spark, sf):
     return J.current_votes(spark, path)
 
 
-@query("sliding_rate_limit")
+def _replay_sql(n: int, window_s: int, inclusive: bool) -> str:
+    """Recursive replay of the acceptance rule per user (the list holds accepted times still in the window)."""
+    keep = f"x >= e.t - {window_s}" if inclusive else f"x > e.t - {window_s}"
+    kept = f"list_filter(r.acc, lambda x: {keep})"
+    return (
+        "with recursive e as (select user_id, event_id, ts, epoch_us(ts) / 1000000.0 as t, row_number() over "
+        "(partition by user_id order by ts, event_id) as rn from events), r(user_id, rn, event_id, ts, acc, "
+        "granted) as (select user_id, rn, event_id, ts, [t], true from e where rn = 1 union all select e.user_id, "
+        f"e.rn, e.event_id, e.ts, case when len({kept}) < {n} then list_append({kept}, e.t) else {kept} end, "
+        f"len({kept}) < {n} from r join e on e.user_id = r.user_id and e.rn = r.rn + 1) "
+        "select event_id, user_id, ts, granted from r")
+
+
+@query("sliding_rate_limit", oracle=_replay_sql(RATE_N, RATE_WINDOW_S, True))
 def q_sliding_rate_limit(spark, sf):
     ev = Tables(spark, sf).events.select("event_id", "user_id", "ts")
     return Q.sliding_rate_limit(ev, "user_id", "ts", RATE_N, RATE_WINDOW_S, inclusive=True, tiebreak="event_id")
 
 
-@query("attempt_budget")
+@query("attempt_budget", oracle=_replay_sql(BUDGET_N, BUDGET_WINDOW_S, False))
 def q_attempt_budget(spark, sf):
     ev = Tables(spark, sf).events.select("event_id", "user_id", "ts")
     return Q.attempt_budget(ev, "user_id", "ts", BUDGET_N, BUDGET_WINDOW_S, tiebreak="event_id")
 
 
-@query("rate_limit_stream")
+@query("rate_limit_stream", oracle=(
+    f"select user_id as key, event_id as id, ts, granted from ({_replay_sql(RATE_N, RATE_WINDOW_S, True)}) x"))
 def q_rate_limit_stream(spark, sf):
     path = _out(spark, "ratelimit")
     src = J.file_stream(spark, sf, "events")
@@ -86,12 +100,67 @@ def tracker_events(df):
     return df.select("user_id", "ts", ev.alias("event"))
 
 
-@query("deadline_tracker")
+def _tracker_sql(final: bool = True, until: str | None = None) -> str:
+    """Recursive replay of the phase / deadline state machine per user. ``final`` adds the closing verdicts at
+    ``TRACKER_NOW``; ``until`` keeps only verdicts at or before that time (the stream's final watermark)."""
+    b, p, s = Q.BOOT_LIMIT_S, Q.PREPARE_LIMIT_S, Q.SSH_FAIL_LIMIT_S
+
+    def deadline(ph, si, sf_):
+        return (f"case when {ph} = 'booting' then (case when {sf_} is not null and {sf_} + {s} < {si} + {b} then "
+                f"{sf_} + {s} else {si} + {b} end) when {ph} = 'preparing' then {si} + {p} end")
+
+    def why(ph, si, sf_):
+        return (f"case when {ph} = 'booting' then (case when {sf_} is not null and {sf_} + {s} < {si} + {b} then "
+                f"'ssh_timeout' else 'boot_timeout' end) when {ph} = 'preparing' then 'prepare_timeout' end")
+
+    ev = ("case event_type when 'signup' then 'start' when 'click' then 'ssh_fail' when 'view' then 'ssh_ok' "
+          "when 'purchase' then 'ready' when 'error' then 'probe_fail' end")
+    d = deadline("r.phase", "r.since", "r.sshf")
+    exp = f"coalesce({d} < e.t, false)"
+    p0 = f"case when {exp} then null else r.phase end"
+    s0 = f"case when {exp} then null else r.since end"
+    f0 = f"case when {exp} then null else r.sshf end"
+    fin = "e.ev in ('ready', 'probe_fail')"
+    sql = (
+        "with recursive e as (select user_id, epoch_us(ts) / 1000000.0 as t, " + ev + " as ev, row_number() over "
+        "(partition by user_id order by ts, event_id) as rn from events), "
+        "r(user_id, rn, phase, since, sshf, v1_phase, v1_reason, v1_at, v2_verdict, v2_at) as ("
+        "select distinct user_id, 0, cast(null as varchar), cast(null as double), cast(null as double), "
+        "cast(null as varchar), cast(null as varchar), cast(null as double), cast(null as varchar), "
+        "cast(null as double) from e union all select e.user_id, e.rn, "
+        f"case when e.ev = 'start' and ({p0}) is null then 'booting' when ({p0}) = 'booting' and e.ev = 'ssh_ok' "
+        f"then 'preparing' when ({p0}) = 'preparing' and {fin} then null else ({p0}) end, "
+        f"case when e.ev = 'start' and ({p0}) is null then e.t when ({p0}) = 'booting' and e.ev = 'ssh_ok' then e.t "
+        f"when ({p0}) = 'preparing' and {fin} then null else ({s0}) end, "
+        f"case when e.ev = 'start' and ({p0}) is null then null when ({p0}) = 'booting' and e.ev = 'ssh_fail' then "
+        f"coalesce(({f0}), e.t) when ({p0}) = 'preparing' and {fin} then null else ({f0}) end, "
+        f"case when {exp} then r.phase end, case when {exp} then {why('r.phase', 'r.since', 'r.sshf')} end, "
+        f"case when {exp} then {d} end, "
+        f"case when ({p0}) = 'preparing' and {fin} then (case when e.ev = 'ready' then 'ready' else 'failed' end) end, "
+        f"case when ({p0}) = 'preparing' and {fin} then e.t end "
+        "from r join e on e.user_id = r.user_id and e.rn = r.rn + 1), "
+        "v as (select user_id as key, v1_phase as phase, 'failed' as verdict, v1_reason as reason, v1_at as vat "
+        "from r where v1_at is not null union all select user_id, 'preparing', v2_verdict, case when v2_verdict = "
+        "'failed' then 'probe_failed' end, v2_at from r where v2_at is not null")
+    if final:
+        now = f"epoch(timestamp '{TRACKER_NOW}')"
+        last = "(select * from r where rn = (select max(rn) from r r2 where r2.user_id = r.user_id))"
+        dl = deadline("l.phase", "l.since", "l.sshf")
+        sql += (f" union all select user_id, phase, case when {dl} < {now} then 'failed' else 'pending' end, "
+                f"case when {dl} < {now} then {why('l.phase', 'l.since', 'l.sshf')} end, case when {dl} < {now} "
+                f"then {dl} else since end from {last} l where phase is not null")
+    sql += (") select key, phase, verdict, reason, make_timestamp(cast(round(vat * 1000000) as bigint)) as \"at\" "
+            "from v" + (f" where vat <= {until}" if until else ""))
+    return sql
+
+
+@query("deadline_tracker", oracle=_tracker_sql())
 def q_deadline_tracker(spark, sf):
     return Q.deadline_tracker(tracker_events(Tables(spark, sf).events), "user_id", "ts", "event", TRACKER_NOW)
 
 
-@query("deadline_tracker_stream")
+@query("deadline_tracker_stream", oracle=(
+    f"select * from ({_tracker_sql()}) t where verdict <> 'pending' and \"at\" <= (select max(ts) from events)"))
 def q_deadline_tracker_stream(spark, sf):
     path = _out(spark, "tracker")
     src = tracker_events(J.file_stream(spark, sf, "events"))
@@ -99,7 +168,12 @@ def q_deadline_tracker_stream(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("silent_key_stream")
+@query("silent_key_stream", oracle=(
+    "select user_id as key, ts as silent_from, case when nxt is null then cast(" + str(SILENCE_LIMIT_S) + " as double) "
+    "else (epoch_us(nxt) - epoch_us(ts)) / 1000000.0 end as silent_seconds from (select user_id, ts, lead(ts) over "
+    "(partition by user_id order by ts, event_id) as nxt from events) e where (nxt is not null and epoch_us(nxt) - "
+    f"epoch_us(ts) > {SILENCE_LIMIT_S * 1_000_000}) or (nxt is null and epoch_us(ts) + {SILENCE_LIMIT_S * 1_000_000} < "
+    "(select epoch_us(max(ts)) from events))"))
 def q_silent_key_stream(spark, sf):
     path = _out(spark, "silence")
     src = J.file_stream(spark, sf, "events")

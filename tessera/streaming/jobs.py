@@ -172,40 +172,40 @@ def rate_limit_stream(stream_df: DataFrame, key: str, ts: str, id_col: str, n: i
         outputStructType=f"key {kt}, id {it}, ts {tt}, granted boolean", outputMode="Append", timeMode="None"))
 
 
-def _ms(x) -> int:
-    return int(pd.Timestamp(x).value // 1_000_000)
+def _us(x) -> int:
+    return int(pd.Timestamp(x).value // 1_000)
 
 
 class SilenceProcessor(StatefulProcessor):
-    """Per key: last event time and an event-time timer at last + limit. Gaps longer than the limit between
-    events of a batch are reported directly; a key that stays silent is reported when the watermark passes its
-    timer."""
+    """Per key: last event time (microseconds) and an event-time timer at last + limit (timers are in
+    milliseconds: rounded up). Gaps longer than the limit between events of a batch are reported directly; a key
+    that stays silent is reported when the watermark passes its timer."""
 
     def __init__(self, limit_s: float, ts_col: str):
-        self.limit_ms, self.ts_col = int(limit_s * 1000), ts_col
+        self.limit_us, self.ts_col = int(limit_s * 1_000_000), ts_col
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms long")
+        self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(_ms(t) for pdf in rows for t in pdf[self.ts_col])
+        times = sorted(_us(t) for pdf in rows for t in pdf[self.ts_col])
         prev = self.last.get()[0] if self.last.exists() else None
         out = []
         for t in times:
-            if prev is not None and t - prev > self.limit_ms:
-                out.append((key[0], prev, (t - prev) / 1000.0))
+            if prev is not None and t - prev > self.limit_us:
+                out.append((key[0], prev, (t - prev) / 1e6))
             prev = t if prev is None or t > prev else prev
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.last.update((prev,))
-        self.handle.registerTimer(prev + self.limit_ms)
+        self.handle.registerTimer(-(-(prev + self.limit_us) // 1000))
         if out:
             yield _silence_frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         prev = self.last.get()[0]
-        yield _silence_frame([(key[0], prev, self.limit_ms / 1000.0)])
+        yield _silence_frame([(key[0], prev, self.limit_us / 1e6)])
 
     def close(self) -> None:
         pass
@@ -213,7 +213,7 @@ class SilenceProcessor(StatefulProcessor):
 
 def _silence_frame(rows):
     return pd.DataFrame({"key": [r[0] for r in rows],
-                         "silent_from": pd.to_datetime([r[1] for r in rows], unit="ms"),
+                         "silent_from": pd.to_datetime([r[1] for r in rows], unit="us"),
                          "silent_seconds": [float(r[2]) for r in rows]})
 
 
