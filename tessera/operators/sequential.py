@@ -41,19 +41,38 @@ def _epoch_s(col):
     return F.unix_micros(F.col(col).cast("timestamp")) / F.lit(1_000_000.0)
 
 
+def idle_segments(df: DataFrame, key: str, order: list[str], t_col: str, idle_s: float, strict: bool) -> DataFrame:
+    """``df`` + ``_seg``: a new segment of a key starts after an idle gap longer than ``idle_s`` (or equal to it,
+    when ``strict`` is false). Previous row and running count use the skew-safe rank helpers."""
+    from tessera.operators.ranking import running_sum, with_previous
+    p = with_previous(df, [key], order, [t_col]).drop("_rank")
+    gap = F.col(t_col) - F.col(f"prev_{t_col}")
+    starts = F.when(F.col(f"prev_{t_col}").isNull(), 0).when(gap > idle_s if strict else gap >= idle_s, 1) \
+        .otherwise(0)
+    return running_sum(p.withColumn("_new", starts), [key], order, "_new", "_seg").drop("_new", f"prev_{t_col}")
+
+
 def sliding_rate_limit(df: DataFrame, key: str, ts: str, n: int, window_s: float, inclusive: bool = True,
-                       tiebreak: str | None = None) -> DataFrame:
+                       tiebreak: str | None = None, split_idle: bool = True) -> DataFrame:
     """``df`` + ``granted``: a row is accepted when fewer than ``n`` accepted rows of its key fall in the
-    last ``window_s`` seconds; refused rows do not count."""
+    last ``window_s`` seconds; refused rows do not count.
+
+    With ``split_idle`` a key's timeline is cut at idle gaps longer than the window: every earlier acceptance
+    has left the window there, so the fold restarts from empty state and each (key, segment) is folded
+    independently — a bursty hot key spreads over many tasks, with exactly the same decisions."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-    s = (df.withColumn("_t", _epoch_s(ts)).repartition(F.col(key))
-         .sortWithinPartitions(key, *order))
+    base = df.withColumn("_t", _epoch_s(ts))
+    part = [key]
+    if split_idle:
+        base = idle_segments(base, key, order, "_t", window_s, strict=inclusive)
+        part = [key, "_seg"]
+    s = base.repartition(*[F.col(c) for c in part]).sortWithinPartitions(*part, *order)
     schema = T.StructType(list(s.schema.fields) + [T.StructField("granted", T.BooleanType())])
 
     def fold(batches):
         cur, q = object(), deque()
         for pdf in batches:
-            keys = pdf[key].to_numpy(dtype=object)
+            keys = list(zip(*[pdf[c].to_numpy(dtype=object) for c in part]))
             t = pdf["_t"].to_numpy(dtype=float)
             out = np.empty(len(pdf), dtype=bool)
             for i in range(len(pdf)):
@@ -62,13 +81,13 @@ def sliding_rate_limit(df: DataFrame, key: str, ts: str, n: int, window_s: float
                 out[i] = accept_step(q, t[i], n, window_s, inclusive)
             yield pdf.assign(granted=out)
 
-    return s.mapInPandas(fold, schema).drop("_t")
+    return s.mapInPandas(fold, schema).drop("_t", "_seg")
 
 
 def attempt_budget(df: DataFrame, key: str, ts: str, n: int = ATTEMPT_BUDGET[0], window_s: float = ATTEMPT_BUDGET[1],
-                   tiebreak: str | None = None) -> DataFrame:
+                   tiebreak: str | None = None, split_idle: bool = True) -> DataFrame:
     """At most ``n`` granted attempts per key within ``window_s`` seconds, boundary exclusive."""
-    return sliding_rate_limit(df, key, ts, n, window_s, inclusive=False, tiebreak=tiebreak)
+    return sliding_rate_limit(df, key, ts, n, window_s, inclusive=False, tiebreak=tiebreak, split_idle=split_idle)
 
 
 # ---- phase / deadline tracker ---------------------------------------------------------------------------------

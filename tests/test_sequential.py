@@ -40,6 +40,22 @@ def test_rate_limit_matches_replay(spark):
     assert got == _replay(ev, 5, 600, True)
 
 
+def test_bursty_hot_key_splits_into_segments(spark):
+    rnd = random.Random(11)
+    ev, i = [], 0
+    for burst in range(12):                       # one hot key: 12 bursts separated by idle hours
+        start = burst * 3 * 3600
+        for _ in range(40):
+            ev.append((i, 0, T0 + dt.timedelta(seconds=start + rnd.randrange(0, 900))))
+            i += 1
+    df = spark.createDataFrame(ev, "id long, k long, ts timestamp_ntz")
+    segs = Q.idle_segments(df.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), "k",
+                           ["ts", "id"], "_t", 600, strict=True)
+    assert segs.select("_seg").distinct().count() == 12
+    got = {r["id"]: r["granted"] for r in Q.sliding_rate_limit(df, "k", "ts", 5, 600, True, "id").collect()}
+    assert got == _replay(ev, 5, 600, True)
+
+
 def test_budget_boundary_is_exclusive(spark):
     ev = [(1, 1, T0), (2, 1, T0 + dt.timedelta(seconds=10)), (3, 1, T0 + dt.timedelta(seconds=3600)),
           (4, 1, T0 + dt.timedelta(seconds=3605))]
