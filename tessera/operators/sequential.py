@@ -144,13 +144,27 @@ class Tracker:
         return None
 
 
-def deadline_tracker(df: DataFrame, key: str, ts: str, event: str, now: str) -> DataFrame:
+def deadline_tracker(df: DataFrame, key: str, ts: str, event: str, now: str, tiebreak: str | None = None,
+                     split_idle: bool = True) -> DataFrame:
     """Verdicts per entity: (key, phase, verdict 'ready' / 'failed' / 'pending', reason, at). A deadline that
     passed before the next event (or before ``now``) fails the phase at the deadline; an entity still inside
-    its limits at ``now`` is reported 'pending' with its phase."""
+    its limits at ``now`` is reported 'pending' with its phase.
+
+    With ``split_idle`` an entity's events are cut at idle gaps longer than the longest limit: any open phase
+    has expired by then, so each (entity, segment) folds independently and a busy entity spreads over tasks
+    (a segment that is not the last closes at ``now`` with the same failed-at-deadline verdict)."""
     now_s = pd.Timestamp(now).timestamp()
-    s = (df.select(F.col(key).alias("key"), _epoch_s(ts).alias("_t"), F.col(event).alias("event"))
-         .repartition("key").sortWithinPartitions("key", "_t"))
+    cols = [F.col(key).alias("key"), _epoch_s(ts).alias("_t"), F.col(event).alias("event")]
+    order = ["_t"] + (["_tb"] if tiebreak else [])
+    if tiebreak:
+        cols.append(F.col(tiebreak).alias("_tb"))
+    base = df.select(*cols)
+    part = ["key"]
+    if split_idle:
+        base = idle_segments(base, "key", order, "_t", max(BOOT_LIMIT_S, PREPARE_LIMIT_S, SSH_FAIL_LIMIT_S),
+                             strict=True)
+        part = ["key", "_seg"]
+    s = base.repartition(*[F.col(c) for c in part]).sortWithinPartitions(*part, *order)
     kt = df.schema[key].dataType.simpleString()
 
     def emit(rows, k, v):
@@ -160,12 +174,13 @@ def deadline_tracker(df: DataFrame, key: str, ts: str, event: str, now: str) ->
     def fold(batches):
         cur, st, rows = object(), None, []
         for pdf in batches:
-            for k, t, ev in zip(pdf["key"].to_numpy(dtype=object), pdf["_t"].to_numpy(dtype=float),
-                                pdf["event"].to_numpy(dtype=object)):
-                if k != cur:
+            groups = list(zip(*[pdf[c].to_numpy(dtype=object) for c in part]))
+            for g, t, ev in zip(groups, pdf["_t"].to_numpy(dtype=float), pdf["event"].to_numpy(dtype=object)):
+                k = g[0]
+                if g != cur:
                     if st is not None:
-                        _close(rows, cur, st, now_s, emit)
-                    cur, st = k, Tracker()
+                        _close(rows, cur[0], st, now_s, emit)
+                    cur, st = g, Tracker()
                 v = st.expire(t)
                 if v:
                     emit(rows, k, v)
@@ -176,7 +191,7 @@ def deadline_tracker(df: DataFrame, key: str, ts: str, event: str, now: str) ->
                 yield pd.DataFrame(rows, columns=["key", "phase", "verdict", "reason", "at"])
                 rows = []
         if st is not None:
-            _close(rows, cur, st, now_s, emit)
+            _close(rows, cur[0], st, now_s, emit)
         if rows:
             yield pd.DataFrame(rows, columns=["key", "phase", "verdict", "reason", "at"])
 

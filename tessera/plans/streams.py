@@ -97,7 +97,7 @@ def tracker_events(df):
     et = F.col("event_type")
     ev = (F.when(et == "signup", "start").when(et == "click", "ssh_fail").when(et == "view", "ssh_ok")
           .when(et == "purchase", "ready").when(et == "error", "probe_fail"))
-    return df.select("user_id", "ts", ev.alias("event"))
+    return df.select("user_id", "ts", "event_id", ev.alias("event"))
 
 
 def _tracker_sql(final: bool = True, until: str | None = None) -> str:
@@ -156,7 +156,8 @@ def _tracker_sql(final: bool = True, until: str | None = None) -> str:
 
 @query("deadline_tracker", oracle=_tracker_sql())
 def q_deadline_tracker(spark, sf):
-    return Q.deadline_tracker(tracker_events(Tables(spark, sf).events), "user_id", "ts", "event", TRACKER_NOW)
+    return Q.deadline_tracker(tracker_events(Tables(spark, sf).events), "user_id", "ts", "event", TRACKER_NOW,
+                              tiebreak="event_id")
 
 
 @query("deadline_tracker_stream", oracle=(
