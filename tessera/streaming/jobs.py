@@ -45,11 +45,23 @@ def new_checkpoint(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
 
 
-def run_available(writer) -> None:
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+def run_available(writer, spark: SparkSession | None = None, state_partitions: int | None = None) -> None:
+    """Run a query over all data available now, then stop. The number of state / shuffle partitions of a new
+    query is fixed in its checkpoint when it first starts; it is sized here from the cluster's parallelism
+    (2 × cores, unless given) instead of the fixed session default, and the session value is restored after."""
+    spark = spark or SparkSession.getActiveSession()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key) if spark is not None else None
+    if spark is not None:
+        spark.conf.set(key, str(state_partitions or 2 * spark.sparkContext.defaultParallelism))
+    try:
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    finally:
+        if spark is not None and old is not None:
+            spark.conf.set(key, old)
 
 
 # ---- sample table with retention ------------------------------------------------------------------------------
