@@ -26,7 +26,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.scalar import concat_search_text, strip_accents, truncate_text
 from tessera.operators.joins import anti_done, broadcast_checked, first_seen_dedupe, within_bound

@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import predicates as P
