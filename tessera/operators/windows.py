@@ -15,16 +15,21 @@ def _secs(c):
 
 
 def counter_rate(df: DataFrame, series: str, ts: str, counter: str, digits: int = 2,
-                 tiebreak: str | None = None) -> DataFrame:
+                 tiebreak: str | None = None, error_counter: str | None = None) -> DataFrame:
     """Per series and sample: change from the previous sample ÷ max(1 s, elapsed seconds), rounded. Counter
-    resets give negative rates (kept, as the collector does). The first sample of a series has no rate."""
+    resets give negative rates (kept, as the collector does). The first sample of a series has no rate. With
+    ``error_counter`` also error_pct = 100·Δerrors/Δcounter (0 when the counter did not grow)."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-    p = with_previous(df.select(series, *order, counter), [series], order, [ts, counter])
+    extra = [error_counter] if error_counter else []
+    p = with_previous(df.select(series, *order, counter, *extra), [series], order, [ts, counter, *extra])
     seconds = F.greatest(F.lit(1.0), _secs(F.col(ts)) - _secs(F.col(f"prev_{ts}")))
     delta = F.col(counter) - F.col(f"prev_{counter}")
-    return (p.where(F.col(f"prev_{ts}").isNotNull())
-            .select(F.col(series).alias("series"), F.col(ts).alias("ts"), delta.alias("delta"),
-                    F.round(seconds, 6).alias("seconds"), F.round(delta / seconds, digits).alias("rate")))
+    cols = [F.col(series).alias("series"), F.col(ts).alias("ts"), delta.alias("delta"),
+            F.round(seconds, 6).alias("seconds"), F.round(delta / seconds, digits).alias("rate")]
+    if error_counter:
+        d_err = F.col(error_counter) - F.col(f"prev_{error_counter}")
+        cols.append(error_pct(d_err, delta).alias("error_pct"))
+    return p.where(F.col(f"prev_{ts}").isNotNull()).select(*cols)
 
 
 def error_pct(d_err, d_req, digits: int = 2):

@@ -310,6 +310,30 @@ def q_counter_rate(spark, sf):
     return W.counter_rate(samples(Tables(spark, sf)), "series", "ts", "counter", tiebreak="event_id")
 
 
+def collector_samples(t: Tables):
+    """Collector samples every 5 minutes: cumulative request and error counters of one collector series (a
+    single series holding every sample — the hot-key case), summed by the skew-safe running sum."""
+    from tessera.operators.ranking import running_sum
+    per = (t.events.groupBy(F.window(F.col("ts").cast("timestamp"), "5 minutes").alias("w"))
+           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
+           .select(F.lit("collector").alias("series"), F.col("w.end").cast("timestamp_ntz").alias("ts"), "n", "e"))
+    c = running_sum(per, ["series"], ["ts"], "n", "requests")
+    return running_sum(c, ["series"], ["ts"], "e", "errors").drop("n", "e")
+
+
+@query("counter_error_rate", oracle=(
+    "with b as (select time_bucket(interval 5 minutes, ts) + interval 5 minutes as ts, count(*) as n, count(*) filter "
+    "(where event_type = 'error') as e from events group by 1), c as (select ts, cast(sum(n) over (order by ts) as "
+    "bigint) as req, cast(sum(e) over (order by ts) as bigint) as err from b), d as (select ts, req - lag(req) over "
+    "(order by ts) as dreq, err - lag(err) over (order by ts) as derr, greatest(1.0, epoch_us(ts) / 1000000.0 - "
+    "epoch_us(lag(ts) over (order by ts)) / 1000000.0) as sec from c) select 'collector' as series, ts, dreq as "
+    "delta, round(sec, 6) as seconds, round(dreq / sec, 3) as rate, case when dreq > 0 then round(100.0 * derr / "
+    "dreq, 2) else 0.0 end as error_pct from d where dreq is not null"))
+def q_counter_error_rate(spark, sf):
+    return W.counter_rate(collector_samples(Tables(spark, sf)), "series", "ts", "requests", digits=3,
+                          error_counter="errors")
+
+
 @query("first_seen_dedupe", oracle=(
     "select k, doc_id, lang, source from (select sha256(text) as k, doc_id, lang, source, row_number() over "
     "(partition by sha256(text) order by doc_id) as rn from documents where text is not null and text <> '') d "
