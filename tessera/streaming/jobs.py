@@ -67,14 +67,16 @@ def run_available(writer, spark: SparkSession | None = None, state_partitions: i
 # ---- sample table with retention ------------------------------------------------------------------------------
 def sample_stream(stream_df: DataFrame, path: str, ts: str = "ts", keep_days: int = 90,
                   checkpoint: str | None = None):
-    """Append samples partitioned by day; after each batch, day partitions older than ``keep_days`` before the
-    newest sample are dropped (Hadoop FileSystem delete of whole partition folders — no rewrite)."""
+    """Add samples partitioned by (day, batch id); after each batch, day partitions older than ``keep_days``
+    before the newest sample are dropped (Hadoop FileSystem delete of whole partition folders — no rewrite).
+    Dynamic partition overwrite makes a replayed batch replace exactly its own partitions (idempotent)."""
     spark = stream_df.sparkSession
     checkpoint = checkpoint or new_checkpoint(spark, "samples")
 
     def write(batch: DataFrame, batch_id: int):
-        b = batch.withColumn("day", F.to_date(F.col(ts)))
-        b.write.mode("append").partitionBy("day").parquet(path)
+        b = batch.withColumn("day", F.to_date(F.col(ts))).withColumn("batch_id", F.lit(batch_id))
+        (b.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "batch_id").parquet(path))
         newest = b.agg(F.max("day")).first()[0]
         if newest is not None:
             _drop_old_days(spark, path, newest, keep_days)
