@@ -22,11 +22,9 @@ def cheapest_offer(offers: DataFrame, blacklist: DataFrame, owned: DataFrame, sp
     o = anti_excluded(offers.where(spec_condition(spec)), blacklist, owned, machine, machine)
     best = o.select(F.col(offer_id).alias("offer_id"), price_expr(base, storage).alias("price")) \
         .orderBy("price", "offer_id").limit(1)
+    cap = F.lit(float(current))
     if candidates is not None:
-        floor = candidates.agg(F.min("price").alias("_m")).select(
-            F.least(F.lit(float(current)), F.coalesce(F.col("_m"), F.lit(float(current)))).alias("_cap"))
-    else:
-        floor = best.sparkSession.range(1).select(F.lit(float(current)).alias("_cap"))
-    return (best.crossJoin(floor)   # one row × one row
-            .select("offer_id", "price", (F.col("_cap") - F.lit(margin)).alias("ceiling"))
+        # the cheapest candidate as a scalar subquery (one value, no join)
+        cap = F.least(cap, F.coalesce(candidates.agg(F.min("price")).scalar(), cap))
+    return (best.select("offer_id", "price", (cap - F.lit(margin)).alias("ceiling"))
             .withColumn("accept", F.col("price") <= F.col("ceiling")))

@@ -89,9 +89,8 @@ def fts_match(index_df: DataFrame, query_df: DataFrame, k: int = 10, language: s
     post = index_df.join(broadcast_checked(q.select("token").distinct()), on="token", how="left_semi")
     dfreq = post.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     ndocs = (n_docs if n_docs is not None else index_df.select("doc_id").distinct()).agg(
-        F.count(F.lit(1)).alias("_N"))
-    terms = q.join(dfreq, on="token").crossJoin(ndocs)   # ndocs is a one-row aggregate
-    terms = terms.withColumn("_idf", F.log(F.col("_N") / F.col("_df")))
+        F.count(F.lit(1))).scalar()   # scalar subquery: one value, no join
+    terms = q.join(dfreq, on="token").withColumn("_idf", F.log(ndocs / F.col("_df")))
     # conjunctive match, rarest term first: the candidates of a query are the postings of its rarest term;
     # only (candidate, term) pairs are then looked up, so the work is min(df) × terms, not Σ df
     rare = terms.groupBy("query_id").agg(F.min_by("token", F.struct("_df", "token")).alias("token"))

@@ -291,9 +291,9 @@ def q_check_summary(spark, sf):
     n_docs = t.documents.agg(F.count(F.lit(1)).alias("nd"))
     q1 = n_orders.select(F.lit("q1").alias("id"), F.lit("orders loaded").alias("title"), (F.col("n") > 0).alias("ok"),
                          F.concat(F.lit("rows="), F.col("n").cast("string")).alias("evidence"))
-    q2 = n_labels.crossJoin(n_docs).select(F.lit("q2").alias("id"), F.lit("labels cover documents").alias("title"),
-                                           (F.col("nl") >= F.col("nd")).alias("ok"),
-                                           F.concat(F.lit("labels="), F.col("nl").cast("string")).alias("evidence"))
+    q2 = n_labels.select(F.lit("q2").alias("id"), F.lit("labels cover documents").alias("title"),
+                         (F.col("nl") >= n_docs.scalar()).alias("ok"),
+                         F.concat(F.lit("labels="), F.col("nl").cast("string")).alias("evidence"))
     q3 = n_orders.select(F.lit("q3").alias("id"), F.lit("no negative prices").alias("title"),
                          (F.col("neg") == 0).alias("ok"),
                          F.concat(F.lit("negative="), F.col("neg").cast("string")).alias("evidence"))

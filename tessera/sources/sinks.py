@@ -64,12 +64,11 @@ def report_frame(divergences: DataFrame, orders: DataFrame, now: Column | str,
     counts = (orders.groupBy(account_col).agg(F.count(F.lit(1)).alias("n"))
               .agg(F.map_from_entries(F.collect_list(F.struct(F.col(account_col), F.col("n")))).alias("orders")))
     kinds = (divergences.groupBy(kind_col).agg(F.count(F.lit(1)).alias("n"))
-             .agg(F.map_from_entries(F.collect_list(F.struct(F.col(kind_col), F.col("n")))).alias("divergences")))
-    out = counts.crossJoin(kinds)  # both sides are single rows
+             .agg(F.map_from_entries(F.collect_list(F.struct(F.col(kind_col), F.col("n"))))))
+    cols = [now_c.cast("string").alias("at"), "orders", kinds.scalar().alias("divergences")]   # scalar subqueries
     if products is not None:
-        prods = products.agg(F.sort_array(F.collect_set("product")).alias("products_read"))
-        out = out.crossJoin(prods)
-    return out.select(now_c.cast("string").alias("at"), "*")
+        cols.append(products.agg(F.sort_array(F.collect_set("product"))).scalar().alias("products_read"))
+    return counts.select(*cols)
 
 
 def report_sink(divergences: DataFrame, orders: DataFrame, path: str, now: str,

@@ -106,8 +106,8 @@ def _drop_old_days(spark: SparkSession, path: str, newest, keep_days: int) -> No
 
 def retained(df: DataFrame, ts: str = "ts", keep_days: int = 90) -> DataFrame:
     """Batch form of the retention rule: rows on or after the day ``keep_days`` before the newest row's day."""
-    newest = df.agg(F.max(F.to_date(F.col(ts))).alias("_d"))
-    return df.crossJoin(newest).where(F.to_date(F.col(ts)) >= F.date_sub(F.col("_d"), keep_days)).drop("_d")
+    newest = df.agg(F.max(F.to_date(F.col(ts)))).scalar()   # scalar subquery: one value, no join
+    return df.where(F.to_date(F.col(ts)) >= F.date_sub(newest, keep_days))
 
 
 # ---- windowed rates -------------------------------------------------------------------------------------------

@@ -110,3 +110,11 @@ def test_night_window(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 2, 0),), (dt.datetime(2024, 1, 1, 8, 0),),
                                 (dt.datetime(2024, 1, 1, 9, 0),)], "ts timestamp_ntz")
     assert [r["is_night"] for r in P.night_window(df, "ts").collect()] == [False, True, False]
+
+
+def test_retention_keeps_recent_days(spark):
+    from tessera.streaming.jobs import retained
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=d),) for d in range(0, 200, 10)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    kept = sorted(r["ts"] for r in retained(df, "ts", 90).collect())
+    assert kept[0] == dt.datetime(2024, 1, 1) + dt.timedelta(days=100) and len(kept) == 10
