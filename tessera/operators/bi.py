@@ -136,6 +136,11 @@ def size_by_group(df: DataFrame, group: str, value: str, total_label: str = "tot
         .orderBy(F.col("bytes").desc(), F.col("name"))
 
 
+def size_by_db(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Size per database, largest first, with a total row."""
+    return size_by_group(df, group, value)
+
+
 def cache_hit_ratio(df: DataFrame, hit: str, read: str, digits: int = 2) -> DataFrame:
     """100·hit/(hit+read) over all rows; 100 when there is nothing to divide."""
     h, r = F.sum(F.col(hit)), F.sum(F.col(read))

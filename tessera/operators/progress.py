@@ -69,6 +69,15 @@ FILE_SHORTFALL = 0.75
 FILE_SHORTFALL_MIN = 200
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows): one exact count per table (each a partial count per task, merged once), as one frame."""
+    out = None
+    for name, df in tables.items():
+        c = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def row_count_audit(counts_df: DataFrame, expected_df: DataFrame, required: DataFrame | None = None) -> DataFrame:
     """Found rows per table vs expected. ``counts_df`` (table, rows) is the union of exact per-table counts;
     ``expected_df`` (table, expected). Status: 'missing' (expected, not found), 'empty_required' (required but

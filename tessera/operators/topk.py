@@ -26,6 +26,12 @@ def card_series(view_df: DataFrame, columns: dict[str, str | None], order: list[
     return view_df.select(*cols).orderBy(*_orderings(order))
 
 
+def recent_comments(df: DataFrame, slug: str = "slug", ts: str = "created_at", id_col: str = "id",
+                    n: int = 200) -> DataFrame:
+    """Newest ``n`` comments per article (created_at desc, id desc) with their rank."""
+    return recent_per_key(df, slug, ts, id_col, n)
+
+
 def recent_per_key(df: DataFrame, key: str, ts: str, id_col: str, n: int = 200) -> DataFrame:
     """Newest ``n`` rows per key (ts desc, id desc) with their rank.
 

@@ -206,7 +206,7 @@ def q_cache_hit_ratio(spark, sf):
 @query("size_by_db", oracle="select coalesce(source, 'total') as name, cast(sum(n_chars) as bigint) as bytes "
                             "from documents group by rollup(source)")
 def q_size_by_db(spark, sf):
-    return bi.size_by_group(Tables(spark, sf).documents, "source", "n_chars")
+    return bi.size_by_db(Tables(spark, sf).documents, "source", "n_chars")
 
 
 _AUDIT_TABLES = TABLES
@@ -225,10 +225,7 @@ _AUDIT_TABLES = TABLES
     "e.\"table\")"))
 def q_row_count_audit(spark, sf):
     t = Tables(spark, sf)
-    counts = None
-    for x in _AUDIT_TABLES:
-        c = getattr(t, x).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(x).alias("table"), "rows")
-        counts = c if counts is None else counts.unionByName(c)
+    counts = G.table_counts({x: getattr(t, x) for x in _AUDIT_TABLES})
     expected = (counts.where(F.col("table") != "benchmark")
                 .select("table", F.when(F.col("table") == "documents", F.col("rows") * 2)
                         .otherwise(F.col("rows")).alias("expected"))
@@ -464,7 +461,8 @@ def q_presence_state(spark, sf):
 def q_recent_comments(spark, sf):
     ev = Tables(spark, sf).events.select(F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("slug"),
                                          F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    return topk.recent_per_key(ev, "slug", "created_at", "id", n=20).select("slug", "id", "created_at",
+    # n = 20 instead of the 200 in use: users here have ~66 events, so 200 would never cut anything
+    return topk.recent_comments(ev, "slug", "created_at", "id", n=20).select("slug", "id", "created_at",
                                                                              F.col("rank").cast("bigint"))
 
 

@@ -112,8 +112,8 @@ def q_resume_embed(spark, sf):
 def q_hybrid_search(spark, sf):
     t = Tables(spark, sf)
     emb = S.hash_embedder(EMBED_DIM)
+    idx = S.fts_index(t.documents, "doc_id", ["text"]).checkpoint()
     doc_vecs = S.batch_embed(t.documents, "doc_id", "text", emb, EMBED_DIM)
     q_vecs = S.batch_embed(t.benchmark, "item_id", "text", emb, EMBED_DIM).withColumnRenamed("id", "query_id")
-    text_hits = fts_matches(spark, sf)
-    vec_hits = S.cosine_topk(doc_vecs, q_vecs, K, id_col="id", vec_col="vector")
-    return S.hybrid_search(text_hits, vec_hits, K)
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(q_vecs, on="query_id")
+    return S.hybrid_search(idx, doc_vecs, queries, K, id_col="id", vec_col="vector")

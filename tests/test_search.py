@@ -85,3 +85,11 @@ def test_fts_match_requires_all_terms(spark):
     assert [r["doc_id"] for r in hits] == [1]
     assert "de" not in {r["token"] for r in idx.collect()}   # stop word removed
     assert "licitacao" in {r["token"] for r in idx.collect()}  # accent folded
+
+
+def test_rrf_fuse_sums_reciprocal_ranks(spark):
+    text = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc_id long, rank long")
+    vec = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, vec_id long, rank long")
+    got = {r["doc_id"]: (r["score"], r["rank"]) for r in S.rrf_fuse(text, vec, k=3, c=60).collect()}
+    assert got[11] == (round(1 / 62 + 1 / 61, 9), 1)
+    assert got[10] == (round(1 / 61, 9), 2) and got[12][1] == 3
