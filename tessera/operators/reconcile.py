@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tessera.functions.predicates import status_class_expr
 from tessera.functions.scalar import event_root_id, strip_accents
 from tessera.operators.joins import broadcast_checked, collect_rules
+from tessera.operators.layout import spread
 
 # Divergence kinds, ignored test-order prefix.
 PAID_NOT_RELEASED = "paid_not_released"
@@ -79,7 +80,8 @@ def known_ids(orders_df: DataFrame, fields: list[str], array_field: str | None =
     arr = F.array(*[idval(c) for c in fields])
     if array_field:
         arr = F.concat(arr, F.transform(F.coalesce(F.col(array_field), F.array().cast("array<string>")), idval))
-    ids = orders_df.select(F.explode(F.array_compact(arr)).alias("order_id"))
+    src = spread(orders_df.select(*fields, *([array_field] if array_field else [])))
+    ids = src.select(F.explode(F.array_compact(arr)).alias("order_id"))
     return ids.where(F.col("order_id") != "").distinct()
 
 
