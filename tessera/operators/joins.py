@@ -39,6 +39,11 @@ def within_bound(df: DataFrame, limit: int = BROADCAST_LIMIT, max_rows: int = BR
     return False
 
 
+def rows_at_most(df: DataFrame, max_rows: int) -> bool:
+    """Proof that ``df`` has at most ``max_rows`` rows: a bounded count that reads at most ``max_rows + 1``."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 RULES_MAX_ROWS = 1000
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import concat_search_text, strip_accents, truncate_text
-from tessera.operators.joins import anti_done, broadcast_checked, first_seen_dedupe, within_bound
+from tessera.operators.joins import anti_done, broadcast_checked, first_seen_dedupe, rows_at_most
 from tessera.operators.layout import spread
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -117,7 +117,7 @@ def truncate_dims(df: DataFrame, id_col: str, vec: str, d: int) -> DataFrame:
 
 def _query_matrix(queries: DataFrame, id_col: str, vec_col: str):
     """The query set is a small parameter table: its size is proven by a bounded count before it is read."""
-    if not within_bound(queries, max_rows=MAX_QUERIES):
+    if not rows_at_most(queries, MAX_QUERIES):
         raise ValueError(f"more than {MAX_QUERIES} queries: split the query set")
     rows = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).collect()
     ids = np.array([r["q"] for r in rows])
