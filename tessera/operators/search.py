@@ -66,27 +66,44 @@ def tokens(col) -> "F.Column":
     return F.filter(F.split(strip_accents(col), TOKEN_SPLIT), lambda x: x != "")
 
 
+def token_bucket(col, buckets: int):
+    """Stable hash bucket of a token (the stored index is partitioned by it)."""
+    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
+
+
 def fts_index(df: DataFrame, id_col: str, text_cols: list[str], language: str = "portuguese",
-              partitions: int | None = None) -> DataFrame:
-    """(token, doc_id, tf). With ``partitions`` the index is hash-partitioned by token, so a later match joins
-    its query terms against co-located postings."""
+              buckets: int | None = None) -> DataFrame:
+    """(token, doc_id, tf), plus ``bucket`` (token hash bucket) when ``buckets`` is given — the layout of the
+    stored index (``store_index``), so a match reads only the buckets of its query tokens."""
     doc = concat_search_text(*text_cols)
     t = spread(df.select(id_col, *text_cols)).select(F.col(id_col).alias("doc_id"), F.explode(tokens(doc)).alias("token"))
     t = t.where(~F.col("token").isin(list(stop_words(language))))
     idx = t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return idx.repartition(partitions, "token") if partitions else idx
+    return idx.withColumn("bucket", token_bucket(F.col("token"), buckets)) if buckets else idx
+
+
+def store_index(index_df: DataFrame, path: str) -> DataFrame:
+    """Write the index partitioned by token bucket (full refresh) and return the stored table."""
+    index_df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return index_df.sparkSession.read.parquet(path)
 
 
 def fts_match(index_df: DataFrame, query_df: DataFrame, k: int = 10, language: str = "portuguese",
-              n_docs: DataFrame | None = None) -> DataFrame:
+              n_docs: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """Top-k documents per query holding every query term, scored by Σ tf · ln(N / df) (rounded to 6 digits),
-    ties by doc_id. ``query_df`` = (query_id, text)."""
+    ties by doc_id. ``query_df`` = (query_id, text). ``buckets``: the bucket count of a stored index."""
     q = (query_df.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
          .where(~F.col("token").isin(list(stop_words(language)))).distinct())
     n_terms = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     # only the postings of query tokens are read further: a semi join against the (small, size-checked)
-    # distinct query-token set streams the index without shuffling it
-    post = index_df.join(broadcast_checked(q.select("token").distinct()), on="token", how="left_semi")
+    # distinct query-token set streams the index without shuffling it; on a stored index partitioned by token
+    # bucket the join also carries the bucket, so dynamic partition pruning skips every other bucket
+    qtok = q.select("token").distinct()
+    on = ["token"]
+    if buckets:
+        qtok = qtok.withColumn("bucket", token_bucket(F.col("token"), buckets))
+        on = ["bucket", "token"]
+    post = index_df.join(broadcast_checked(qtok), on=on, how="left_semi")
     dfreq = post.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     ndocs = (n_docs if n_docs is not None else index_df.select("doc_id").distinct()).agg(
         F.count(F.lit(1))).scalar()   # scalar subquery: one value, no join
