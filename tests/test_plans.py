@@ -38,3 +38,8 @@ def test_dimensions_are_broadcast(spark):
 def test_no_non_scaling_operators(spark, name):
     p = plan_text(QUERIES[name](spark, SMALL))
     assert not [b for b in BAD if b in p]
+
+
+def test_stored_index_is_pruned_by_bucket(spark):
+    p = plan_text(QUERIES["fts_match"](spark, SMALL))
+    assert "dynamicpruningexpression(bucket" in p
