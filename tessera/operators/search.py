@@ -289,11 +289,12 @@ def resume_embed(source_df: DataFrame, done_df: DataFrame, embedder: Embedder, d
 
 
 def hybrid_search(index_df: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, c: int = 60,
-                  id_col: str = "vec_id", vec_col: str = "embedding", candidates: int | None = None) -> DataFrame:
+                  id_col: str = "vec_id", vec_col: str = "embedding", candidates: int | None = None,
+                  buckets: int | None = None) -> DataFrame:
     """Text + vector search fused by reciprocal rank: ``queries`` = (query_id, text, vector). Each side ranks
     ``candidates`` (default k) documents per query; the fused top-k is returned (query_id, doc_id, score, rank)."""
     n = candidates or k
-    text_hits = fts_match(index_df, queries.select("query_id", "text"), n)
+    text_hits = fts_match(index_df, queries.select("query_id", "text"), n, buckets=buckets)
     vec_hits = cosine_topk(vectors, queries.select("query_id", "vector"), n, id_col=id_col, vec_col=vec_col)
     return rrf_fuse(text_hits, vec_hits, k, c)
 

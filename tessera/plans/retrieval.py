@@ -117,8 +117,12 @@ def q_resume_embed(spark, sf):
 def q_hybrid_search(spark, sf):
     t = Tables(spark, sf)
     emb = S.hash_embedder(EMBED_DIM)
-    idx = S.fts_index(t.documents, "doc_id", ["text"]).checkpoint()
+    import uuid
+    from tessera.session import scratch_path
+    buckets = 2 * spark.sparkContext.defaultParallelism
+    idx = S.store_index(S.fts_index(t.documents, "doc_id", ["text"], buckets=buckets),
+                        scratch_path(spark, f"fts-index-{uuid.uuid4().hex}"))
     doc_vecs = S.batch_embed(t.documents, "doc_id", "text", emb, EMBED_DIM)
     q_vecs = S.batch_embed(t.benchmark, "item_id", "text", emb, EMBED_DIM).withColumnRenamed("id", "query_id")
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(q_vecs, on="query_id")
-    return S.hybrid_search(idx, doc_vecs, queries, K, id_col="id", vec_col="vector")
+    return S.hybrid_search(idx, doc_vecs, queries, K, id_col="id", vec_col="vector", buckets=buckets)
