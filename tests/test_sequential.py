@@ -100,3 +100,17 @@ def test_tracker_stream_equals_batch_before_watermark(spark):
     b = {tuple(r) for r in q_deadline_tracker(spark, SMALL).where(F.col("verdict") != "pending").collect()
          if r["at"] <= last}
     assert s == b
+
+
+def test_tracker_split_equals_unsplit(spark):
+    rnd = random.Random(5)
+    kinds = ["start", "ssh_fail", "ssh_ok", "ready", "probe_fail"]
+    ev, t = [], 0
+    for i in range(400):                       # one busy entity with idle stretches longer than every limit
+        t += rnd.choice([30, 120, 600, 1200, 4000, 9000])
+        ev.append(("hot", T0 + dt.timedelta(seconds=t), rnd.choice(kinds), i))
+    df = spark.createDataFrame(ev, "k string, ts timestamp_ntz, event string, id long")
+    now = (T0 + dt.timedelta(seconds=t + 100)).isoformat(sep=" ")
+    a = {tuple(r) for r in Q.deadline_tracker(df, "k", "ts", "event", now, tiebreak="id", split_idle=True).collect()}
+    b = {tuple(r) for r in Q.deadline_tracker(df, "k", "ts", "event", now, tiebreak="id", split_idle=False).collect()}
+    assert a == b and len(a) > 20
