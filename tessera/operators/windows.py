@@ -52,7 +52,7 @@ def retention_gfs(df: DataFrame, snapshot: str, ts: str, daily: int = 7, weekly:
             F.max_by("snapshot", F.struct("taken_at", "snapshot")).alias("_s"))
         kept = last.orderBy(F.col("_b").desc()).limit(n).select(F.col("_s").alias("snapshot"),
                                                                  F.lit(True).alias(name))
-        out = out.join(F.broadcast(kept), on="snapshot", how="left")
+        out = out.join(F.broadcast(kept), on="snapshot", how="left")   # at most n rows: bounded by the limit
     return out.select("snapshot", "taken_at", *[F.coalesce(F.col(c), F.lit(False)).alias(c)
                                                  for c in ("keep_daily", "keep_weekly", "keep_monthly")])
 

@@ -74,7 +74,8 @@ def q_status_class(spark, sf):
 def _registry(t: Tables):
     n, r = t.nation, t.region
     k = F.col("n_nationkey")
-    reg = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    from tessera.operators.joins import broadcast_checked
+    reg = n.join(broadcast_checked(r), F.col("n_regionkey") == F.col("r_regionkey"))
     return reg.select(
         k.alias("id"), F.col("n_name").alias("name"),
         F.when(k % 4 == 0, "product").when(k % 4 == 1, "variant").when(k % 4 == 2, "testing")

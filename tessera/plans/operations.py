@@ -255,7 +255,7 @@ _SUPPLIER_REG_SQL = ("select n_name as grp, s_suppkey, case when s_suppkey % 4 <
 def q_group_to_lists(spark, sf):
     t = Tables(spark, sf)
     k = F.col("s_suppkey")
-    s = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    s = t.supplier.join(J.broadcast_checked(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("grp"), "s_suppkey",
         F.when(k % 4 != 0, F.concat(F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit(""))),
                                     F.lit(".example.org"))).alias("host"),

@@ -31,8 +31,9 @@ class Tables:
 
 def _geo(t: Tables) -> DataFrame:
     """customer ⨝ nation ⨝ region; nation and region are fixed-size dimensions (25 and 5 rows), broadcast."""
-    return (t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")))
+    from tessera.operators.joins import broadcast_checked
+    return (t.customer.join(broadcast_checked(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(broadcast_checked(t.region), F.col("n_regionkey") == F.col("r_regionkey")))
 
 
 def notices(t: Tables) -> DataFrame:
