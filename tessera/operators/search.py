@@ -15,10 +15,9 @@
 
 from __future__ import annotations
 
-import glob
-import os
+import pkgutil
 import time
-import zipfile
+import unicodedata
 from functools import lru_cache
 from typing import Callable
 
@@ -41,24 +40,15 @@ MAX_QUERIES = 100_000
 
 @lru_cache(maxsize=8)
 def stop_words(language: str = "portuguese") -> tuple[str, ...]:
-    """Spark ML's default stop-word list for ``language``, read from the Spark ML jar (no JVM needed), accent
-    folded like the tokens."""
-    import pyspark
-    import unicodedata
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    words: list[str] = []
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                words = z.read(name).decode("utf-8").split()
-                break
-    if not words:
-        raise FileNotFoundError(f"no stop-word list for {language}")
+    """The stop-word list of ``language`` (Spark's public default list, kept as package data so that no jar has to
+    be found), accent folded like the tokens."""
+    raw = pkgutil.get_data("tessera.data", f"stopwords_{language}.txt")
+    if not raw:
+        raise ValueError(f"no stop-word list for {language}")
 
     def fold(w):
         return "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn").lower()
-    return tuple(sorted({fold(w) for w in words}))
+    return tuple(sorted({fold(w) for w in raw.decode("utf-8").split()}))
 
 
 def tokens(col) -> "F.Column":

@@ -8,12 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str | Callable[[], str]] = {}
 BENCH: list[str] = []
 
 
-def query(name: str, oracle: str | None = None, bench: bool = False):
-    """Register a query builder; ``oracle`` is the DuckDB SQL text, ``bench`` marks headline queries."""
+def oracle_texts() -> dict[str, str]:
+    """The DuckDB text per key; texts given as functions are built here, never while a module is imported."""
+    return {k: v() if callable(v) else v for k, v in ORACLES.items()}
+
+
+def query(name: str, oracle: str | Callable[[], str] | None = None, bench: bool = False):
+    """Register a query builder; ``oracle`` is the DuckDB SQL text or a function that builds it, ``bench`` marks
+    headline queries."""
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")

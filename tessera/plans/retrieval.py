@@ -27,7 +27,7 @@ def _index_sql() -> str:
             f"from documents) t where token not in ({_sw_sql()}) group by token, doc_id")
 
 
-@query("fts_index", bench=True, oracle=_index_sql())
+@query("fts_index", bench=True, oracle=_index_sql)
 def q_fts_index(spark, sf):
     return S.fts_index(Tables(spark, sf).documents, "doc_id", ["text"])
 
@@ -57,7 +57,7 @@ def fts_matches(spark, sf):
     return S.fts_match(idx, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), K, buckets=buckets)
 
 
-@query("fts_match", bench=True, oracle=_match_sql())
+@query("fts_match", bench=True, oracle=_match_sql)
 def q_fts_match(spark, sf):
     return fts_matches(spark, sf)
 
