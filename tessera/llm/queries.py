@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, packing, sharding, topk
+from tessera.llm import bpe, exact_dedup, line_dedup, packing, sharding, simhash, topk
 from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 QUERIES: dict = {}
@@ -69,3 +69,15 @@ _OK = ("embedding is not null and len(embedding) > 0 and vec_id is not null and
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "text", "n_lines", "n_deleted", "emptied")
