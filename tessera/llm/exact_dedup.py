@@ -45,8 +45,9 @@ class DigestIndex:
         text in the batch that entered it), kept, digest."""
         digests = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                                      F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "digests")
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"),
-                                               F.count(F.lit(1)).cast("long").alias("group_size"))
+        # written, or the optimizer would move the anti-join below the aggregation and shuffle every row of a hot digest
+        groups = stored(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"),
+                                                      F.count(F.lit(1)).cast("long").alias("group_size")), "groups")
         fresh = groups.join(self.entries().hint("merge"), "digest", "left_anti")
         (fresh.repartition(self.buckets, "digest").write.format("parquet").mode("append")
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
