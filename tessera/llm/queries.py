@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, line_dedup, packing, sharding, simhash, topk
-from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, table
+from tessera.llm import bpe, exact_dedup, langid, line_dedup, packing, sharding, simhash, topk, toxicity
+from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, held_out, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +26,27 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, docs.where(~held_out("doc_id", 5, 0)))
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "letters",
+                      "phrase_letters")
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out("doc_id", 3, 1))
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
