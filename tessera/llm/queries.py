@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, langid, line_dedup, packing, sharding, simhash, topk, toxicity
+from tessera.llm import bpe, exact_dedup, langid, line_dedup, ngram_lm, packing, sharding, simhash, topk, toxicity
 from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, held_out, table
 
 QUERIES: dict = {}
@@ -97,3 +97,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "text", "n_lines", "n_deleted", "emptied")
+
+
+@query("op7_ngram_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
