@@ -67,6 +67,16 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
             at = to
 
 
+def keep_rows(docs: DataFrame, keep, most: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` for whose texts ``keep`` (list of texts -> array of booleans) says so, all columns as they
+    are; rows pass through Python in Arrow batches and are not shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, most=most):
+            yield batch.filter(pa.array(np.asarray(keep(batch.column("text").to_pylist()), bool)))
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str, modulus: int, remainder: int):
     """Whether crc32 of the id written as text leaves ``remainder``."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, text_batches
+from tessera.llm.common import keep_rows, prepare, text_batches
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 64
@@ -214,7 +214,14 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
                     "doc_id bigint, lang_pred string, score double, letters bigint, phrase_letters double")
 
 
-def rejected():
-    """Whether a row of ``identify`` is in no learned language: no letter at all, or five letters and more of which the
-    winner's sample holds hardly any two in a row."""
-    return (F.col("lang_pred") == UNKNOWN) | ((F.col("letters") >= 5) & (F.col("phrase_letters") < 1.2))
+def accepts(texts: list[str | None], model: Model) -> np.ndarray:
+    """Which texts are in a learned language: not those without a letter, nor those of five letters and more of which
+    the winner's sample holds hardly any two in a row."""
+    names, _, letters, reach = judge(texts, model)
+    return (np.array(names) != UNKNOWN) & ((letters < 5) | (reach >= 1.2))
+
+
+def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in a learned language, as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(sample(labelled)))
+    return keep_rows(docs, lambda texts: accepts(texts, sent.value))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, prepare, text_batches, word_keys
+from tessera.llm.common import keep_rows, mix64, prepare, text_batches, word_keys
 
 BITS = 22
 SIZE = 1 << BITS
@@ -139,3 +139,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(_score(sent), "doc_id bigint, score double") \
         .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return keep_rows(docs, lambda texts: scores(texts, sent.value) < THRESHOLD)
