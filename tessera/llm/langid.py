@@ -5,7 +5,7 @@ phrases, each the longest match that the sample holds from there on; text of the
 phrases. The language with the fewest normalised phrases (phrases times log2 of the sample size) wins.
 
 The automaton is stored as one flat table: the next state for each state and letter, or, where a match ends, the state
-that the letter begins a new phrase with and a mark that counts the phrase. Whole texts are parsed in blocks of
+that the letter begins a new phrase with and a mark that counts the ended one. Whole texts are parsed in blocks of
 ``BLOCK`` letters side by side, one table step per letter for all blocks of a batch, so long texts cost no more per
 letter than short ones and memory stays bounded. The tables' size depends on the sample bound alone.
 
@@ -48,7 +48,7 @@ SOFTEN = 8.0
 class Model:
     languages: list[str]
     codes: np.ndarray            # code point -> code
-    tables: list[np.ndarray]     # per language: state * WIDTH + code -> next state * WIDTH, plus 1 if a phrase began
+    tables: list[np.ndarray]     # per language: state * WIDTH + code -> next state * WIDTH, plus 1 if a phrase ended
     phrase_bits: list[float]     # bits of one phrase: log2 of the sample's length
 
 
@@ -84,8 +84,8 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
 
 
 def parse_table(nexts: np.ndarray) -> np.ndarray:
-    """The flat table of ``Model.tables``: where a match cannot go on, the letter begins the next phrase from the root
-    (or, if the root does not know it, is a phrase of its own)."""
+    """The flat table of ``Model.tables``: where a match cannot go on, the letter begins the next phrase from the root.
+    A letter that the sample never holds ends the phrase it follows and leads back to the root."""
     root = np.maximum(nexts[0], 0) * WIDTH + 1
     return np.where(nexts >= 0, nexts * WIDTH, root[None, :]).astype(np.int32).ravel()
 
@@ -123,7 +123,7 @@ def phrases(lanes: np.ndarray, used: np.ndarray, table: np.ndarray) -> np.ndarra
     """Phrases per lane. ``lanes``: codes, one row per step; ``used``: lanes that still have a letter, per step (lanes
     are sorted by length, longest first)."""
     n = lanes.shape[1]
-    state, count = np.zeros(n, np.int32), np.ones(n, np.int32)
+    state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
     at, mark = np.empty(n, np.int32), np.empty(n, np.int32)
     for row, k in zip(lanes, used):
         s, i, m = state[:k], at[:k], mark[:k]
@@ -132,7 +132,7 @@ def phrases(lanes: np.ndarray, used: np.ndarray, table: np.ndarray) -> np.ndarra
         np.bitwise_and(s, 1, out=m)
         count[:k] += m
         np.subtract(s, m, out=s)
-    return count
+    return count + (state != 0)
 
 
 def parse(texts: list[np.ndarray], model: Model) -> np.ndarray:

@@ -104,7 +104,7 @@ class Block:
     def training_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.training], minlength=len(self.keys))
 
-    def pairs(self, total: int) -> tuple[np.ndarray, ...]:
+    def pairs(self, total: int, hot_at: int) -> tuple[np.ndarray, ...]:
         """Distinct (context, word) of the block, by place in ``keys``: contexts, words, training counts, the pair of
         each token, and the trie's context (number and part) and word number."""
         before = np.empty_like(self.tokens)
@@ -114,7 +114,7 @@ class Block:
         pair, of_token = np.unique(before * n + self.tokens, return_inverse=True)
         context, word = pair // n, pair % n
         seen = np.bincount(of_token[self.training], minlength=len(pair))
-        hot = self.count[context] * HOT > total
+        hot = self.count[context] * hot_at > total
         known = self.count[word] > 0
         part = np.where(hot & known, _part(self.keys[word]), 0)
         return (context, word, seen, of_token, self.number[context] * np.uint64(PARTS) + part.astype(np.uint64),
@@ -204,7 +204,7 @@ def _pair_parcels(facts, shards: int):
         total, bases = facts.value["tokens"], facts.value["bases"]
         row = blocks.to_pylist()[0]
         block = Block(row, _joined(words), bases)
-        context, word, seen, _, ctx, num = block.pairs(total)
+        context, word, seen, _, ctx, num = block.pairs(total, facts.value["hot"])
         some = np.flatnonzero(block.count[context] > 0)
         order, shard = _order(ctx[some], num[some], shards)
         some = some[order]
@@ -259,7 +259,7 @@ def _answer_pairs(facts):
         contexts, context_counts, sizes, words, word_counts, seen = (np.concatenate(x) for x in got)
         sizes = sizes.astype(np.int64)
         every = np.repeat(contexts, sizes)
-        part = np.where(context_counts * HOT > total, (contexts % np.uint64(PARTS)).astype(np.int64), PARTS)
+        part = np.where(context_counts * facts.value["hot"] > total, (contexts % np.uint64(PARTS)).astype(np.int64), PARTS)
         part_mass = mass[part]
         # the training pairs of all blocks added up
         train = np.flatnonzero(seen)
@@ -306,7 +306,7 @@ def _scores(facts, shards: int):
         block = Block(blocks.to_pylist()[0], _joined(of_words.rename_columns(["kind", "shard", "block", "counts",
                                                                               "numbers"])), bases)
         base = np.log10((block.count + 1) / (total + bins + 1))
-        context, word, _, of_token, ctx, num = block.pairs(total)
+        context, word, _, of_token, ctx, num = block.pairs(total, facts.value["hot"])
         value = base[word]
         some = np.flatnonzero(block.count[context] > 0)
         if len(some):
@@ -327,7 +327,7 @@ def _scores(facts, shards: int):
     return run
 
 
-def score(docs: DataFrame, held_out) -> DataFrame:
+def score(docs: DataFrame, held_out, hot: int = HOT) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by a model of the rows where the Column ``held_out`` is false: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
     spark = prepare(docs.sparkSession)
@@ -350,7 +350,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     total, bins = sum(r["n_tokens"] for r in sums), sum(r["n_words"] for r in sums)
     mass = sum((np.array(r["part_mass"]) for r in sums), np.zeros(PARTS)) / (total + bins + 1)
     mass[0] += 1 / (total + bins + 1)  # the unknown word is in part 0
-    facts = sc.broadcast({"tokens": total, "words": bins, "bases": bases, "part_mass": np.append(mass, 1.0)})
+    facts = sc.broadcast({"tokens": total, "words": bins, "bases": bases, "hot": hot, "part_mass": np.append(mass, 1.0)})
     answers = words.where("block is not null").select("shard", "block", "counts", "numbers")
     pairs = (blocks.groupBy("block").cogroup(answers.groupBy("block"))
              .applyInArrow(_pair_parcels(facts, shards), PAIR_SCHEMA))

@@ -95,7 +95,7 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
         hit = model.places[at] == place
         pair = np.unique(row[hit] * len(model.places) + at[hit])
         total += np.bincount(pair // len(model.places), model.weights[pair % len(model.places)], len(texts))
-    return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+    return np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -700, 700))))
 
 
 def _score(sent):
