@@ -7,7 +7,7 @@ places and weights, small enough to send to every task whatever the corpus size.
 once in numpy, looks the places up and sums the distinct ones per text.
 
 Learning sample (documented bound): at most ``SAMPLE_TOXIC`` rows marked 1 and ``SAMPLE_OTHER`` rows marked 0, chosen by
-a hash of the id; their features reach the driver as arrays of places, of each text at most ``SAMPLE_PLACES`` of those
+a hash of the id (fewer by chance if there are more); their features reach the driver as arrays of places, of each text at most ``SAMPLE_PLACES`` of those
 (the smallest hashes). A document with several labels counts as toxic if any says so.
 
 Words are runs of letters, digits and non-ASCII bytes after lower-casing. A null or empty text has no features and gets
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep_rows, mix64, prepare, text_batches, word_keys
@@ -120,15 +120,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the rows of ``labels`` (doc_id, toxic) whose texts ``docs`` holds."""
     marked = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id")
               .agg((F.max("toxic") > 0).cast("int").alias("label")))
-    order = F.xxhash64(F.col("doc_id"), F.lit("toxicity sample"))
-    ranked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id")))
-    most = F.when(F.col("label") == 1, F.lit(SAMPLE_TOXIC)).otherwise(F.lit(SAMPLE_OTHER))
-    # the ids are few by construction (SAMPLE_TOXIC + SAMPLE_OTHER at most), so they are sent to the scan of the texts
-    chosen = ranked.where(F.col("_n") <= max(SAMPLE_TOXIC, SAMPLE_OTHER)).where(F.col("_n") <= most)
+    # about as many as asked for: the rows whose hash lies in the share of its range that the class size allows; the few
+    # above the bound are left out on the driver
+    sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = {1: SAMPLE_TOXIC, 0: SAMPLE_OTHER}
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1 << 52)) / float(1 << 52)
+    share = F.when(F.col("label") == 1, most[1] / max(1, sizes.get(1, 0))).otherwise(most[0] / max(1, sizes.get(0, 0)))
+    chosen = marked.where(place < share)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
     got = (texts.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
            .mapInArrow(_sampled, "doc_id bigint, label int, places binary").collect())
     got = sorted({r["doc_id"]: r for r in got}.values(), key=lambda r: r["doc_id"])
+    got = [r for c in (0, 1) for r in [x for x in got if x["label"] == c][:most[c]]]
     return fit([np.frombuffer(r["places"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got]))
 
 
