@@ -3,11 +3,11 @@
 * ``fts_index`` / ``fts_match`` — inverted index as a (token, doc_id, tf) table; a query matches documents that
   hold all its terms, scored by Σ tf·idf. Tokens: accent-folded, lower-case, split on non-letters/digits,
   Portuguese stop words removed (no stemmer: Spark has none; stated deviation).
-* ``cosine_topk`` — exact nearest neighbours. Vectors stay distributed; each task multiplies a batch of vectors
-  with the (small, size-checked) query matrix in numpy and keeps only the best k per query, so no
-  vector × query pair rows are materialized; a per-query top-k over those candidates finishes it.
-* ``ivf_search`` — inverted lists: KMeans cells over normalized vectors, probe the nearest cells only, exact
-  re-rank inside them.
+* ``cosine_topk`` — exact nearest neighbours. Queries come in blocks of bounded bytes; per block each task multiplies
+  its vectors with the block in numpy and keeps the best k per query over all its batches, so no vector × query pair
+  rows are materialized; a per-query top-k over those candidates finishes it.
+* ``build_cells`` / ``search_cells`` — inverted lists: KMeans cells over normalized vectors, stored by cell; probe the
+  nearest cells only, exact re-rank inside them (``ivf_search`` does both).
 * ``batch_embed`` / ``resume_embed`` — texts → vectors with an injected embedder in ``mapInPandas`` (batches,
   shape check, retry with back-off), resumable by an anti join on what is already done.
 * ``hybrid_search`` — reciprocal-rank fusion of the text and vector rankings.
@@ -15,9 +15,13 @@
 
 from __future__ import annotations
 
+import heapq
 import pkgutil
 import time
 import unicodedata
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from typing import Callable
 
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import concat_search_text, strip_accents, truncate_text
-from tessera.operators.joins import anti_done, broadcast_checked, first_seen_dedupe, rows_at_most
+from tessera.operators.joins import anti_done, broadcast_checked, first_seen_dedupe
 from tessera.operators.layout import spread
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -35,7 +39,9 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 EMBED_BATCH = 64
 RETRY_STEP_S = 5
 RETRY_MAX_S = 60
-MAX_QUERIES = 100_000
+EMBED_ATTEMPTS = 8
+# Query vectors sent to the tasks at a time.
+QUERY_BLOCK_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=8)
@@ -61,49 +67,93 @@ def token_bucket(col, buckets: int):
     return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
 
 
-def fts_index(df: DataFrame, id_col: str, text_cols: list[str], language: str = "portuguese",
-              buckets: int | None = None) -> DataFrame:
-    """(token, doc_id, tf), plus ``bucket`` (token hash bucket) when ``buckets`` is given — the layout of the
-    stored index (``store_index``), so a match reads only the buckets of its query tokens."""
+def fts_index(df: DataFrame, id_col: str, text_cols: list[str], language: str = "portuguese") -> DataFrame:
+    """(token, doc_id, tf)."""
     doc = concat_search_text(*text_cols)
     t = spread(df.select(id_col, *text_cols)).select(F.col(id_col).alias("doc_id"), F.explode(tokens(doc)).alias("token"))
     t = t.where(~F.col("token").isin(list(stop_words(language))))
-    idx = t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return idx.withColumn("bucket", token_bucket(F.col("token"), buckets)) if buckets else idx
+    return t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def store_index(index_df: DataFrame, path: str) -> DataFrame:
-    """Write the index partitioned by token bucket (full refresh) and return the stored table."""
-    index_df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return index_df.sparkSession.read.parquet(path)
+# Postings of a bucket are spread over this many hash groups of the document id, so that the postings of a common word
+# are several files and several tasks.
+POSTING_SALTS = 8
 
 
-def fts_match(index_df: DataFrame, query_df: DataFrame, k: int = 10, language: str = "portuguese",
-              n_docs: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    """Top-k documents per query holding every query term, scored by Σ tf · ln(N / df) (rounded to 6 digits),
-    ties by doc_id. ``query_df`` = (query_id, text). ``buckets``: the bucket count of a stored index."""
-    q = (query_df.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
-         .where(~F.col("token").isin(list(stop_words(language)))).distinct())
+@dataclass(frozen=True)
+class StoredIndex:
+    """A text index in use: postings partitioned by token bucket, the document frequency per token (same buckets), and
+    the number of indexed documents."""
+
+    spark: SparkSession
+    path: str
+    buckets: int
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    @property
+    def n_docs(self) -> int:
+        return self.spark.read.parquet(f"{self.path}/size").first()[0]
+
+
+def store_index(index_df: DataFrame, path: str, buckets: int) -> StoredIndex:
+    """Write the index (full refresh): postings once, then the term and document counts from the stored postings."""
+    spark = index_df.sparkSession
+    salted = index_df.withColumn("bucket", token_bucket(F.col("token"), buckets))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(POSTING_SALTS))
+    salted.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    terms = postings.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
+    terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    postings.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs")).write.mode("overwrite") \
+        .parquet(f"{path}/size")
+    return StoredIndex(spark, path, buckets)
+
+
+def query_terms(query_df: DataFrame, language: str = "portuguese") -> DataFrame:
+    """(query_id, token): the distinct search tokens of each query."""
+    return (query_df.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
+            .where(~F.col("token").isin(list(stop_words(language)))).distinct())
+
+
+def fts_match(index: DataFrame | StoredIndex, query_df: DataFrame, k: int = 10, language: str = "portuguese",
+              n_docs: DataFrame | int | None = None) -> DataFrame:
+    """Top-k documents per query holding every query term, scored by Σ tf · ln(N / df) (rounded to 6 digits), ties by
+    doc_id. ``query_df`` = (query_id, text). ``index``: postings (token, doc_id, tf), or a stored index, of which only
+    the buckets of the query tokens are read and whose stored counts give N and df. ``n_docs`` replaces N."""
+    q = query_terms(query_df, language)
     n_terms = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    # only the postings of query tokens are read further: a semi join against the (small, size-checked)
-    # distinct query-token set streams the index without shuffling it; on a stored index partitioned by token
-    # bucket the join also carries the bucket, so dynamic partition pruning skips every other bucket
-    qtok = q.select("token").distinct()
     on = ["token"]
-    if buckets:
-        qtok = qtok.withColumn("bucket", token_bucket(F.col("token"), buckets))
+    if isinstance(index, StoredIndex):
         on = ["bucket", "token"]
-    post = index_df.join(broadcast_checked(qtok), on=on, how="left_semi")
-    dfreq = post.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    ndocs = (n_docs if n_docs is not None else index_df.select("doc_id").distinct()).agg(
-        F.count(F.lit(1))).scalar()   # scalar subquery: one value, no join
-    terms = q.join(dfreq, on="token").withColumn("_idf", F.log(ndocs / F.col("_df")))
-    # conjunctive match, rarest term first: the candidates of a query are the postings of its rarest term;
-    # only (candidate, term) pairs are then looked up, so the work is min(df) × terms, not Σ df
-    rare = terms.groupBy("query_id").agg(F.min_by("token", F.struct("_df", "token")).alias("token"))
-    cand = post.join(broadcast_checked(rare), on="token").select("query_id", "doc_id")
-    need = cand.join(terms.select("query_id", "token", "_idf"), on="query_id")
-    hits = need.join(post.select("token", "doc_id", "tf"), on=["token", "doc_id"], how="inner")
+        q = q.withColumn("bucket", token_bucket(F.col("token"), index.buckets))
+        postings, total = index.postings, F.lit(index.n_docs)
+        dfreq = index.terms.join(broadcast_checked(q.select(*on).distinct()), on=on, how="left_semi") \
+            .withColumnRenamed("df", "_df")
+    else:
+        # only the postings of query tokens count
+        postings = index.join(broadcast_checked(q.select("token").distinct()), on=on, how="left_semi")
+        dfreq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+        total = index.select("doc_id").distinct().agg(F.count(F.lit(1))).scalar() if n_docs is None else None
+    if n_docs is not None:
+        total = F.lit(n_docs) if isinstance(n_docs, int) else n_docs.agg(F.count(F.lit(1))).scalar()
+    terms = q.join(dfreq, on=on).withColumn("_idf", F.log(total / F.col("_df")))
+    # conjunctive match, rarest term first: the candidates of a query are the postings of its rarest term; only
+    # (candidate, term) pairs are then looked up, so the work is min(df) × terms, not Σ df
+    rare = terms.groupBy("query_id").agg(F.min_by(F.struct(*on), F.struct("_df", "token")).alias("_t")) \
+        .select("query_id", *[F.col(f"_t.{c}").alias(c) for c in on])
+    cand = postings.join(broadcast_checked(rare), on=on).select("query_id", "doc_id")
+    need = cand.join(terms.select("query_id", *on, "_idf"), on="query_id")
+    if isinstance(index, StoredIndex):
+        # the lookup reads the buckets of the query tokens only (dynamic partition pruning on the small token set)
+        postings = postings.join(broadcast_checked(q.select(*on).distinct()), on=on, how="left_semi")
+    hits = need.join(postings.select(*on, "doc_id", "tf"), on=[*on, "doc_id"], how="inner")
     per_doc = hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_m"),
                                                      F.sum(F.col("tf") * F.col("_idf")).alias("_s"))
     full = per_doc.join(n_terms, on="query_id").where(F.col("_m") == F.col("_n"))
@@ -122,86 +172,146 @@ def truncate_dims(df: DataFrame, id_col: str, vec: str, d: int) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), _normalize(F.slice(F.col(vec), 1, d)).alias("vector"))
 
 
-def _query_matrix(queries: DataFrame, id_col: str, vec_col: str):
-    """The query set is a small parameter table: its size is proven by a bounded count before it is read."""
-    if not rows_at_most(queries, MAX_QUERIES):
-        raise ValueError(f"more than {MAX_QUERIES} queries: split the query set")
-    rows = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).collect()
-    ids = np.array([r["q"] for r in rows])
-    m = np.array([np.asarray(r["v"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
+def _query_blocks(queries: DataFrame, id_col: str, vec_col: str) -> Iterator[tuple[list, np.ndarray]]:
+    """The queries in blocks of at most ``QUERY_BLOCK_BYTES``: (ids, normalized vectors). Rows come to the driver one
+    partition at a time, so neither the number of queries nor a block's size is limited by what came before."""
+    ids, rows = [], []
+    for r in queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).toLocalIterator():
+        ids.append(r["q"])
+        rows.append(np.asarray(r["v"], dtype=np.float64))
+        if len(rows) * rows[0].nbytes >= QUERY_BLOCK_BYTES:
+            yield ids, _unit(np.array(rows))
+            ids, rows = [], []
+    if rows:
+        yield ids, _unit(np.array(rows))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return ids, m / np.where(norms == 0, 1.0, norms)
+    return m / np.where(norms == 0, 1.0, norms)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
-                vec_col: str = "embedding", q_id: str = "query_id", q_vec: str = "vector") -> DataFrame:
-    """Exact top-k by cosine similarity per query: (query_id, vec_id, score rounded to 6, rank)."""
-    spark = vectors.sparkSession
-    qids, qm = _query_matrix(queries, q_id, q_vec)
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    q_type = queries.schema[q_id].dataType.simpleString()
-    cand = spread(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))).mapInPandas(
-        _topk_kernel(spark, qids, qm, k), f"query_id {q_type}, vec_id {id_type}, score double")
+def _ranked(cand: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (cand.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probes: int = 4,
-               seed: int = 42, id_col: str = "vec_id", vec_col: str = "embedding", q_id: str = "query_id",
-               q_vec: str = "vector") -> DataFrame:
-    """Approximate top-k: KMeans (``lists`` cells) on L2-normalized vectors — on normalized vectors Euclidean
-    cells follow cosine distance — then each query scores only the vectors of its ``probes`` nearest cells
-    (an equi-join on the cell id) and keeps the exact best k of those."""
+def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, q_id: str, q_vec: str, id_type: str,
+                   cells_of=None) -> DataFrame:
+    """One pass over ``vectors`` (id, v and, with ``cells_of``, cell) per block of queries; each task keeps the best k
+    per query over all its batches. ``cells_of`` maps a block's matrix to its mask (cells × queries)."""
+    spark = vectors.sparkSession
+    q_type = queries.schema[q_id].dataType.simpleString()
+    schema = f"query_id {q_type}, vec_id {id_type}, score double"
+    out = None
+    for qids, qm in _query_blocks(queries, q_id, q_vec):
+        mask = cells_of(qm) if cells_of else None
+        own = vectors
+        if mask is not None:
+            own = own.where(F.col("cell").isin([int(c) for c in np.flatnonzero(mask.any(axis=1))]))
+        sent = spark.sparkContext.broadcast((qids, qm, mask))
+        part = own.mapInPandas(_topk_kernel(sent, k), schema)
+        out = part if out is None else out.unionByName(part)
+    return _ranked(out if out is not None else spark.createDataFrame([], schema), k)
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
+                vec_col: str = "embedding", q_id: str = "query_id", q_vec: str = "vector") -> DataFrame:
+    """Exact top-k by cosine similarity per query: (query_id, vec_id, score rounded to 6, rank); equal rounded scores
+    rank by id."""
+    own = spread(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")))
+    return _search_blocks(own, queries, k, q_id, q_vec, vectors.schema[id_col].dataType.simpleString())
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors stored by cell (partitioned), the cells' centroids and sizes."""
+
+    spark: SparkSession
+    path: str
+    centroids: np.ndarray
+    sizes: np.ndarray
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+
+def build_cells(vectors: DataFrame, path: str, lists: int = 16, seed: int = 42, id_col: str = "vec_id",
+                vec_col: str = "embedding") -> CellIndex:
+    """Fit KMeans (``lists`` cells) on L2-normalized vectors — on those, Euclidean cells follow cosine distance — and
+    store (id, v) partitioned by cell. The normalized vectors are written once; fitting and assigning read them."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    normed = vectors.select(F.col(id_col).alias("vec_id"), _normalize(F.col(vec_col)).alias("v"))
-    feats = normed.select("vec_id", "v", array_to_vector("v").alias("features"))
+    spark = vectors.sparkSession
+    vectors.select(F.col(id_col).alias("id"), _normalize(F.col(vec_col)).alias("v")).write.mode("overwrite") \
+        .parquet(f"{path}-normalized")
+    feats = spark.read.parquet(f"{path}-normalized").withColumn("features", array_to_vector("v"))
     model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="cell").fit(feats)
-    # the model (lists × d centroids) and the query matrix are parameter-sized; probing is a small matrix product
-    cent = np.array(model.clusterCenters())
-    cent = cent / np.where(np.linalg.norm(cent, axis=1, keepdims=True) == 0, 1.0,
-                           np.linalg.norm(cent, axis=1, keepdims=True))
-    qids, qm = _query_matrix(queries, q_id, q_vec)
-    nearest = np.argsort(-(qm @ cent.T), axis=1, kind="stable")[:, :probes]       # queries × probes
-    allowed = np.zeros((len(cent), len(qids)), dtype=bool)
-    for qi, cells_of_q in enumerate(nearest):
-        allowed[cells_of_q, qi] = True
-    probed = sorted({int(c) for c in nearest.ravel()})
-    # only vectors of probed cells are read (a table stored partitioned by cell prunes the rest at the scan)
-    cells = model.transform(feats).where(F.col("cell").isin(probed)).select(F.col("vec_id").alias("id"), "v", "cell")
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    q_type = queries.schema[q_id].dataType.simpleString()
-    cand = cells.mapInPandas(_topk_kernel(vectors.sparkSession, qids, qm, k, allowed),
-                             f"query_id {q_type}, vec_id {id_type}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return (cand.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
+    model.transform(feats).select("id", "v", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    centroids = _unit(np.array(model.clusterCenters()))
+    sizes = np.zeros(len(centroids), np.int64)
+    for r in spark.read.parquet(path).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        sizes[r["cell"]] = r["n"]
+    return CellIndex(spark, path, centroids, sizes)
+
+
+def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 4, q_id: str = "query_id",
+                 q_vec: str = "vector") -> DataFrame:
+    """Approximate top-k: each query scores the vectors of its ``probes`` nearest cells, and of further cells while
+    those hold fewer than k vectors, and keeps the exact best k of them. Cells that no query probes are not read."""
+    def cells_of(qm: np.ndarray) -> np.ndarray:
+        order = np.argsort(-(qm @ index.centroids.T), axis=1, kind="stable")
+        held = np.cumsum(index.sizes[order], axis=1)
+        take = np.maximum(probes, 1 + (held < k).sum(axis=1))
+        mask = np.zeros((len(index.centroids), len(qm)), dtype=bool)
+        for i, row in enumerate(order):
+            mask[row[:take[i]], i] = True
+        return mask
+
+    stored = index.vectors
+    return _search_blocks(stored, queries, k, q_id, q_vec, stored.schema["id"].dataType.simpleString(), cells_of)
+
+
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probes: int = 4,
+               seed: int = 42, id_col: str = "vec_id", vec_col: str = "embedding", q_id: str = "query_id",
+               q_vec: str = "vector") -> DataFrame:
+    """Build the cells (stored under the shared checkpoint folder) and search them once."""
+    from tessera.session import scratch_path
+    path = scratch_path(vectors.sparkSession, f"cells-{uuid.uuid4().hex}")
+    return search_cells(build_cells(vectors, path, lists, seed, id_col, vec_col), queries, k, probes, q_id, q_vec)
 
 
-def _topk_kernel(spark: SparkSession, qids, qm, k: int, allowed=None):
-    """Per batch of vectors: cosine scores against every query (one matrix product), optionally masked to the
-    (cell, query) pairs in ``allowed``, and only the best k rows per query are emitted."""
-    bq = spark.sparkContext.broadcast((qids, qm, allowed))
+# Vectors scored against a block of queries at a time.
+SCORE_ROWS = 512
 
+
+def _topk_kernel(sent, k: int):
+    """Cosine scores of a few hundred vectors against the block's queries (one matrix product), optionally masked to
+    the (cell, query) pairs, rounded as the result is. Per query the best k by (score, id) are carried over all batches
+    of the task and given out at its end."""
     def best(batches):
-        qi, qmat, mask = bq.value
+        qids, qm, mask = sent.value
+        kept: list[list] = [[] for _ in qids]            # per query: (-score, id), ascending
+        floor = np.full(len(qids), -np.inf)              # the k-th best score so far
         for pdf in batches:
-            if len(pdf) == 0 or len(qi) == 0:
-                continue
-            v = np.vstack(pdf["v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            vn = np.linalg.norm(v, axis=1, keepdims=True)
-            sims = (v / np.where(vn == 0, 1.0, vn)) @ qmat.T                 # batch × queries
-            if mask is not None:
-                sims = np.where(mask[pdf["cell"].to_numpy()], sims, -np.inf)
-            kk = min(k, len(pdf))
-            top = np.argpartition(-sims, kk - 1, axis=0)[:kk]               # best kk rows per query
-            rows = top.T.reshape(-1)
-            cols = np.repeat(np.arange(len(qi)), kk)
-            out = pd.DataFrame({"query_id": np.repeat(qi, kk), "vec_id": pdf["id"].to_numpy()[rows],
-                                "score": sims[rows, cols]})
-            yield out[np.isfinite(out["score"].to_numpy())]
+            for at in range(0, len(pdf), SCORE_ROWS):
+                some = pdf.iloc[at:at + SCORE_ROWS]
+                ids = some["id"].tolist()
+                sims = np.round(_unit(np.vstack([np.asarray(v, dtype=np.float64) for v in some["v"]])) @ qm.T, 6)
+                if mask is not None:
+                    sims = np.where(mask[some["cell"].to_numpy()], sims, -np.inf)
+                ahead = (sims >= floor) & np.isfinite(sims)
+                for j in np.flatnonzero(ahead.any(axis=0)):
+                    new = [(-float(sims[i, j]), ids[i]) for i in np.flatnonzero(ahead[:, j])]
+                    kept[j] = heapq.nsmallest(k, kept[j] + new)
+                    if len(kept[j]) == k:
+                        floor[j] = -kept[j][-1][0]
+        rows = [(q, i, -s) for q, own in zip(qids, kept) for s, i in own]
+        if rows:
+            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
     return best
 
 
@@ -227,25 +337,34 @@ def hash_embedder(dim: int) -> Embedder:
     return embed
 
 
-def _call_with_retry(embedder: Embedder, texts: list, dim: int, sleep=time.sleep, max_attempts: int | None = None):
-    attempt = 0
-    while True:
+def letter_embedder(letters: str) -> Embedder:
+    """How often each of ``letters`` occurs in a text, as it is written: a vector that SQL can compute as well."""
+    def embed(texts):
+        return np.array([[(t or "").count(c) for c in letters] for t in texts], dtype=np.float32)
+    return embed
+
+
+def embed_batch(embedder: Embedder, texts: list, dim: int, attempts: int = EMBED_ATTEMPTS,
+                sleep=time.sleep) -> np.ndarray:
+    """One call of the embedder. Transport errors are tried again after growing waits, ``attempts`` calls in all; an
+    answer of another shape than (texts, ``dim``) is an error of its own and not asked for again."""
+    for wait in [min(RETRY_STEP_S * n, RETRY_MAX_S) for n in range(1, attempts)] + [None]:
         try:
-            vecs = np.asarray(embedder(texts), dtype=np.float32)
-            if vecs.ndim != 2 or vecs.shape[0] != len(texts) or vecs.shape[1] != dim:
-                raise ValueError(f"unexpected embedding shape {vecs.shape}")
-            return vecs
-        except (ValueError, OSError, TimeoutError, ConnectionError):
-            attempt += 1
-            if max_attempts is not None and attempt >= max_attempts:
+            answer = np.asarray(embedder(texts), dtype=np.float32)
+            break
+        except OSError:
+            if wait is None:
                 raise
-            sleep(min(RETRY_STEP_S * attempt, RETRY_MAX_S))
+            sleep(wait)
+    if answer.shape != (len(texts), dim):
+        raise ValueError(f"embedder answered with shape {answer.shape}, expected {(len(texts), dim)}")
+    return answer
 
 
 def batch_embed(df: DataFrame, id_col: str, text_col: str, embedder: Embedder, dim: int,
-                batch: int = EMBED_BATCH, max_attempts: int | None = None) -> DataFrame:
-    """(id, vector): texts go to ``embedder`` ``batch`` at a time inside each task (parallelism = partitions);
-    every answer is shape-checked and a failing call is retried with a growing wait."""
+                batch: int = EMBED_BATCH, attempts: int = EMBED_ATTEMPTS) -> DataFrame:
+    """(id, vector): texts go to ``embedder`` ``batch`` at a time inside each task (parallelism = partitions); every
+    answer is shape-checked and a failing call is tried again a bounded number of times."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -253,7 +372,7 @@ def batch_embed(df: DataFrame, id_col: str, text_col: str, embedder: Embedder, d
             ids = pdf["id"].tolist()
             texts = pdf["text"].tolist()
             for s in range(0, len(ids), batch):
-                vecs = _call_with_retry(embedder, texts[s:s + batch], dim, max_attempts=max_attempts)
+                vecs = embed_batch(embedder, texts[s:s + batch], dim, attempts)
                 yield pd.DataFrame({"id": ids[s:s + batch], "vector": list(vecs)})
 
     return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(
@@ -262,29 +381,34 @@ def batch_embed(df: DataFrame, id_col: str, text_col: str, embedder: Embedder, d
 
 def resume_embed(source_df: DataFrame, done_df: DataFrame, embedder: Embedder, dim: int, id_col: str = "id",
                  text_col: str = "text", max_chars: int = 800, limit: int = 0, batch: int = EMBED_BATCH,
-                 target: str | None = None) -> DataFrame:
-    """One resumable pass: skip ids already done, first occurrence of each id (empty id / text skipped), cut the
-    text to ``max_chars``, embed, and append to ``target`` when given. ``limit`` counts full batches only: the
-    first ceil(limit / batch) · batch texts by id. Returns the new (id, vector) rows."""
-    todo = anti_done(source_df.select(id_col, text_col), done_df.select(F.col(id_col)), id_col)
-    todo = first_seen_dedupe(todo.withColumn("_o", F.col(id_col)), [id_col], ["_o"], nonempty=[text_col])
+                 target: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """One resumable pass: skip ids already done, first occurrence of each id (empty id / text skipped; first by the
+    columns ``order``, by the text itself if none are given), cut the text to ``max_chars``, embed, store the new rows
+    once, and append the stored rows to ``target`` when given. ``limit`` counts full batches only: the first
+    ceil(limit / batch) · batch texts by id. Returns the stored new (id, vector) rows: nothing is embedded twice."""
+    from tessera.session import scratch_path
+    spark, by = source_df.sparkSession, list(order or [text_col])
+    todo = anti_done(source_df.select(id_col, text_col, *[c for c in by if c not in (id_col, text_col)]),
+                     done_df.select(F.col(id_col)), id_col)
+    todo = first_seen_dedupe(todo, [id_col], by, nonempty=[text_col])
     todo = todo.select(F.col(id_col), truncate_text(F.col(text_col), max_chars).alias(text_col))
     if limit:
         n = -(-limit // batch) * batch
         todo = todo.orderBy(id_col).limit(n)
-    out = batch_embed(todo, id_col, text_col, embedder, dim, batch)
+    path = scratch_path(spark, f"embedded-{uuid.uuid4().hex}")
+    batch_embed(todo, id_col, text_col, embedder, dim, batch).write.parquet(path)
+    new = spark.read.parquet(path)
     if target:
-        out.write.mode("append").parquet(target)
-    return out
+        new.write.mode("append").parquet(target)
+    return new
 
 
-def hybrid_search(index_df: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, c: int = 60,
-                  id_col: str = "vec_id", vec_col: str = "embedding", candidates: int | None = None,
-                  buckets: int | None = None) -> DataFrame:
+def hybrid_search(index: DataFrame | StoredIndex, vectors: DataFrame, queries: DataFrame, k: int = 10, c: int = 60,
+                  id_col: str = "vec_id", vec_col: str = "embedding", candidates: int | None = None) -> DataFrame:
     """Text + vector search fused by reciprocal rank: ``queries`` = (query_id, text, vector). Each side ranks
     ``candidates`` (default k) documents per query; the fused top-k is returned (query_id, doc_id, score, rank)."""
     n = candidates or k
-    text_hits = fts_match(index_df, queries.select("query_id", "text"), n, buckets=buckets)
+    text_hits = fts_match(index, queries.select("query_id", "text"), n)
     vec_hits = cosine_topk(vectors, queries.select("query_id", "vector"), n, id_col=id_col, vec_col=vec_col)
     return rrf_fuse(text_hits, vec_hits, k, c)
 

@@ -3,14 +3,18 @@ approximate cosine neighbours (label centroids as queries), dimension truncation
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import search as S
 from tessera.plans.registry import query
 from tessera.plans.standins import Tables
+from tessera.session import scratch_path
 
 K = 10
-EMBED_DIM = 64
+# The vector of a text in the embedding queries: how often each of these letters occurs.
+EMBED_LETTERS = "etaoinsr"
 
 
 def _sw_sql() -> str:
@@ -44,17 +48,17 @@ def _match_sql() -> str:
             f"order by score desc, doc_id) as rank from f) r where rank <= {K}")
 
 
+def stored_index(spark, t: Tables) -> S.StoredIndex:
+    """The index as a stored table in use: written once, partitioned by token bucket, under the shared checkpoint folder
+    (bucket count 2 × cluster parallelism)."""
+    return S.store_index(S.fts_index(t.documents, "doc_id", ["text"]),
+                         scratch_path(spark, f"fts-index-{uuid.uuid4().hex}"),
+                         2 * spark.sparkContext.defaultParallelism)
+
+
 def fts_matches(spark, sf):
-    """The index is a stored table in use: written once by ``fts_index`` + ``store_index`` partitioned by token
-    bucket (here under the shared checkpoint folder; bucket count 2 × cluster parallelism), then matched with
-    dynamic partition pruning on the bucket."""
-    import uuid
-    from tessera.session import scratch_path
     t = Tables(spark, sf)
-    buckets = 2 * spark.sparkContext.defaultParallelism
-    idx = S.store_index(S.fts_index(t.documents, "doc_id", ["text"], buckets=buckets),
-                        scratch_path(spark, f"fts-index-{uuid.uuid4().hex}"))
-    return S.fts_match(idx, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), K, buckets=buckets)
+    return S.fts_match(stored_index(spark, t), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), K)
 
 
 @query("fts_match", bench=True, oracle=_match_sql)
@@ -75,11 +79,14 @@ _CENTROIDS_SQL = ("select label, list(a order by pos) as v from (select label, p
                   "embeddings) e group by label, pos) g group by label")
 
 
-@query("cosine_topk", bench=True, oracle=(
+_COSINE_SQL = (
     f"with c as ({_CENTROIDS_SQL}), s as (select c.label as query_id, e.vec_id, round(list_cosine_similarity("
     "list_transform(e.embedding, lambda x: cast(x as double)), c.v), 6) as score from embeddings e, c) "
     "select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score "
-    f"desc, vec_id) as rank from s) r where rank <= {K}"))
+    f"desc, vec_id) as rank from s) r where rank <= {K}")
+
+
+@query("cosine_topk", bench=True, oracle=_COSINE_SQL)
 def q_cosine_topk(spark, sf):
     t = Tables(spark, sf)
     return S.cosine_topk(t.embeddings, label_centroids(t), K)
@@ -91,6 +98,13 @@ def q_ivf_search(spark, sf):
     return S.ivf_search(t.embeddings, label_centroids(t), K, lists=16, probes=4, seed=42)
 
 
+@query("ivf_search_all_cells", oracle=_COSINE_SQL)
+def q_ivf_search_all_cells(spark, sf):
+    """Probing every cell is exact."""
+    t = Tables(spark, sf)
+    return S.ivf_search(t.embeddings, label_centroids(t), K, lists=16, probes=16, seed=42)
+
+
 @query("truncate_dims", oracle=(
     "select vec_id as id, list_transform(list_slice(embedding, 1, 32), lambda x: cast(x as double) / sqrt(list_sum("
     "list_transform(list_slice(embedding, 1, 32), lambda y: cast(y as double) * cast(y as double))))) as vector "
@@ -99,30 +113,47 @@ def q_truncate_dims(spark, sf):
     return S.truncate_dims(Tables(spark, sf).embeddings, "vec_id", "embedding", 32)
 
 
-@query("batch_embed")
+def _letters_sql(text: str) -> str:
+    each = ", ".join(f"cast(length({text}) - length(replace({text}, '{c}', '')) as float)" for c in EMBED_LETTERS)
+    return f"[{each}]"
+
+
+@query("batch_embed", oracle=f"select doc_id as id, {_letters_sql('text')} as vector from documents")
 def q_batch_embed(spark, sf):
-    d = Tables(spark, sf).documents
-    return S.batch_embed(d, "doc_id", "text", S.hash_embedder(EMBED_DIM), EMBED_DIM)
+    return S.batch_embed(Tables(spark, sf).documents, "doc_id", "text", S.letter_embedder(EMBED_LETTERS),
+                         len(EMBED_LETTERS))
 
 
-@query("resume_embed")
+@query("resume_embed", oracle=(
+    f"select doc_id as id, {_letters_sql('cut')} as vector from (select doc_id, left(text, 800) as cut from documents "
+    "where text <> '' and doc_id not in (select doc_id from labels where doc_id is not null)) d"))
 def q_resume_embed(spark, sf):
     t = Tables(spark, sf)
     src = t.documents.select(F.col("doc_id").alias("id"), "text")
     done = t.labels.select(F.col("doc_id").alias("id"))
-    return S.resume_embed(src, done, S.hash_embedder(EMBED_DIM), EMBED_DIM)
+    return S.resume_embed(src, done, S.letter_embedder(EMBED_LETTERS), len(EMBED_LETTERS))
+
+
+def _hybrid_sql() -> str:
+    def vec(t):
+        return f"list_transform({_letters_sql(t)}, lambda x: cast(x as double))"
+    return (
+        f"with t as ({_match_sql()}), v as (select query_id, doc_id, row_number() over (partition by query_id order by "
+        f"score desc, doc_id) as rank from (select b.item_id as query_id, d.doc_id, case when list_sum(d.v) = 0 or "
+        "list_sum(b.v) = 0 then 0 else round(list_cosine_similarity(d.v, b.v), 6) end as score from"
+        f" (select doc_id, {vec('text')} as v from documents) d, "
+        f"(select item_id, {vec('text')} as v from benchmark) b) s qualify rank <= {K}), "
+        "u as (select query_id, doc_id, rank from t union all select query_id, doc_id, rank from v), "
+        "f as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from u group by query_id, doc_id) "
+        "select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score "
+        f"desc, doc_id) as rank from f) r where rank <= {K}")
 
 
-@query("hybrid_search")
+@query("hybrid_search", oracle=_hybrid_sql)
 def q_hybrid_search(spark, sf):
     t = Tables(spark, sf)
-    emb = S.hash_embedder(EMBED_DIM)
-    import uuid
-    from tessera.session import scratch_path
-    buckets = 2 * spark.sparkContext.defaultParallelism
-    idx = S.store_index(S.fts_index(t.documents, "doc_id", ["text"], buckets=buckets),
-                        scratch_path(spark, f"fts-index-{uuid.uuid4().hex}"))
-    doc_vecs = S.batch_embed(t.documents, "doc_id", "text", emb, EMBED_DIM)
-    q_vecs = S.batch_embed(t.benchmark, "item_id", "text", emb, EMBED_DIM).withColumnRenamed("id", "query_id")
+    emb, dim = S.letter_embedder(EMBED_LETTERS), len(EMBED_LETTERS)
+    doc_vecs = S.batch_embed(t.documents, "doc_id", "text", emb, dim)
+    q_vecs = S.batch_embed(t.benchmark, "item_id", "text", emb, dim).withColumnRenamed("id", "query_id")
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(q_vecs, on="query_id")
-    return S.hybrid_search(idx, doc_vecs, queries, K, id_col="id", vec_col="vector", buckets=buckets)
+    return S.hybrid_search(stored_index(spark, t), doc_vecs, queries, K, id_col="id", vec_col="vector")

@@ -61,19 +61,60 @@ def test_ivf_recall(spark):
     assert len(some & exact) / len(exact) >= 0.5
 
 
-def test_embed_retry_and_shape_check():
-    calls = {"n": 0}
+def test_embed_retry_is_bounded_and_a_wrong_shape_is_not_retried():
+    calls = []
 
     def flaky(texts):
-        calls["n"] += 1
-        if calls["n"] < 3:
+        calls.append(texts)
+        if len(calls) < 3:
             raise ConnectionError("down")
         return np.ones((len(texts), 4))
     waits = []
-    out = S._call_with_retry(flaky, ["a", "b"], 4, sleep=waits.append)
-    assert out.shape == (2, 4) and waits == [5, 10]
+    assert S.embed_batch(flaky, ["a", "b"], 4, sleep=waits.append).shape == (2, 4) and waits == [5, 10]
+
+    def down(texts):
+        calls.append(texts)
+        raise TimeoutError
+    calls.clear()
+    with pytest.raises(TimeoutError):
+        S.embed_batch(down, ["a"], 4, attempts=3, sleep=waits.append)
+    assert len(calls) == 3
+    calls.clear()
     with pytest.raises(ValueError):
-        S._call_with_retry(lambda texts: np.ones((len(texts), 3)), ["a"], 4, sleep=lambda s: None, max_attempts=2)
+        S.embed_batch(lambda t: calls.append(t) or np.ones((len(t), 3)), ["a"], 4, sleep=waits.append)
+    assert len(calls) == 1
+
+
+def test_resume_embeds_each_text_once_and_takes_the_first(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        seen.add(len(texts))
+        return np.array([[len(t)] for t in texts])
+    src = spark.createDataFrame([(1, "late text", 5), (1, "first", 2), (2, "b", 1), (3, "", 1)],
+                                "id long, text string, seq int")
+    out = S.resume_embed(src, spark.createDataFrame([], "id long"), embed, 1, target=scratch_path(spark, "resume-once"),
+                         order=["seq"])
+    rows = sorted((r["id"], r["vector"]) for r in out.collect())
+    assert rows == [(1, [5.0]), (2, [1.0])] and out.count() == 2 and seen.value == 2
+
+
+def test_cosine_ties_rank_by_id_and_blocks_give_the_same(spark, monkeypatch):
+    vecs = spark.createDataFrame([(i, [1.0, 2.0, 0.5]) for i in range(300, 0, -1)] + [(400, [0.0, 0.0, 1.0])],
+                                 "vec_id long, embedding array<double>").repartition(7)
+    q = spark.createDataFrame([(n, [1.0, 2.0, 0.5 + n / 1000]) for n in range(9)], "query_id long, vector array<double>")
+    whole = S.cosine_topk(vecs, q, 5).collect()
+    assert sorted(r["vec_id"] for r in whole if r["query_id"] == 0) == [1, 2, 3, 4, 5]
+    monkeypatch.setattr(S, "QUERY_BLOCK_BYTES", 48)
+    assert sorted(map(tuple, S.cosine_topk(vecs, q, 5).collect())) == sorted(map(tuple, whole))
+
+
+def test_search_cells_widens_the_probe_until_k_vectors(spark):
+    t = Tables(spark, SMALL)
+    index = S.build_cells(t.embeddings, scratch_path(spark, "cells-test"), lists=8, seed=1)
+    assert index.sizes.sum() == t.embeddings.count()
+    got = S.search_cells(index, label_centroids(t), k=400, probes=1).groupBy("query_id").count().collect()
+    assert got and all(r["count"] == 400 for r in got)
 
 
 def test_fts_match_requires_all_terms(spark):
