@@ -28,11 +28,20 @@ def limits_frame(spark: SparkSession) -> DataFrame:
     return literal_frame(spark, THRESHOLDS, "signal string, limit double, op string, missing_ok boolean")
 
 
-def threshold_alerts(signals_df: DataFrame, limits_df: DataFrame) -> DataFrame:
-    """Long-format samples (sample_id, signal, value) × limits (signal, limit, op, missing_ok) → ok flag.
-    '<' and '>=' compare against the limit; a missing value is an alert unless the limit says otherwise;
-    readiness signals are ok when 1; heartbeat signals are always ok. The limit table is tiny and broadcast."""
-    j = signals_df.join(broadcast_checked(limits_df), on="signal", how="left")
+SIGNALS = (*[t[0] for t in THRESHOLDS], *BOOLEAN_SIGNALS, *HEARTBEAT_SIGNALS)
+
+
+def threshold_alerts(signals_df: DataFrame, limits_df: DataFrame, expected: tuple = SIGNALS) -> DataFrame:
+    """Long-format samples (sample_id, signal, value) × limits (signal, limit, op, missing_ok) → ok flag, one row for
+    every sample and every ``expected`` signal: a signal without a row is a missing value (the largest value counts if a
+    signal is repeated). '<' and '>=' compare against the limit; a missing value is an alert unless the limit says
+    otherwise; readiness signals are ok when 1; heartbeat signals are always ok. One aggregate per sample lines its
+    signals up, no join; the limit table is tiny and broadcast."""
+    value = {s: F.max(F.when(F.col("signal") == s, F.col("value"))).alias(f"_v{i}") for i, s in enumerate(expected)}
+    by_sample = signals_df.groupBy("sample_id").agg(*value.values())
+    rows = by_sample.select("sample_id", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("signal"), F.col(f"_v{i}").alias("value")) for i, s in enumerate(expected)])))
+    j = rows.join(broadcast_checked(limits_df), on="signal", how="left")
     v = F.col("value")
     ok = (F.when(F.col("signal").isin(*HEARTBEAT_SIGNALS), F.lit(True))
           .when(F.col("signal").isin(*BOOLEAN_SIGNALS), F.coalesce(v == 1, F.lit(False)))
@@ -46,8 +55,8 @@ def threshold_alerts(signals_df: DataFrame, limits_df: DataFrame) -> DataFrame:
 def silent_key_alert(df: DataFrame, key: str, ts: str, limit_seconds: int, now: str,
                      tiebreak: str | None = None) -> DataFrame:
     """Every stretch longer than ``limit_seconds`` in which a key sent nothing: between two consecutive
-    signals, and from the last signal until ``now``. The next signal comes from a rank join, so a key with a
-    third of all rows is spread over many tasks."""
+    signals, and from the last signal until ``now``. The next signal is found without gathering a key, so a key with
+    a third of all rows is spread over many tasks."""
     order = [ts] + ([tiebreak] if tiebreak else [])
     n = with_next(df.select(key, *order), [key], order, [ts])
     end = F.coalesce(F.col(f"next_{ts}"), F.lit(now).cast(df.schema[ts].dataType))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import collect_rules
+from tessera.operators.joins import RULES_MAX_ROWS, compiled_rules
 from tessera.operators.layout import spread
 
 VIOLATION_COLS = ["rule", "key", "detail"]
@@ -84,24 +84,46 @@ DOCUMENT_RULES = [
 
 def document_rules(docs: DataFrame, id_col: str, text_col: str, rules_df: DataFrame) -> DataFrame:
     """Per document: the names of the rules (name, pattern) it does not match, joined in rule order; documents
-    that match every rule are left out. The rule table is small (bounded read) and is compiled into one literal
-    ``rlike`` per rule, so each pattern is compiled once per task and each document is tested in place — no
-    documents × rules row product."""
-    rules = collect_rules(rules_df.select("rank", "name", "pattern").orderBy("rank"))
-    t = F.col("_t")
-    low = F.col("_low")
+    that match every rule are left out. Rules are compiled into one literal ``rlike`` each, so each pattern is compiled
+    once per task and each document is tested in place — no documents × rules row product. More rules than one block
+    holds are tested block by block over the documents, and the blocks' names put together in rule order."""
+    ordered = rules_df.select("rank", "name", "pattern").orderBy("rank")
+    rules = compiled_rules(ordered)
+    blocks = [rules] if rules is not None else _rule_blocks(ordered)
+    staged = spread(docs.select(id_col, text_col)).select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    staged = staged.select("doc_id", "_t", F.lower("_t").alias("_low"))
+    out = None
+    for n, block in enumerate(blocks):
+        part = staged.select("doc_id", _nonempty(_missing_names(block)).alias("_m")).withColumn("_b", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    if rules is None:
+        out = out.groupBy("doc_id").agg(F.flatten(F.transform(
+            F.sort_array(F.collect_list(F.struct("_b", "_m"))), lambda x: x["_m"])).alias("_m"))
+    return out.select("doc_id", F.array_join("_m", "; ").alias("missing"))
+
+
+def _rule_blocks(ordered: DataFrame):
+    """The rules in blocks that one projection can hold, read one partition at a time."""
+    block: list = []
+    for r in ordered.toLocalIterator():
+        block.append(r)
+        if len(block) == RULES_MAX_ROWS:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _missing_names(rules: list):
+    t, low = F.col("_t"), F.col("_low")
 
     # Case-insensitive with Unicode case folding, as the original rules match. A pattern written in lower case
     # is matched against the text lower-cased once, in its own projection (much cheaper than the regex engine's
     # Unicode case mode, and not repeated per rule); any other pattern uses the (?iu) flags.
     def fails(p: str):
         return ~low.rlike(p) if p == p.lower() else ~t.rlike("(?iu)" + p)
-    missing = F.array_compact(F.array(*[F.when(fails(r["pattern"]), F.lit(r["name"])) for r in rules]))
-    staged = spread(docs.select(id_col, text_col)).select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    staged = staged.select("doc_id", "_t", F.lower("_t").alias("_low"))
-    out = staged.select("doc_id", _nonempty(missing).alias("_m"))
-    return out.select("doc_id", F.array_join("_m", "; ").alias("missing"))
+    return F.array_compact(F.array(*[F.when(fails(r["pattern"]), F.lit(r["name"])) for r in rules]))
 
 
 def _nonempty(arr):
@@ -133,16 +155,20 @@ MAX_AGE_HOURS = 26
 def freshness_alert(runs_df: DataFrame, now: str, max_age_hours: int = MAX_AGE_HOURS) -> DataFrame:
     """Per subject (e.g. a backup job), from its run records (subject, kind 'ok'/'fail'/'verify', finished_at,
     flag, reason): the problems list — no OK record; last OK older than the limit; OK record with a false flag;
-    a failure newer than the last OK; last verification failed. alert = any problem."""
+    a failure newer than the last OK; last verification failed. alert = any problem. A run record without a time is
+    unreadable and a problem of its own; it is no run."""
     k = F.col("kind")
+    unreadable = F.count_if((k == "ok") & F.col("finished_at").isNull())
     agg = runs_df.groupBy("subject").agg(
         F.max_by(F.struct("finished_at", "flag"), F.when(k == "ok", F.col("finished_at"))).alias("_ok"),
         F.max_by(F.struct("finished_at", "reason"), F.when(k == "fail", F.col("finished_at"))).alias("_fail"),
-        F.max_by(F.col("flag"), F.when(k == "verify", F.col("finished_at"))).alias("_verify"))
+        F.max_by(F.col("flag"), F.when(k == "verify", F.col("finished_at"))).alias("_verify"),
+        unreadable.alias("_unreadable"))
     now_c = F.lit(now).cast("timestamp")
     age_h = (F.unix_seconds(now_c) - F.unix_seconds(F.col("_ok.finished_at").cast("timestamp"))) / 3600
     problems = F.array_compact(F.array(
-        F.when(F.col("_ok").isNull(), F.lit("no successful run")),
+        F.when(F.col("_unreadable") > 0, F.lit("unreadable run record")),
+        F.when(F.col("_ok").isNull() & (F.col("_unreadable") == 0), F.lit("no successful run")),
         F.when(F.col("_ok").isNotNull() & (age_h > max_age_hours),
                F.concat(F.lit("last successful run "), F.floor(age_h).cast("string"), F.lit("h ago"))),
         F.when(F.col("_ok").isNotNull() & ~F.coalesce(F.col("_ok.flag"), F.lit(False)), F.lit("ok record not ok")),

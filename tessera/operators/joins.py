@@ -44,17 +44,16 @@ def rows_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+# Rule tables up to this many rows are compiled into literal expressions; larger ones are joined or taken in blocks.
 RULES_MAX_ROWS = 1000
 
 
-def collect_rules(df: DataFrame, max_rows: int = RULES_MAX_ROWS) -> list:
-    """Read a small rule table (prefix lists, named patterns) so it can be compiled into literal expressions.
-    The size is proven by a bounded read (at most ``max_rows + 1`` rows); a larger table is an error, not a
-    silent cut."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"rule table has more than {max_rows} rows; use a join instead")
-    return rows
+def compiled_rules(df: DataFrame, max_rows: int | None = None) -> list | None:
+    """The rows of a small rule table (prefix lists, named patterns), to be compiled into literal expressions; None if it
+    has more than ``max_rows`` rows (at most one more is read)."""
+    most = RULES_MAX_ROWS if max_rows is None else max_rows
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
 
 
 def broadcast_checked(df: DataFrame, limit: int = BROADCAST_LIMIT, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

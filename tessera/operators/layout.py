@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Re-split an input that arrived in fewer partitions than the cluster can run at once (e.g. one large
-    Parquet row group) before CPU-heavy per-row work such as tokenizing or embedding. At scale the scan already
-    yields many more splits than cores and this is a no-op; it never adds a shuffle there."""
+    """Re-split an input that a plain scan would read in fewer partitions than the cluster can run at once (e.g. one
+    large Parquet row group) before CPU-heavy per-row work such as tokenizing or embedding. Only the planned scan is
+    looked at, no job runs; an input that was shuffled already is left alone (its layout is adaptive), and at scale a
+    scan yields many more splits than cores."""
     sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism * factor
     try:
+        plan = df._jdf.queryExecution().sparkPlan()
+        if any(word in plan.toString() for word in ("Exchange", "Aggregate", "Join", "Window", "Sort")):
+            return df
         n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the layout alone
+    except Exception:  # noqa: BLE001 - no plan or RDD view (e.g. Spark Connect): leave the layout alone
         return df
-    return df.repartition(target) if n < sc.defaultParallelism else df
+    return df.repartition(sc.defaultParallelism * factor) if n < sc.defaultParallelism else df

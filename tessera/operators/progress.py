@@ -3,7 +3,7 @@ row-count audits, grouped lists and missing names. Every per-key step is an aggr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import broadcast_checked
@@ -29,14 +29,17 @@ def pending_work(expected_df: DataFrame, state_df: DataFrame, max_fails: int = M
             .select("key", "status", fails.cast("bigint").alias("fails")))
 
 
-def coverage_ratio(done_df: DataFrame, source_df: DataFrame, ratio: float = COVERAGE_RATIO) -> DataFrame:
-    """done, total, target = floor(total × ratio), complete = done ≥ target (two counts, one row)."""
+def coverage_ratio(done_df: DataFrame, source_df: DataFrame, ratio: float = COVERAGE_RATIO,
+                   last_pass: DataFrame | None = None) -> DataFrame:
+    """done, total, target = floor(total × ratio), complete = done ≥ target (two counts, one row). With ``last_pass``,
+    the rows that the last pass added, a pass that added none also completes the job: every source row is done."""
     d = done_df.agg(F.count(F.lit(1)).alias("done"))
     total = source_df.agg(F.count(F.lit(1))).scalar()   # scalar subquery: one value, no join
     target = F.floor(F.col("total").cast("decimal(20,0)") * F.lit(ratio).cast("decimal(10,6)")).cast("bigint")
+    nothing_new = F.lit(False) if last_pass is None else last_pass.agg(F.count(F.lit(1)) == 0).scalar()
     return (d.select("done", total.alias("total"))
             .select("done", "total", target.alias("target"))
-            .withColumn("complete", F.col("done") >= F.col("target")))
+            .withColumn("complete", (F.col("done") >= F.col("target")) | nothing_new))
 
 
 def upsert_votes(df: DataFrame, keys=("slug", "voter"), value: str = "vote", ts: str = "ts",
@@ -104,7 +107,10 @@ def group_to_lists(df: DataFrame, group: str, host: str, service: str, kind: str
     the first record's kind, as joined text ('-' when empty). Distinct values are deduplicated by a
     (group, value) aggregate before they are listed, so the list size is the number of distinct values."""
     hosts = df.select(group, F.col(host).alias("h")).where(F.col("h").isNotNull()).distinct()
-    hosts = hosts.groupBy(group).agg(F.slice(F.sort_array(F.collect_list("h")), 1, max_hosts).alias("_hosts"))
+    # the group limit keeps the first hosts per task before the shuffle, so a list never exceeds max_hosts
+    first = Window.partitionBy(group).orderBy("h")
+    hosts = (hosts.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_hosts)
+             .groupBy(group).agg(F.sort_array(F.collect_list("h")).alias("_hosts")))
     svcs = (df.select(group, F.col(service).alias("s")).where(F.col("s").isNotNull() & (F.col("s") != ""))
             .distinct().groupBy(group).agg(F.sort_array(F.collect_list("s")).alias("_svcs")))
     state = df.groupBy(group).agg(F.min_by(F.col(kind), F.col(order)).alias("_kind"))

@@ -1,46 +1,41 @@
 """Exact interpolated percentiles (``percentile_cont``) that never put a whole group into one task.
 
-Built-in ``percentile``/``median`` merge every distinct value of a group in one task, so a hot group (a third of
-all rows) becomes one huge task. Here the values are range-partitioned and sorted by (group, value) instead —
-a hot group spreads over many partitions — and each row's rank inside its group is derived from per-partition
-counts (small: one row per partition and group it touches). Only the one or two rows at the target ranks per group
-survive the final filter.
+Rows are first counted per (group, value), combined map-side: equal values collapse, however many rows hold them. The
+counts are summed up in value order by the skew-safe running sum, and only the one or two values at the target ranks of
+a group are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import running_sum
+
 
 def exact_percentile(df: DataFrame, group_cols: list[str], value_col: str, p: float = 0.5,
                      out: str = "percentile", with_count: str | None = None) -> DataFrame:
     """One row per group: ``out`` = percentile_cont(p) of the non-null values (double), optional row count."""
     g = list(group_cols)
     vals = df.select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    from tessera.operators.ranking import sorted_with_ids
-    sorted_ = sorted_with_ids(vals, [*g, "_v"])
-    # per (partition, group): first row id and row count; rows of one group are contiguous inside a partition
-    stats = sorted_.groupBy("_pid", *g).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    stats = (stats.withColumn("_before", F.sum("_cnt").over(wg.orderBy("_pid")) - F.col("_cnt"))
-             .withColumn("_n", F.sum("_cnt").over(wg)))
+    counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_sum(counts, g, ["_v"], "_c", "_upto")
+    sizes = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     pos = (F.col("_n") - 1) * F.lit(float(p))
-    stats = (stats.withColumn("_klo", F.floor(pos)).withColumn("_khi", F.ceil(pos))
-             .withColumn("_frac", pos - F.floor(pos)))
-    # keep only the partitions that hold a target rank: at most two per group
-    hit = ((F.col("_klo") >= F.col("_before")) & (F.col("_klo") < F.col("_before") + F.col("_cnt"))) | \
-          ((F.col("_khi") >= F.col("_before")) & (F.col("_khi") < F.col("_before") + F.col("_cnt")))
-    targets = stats.where(hit)
-    ranked = (sorted_.join(targets, on=["_pid", *g], how="inner")
-              .withColumn("_rank", F.col("_before") + F.col("_mid") - F.col("_first"))
-              .where((F.col("_rank") == F.col("_klo")) | (F.col("_rank") == F.col("_khi"))))
-    agg = ranked.groupBy(*g).agg(
-        F.max(F.when(F.col("_rank") == F.col("_klo"), F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_rank") == F.col("_khi"), F.col("_v"))).alias("_hi"),
-        F.first("_frac").alias("_frac"), F.first("_n").alias("_n"))
-    res = agg.select(*g, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out),
-                     F.col("_n").alias("_n"))
-    if with_count:
-        return res.withColumnRenamed("_n", with_count)
-    return res.drop("_n")
+    sizes = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], "_n", F.floor(pos).alias("_klo"),
+                         F.ceil(pos).alias("_khi"), (pos - F.floor(pos)).alias("_frac"))
+    same = F.lit(True)
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+
+    def holds(k: str):
+        return (F.col(k) < F.col("_upto")) & (F.col(k) >= F.col("_upto") - F.col("_c"))
+    if g:
+        near = upto.join(sizes, on=same, how="inner")
+    else:
+        near = upto.withColumns({c: sizes.select(c).scalar() for c in ("_n", "_klo", "_khi", "_frac")})
+    agg = near.where(holds("_klo") | holds("_khi")).groupBy(*g).agg(
+        F.max(F.when(holds("_klo"), F.col("_v"))).alias("_lo"), F.max(F.when(holds("_khi"), F.col("_v"))).alias("_hi"),
+        F.max("_frac").alias("_frac"), F.max("_n").alias("_n"))
+    res = agg.select(*g, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out), F.col("_n"))
+    return res.withColumnRenamed("_n", with_count) if with_count else res.drop("_n")

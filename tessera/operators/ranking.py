@@ -3,8 +3,8 @@
 ``Window.partitionBy(key)`` sends every row of a key to one task; a key holding a third of all rows becomes one
 straggler. Here rows are range-partitioned on (key, order) — a hot key spans many partitions — and each row's
 0-based rank inside its key is its offset in the partition plus the row counts of the key in earlier partitions
-(a small per-(partition, key) table). The previous row is then an equi-join on (key, rank) = (key, rank − 1),
-which hashes on the rank and so spreads a hot key evenly.
+(a small per-(partition, key) table). The previous row is a ``lag`` inside the partition and, for a partition's first
+row of a key, the last row that an earlier partition holds of it (one boundary row per partition and key).
 """
 
 from __future__ import annotations
@@ -27,6 +27,16 @@ def sorted_with_ids(df: DataFrame, order: list[str]) -> DataFrame:
     return s.checkpoint(eager=True)
 
 
+def _join_partition(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Join per-(partition, key) values to the rows; null keys match null keys."""
+    side = small.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+                        *[c for c in small.columns if c not in (*keys, "_pid")])
+    same = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(side, on=same, how="inner").drop("_p", *[f"_k{i}" for i in range(len(keys))])
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], rank_col: str = "_rank") -> DataFrame:
     """``df`` plus ``rank_col``: 0-based position of the row inside its key by ``order`` (ties: any order)."""
     k = list(keys)
@@ -34,7 +44,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], rank_col: str
     stats = s.groupBy("_pid", *k).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))).orderBy("_pid")
     stats = stats.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
-    out = s.join(stats, on=["_pid", *k], how="inner")
+    out = _join_partition(s, stats, k)
     return out.withColumn(rank_col, F.col("_before") + F.col("_mid") - F.col("_first")) \
         .drop("_pid", "_mid", "_first", "_before")
 
@@ -50,20 +60,34 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     stats = stats.withColumn("_before", F.sum("_psum").over(w) - F.col("_psum")).drop("_psum")
     inner = Window.partitionBy("_pid", *k).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     local = s.withColumn("_local", F.sum(value).over(inner))
-    return (local.join(stats, on=["_pid", *k], how="inner")
+    return (_join_partition(local, stats, k)
             .withColumn(out, F.col("_before") + F.col("_local"))
             .drop("_pid", "_mid", "_local", "_before"))
 
 
+def _with_neighbour(df: DataFrame, keys: list[str], order: list[str], cols: list[str], prefix: str,
+                    back: bool) -> DataFrame:
+    """The neighbouring row's ``cols`` in the key: inside a partition by ``lag`` over (partition, key) — contiguous rows
+    of a hot key lie in many partitions — and across partitions from one boundary row per (partition, key)."""
+    k, step = list(keys), F.lag if back else F.lead
+    s = sorted_with_ids(df, k + list(order))
+    inner = Window.partitionBy("_pid", *k).orderBy("_mid")
+    # the row that a partition hands to the next one holding the key: its last (or first) of the key
+    edge = (F.max_by if back else F.min_by)(F.struct(*cols), "_mid")
+    bounds = s.groupBy("_pid", *k).agg(edge.alias("_edge"))
+    outer = (Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))).orderBy("_pid")
+    bounds = bounds.select("_pid", *k, step("_edge").over(outer).alias("_across"))
+    local = _join_partition(s.withColumn("_inside", step(F.struct(*cols)).over(inner)), bounds, k)
+    near = F.coalesce(F.col("_inside"), F.col("_across"))
+    return local.select(*df.columns, *[near[c].alias(prefix + c) for c in cols])
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
                   prefix: str = "prev_") -> DataFrame:
     """``df`` plus ``prev_<col>`` of the previous row in the key by ``order`` (null for the first row)."""
-    r = rank_within(df, keys, order)
-    prev = r.select(*keys, (F.col("_rank") + 1).alias("_rank"), *[F.col(c).alias(prefix + c) for c in cols])
-    return r.join(prev, on=[*keys, "_rank"], how="left")
+    return _with_neighbour(df, keys, order, cols, prefix, back=True)
 
 
 def with_next(df: DataFrame, keys: list[str], order: list[str], cols: list[str], prefix: str = "next_") -> DataFrame:
-    r = rank_within(df, keys, order)
-    nxt = r.select(*keys, (F.col("_rank") - 1).alias("_rank"), *[F.col(c).alias(prefix + c) for c in cols])
-    return r.join(nxt, on=[*keys, "_rank"], how="left")
+    """``df`` plus ``next_<col>`` of the next row in the key by ``order`` (null for the last row)."""
+    return _with_neighbour(df, keys, order, cols, prefix, back=False)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.predicates import status_class_expr
 from tessera.functions.scalar import event_root_id, strip_accents
-from tessera.operators.joins import broadcast_checked, collect_rules
+from tessera.operators.joins import compiled_rules
 from tessera.operators.layout import spread
 
 # Divergence kinds, ignored test-order prefix.
@@ -36,16 +36,23 @@ def prefix_lookup(df: DataFrame, name_col: str, prefixes_df: DataFrame, out: str
     """Add ``out``: target of the first prefix (lowest rank) that the accent-free lower-case name starts with;
     null when none matches.
 
-    The rule list is a small parameter table (bounded read, at most 1000 rules): its prefixes are folded by the
-    same Spark expression as the names, then compiled into one ``CASE WHEN startswith(...)`` in rank order. The
-    match is a plain projection inside whole-stage codegen — no join, no shuffle of ``df``, no regrouping."""
-    rules = collect_rules(prefixes_df.select("rank", strip_accents("prefix").alias("prefix"), "target")
-                          .orderBy("rank", "prefix"))
+    A small rule list (bounded read) is folded by the same Spark expression as the names and compiled into one
+    ``CASE WHEN startswith(...)`` in rank order: a projection, no join and no shuffle of ``df``. A longer list is
+    joined: each distinct name is taken at every length that a prefix has, and the best-ranked match wins."""
+    folded = prefixes_df.select("rank", strip_accents("prefix").alias("prefix"), "target")
+    rules = compiled_rules(folded.orderBy("rank", "prefix"))
     norm = F.col("_norm")
+    named = df.withColumn("_norm", strip_accents(F.col(name_col)))
+    if rules is None:
+        cuts = named.select("_norm").where(norm.isNotNull()).distinct().select("_norm", F.explode(F.transform(
+            F.sequence(F.lit(0), F.length(norm)), lambda n: F.substring(norm, F.lit(1), n))).alias("prefix"))
+        best = (cuts.join(folded, on="prefix").groupBy("_norm")
+                .agg(F.min_by("target", F.struct("rank", "prefix")).alias(out)))
+        return named.join(best, on="_norm", how="left").select(*df.columns, out)
     expr = F.lit(None).cast("string")
     for r in reversed(rules):
         expr = F.when(F.startswith(norm, F.lit(r["prefix"])), F.lit(r["target"])).otherwise(expr)
-    return df.withColumn("_norm", strip_accents(F.col(name_col))).withColumn(out, expr).drop("_norm")
+    return named.withColumn(out, expr).drop("_norm")
 
 
 def release_roots(releases: DataFrame, product: str = "product", event_id: str = "event_id") -> DataFrame:
@@ -105,30 +112,57 @@ def unregistered_product(orders: DataFrame, prefixes_df: DataFrame, ignored_acco
                     F.col("product_name").alias("product"), "email"))
 
 
-def _registered(orders: DataFrame, prefixes_df: DataFrame, base_products: DataFrame) -> DataFrame:
-    o = _orders_with_target(orders, prefixes_df).where(F.col("target").isNotNull())
-    base = broadcast_checked(base_products.select(F.col("product").alias("target")).distinct())
-    return o.join(base, on="target", how="left_semi")
+def _order_flags(orders: DataFrame, prefixes_df: DataFrame, base_products: DataFrame,
+                 releases: DataFrame | None = None, active: DataFrame | None = None) -> DataFrame:
+    """Each classified order once, with flags: ``registered`` (its target is among ``base_products``), ``released`` (its
+    id is among the target's release events) and ``held`` (order ids of the active entitlements of target and email).
+
+    Only products that a rule can yield matter, so the base list has at most as many rows as there are rule targets:
+    with a compiled rule list that is a proven bound, and the list is broadcast however large its input is."""
+    o = _orders_with_target(orders, prefixes_df)
+    rules = compiled_rules(prefixes_df.select("target").distinct())
+    base = base_products.select(F.col("product").alias("target"))
+    if rules is not None:
+        base = F.broadcast(base.where(F.col("target").isin([r["target"] for r in rules])).distinct())
+    else:
+        base = base.distinct()
+    o = o.join(base.withColumn("registered", F.lit(True)), on="target", how="left")
+    if releases is not None:
+        roots = release_roots(releases).withColumnRenamed("product", "target").withColumn("released", F.lit(True))
+        o = o.join(roots, on=["target", "order_id"], how="left")
+    if active is not None:
+        held = active.groupBy(F.col("product").alias("target"), "email").agg(
+            F.collect_set(F.coalesce("order_id", F.lit(""))).alias("held"))
+        o = o.join(held, on=["target", "email"], how="left")
+    return o
+
+
+def _is(name: str, status: str):
+    return F.coalesce(F.col(name), F.lit(False)) & (F.col("status_class") == status)
+
+
+def _paid_not_released():
+    return _is("registered", "paid") & F.col("released").isNull() & F.col("held").isNull()
+
+
+def _refunded_still_active():
+    return _is("registered", "returned") & F.coalesce(F.array_contains("held", F.col("order_id")), F.lit(False))
+
+
+def _rows(o: DataFrame, kind: str, product) -> DataFrame:
+    return o.select(F.lit(kind).alias("kind"), "account", "order_id", product.alias("product"), "email")
 
 
 def paid_not_released(orders: DataFrame, releases: DataFrame, active: DataFrame, prefixes_df: DataFrame,
                       base_products: DataFrame) -> DataFrame:
-    o = _registered(orders, prefixes_df, base_products).where(F.col("status_class") == "paid")
-    roots = release_roots(releases).withColumnRenamed("product", "target")
-    act = active.select(F.col("product").alias("target"), "email")
-    return (o.join(roots, on=["target", "order_id"], how="left_anti")
-            .join(act, on=["target", "email"], how="left_anti")
-            .select(F.lit(PAID_NOT_RELEASED).alias("kind"), "account", "order_id",
-                    F.col("target").alias("product"), "email"))
+    o = _order_flags(orders, prefixes_df, base_products, releases, active).where(_paid_not_released())
+    return _rows(o, PAID_NOT_RELEASED, F.col("target"))
 
 
 def refunded_still_active(orders: DataFrame, active: DataFrame, prefixes_df: DataFrame,
                           base_products: DataFrame) -> DataFrame:
-    o = _registered(orders, prefixes_df, base_products).where(F.col("status_class") == "returned")
-    act = active.select(F.col("product").alias("target"), "email", "order_id")
-    return (o.join(act, on=["target", "email", "order_id"], how="inner")
-            .select(F.lit(REFUNDED_STILL_ACTIVE).alias("kind"), "account", "order_id",
-                    F.col("target").alias("product"), "email"))
+    o = _order_flags(orders, prefixes_df, base_products, active=active).where(_refunded_still_active())
+    return _rows(o, REFUNDED_STILL_ACTIVE, F.col("target"))
 
 
 def released_without_payment(active: DataFrame, ids: DataFrame, ignore_prefix: str = TEST_ORDER_PREFIX) -> DataFrame:
@@ -145,17 +179,17 @@ def reconcile(orders: DataFrame, releases: DataFrame, active: DataFrame, prefixe
     entitlement base (not in ``base_products``; default: products with releases or entitlements) are skipped."""
     if base_products is None:
         base_products = releases.select("product").unionByName(active.select("product")).distinct()
-    orders = _orders_with_target(orders, prefixes_df)
-    parts = [
-        paid_not_released(orders, releases, active, prefixes_df, base_products),
-        refunded_still_active(orders, active, prefixes_df, base_products),
-        unregistered_product(orders, prefixes_df, ignored_accounts),
-        released_without_payment(active, ids),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*OUT_COLS)
+    # every order is classified and joined once; the kinds follow from its flags
+    o = _order_flags(orders, prefixes_df, base_products, releases, active)
+    unregistered = F.col("target").isNull() & ~F.col("account").isin(list(ignored_accounts))
+
+    def kind(when, name, product):
+        return F.when(when, F.struct(F.lit(name).alias("kind"), F.col(product).alias("product")))
+    kinds = F.array_compact(F.array(kind(_paid_not_released(), PAID_NOT_RELEASED, "target"),
+                                    kind(_refunded_still_active(), REFUNDED_STILL_ACTIVE, "target"),
+                                    kind(unregistered, UNREGISTERED_PRODUCT, "product_name")))
+    found = o.select("account", "order_id", "email", F.inline(kinds))
+    return found.select(*OUT_COLS).unionByName(released_without_payment(active, ids).select(*OUT_COLS))
 
 
 def union_accounts(frames: dict[str, DataFrame], kind: str | None = None) -> DataFrame:

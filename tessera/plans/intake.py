@@ -189,11 +189,39 @@ def _landed_orders(spark, sf):
     return text.read_json_orders(spark, {"one": f"{base}/one", "two": f"{base}/two"})
 
 
-@query("report_sink")
+def _report_sql() -> str:
+    from tessera.plans.registry import ORACLES
+    return with_standins("select 'orders' as section, account as name, count(*) as n from payments group by account "
+                         f"union all select 'divergences', kind, count(*) from ({ORACLES['reconcile']}) d group by kind",
+                         "payments")
+
+
+@query("report_sink", oracle=_report_sql)
 def q_report_sink(spark, sf):
     from tessera.plans.reconciliation import q_reconcile, _orders
-    divs = q_reconcile(spark, sf)
-    return sinks.report_sink(divs, _orders(Tables(spark, sf)), _scratch(spark, "report"), "2001-01-01 04:30:00")
+    header = sinks.report_sink(q_reconcile(spark, sf), _orders(Tables(spark, sf)), _scratch(spark, "report"),
+                               "2001-01-01 04:30:00")
+    return sinks.report_rows(header)
+
+
+_BUCKET_LINES_SQL = ("select case when s_suppkey % 9 = 0 then 'total ' || cast(s_suppkey as varchar) when s_suppkey % 4 "
+                     "= 0 then cast(s_suppkey as varchar) || 'GiB' || chr(9) || cast(s_nationkey as varchar) || "
+                     "' objects' || chr(9) || lower(replace(s_name, '#', '-')) else cast(s_suppkey as varchar) || 'KiB ' "
+                     "|| cast(s_nationkey as varchar) || ' object ' end as value from supplier")
+
+
+@query("parse_bucket_listing", oracle=(
+    f"with l as (select replace(value, chr(9), ' ') as v from ({_BUCKET_LINES_SQL}) x), p as (select regexp_extract(v, "
+    "'^(\\S+)\\s+(\\d+) objects?\\s+(\\S*)', ['size', 'n', 'bucket']) as m from l) select m.bucket as bucket, m.size as "
+    "size, cast(m.n as bigint) as objects from p where m.bucket <> ''"))
+def q_parse_bucket_listing(spark, sf):
+    s = Tables(spark, sf).supplier
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    line = (F.when(F.col("s_suppkey") % 9 == 0, F.concat(F.lit("total "), k))
+            .when(F.col("s_suppkey") % 4 == 0, F.concat(k, F.lit("GiB\t"), n, F.lit(" objects\t"),
+                                                        F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("-")))))
+            .otherwise(F.concat(k, F.lit("KiB "), n, F.lit(" object "))))
+    return text.parse_bucket_listing(s.select(line.alias("value")))
 
 
 @query("insert_if_absent", oracle=(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.predicates import price_expr
 from tessera.operators import bi, joins as J, offers as O, progress as G, topk, windows as W
 from tessera.plans.registry import query
+from tessera.sources.tables import literal_frame
 from tessera.plans.standins import (TABLES, Tables, ledger, offers, samples, snapshots, vote_events,
                                     with_standins)
 
@@ -195,6 +196,15 @@ def q_coverage_ratio(spark, sf):
     return G.coverage_ratio(t.labels, t.documents)
 
 
+@query("coverage_after_empty_pass", oracle=(
+    "select d.done, s.total, cast(floor(s.total * 0.995) as bigint) as target, true as complete from (select count(*) as "
+    "done from labels) d, (select count(*) as total from documents) s"))
+def q_coverage_after_empty_pass(spark, sf):
+    """The last pass found nothing left to do (no document with a negative id): the job is complete."""
+    t = Tables(spark, sf)
+    return G.coverage_ratio(t.labels, t.documents, last_pass=t.documents.where(F.col("doc_id") < 0))
+
+
 @query("cache_hit_ratio", oracle=(
     "select coalesce(round(100.0 * sum(l_quantity) / nullif(sum(l_quantity) + sum(l_discount * 100), 0), 2), "
     "100.0) as hit_pct from lineitem"))
@@ -231,9 +241,7 @@ def q_row_count_audit(spark, sf):
                         .otherwise(F.col("rows")).alias("expected"))
                 .unionByName(t.orders.agg(F.count(F.lit(1)).alias("expected"))
                              .select(F.lit("archive").alias("table"), "expected")))
-    required = t.region.select(F.lit("region").alias("table")).limit(1) \
-        .unionByName(t.nation.select(F.lit("nation").alias("table")).limit(1)) \
-        .unionByName(t.region.select(F.lit("labels").alias("table")).limit(1))
+    required = literal_frame(spark, [("region",), ("nation",), ("labels",)], "table string")
     return G.row_count_audit(counts, expected, required)
 
 
@@ -466,6 +474,17 @@ def q_recent_comments(spark, sf):
                                                                              F.col("rank").cast("bigint"))
 
 
+@query("recent_comments_page", oracle=(
+    "select slug, id, created_at, rank from (select event_type as slug, event_id as id, ts as created_at, row_number() "
+    "over (partition by event_type order by ts desc, event_id desc) as rank from events) e where rank <= 200"))
+def q_recent_comments_page(spark, sf):
+    """The page size in use (200), over articles with many comments."""
+    ev = Tables(spark, sf).events.select(F.col("event_type").alias("slug"), F.col("event_id").alias("id"),
+                                         F.col("ts").alias("created_at"))
+    return topk.recent_comments(ev, "slug", "created_at", "id").select("slug", "id", "created_at",
+                                                                       F.col("rank").cast("bigint"))
+
+
 OFFER_SPEC = {"disk": {"gte": 10}, "model": {"in": ["Brand#4", "Brand#19", "Brand#2", "Brand#17"]}}
 CURRENT_PRICE = 1.8
 MARGIN = 0.01

@@ -18,6 +18,8 @@ BUDGET_N, BUDGET_WINDOW_S = 2, 43_200
 TRACKER_NOW = "2024-01-31 00:00:00"
 WATERMARK = "10 minutes"
 SILENCE_LIMIT_S = 6 * 3600
+# The test events span 30 days: a shorter retention than the default 90 days, so that it removes something.
+KEEP_DAYS = 20
 
 
 def _out(spark, name):
@@ -26,11 +28,11 @@ def _out(spark, name):
 
 @query("sample_stream", oracle=(
     "select event_id, ts, event_type, value from events where cast(ts as date) >= (select max(cast(ts as date)) "
-    "from events) - interval 90 days"))
+    "from events) - interval 20 days"))
 def q_sample_stream(spark, sf):
     path = _out(spark, "samples")
     src = J.file_stream(spark, sf, "events").select("event_id", "ts", "event_type", "value")
-    J.run_available(J.sample_stream(src, path))
+    J.run_available(J.sample_stream(src, path, keep_days=KEEP_DAYS))
     return spark.read.parquet(path).select("event_id", "ts", "event_type", "value")
 
 
@@ -165,7 +167,7 @@ def q_deadline_tracker(spark, sf):
 def q_deadline_tracker_stream(spark, sf):
     path = _out(spark, "tracker")
     src = tracker_events(J.file_stream(spark, sf, "events"))
-    J.run_available(J.to_parquet(J.deadline_tracker_stream(src, "user_id", "ts", "event"), path))
+    J.run_available(J.to_parquet(J.deadline_tracker_stream(src, "user_id", "ts", "event", tiebreak="event_id"), path))
     return spark.read.parquet(path)
 
 

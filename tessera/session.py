@@ -65,6 +65,9 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     sc.addPyFile(archive)
+    # Python processes that Spark starts beside the driver (stateful streams) look at the path, not at shipped files
+    paths = [archive, sc.environment.get("PYTHONPATH", "")]
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     sc._tessera_shipped = True
 
 

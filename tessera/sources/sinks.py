@@ -1,8 +1,10 @@
 """Sinks: full refresh of a table or Parquet folder, materialized aggregates, the JSON divergence report, and
-insert-if-absent. All writes are whole-job overwrites, so a retried job (lost executor, rerun) gives the same output."""
+insert-if-absent. A refresh takes the place of the old rows only when it is complete, so a retried or failed job leaves
+either the old or the new output."""
 
 from __future__ import annotations
 
+import uuid
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -14,24 +16,47 @@ def _is_path(name_or_path: str) -> bool:
 
 
 def full_refresh_sink(df: DataFrame, name_or_path: str, partition_by: Iterable[str] = ()) -> None:
-    """Drop and replace the target: a catalog table (``db.table``) or a Parquet folder. The write is atomic per
-    job commit; column comments in field metadata are kept by the catalog write."""
-    w = df.write.mode("overwrite")
-    parts = list(partition_by)
-    if parts:
-        w = w.partitionBy(*parts)
+    """Replace the target: a catalog table (``db.table``) or a Parquet folder. The new rows are written beside it first
+    and take its place only when they are complete, so a failed job leaves the old rows as they were (``df`` may read
+    the target itself). Column comments in field metadata are kept by the catalog write."""
+    spark, parts = df.sparkSession, list(partition_by)
+    mark = uuid.uuid4().hex[:12]
     if _is_path(name_or_path):
-        w.parquet(name_or_path)
-    else:
-        w.format("parquet").saveAsTable(name_or_path)
-        table_comment = next((f.metadata.get("table_comment") for f in df.schema.fields
-                              if f.metadata and f.metadata.get("table_comment")), None)
-        if table_comment:
-            # rows are already committed; a failing comment does not undo them
-            try:
-                df.sparkSession.sql(f"COMMENT ON TABLE {name_or_path} IS " + _sql_literal(table_comment))
-            except Exception:  # noqa: BLE001
-                pass
+        target = name_or_path.rstrip("/")
+        beside = f"{target}.new-{mark}"
+        df.write.partitionBy(*parts).parquet(beside)
+        _swap_folders(spark, beside, target, f"{target}.old-{mark}")
+        return
+    beside = f"{name_or_path}_new_{mark}"
+    df.write.format("parquet").partitionBy(*parts).saveAsTable(beside)
+    spark.sql(f"DROP TABLE IF EXISTS {name_or_path}")
+    spark.sql(f"ALTER TABLE {beside} RENAME TO {name_or_path}")
+    table_comment = next((f.metadata.get("table_comment") for f in df.schema.fields
+                          if f.metadata and f.metadata.get("table_comment")), None)
+    if table_comment:
+        # rows are already in place; a failing comment does not undo them
+        try:
+            spark.sql(f"COMMENT ON TABLE {name_or_path} IS " + _sql_literal(table_comment))
+        except Exception:  # noqa: BLE001
+            pass
+
+
+def _swap_folders(spark, new: str, target: str, old: str) -> None:
+    """Put ``new`` where ``target`` is: the old folder steps aside, the new one is renamed, the old one is removed; if
+    the rename fails the old folder comes back."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = fs_path(target)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(at)
+    if had and not fs.rename(at, fs_path(old)):
+        raise OSError(f"cannot move {target} aside")
+    if not fs.rename(fs_path(new), at):
+        if had:
+            fs.rename(fs_path(old), at)
+        raise OSError(f"cannot put {new} in place of {target}")
+    if had:
+        fs.delete(fs_path(old), True)
+    spark.catalog.refreshByPath(target)
 
 
 def _sql_literal(s: str) -> str:
@@ -45,10 +70,18 @@ def materialize_view(df: DataFrame, name_or_path: str) -> DataFrame:
     return spark.read.parquet(name_or_path) if _is_path(name_or_path) else spark.table(name_or_path)
 
 
-def insert_if_absent(target_df: DataFrame, new_df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new_df`` whose key is not in ``target_df`` are added (ON CONFLICT DO NOTHING). New rows repeated
-    among themselves keep the first one in key order so the result is deterministic."""
-    fresh = new_df.join(target_df.select(*keys), on=keys, how="left_anti").dropDuplicates(keys)
+def insert_if_absent(target_df: DataFrame, new_df: DataFrame, keys: list[str],
+                     order: list[str] | None = None) -> DataFrame:
+    """Rows of ``new_df`` whose key is not in ``target_df`` are added (ON CONFLICT DO NOTHING). Of new rows that share a
+    key the first by the columns ``order`` is added (by all other columns if none are given)."""
+    fresh = new_df.join(target_df.select(*keys), on=keys, how="left_anti")
+    rest = [c for c in new_df.columns if c not in keys]
+    by = list(order or rest)
+    if by:
+        first = F.min_by(F.struct(*rest) if rest else F.lit(None), F.struct(*by))
+        fresh = fresh.groupBy(*keys).agg(first.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    else:
+        fresh = fresh.distinct()
     return target_df.unionByName(fresh)
 
 
@@ -73,8 +106,24 @@ def report_frame(divergences: DataFrame, orders: DataFrame, now: Column | str,
 
 def report_sink(divergences: DataFrame, orders: DataFrame, path: str, now: str,
                 products: DataFrame | None = None) -> DataFrame:
-    """Write ``path/header`` (one JSON line) and ``path/divergences`` (one JSON line per divergence)."""
-    rep = report_frame(divergences, orders, now, products=products)
-    rep.coalesce(1).write.mode("overwrite").json(f"{path}/header")
+    """Write ``path/divergences`` (one JSON line per divergence, evaluated once) and ``path/header`` (one JSON line,
+    counted from the written divergences); returns the stored header."""
+    spark = divergences.sparkSession
     divergences.write.mode("overwrite").json(f"{path}/divergences")
-    return rep
+    stored = spark.read.schema(divergences.schema).json(f"{path}/divergences")
+    rep = report_frame(stored, orders, now, products=products)
+    rep.coalesce(1).write.mode("overwrite").json(f"{path}/header")
+    return spark.read.schema(rep.schema).json(f"{path}/header")
+
+
+def report_rows(header: DataFrame) -> DataFrame:
+    """The header as flat rows (section, name, n): orders per account, divergences per kind, products read."""
+    parts = [header.select(F.lit(c).alias("section"), F.explode(c).alias("name", "n"))
+             for c in ("orders", "divergences") if c in header.columns]
+    if "products_read" in header.columns:
+        parts.append(header.select(F.lit("products_read").alias("section"), F.explode("products_read").alias("name"),
+                                   F.lit(1).cast("bigint").alias("n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

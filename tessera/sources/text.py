@@ -112,8 +112,11 @@ def read_json_orders(spark: SparkSession, dirs: dict[str, str], kind: str = "ord
         out = df if out is None else out.unionByName(df)
     prod = F.col("product")
     is_obj = F.coalesce(F.trim(prod).startswith("{"), F.lit(False))
-    name = F.coalesce(F.when(is_obj, F.get_json_object(prod, "$.name")), F.col("product_name"))
-    return out.select("account", "kind", F.coalesce(F.col("id"), F.col("refId")).alias("order_id"),
+
+    def filled(c):      # an empty id or name falls through to the next field
+        return F.nullif(c, F.lit(""))
+    name = F.coalesce(filled(F.when(is_obj, F.get_json_object(prod, "$.name"))), F.col("product_name"))
+    return out.select("account", "kind", F.coalesce(filled(F.col("id")), F.col("refId")).alias("order_id"),
                       "status", is_obj.alias("product_is_object"), name.alias("product_name"),
                       F.col("customer.email").alias("email"), "subscription", "subscription_id", "parent_order",
                       "orders")

@@ -9,18 +9,20 @@ stopped. ``run_available`` drives a query with ``availableNow`` (all data presen
 from __future__ import annotations
 
 import uuid
-from collections import deque
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.operators.sequential import Tracker, accept_step
+from tessera.operators.sequential import AcceptedTimes, Tracker
 from tessera.session import scratch_path
 
+# Rows per frame that a stateful step gives out.
+ROWS_OUT = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,14 +33,25 @@ def ensure_rocksdb(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+# Files that one micro-batch takes up at most, unless the caller says otherwise.
+FILES_PER_BATCH = 64
+
+
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None,
-                max_files: int | None = None) -> DataFrame:
-    """Parquet files of one table in ``folder`` as a stream (explicit schema: no inference per batch)."""
-    schema = schema or spark.read.parquet(f"{folder}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+                max_files: int = FILES_PER_BATCH) -> DataFrame:
+    """One table of ``folder`` as a stream (explicit schema: no inference per batch). The table is either one Parquet
+    file ``<name>.parquet``, or a folder of that name with part files; a micro-batch takes ``max_files`` files."""
+    table = f"{folder.rstrip('/')}/{name}.parquet"
+    schema = schema or spark.read.parquet(table).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if _is_folder(spark, table):
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
 def new_checkpoint(spark: SparkSession, name: str) -> str:
@@ -74,10 +87,13 @@ def sample_stream(stream_df: DataFrame, path: str, ts: str = "ts", keep_days: in
     checkpoint = checkpoint or new_checkpoint(spark, "samples")
 
     def write(batch: DataFrame, batch_id: int):
+        from pyspark.sql import Observation
+        seen = Observation()
         b = batch.withColumn("day", F.to_date(F.col(ts))).withColumn("batch_id", F.lit(batch_id))
-        (b.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("day", "batch_id").parquet(path))
-        newest = b.agg(F.max("day")).first()[0]
+        # the newest day is observed while the batch is written: one evaluation
+        (b.observe(seen, F.max("day").alias("newest")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(path))
+        newest = seen.get["newest"]
         if newest is not None:
             _drop_old_days(spark, path, newest, keep_days)
 
@@ -150,8 +166,14 @@ def current_votes(spark: SparkSession, changes_path: str, keys=("slug", "voter")
 
 
 # ---- stateful processors --------------------------------------------------------------------------------------
+def _micros(times: pd.Series) -> np.ndarray:
+    """Microseconds since the epoch, whatever unit the frame came in."""
+    return pd.to_datetime(times).to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
 class RateLimitProcessor(StatefulProcessor):
-    """Sliding-window acceptance per key; state = accepted times still inside the window (at most n)."""
+    """Sliding-window acceptance per key; state = the last accepted times (at most n). The rows of a key come in Arrow
+    chunks; only their times and ids are held while a micro-batch is put in order."""
 
     def __init__(self, n: int, window_s: float, inclusive: bool, id_col: str, ts_col: str):
         self.n, self.window_s, self.inclusive, self.id_col, self.ts_col = n, window_s, inclusive, id_col, ts_col
@@ -160,14 +182,17 @@ class RateLimitProcessor(StatefulProcessor):
         self.accepted = handle.getListState("accepted", "t double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf["_t"] = pd.to_datetime(pdf[self.ts_col]).astype("int64") / 1e9
-        pdf = pdf.sort_values(["_t", self.id_col], kind="mergesort")
-        q = deque(sorted(t for (t,) in self.accepted.get())) if self.accepted.exists() else deque()
-        granted = [accept_step(q, t, self.n, self.window_s, self.inclusive) for t in pdf["_t"].tolist()]
-        self.accepted.put([(t,) for t in q])
-        yield pd.DataFrame({"key": [key[0]] * len(pdf), "id": pdf[self.id_col].to_numpy(),
-                            "ts": pdf[self.ts_col].to_numpy(), "granted": granted})
+        us, ids = zip(*[(_micros(pdf[self.ts_col]), pdf[self.id_col].to_numpy()) for pdf in rows])
+        us, ids = np.concatenate(us), np.concatenate(ids)
+        order = np.lexsort((ids, us))
+        held = sorted(t for (t,) in self.accepted.get()) if self.accepted.exists() else []
+        ring = AcceptedTimes(self.n, self.window_s, self.inclusive, held)
+        for at in range(0, len(order), ROWS_OUT):
+            some = order[at:at + ROWS_OUT]
+            granted = [ring.offer(t) for t in (us[some] / 1e6).tolist()]
+            yield pd.DataFrame({"key": [key[0]] * len(some), "id": ids[some],
+                                "ts": us[some].astype("datetime64[us]"), "granted": granted})
+        self.accepted.put([(t,) for t in ring.times()])
 
     def close(self) -> None:
         pass
@@ -248,8 +273,8 @@ def silent_key_stream(stream_df: DataFrame, key: str, ts: str, limit_seconds: fl
 class TrackerProcessor(StatefulProcessor):
     """Phase / deadline tracker; the open phase's deadline is an event-time timer."""
 
-    def __init__(self, ts_col: str, event_col: str):
-        self.ts_col, self.event_col = ts_col, event_col
+    def __init__(self, ts_col: str, event_col: str, id_col: str | None = None):
+        self.ts_col, self.event_col, self.id_col = ts_col, event_col, id_col
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -272,11 +297,12 @@ class TrackerProcessor(StatefulProcessor):
         self.handle.registerTimer(int(d * 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf["_t"] = pd.to_datetime(pdf[self.ts_col]).astype("int64") / 1e9
-        pdf = pdf.sort_values("_t", kind="mergesort")
+        chunks = [(_micros(pdf[self.ts_col]), pdf[self.event_col].to_numpy(dtype=object),
+                   pdf[self.id_col].to_numpy() if self.id_col else np.zeros(len(pdf))) for pdf in rows]
+        us, events, ids = (np.concatenate(x) for x in zip(*chunks))
+        order = np.lexsort((ids, us))
         st, out = self._load(), []
-        for t, ev in zip(pdf["_t"].tolist(), pdf[self.event_col].tolist()):
+        for t, ev in zip((us[order] / 1e6).tolist(), events[order].tolist()):
             for v in (st.expire(t), st.step(ev, t)):
                 if v:
                     out.append((key[0],) + v)
@@ -302,15 +328,16 @@ def _tracker_frame(rows):
 
 
 def deadline_tracker_stream(stream_df: DataFrame, key: str, ts: str, event: str,
-                            watermark: str = "0 seconds") -> DataFrame:
+                            watermark: str = "0 seconds", tiebreak: str | None = None) -> DataFrame:
     """Stream form of ``deadline_tracker``: verdict rows (ready / failed) as they happen; a deadline fails its
-    phase when the watermark passes it."""
+    phase when the watermark passes it. Events of equal time are taken in the order of ``tiebreak``."""
     ensure_rocksdb(stream_df.sparkSession)
     kt = stream_df.schema[key].dataType.simpleString()
-    s = stream_df.select(key, F.col(ts).cast("timestamp").alias("event_ts"), event) \
+    extra = [F.col(tiebreak).alias("event_order")] if tiebreak else []
+    s = stream_df.select(key, F.col(ts).cast("timestamp").alias("event_ts"), event, *extra) \
         .withWatermark("event_ts", watermark)
     return s.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=TrackerProcessor("event_ts", event),
+        statefulProcessor=TrackerProcessor("event_ts", event, "event_order" if tiebreak else None),
         outputStructType=f"key {kt}, phase string, verdict string, reason string, at timestamp_ntz",
         outputMode="Append", timeMode="EventTime")
 

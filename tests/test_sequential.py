@@ -2,8 +2,8 @@
 
 import datetime as dt
 import random
-from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import sequential as Q
@@ -12,17 +12,14 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def _replay(events, n, window, inclusive):
-    state, out = {}, {}
+    """By definition: granted when fewer than n granted times lie within the window before it."""
+    granted_at, out = {}, {}
     for eid, key, t in sorted(events, key=lambda e: (e[1], e[2], e[0])):
-        q = state.setdefault(key, deque())
-        now = (t - T0).total_seconds()
-        while q and (q[0] < now - window if inclusive else q[0] <= now - window):
-            q.popleft()
-        if len(q) >= n:
-            out[eid] = False
-        else:
-            q.append(now)
-            out[eid] = True
+        own = granted_at.setdefault(key, [])
+        ages = [(t - x).total_seconds() for x in own]
+        out[eid] = sum(a <= window if inclusive else a < window for a in ages) < n
+        if out[eid]:
+            own.append(t)
     return out
 
 
@@ -114,3 +111,28 @@ def test_tracker_split_equals_unsplit(spark):
     a = {tuple(r) for r in Q.deadline_tracker(df, "k", "ts", "event", now, tiebreak="id", split_idle=True).collect()}
     b = {tuple(r) for r in Q.deadline_tracker(df, "k", "ts", "event", now, tiebreak="id", split_idle=False).collect()}
     assert a == b and len(a) > 20
+
+
+@pytest.mark.parametrize("events, want", [
+    ([(0, "start"), (60, "no_space")], [("booting", "failed", "no_space")]),
+    ([(0, "start"), (60, "ssh_ok"), (120, "slow")], [("preparing", "failed", "too_slow")]),
+    ([(0, "start"), (60, "vanished"), (90, "ssh_ok")], [("booting", "gone", "vanished")]),
+    ([(0, "start"), (60, "ssh_ok"), (100, "vanished")], [("preparing", "gone", "vanished")]),
+    ([(0, "vanished")], []),
+])
+def test_tracker_verdicts(spark, events, want):
+    rows = [(1, T0 + dt.timedelta(seconds=s), e) for s, e in events]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, event string")
+    got = Q.deadline_tracker(df, "k", "ts", "event", str(T0 + dt.timedelta(days=9))).collect()
+    assert [(r["phase"], r["verdict"], r["reason"]) for r in got] == want
+
+
+def test_protected_entities_are_never_failed(spark):
+    hours = [(0, "start"), (1, "no_space"), (3, "ssh_fail"), (30, "ssh_ok"), (31, "slow"), (50, "ssh_ok"), (50.5, "ready")]
+    rows = [(k, T0 + dt.timedelta(hours=h), e, k == 1) for k in (1, 2) for h, e in hours]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, event string, safe boolean")
+    for split in (True, False):
+        got = Q.deadline_tracker(df, "k", "ts", "event", str(T0 + dt.timedelta(days=9)), split_idle=split,
+                                 protected="safe").collect()
+        assert [(r["phase"], r["verdict"]) for r in got if r["key"] == 1] == [("preparing", "ready")]
+        assert [r["verdict"] for r in got if r["key"] == 2] == ["failed"]
