@@ -100,6 +100,18 @@ def test_bpe_rows(spark, odd, empty):
     assert some[9] == REFERENCE.encode_ordinary(ODD[8][1])
 
 
+def test_remembered_results_survive_a_change_of_generation(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 20)
+    coder = bpe._Coder(queries.BPE_RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["ab", "Cde.", "x1", "l'm", "é\nb", "  z", "q,"]) + str(rng.randrange(30) or "")
+                          for _ in range(9)) for _ in range(3)] + ["", " ", " a", "a "]
+        for t, own in zip(texts, coder.code(texts)):
+            assert ",".join(x[1] for x in own if x[0]) == ",".join(map(str, REFERENCE.encode_ordinary(t)))
+            assert b"".join(x[2] for x in own) == t.encode()
+
+
 def test_bpe_query(spark, texts):
     for r in queries.QUERIES["op4_byte_bpe"](spark, "/root/testdata/sf0.001").collect():
         ids = REFERENCE.encode_ordinary(texts[r["doc_id"]])
@@ -113,6 +125,13 @@ def test_prefix_table_equals_lowest_rank_merging(piece):
     assert TABLE.decode(TABLE.encode_piece(piece)) == piece
 
 
+@given(st.lists(st.binary(min_size=1, max_size=50) | st.text("ab cde'lmn0 é", min_size=1, max_size=40).map(str.encode),
+                min_size=1, max_size=30, unique=True))
+@settings(max_examples=60, deadline=None)
+def test_batch_table_equals_the_single_one(pieces):
+    assert bpe.BatchBpe(TABLE).encode(pieces) == [TABLE.encode_piece(p) for p in pieces]
+
+
 @pytest.mark.parametrize("unit", ["a", "ab", " ", "=", "é"])
 def test_prefix_table_on_repeats(unit):
     for n in range(1, 60):
