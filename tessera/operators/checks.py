@@ -30,11 +30,13 @@ def unique_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def unique_exploded(df: DataFrame, owner: str, array_col: str) -> DataFrame:
     """A value (e.g. a host) may belong to one record only; every owner of a shared value is reported. Owners
-    per value are counted by an aggregate (deduplicated (value, owner) pairs, combined map-side) and joined
-    back, so a value shared by a third of all records is never a single task's list."""
+    per value are counted by an aggregate (deduplicated (value, owner) pairs, combined map-side). The shared values
+    are dealt by another hash before they are joined back: both join sides are then shuffled for the join itself, and
+    adaptive execution can split a value that a third of all records share."""
     pairs = df.select(F.col(owner).cast("string").alias("owner"), F.explode(F.col(array_col)).alias("value")) \
         .where(F.col("value").isNotNull()).distinct()
     shared = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    shared = shared.repartition(F.xxhash64("value"))
     return (pairs.join(shared, on="value", how="left_semi")
             .select(F.lit("unique_value").alias("rule"), F.col("value").alias("key"), F.col("owner").alias("detail")))
 
