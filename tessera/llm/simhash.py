@@ -10,7 +10,8 @@ filed again under one more positional byte. Equal fingerprints are merged first,
 
 Words are the runs of bytes other than space and 0x09-0x0D after lower-casing A-Z; a shingle is ``words`` of them
 joined by spaces, repeats included; a shorter text is one shingle; a text without words (or null) has fingerprint 0 and
-links like any other. Extra columns are ignored, an empty table gives no rows.
+links like any other. A row without doc_id links nothing and takes the component of its fingerprint, if any. Extra
+columns are ignored, repeated rows count as copies, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -228,7 +229,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     """One row per document: doc_id, fingerprint (signed 64-bit), component_id (smallest doc_id it is linked to,
     through any chain of links)."""
     marked = stored(fingerprints(docs, words), "fingerprints")
-    nodes = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
+    nodes = stored(marked.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node")),
+                   "fingerprint-nodes")
     joined = components(links(nodes, bits))
     of = nodes.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marked.join(of, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")

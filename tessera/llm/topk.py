@@ -8,7 +8,8 @@ in blocks of ``QUERY_BLOCK``, each broadcast to one pass over all rows, so memor
 keeps k candidates per query.
 
 Vectors that are null, empty, of another length than the block's, or hold null or non-finite components take no part.
-Ties go to the smaller id. Repeated vectors are separate candidates. An empty table gives no rows.
+Ties go to the smaller id. Repeated rows are separate candidates, but an id is asked about once (with its smallest
+vector), and no row of its own id answers it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -112,6 +113,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QU
         at = block[-1]["vec_id"]
         # equal ids beyond the block's end stay together
         block += [r for r in asked.where(F.col("vec_id") == at).collect()][sum(r["vec_id"] == at for r in block):]
+        block = list({r["vec_id"]: r for r in sorted(block, key=lambda r: r["vector"], reverse=True)}.values())
         for size in sorted({len(r["vector"]) for r in block}):
             own = [r for r in block if len(r["vector"]) == size]
             qid = np.array([r["vec_id"] for r in own], np.int64)

@@ -50,6 +50,9 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert {d: got[d]["fingerprint"] % 2 ** 64 for d in prints} == prints
     assert got[5]["component_id"] == 4 and got[3]["component_id"] == got[12]["component_id"] == 1
     assert simhash.near_duplicates(empty).count() == 0
+    lost = simhash.near_duplicates(frame(spark, [(None, "no id at all"), (7, "no id at all"), (None, "other words"),
+                                                 (7, "no id at all")])).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in lost) == [(0, 0), (0, 7), (7, 7), (7, 7)]
 
 
 @pytest.mark.parametrize("short_list, long_list", [(48, 1 << 16), (2, 1 << 16), (48, 20)])
@@ -121,6 +124,9 @@ def test_top_k_with_ties_and_odd_rows(spark, block):
     asked = [i for i, _ in rows if i % 5 == 0]
     got = topk.top_k(own, own.where("vec_id % 5 = 0"), 5, query_block=block).collect()
     assert {tuple(r) for r in got} == brute_top(rows, asked, 5)
+    twice = own.union(own.where("vec_id = 10"))
+    again = [tuple(r) for r in topk.top_k(twice, twice.where("vec_id = 10"), 5).collect()]
+    assert set(again) == {r for r in brute_top(rows, [10], 5)} and len(again) == 5
     assert topk.top_k(own.limit(0), own.limit(0), 5).count() == 0
     assert topk.top_k(own, own.limit(0), 5).count() == 0
 
