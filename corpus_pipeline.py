@@ -28,11 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: later copies of repeated line runs are cut out of the texts; documents of nothing else go."""
-    kept = line_dedup.line_dedup(docs).where(~F.col("emptied"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
-                               .cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    return line_dedup.without_later_copies(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,24 +122,41 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the later copies deleted from ``text``, and the columns n_lines (before), n_deleted and
-    emptied (every non-blank line was deleted)."""
-    runs = repeated_runs(docs, min_words).withColumnRenamed("doc_id", "_doc").withColumnRenamed("runs", "_runs")
-    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    lines, n = F.split("text", "\n"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    some = F.size("_runs")
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """The columns of ``docs`` with the new text, and __n_lines, __n_deleted, __emptied."""
+    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("runs").alias("__runs"))
+    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    some = F.size("__runs")
     # what stays: the stretches between the deleted ones
     stays = F.filter(F.transform(F.sequence(F.lit(0), some), lambda i: F.struct(
-        F.when(i == 0, F.lit(0)).otherwise(F.get("_runs", i - 1)["last"] + 1).alias("a"),
-        F.when(i == some, n).otherwise(F.get("_runs", i)["first"]).alias("b"))), lambda x: x["b"] > x["a"])
-    text = F.array_join(F.transform("_stays", lambda x: F.array_join(F.slice("_lines", x["a"] + 1, x["b"] - x["a"]),
-                                                                      "\n")), "\n")
-    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda s, x: s + x["last"] - x["first"] + 1), F.lit(0))
-    kept = [c for c in docs.columns if c != "text"]
-    changed = joined.withColumns({"n_lines": n, "n_deleted": gone,
-                                  "_lines": F.when(some > 0, lines), "_stays": F.when(some > 0, stays)})
-    out = changed.withColumn("_new", F.when(some > 0, text).otherwise(F.col("text")))
-    emptied = (F.col("n_deleted") > 0) & ~F.col("_new").rlike(r"\S")
-    return out.select(*[F.col(c) if c in kept else F.col("_new").alias(c) for c in docs.columns], "n_lines",
-                      "n_deleted", emptied.alias("emptied"))
+        F.when(i == 0, F.lit(0)).otherwise(F.get("__runs", i - 1)["last"] + 1).alias("a"),
+        F.when(i == some, n).otherwise(F.get("__runs", i)["first"]).alias("b"))), lambda x: x["b"] > x["a"])
+    text = F.array_join(F.transform("__stays", lambda x: F.array_join(
+        F.slice("__lines", x["a"] + 1, x["b"] - x["a"]), "\n")), "\n")
+    gone = F.coalesce(F.aggregate("__runs", F.lit(0), lambda t, x: t + x["last"] - x["first"] + 1), F.lit(0))
+    changed = joined.withColumns({"__n_lines": n, "__n_deleted": gone,
+                                  "__lines": F.when(some > 0, F.split("text", "\n")),
+                                  "__stays": F.when(some > 0, stays)})
+    out = changed.withColumn("__new", F.when(some > 0, text).otherwise(F.col("text")))
+    emptied = (F.col("__n_deleted") > 0) & ~F.col("__new").rlike(r"\S")
+    return out.select(*[F.col("__new").alias(c) if c == "text" else F.col(c) for c in docs.columns], "__n_lines",
+                      "__n_deleted", emptied.alias("__emptied"))
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the later copies deleted from ``text``, and the columns n_lines (before), n_deleted and emptied
+    (every non-blank line was deleted), in place of input columns of these names."""
+    added = ["n_lines", "n_deleted", "emptied"]
+    out = _cut(docs, min_words)
+    return out.select(*[c for c in docs.columns if c not in added], *[F.col(f"__{c}").alias(c) for c in added])
+
+
+def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the same columns and the later copies deleted; documents of nothing else are left out, and n_chars,
+    if there is such a column, counts the letters of a changed text."""
+    out = _cut(docs, min_words).where(~F.col("__emptied"))
+    if "n_chars" in docs.columns:
+        chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__n_deleted") > 0, chars).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)

@@ -3,7 +3,8 @@ from pyspark.sql import types as T
 
 SMALL = "/root/testdata/sf0.001"
 #: Extra columns whose names the operators also use.
-CLASHING = ["digest", "shard", "block", "runs", "node", "fingerprint", "rank", "key", "h", "words", "held", "size"]
+CLASHING = ["digest", "shard", "block", "runs", "node", "fingerprint", "rank", "key", "h", "words", "held", "size", "line", "pos",
+            "n_lines", "emptied", "label", "places", "bucket", "slot", "list", "a", "b", "component_id", "score"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                        T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                        T.StructField("n_chars", T.LongType()),

@@ -91,7 +91,9 @@ def test_line_dedup_odd_rows(spark, odd, empty):
     assert got[1]["text"] is None and got[2]["text"] == "" and got[4]["text"] == ODD[3][1]
     assert got[5]["emptied"] and not got[4]["emptied"] and got[6]["n_deleted"] == 0
     assert line_dedup.line_dedup(empty).count() == 0
-    assert set(odd.columns) < set(line_dedup.line_dedup(odd).columns)
+    columns = line_dedup.line_dedup(odd).columns
+    assert set(odd.columns) < set(columns) and len(set(columns)) == len(columns)
+    assert line_dedup.without_later_copies(odd).columns == odd.columns
 
 
 def test_passage_over_fifty_words_is_cut_and_the_rest_stays(spark):
