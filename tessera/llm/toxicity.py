@@ -7,8 +7,8 @@ places and weights, small enough to send to every task whatever the corpus size.
 once in numpy, looks the places up and sums the distinct ones per text.
 
 Learning sample (documented bound): at most ``SAMPLE_TOXIC`` rows marked 1 and ``SAMPLE_OTHER`` rows marked 0, chosen by
-a hash of the id (fewer by chance if there are more); their features reach the driver as arrays of places, of each text at most ``SAMPLE_PLACES`` of those
-(the smallest hashes). A document with several labels counts as toxic if any says so.
+a hash of the id (by chance a few fewer); their features reach the driver as arrays of places, of each text at most
+``SAMPLE_PLACES`` of those (the smallest hashes). A document with several labels counts as toxic if any says so.
 
 Words are runs of letters, digits and non-ASCII bytes after lower-casing. A null or empty text has no features and gets
 the bias alone. With no labelled row the score is 0. Repeated rows and extra columns do not matter.
@@ -62,15 +62,13 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """FTRL-proximal over rows of distinct places; the last place is the bias, which L1 leaves alone."""
+    """FTRL-proximal over rows of distinct places; the place after the last is the bias, which L1 leaves alone."""
     if not len(rows):
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-    strength = np.full(SIZE + 1, L1)
-    strength[SIZE] = 0
 
-    def weights(at):
-        over = np.abs(z[at]) - strength[at]
+    def weights(at: np.ndarray) -> np.ndarray:
+        over = np.abs(z[at]) - np.where(at == SIZE, 0.0, L1)
         return np.where(over > 0, -np.sign(z[at]) * over / ((BETA + np.sqrt(n[at])) / ALPHA + L2), 0.0)
 
     order = np.random.default_rng(7).permutation(len(rows))
@@ -82,9 +80,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
             step = (np.sqrt(n[at] + gradient * gradient) - np.sqrt(n[at])) / ALPHA
             z[at] += gradient - step * w
             n[at] += gradient * gradient
-    w = weights(np.arange(SIZE + 1))
-    places = np.flatnonzero(w[:SIZE])
-    return Model(places, w[places], float(w[SIZE]))
+    places = np.flatnonzero((z > L1) | (z < -L1))
+    places = places[places < SIZE]
+    return Model(places, weights(places), float(weights(np.array([SIZE]))[0]))
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
@@ -132,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
            .mapInArrow(_sampled, "doc_id bigint, label int, places binary").collect())
     got = sorted({r["doc_id"]: r for r in got}.values(), key=lambda r: r["doc_id"])
     got = [r for c in (0, 1) for r in [x for x in got if x["label"] == c][:most[c]]]
-    return fit([np.frombuffer(r["places"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got]))
+    return fit([np.frombuffer(r["places"], "<i4") for r in got], np.array([r["label"] for r in got]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
