@@ -333,7 +333,7 @@ def score(docs: DataFrame, held_out, hot: int = HOT) -> DataFrame:
     spark = prepare(docs.sparkSession)
     sc = spark.sparkContext
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 2 * partitions
+    shards = 4 * partitions  # several to a task, so that tasks get about as much each
     # the blocks lie bucketed by block, so that joining answers to them moves the answers only
     name = f"lm_blocks_{scratch(spark, 'x').rsplit('-', 1)[1]}"
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
