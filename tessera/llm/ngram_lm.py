@@ -47,13 +47,18 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def _squeeze(a: np.ndarray) -> bytes:
+    """Compressed bytes of an array, all first bytes first, then all second bytes, and so on."""
     import zstandard
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(
+        np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
 def _array(raw: bytes, dtype) -> np.ndarray:
     import zstandard
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(dtype).ravel()
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -78,7 +83,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = {"block": (part << 24) + serial, "doc_ids": ids.fill_null(0).to_numpy().tobytes(),
                "held": (batch.column("held").to_numpy(zero_copy_only=False).astype(np.uint8)
                         + 2 * ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)).tobytes(),
-               "lengths": (words + 1).astype(np.int64).tobytes(), "keys": unique.tobytes(),
+               "lengths": (words + 1).astype(np.int64).tobytes(), "keys": _squeeze(unique),
                "tokens": _squeeze(tokens.astype(np.uint32))}
         serial += 1
         yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), *[
@@ -92,7 +97,7 @@ class Block:
         self.doc_ids, held = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["held"], np.uint8)
         self.held, self.no_id = held & 1 == 1, held >= 2
         self.lengths = np.frombuffer(row["lengths"], np.int64)
-        self.keys = np.frombuffer(row["keys"], np.uint64)
+        self.keys = _array(row["keys"], np.uint64)
         self.tokens = _array(row["tokens"], np.uint32).astype(np.int64)
         self.ends = np.cumsum(self.lengths) - 1
         self.starts = self.ends + 1 - self.lengths
@@ -140,7 +145,7 @@ def _word_parcels(shards: int):
                 counts = block.training_counts().astype(np.uint32)
                 cut = np.searchsorted(_shard_of_key(block.keys, shards), np.arange(shards + 1))
                 yield pa.RecordBatch.from_pylist(
-                    [{"shard": s, "block": row["block"], "keys": block.keys[a:b].tobytes(),
+                    [{"shard": s, "block": row["block"], "keys": _squeeze(block.keys[a:b]),
                       "counts": _squeeze(counts[a:b])} for s, (a, b) in enumerate(zip(cut[:-1], cut[1:]))],
                     pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()),
                                ("counts", pa.binary())]))
@@ -154,7 +159,7 @@ WORD_SCHEMA = ("shard bigint, block bigint, counts binary, numbers binary, n_wor
 def _add_words(table: pa.Table) -> pa.Table:
     """Counts and numbers for every block's keys of one shard, and a row of totals (block null)."""
     shard = table.column("shard")[0].as_py()
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    keys = [_array(k, np.uint64) for k in table.column("keys").to_pylist()]
     counts = [_array(c, np.uint32).astype(np.int64) for c in table.column("counts").to_pylist()]
     unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(unique)).astype(np.int64)
