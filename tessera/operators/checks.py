@@ -4,6 +4,8 @@ per-subject verdict; none gathers data on the driver."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +73,12 @@ def secret_scan(docs: DataFrame, id_col: str, text_col: str, pattern: str = SECR
                       F.size("_hits").alias("hits"))
 
 
-# The named parts every README must have (name, case-insensitive pattern). The "where it runs"
-# rule accepts any web address here instead of the two company domains of the original rule.
+ANY_ADDRESS = r"https?://[a-z0-9.-]+\.[a-z]{2,}"
+# The named parts every README must have (name, case-insensitive pattern). The "where it runs" rule
+# accepts any web address; ``readme_rules`` narrows it to given domains.
 DOCUMENT_RULES = [
     ("o que é", r"o que [eé]|sobre|vis[aã]o geral"),
-    ("onde está no ar", r"no ar|endere[cç]o|produ[cç][aã]o|https?://[a-z0-9.-]+\.[a-z]{2,}"),
+    ("onde está no ar", r"no ar|endere[cç]o|produ[cç][aã]o|" + ANY_ADDRESS),
     ("onde faz o deploy", r"deploy"),
     ("como funciona por dentro", r"como funciona|arquitetura|por dentro"),
     ("segredos (onde ficam, nunca valores)", r"segredo|infisical|\.env"),
@@ -84,6 +87,14 @@ DOCUMENT_RULES = [
 ]
 
 
+def readme_rules(domains: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """The README rules; with ``domains``, only an address of one of them says where something runs."""
+    if not domains:
+        return list(DOCUMENT_RULES)
+    named = "(" + "|".join(re.escape(d.lower()) for d in domains) + ")"
+    return [(name, pattern.replace(ANY_ADDRESS, named)) for name, pattern in DOCUMENT_RULES]
+
+
 def document_rules(docs: DataFrame, id_col: str, text_col: str, rules_df: DataFrame) -> DataFrame:
     """Per document: the names of the rules (name, pattern) it does not match, joined in rule order; documents
     that match every rule are left out. Rules are compiled into one literal ``rlike`` each, so each pattern is compiled

@@ -165,6 +165,15 @@ def current_votes(spark: SparkSession, changes_path: str, keys=("slug", "voter")
     return last.select(*k, "_v.value", "_v.updated_at").where(F.col("value") != 0)
 
 
+def compact_votes(spark: SparkSession, changes_path: str, keys=("slug", "voter")) -> None:
+    """Replace the change log by its last change per key, removals included, so that reading the live table does not
+    grow with the number of batches. Later batches append beside it, and a replayed batch repeats what it holds."""
+    from tessera.sources.sinks import full_refresh_sink
+    last = spark.read.parquet(changes_path).groupBy(*keys).agg(
+        F.max_by(F.struct("value", "updated_at", "batch_id"), F.col("batch_id")).alias("_v"))
+    full_refresh_sink(last.select(*keys, "_v.*", F.lit("compacted").alias("batch")), changes_path, ["batch"])
+
+
 # ---- stateful processors --------------------------------------------------------------------------------------
 def _micros(times: pd.Series) -> np.ndarray:
     """Microseconds since the epoch, whatever unit the frame came in."""

@@ -88,6 +88,14 @@ def test_document_rules_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, checks.document_rules(docs, "id", "body", rules).collect())) == whole
 
 
+def test_readme_rules_of_given_domains(spark):
+    docs = spark.createDataFrame([(1, "see https://shop.example.org"), (2, "see https://other.net")], "id int, t string")
+    rules = [(i, n, p) for i, (n, p) in enumerate(checks.readme_rules(("shop.example.org",)))]
+    got = {r["doc_id"]: r["missing"] for r in checks.document_rules(
+        docs, "id", "t", spark.createDataFrame(rules, "rank int, name string, pattern string")).collect()}
+    assert "onde está no ar" not in got[1] and "onde está no ar" in got[2]
+
+
 def test_empty_required_table_is_found(spark):
     counts = progress.table_counts({"region": spark.range(0), "nation": spark.range(25)})
     expected = spark.createDataFrame([("region", 5), ("nation", 25)], "table string, expected long")
@@ -182,6 +190,23 @@ def test_streams_read_folder_tables_in_one_or_many_batches(spark):
     assert len(results[0]) == events.count() and results[0] == results[1] == results[2]
 
 
+def test_compacted_votes_stay_the_same(spark):
+    path = scratch_path(spark, f"votes-{uuid.uuid4().hex}")
+    changes = [(0, [("a", 1, 1), ("a", 2, -1)]), (1, [("a", 1, 0), ("b", 1, 1)]), (2, [("a", 2, 1)])]
+    for n, rows in changes:
+        (spark.createDataFrame([(*r, n, n) for r in rows], "slug string, voter long, value int, updated_at long, batch_id int")
+         .write.parquet(f"{path}/batch={n:010d}"))
+    before = sorted(map(tuple, jobs.current_votes(spark, path).collect()))
+    assert before == [("a", 2, 1, 2), ("b", 1, 1, 1)]
+    jobs.compact_votes(spark, path)
+    assert sorted(map(tuple, jobs.current_votes(spark, path).collect())) == before
+    assert spark.read.parquet(path).count() == 3
+    spark.createDataFrame([("b", 1, 0, 3, 3)], "slug string, voter long, value int, updated_at long, batch_id int") \
+        .write.parquet(f"{path}/batch=0000000003")
+    jobs.compact_votes(spark, path)
+    assert sorted(map(tuple, jobs.current_votes(spark, path).collect())) == [("a", 2, 1, 2)]
+
+
 def test_percentile_with_one_value_in_a_third_of_the_rows(spark):
     rng = np.random.default_rng(0)
     values = [0.0] * 1000 + rng.normal(size=2000).round(2).tolist()
