@@ -48,12 +48,10 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = None
-        model = json.loads(self.tokenizer.to_str())
-        if (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model.get("normalizer"):
+        ranks = _merge_ranks(json.loads(self.tokenizer.to_str()))
+        if ranks:
             import public_tokenizers
             import tiktoken
-            letters = {c: b for b, c in _byte_letters().items()}
-            ranks = {bytes(letters[c] for c in word): n for word, n in self.tokenizer.get_vocab(False).items()}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens={})
 
@@ -74,6 +72,20 @@ class TextEncoder:
         return out
 
 
+def _merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes -> id of a byte-level BPE whose ids follow the order of its merges; None for any other tokenizer."""
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    if (split.get("type"), split.get("add_prefix_space"), split.get("use_regex"), spec.get("normalizer"),
+            model.get("type")) != ("ByteLevel", False, True, None, "BPE"):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    letters = {c: b for b, c in _byte_letters().items()}
+    if merged != sorted(merged) or not all(c in model["vocab"] for c in letters):
+        return None
+    return {bytes(letters[c] for c in word): n for word, n in model["vocab"].items() if set(word) <= letters.keys()}
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte: printable Latin-1 bytes stand for
     themselves, the others take the code points from 256 on, in order."""
