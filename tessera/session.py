@@ -6,6 +6,7 @@ On a cluster the session is created by the platform; ``configure`` only fills in
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -72,18 +73,38 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``; a fresh temp folder only when unset (tests)."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            # a machine-local folder would not survive a lost executor: the cluster must name a shared one
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
-        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    """This application's folder below the one that ``spark.checkpoint.dir`` names (shared by all executors); a fresh
+    temp folder only when that is unset (tests). It is removed when the process ends."""
+    sc = spark.sparkContext
+    now = sc.getCheckpointDir()
+    if not now:
+        d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not d:
+            if not sc.master.startswith("local"):
+                # a machine-local folder would not survive a lost executor: the cluster must name a shared one
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
+            d = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        sc.setCheckpointDir(d)
+        now = sc.getCheckpointDir()
+    if getattr(sc, "_tessera_checkpoints", None) != now:
+        _remove_at_exit(spark, now)
+        sc._tessera_checkpoints = now
+    return now
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Remove this application's own checkpoint folder (Spark gives each application one of its own below the configured
+    one) when the process that runs it ends: intermediate tables are of no use to anyone after that."""
+    jvm, pid = spark.sparkContext._jvm, os.getpid()
+
+    def remove() -> None:
+        if os.getpid() == pid:
+            try:
+                at = jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+            except Exception:  # noqa: BLE001 - the JVM is gone already: nothing left to do it with
+                pass
+    atexit.register(remove)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -57,6 +57,21 @@ def test_python_worker_queries_run_from_another_folder(tmp_path):
     assert len(out.strip().splitlines()) == 4
 
 
+def test_a_local_session_leaves_no_checkpoint_files(tmp_path):
+    out = run_elsewhere(tmp_path, f"""
+        import sys, os
+        sys.path.insert(0, {REPO!r})
+        from tessera.session import build_session, checkpoint_dir
+        spark = build_session("local[2]", 4, extra={{"spark.sql.warehouse.dir": {str(tmp_path)!r}}})
+        from tessera.plans import QUERIES, load_all
+        load_all()
+        QUERIES["median_by_year"](spark, {SMALL!r}).count()
+        made = checkpoint_dir(spark)
+        assert os.listdir(made.removeprefix("file:"))
+        print(made)""", TMPDIR=str(tmp_path))
+    assert not os.path.exists(out.strip().splitlines()[-1].removeprefix("file:"))
+
+
 @pytest.mark.parametrize("most", [1000, 3])
 def test_prefix_rules_compiled_and_joined_agree(spark, monkeypatch, most):
     monkeypatch.setattr(joins, "RULES_MAX_ROWS", most)
