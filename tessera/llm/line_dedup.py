@@ -65,6 +65,27 @@ def _shortest_runs(active: DataFrame, min_words: int) -> DataFrame:
             .where("n is not null"))
 
 
+def doubled(suffixes: DataFrame, k: int) -> DataFrame:
+    """From (doc_id, pos, r), ranks by the first k lines, the ranks by the first 2k lines: pairs of ranks k lines apart,
+    numbered in their order. Suffixes without 2k lines, and those whose first 2k lines occur once, are in no interval
+    with another and drop out."""
+    after = suffixes.select("doc_id", (F.col("pos") - k).alias("pos"), F.col("r").alias("r2"))
+    pairs = stored(suffixes.join(after, ["doc_id", "pos"]), "rank-pairs")
+    again = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("r", "r2")
+    order = _ranked(again, ["r", "r2"], "rank")
+    return stored(pairs.join(order, ["r", "r2"]).select("doc_id", "pos", F.col("rank").alias("r")), "suffix-ranks")
+
+
+def suffix_ranks(lines: DataFrame, doublings: int) -> DataFrame:
+    """(doc_id, pos, r): the suffix array of the line sequences by their first 2 ** ``doublings`` lines, restricted to
+    intervals of at least two suffixes; equal ranks share that prefix, smaller ranks sort first."""
+    repeated = lines.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    out = lines.join(_ranked(repeated, ["h"], "r"), "h").select("doc_id", "pos", "r")
+    for n in range(doublings):
+        out = doubled(out, 2 ** n)
+    return out
+
+
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, pos, n): shortest runs that also occur earlier. ``lines`` as from ``lines_of``, stored."""
     repeated = lines.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
@@ -92,14 +113,7 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         k *= 2
         if k > longest:
             break
-        # one more doubling: pairs of ranks k / 2 lines apart that occur more than once
-        half = k // 2
-        after = suffixes.select("doc_id", (F.col("pos") - half).alias("pos"), F.col("r").alias("r2"))
-        pairs = stored(suffixes.join(after, ["doc_id", "pos"]), "rank-pairs")
-        again = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("r", "r2")
-        doubled = _ranked(again, ["r", "r2"], "rank")
-        suffixes = stored(pairs.join(doubled, ["r", "r2"]).select("doc_id", "pos", F.col("rank").alias("r")),
-                          "suffix-ranks")
+        suffixes = doubled(suffixes, k // 2)
     if not found:
         return runs.limit(0)
     out = found[0]

@@ -70,6 +70,21 @@ def runs_deleted(rows, least):
             for d, t in rows}
 
 
+def test_suffix_ranks_order_and_group_the_suffixes(spark):
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "b\nc\nd\nx\na\nb\nc\nd"), (3, "c\nd\ne\na\nb")]
+    lines = line_dedup.lines_of(frame(spark, rows)).cache()
+    code = {(r["doc_id"], r["pos"]): bytes(r["h"]) for r in lines.collect()}
+    for doublings in (0, 1, 2):
+        k = 2 ** doublings
+        prefix = {(d, p): tuple(code[d, p + i] for i in range(k)) for d, p in code if (d, p + k - 1) in code}
+        counts = Counter(prefix.values())
+        got = {(r["doc_id"], r["pos"]): r["r"] for r in line_dedup.suffix_ranks(lines, doublings).collect()}
+        assert set(got) == {s for s, x in prefix.items() if counts[x] > 1}
+        for s in got:
+            for t in got:
+                assert (got[s] < got[t]) == (prefix[s] < prefix[t])
+
+
 CASES = [
     [(1, "a b\nc d\ne f\ng h"), (2, "x\na b\nc d\ne f\ny"), (3, "c d\n\ne f\ng h\nz"), (4, None), (5, ""), (6, "a b")],
     [(1, "a\na\na\na\na\na\na\na\na\na")],
