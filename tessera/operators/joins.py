@@ -12,8 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound for an explicit broadcast side (bytes, optimizer estimate).
-BROADCAST_LIMIT = 64 * 1024 * 1024
+# Upper bound for an explicit broadcast side (bytes, optimizer estimate). The estimate starts from compressed file sizes
+# and does not see that a generator multiplies rows, so the bound is a fraction of what an executor can hold, and a
+# smaller one still below a generator.
+BROADCAST_LIMIT = 16 * 1024 * 1024
+GENERATED_SHARE = 8
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -24,6 +27,13 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def _generates(df: DataFrame) -> bool:
+    try:
+        return "Generate " in df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001 - no plan to look at: be careful
+        return True
+
+
 # Row bound used when the optimizer has no size estimate (e.g. a DataFrame built from local rows).
 BROADCAST_MAX_ROWS = 100_000
 
@@ -32,7 +42,7 @@ def within_bound(df: DataFrame, limit: int = BROADCAST_LIMIT, max_rows: int = BR
     """True when ``df`` is provably small: the optimizer's estimate is within ``limit`` bytes, or — when there is
     no estimate — a bounded count (reads at most ``max_rows + 1`` rows) stays within ``max_rows``."""
     est = estimated_bytes(df)
-    if est <= limit:
+    if est <= (limit // GENERATED_SHARE if _generates(df) else limit):
         return True
     if est >= (1 << 62) or est == 9223372036854775807:
         return df.limit(max_rows + 1).count() <= max_rows
