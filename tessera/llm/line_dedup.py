@@ -108,8 +108,8 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         place = F.struct("doc_id", "pos")
         first = (named.groupBy("n", "r", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
                  .where("c > 1").select("n", "r", "r2", "first"))
-        found.append(named.join(_dealt(first, "r", "r2", "n"), ["n", "r", "r2"]).where(place > F.col("first"))
-                     .select("doc_id", "pos", "n"))
+        copies = named.join(_dealt(first, "r", "r2", "n"), ["n", "r", "r2"]).where(place > F.col("first"))
+        found.append(stored(copies.select("doc_id", "pos", "n"), "later-copies"))
         k *= 2
         if k > longest:
             break
