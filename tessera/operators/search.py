@@ -127,36 +127,45 @@ def fts_match(index: DataFrame | StoredIndex, query_df: DataFrame, k: int = 10,
     """Top-k documents per query holding every query term, scored by Σ tf · ln(N / df) (rounded to 6 digits), ties by
     doc_id. ``query_df`` = (query_id, text). ``index``: postings (token, doc_id, tf), or a stored index, of which only
     the buckets of the query tokens are read and whose stored counts give N and df. ``n_docs`` replaces N."""
-    q = query_terms(query_df, language)
-    n_terms = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    on = ["token"]
+    q, on = query_terms(query_df, language), ["token"]
     if isinstance(index, StoredIndex):
         on = ["bucket", "token"]
         q = q.withColumn("bucket", token_bucket(F.col("token"), index.buckets))
-        postings, total = index.postings, F.lit(index.n_docs)
-        dfreq = index.terms.join(broadcast_checked(q.select(*on).distinct()), on=on, how="left_semi") \
-            .withColumnRenamed("df", "_df")
+        postings, dfreq, total = index.postings, index.terms, F.lit(index.n_docs)
     else:
         # only the postings of query tokens count
         postings = index.join(broadcast_checked(q.select("token").distinct()), on=on, how="left_semi")
-        dfreq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+        dfreq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         total = index.select("doc_id").distinct().agg(F.count(F.lit(1))).scalar() if n_docs is None else None
     if n_docs is not None:
         total = F.lit(n_docs) if isinstance(n_docs, int) else n_docs.agg(F.count(F.lit(1))).scalar()
-    terms = q.join(dfreq, on=on).withColumn("_idf", F.log(total / F.col("_df")))
+    # per query its terms with their frequencies; a query with a term that no document holds has no match
+    own = Window.partitionBy("query_id")
+    found = dfreq.join(broadcast_checked(q.select(*on).distinct()), on=on, how="left_semi")
+    terms = (q.join(found, on=on, how="left").withColumn("_n", F.count(F.lit(1)).over(own))
+             .withColumn("_known", F.count("df").over(own)).where(F.col("_known") == F.col("_n"))
+             .select("query_id", *on, "df", "_n", F.log(total / F.col("df")).alias("_idf")))
+    if isinstance(index, StoredIndex):
+        # written once: four steps below read these few rows
+        path = f"{index.path}/asked-{uuid.uuid4().hex}"
+        terms.write.parquet(path)
+        terms = index.spark.read.parquet(path)
+        # only the partitions of the asked buckets are read (at most as many values as there are buckets)
+        asked = [r["bucket"] for r in terms.select("bucket").distinct().collect()]
+        postings = postings.where(F.col("bucket").isin(asked))
     # conjunctive match, rarest term first: the candidates of a query are the postings of its rarest term; only
     # (candidate, term) pairs are then looked up, so the work is min(df) × terms, not Σ df
-    rare = terms.groupBy("query_id").agg(F.min_by(F.struct(*on), F.struct("_df", "token")).alias("_t")) \
+    rare = terms.groupBy("query_id").agg(F.min_by(F.struct(*on), F.struct("df", "token")).alias("_t")) \
         .select("query_id", *[F.col(f"_t.{c}").alias(c) for c in on])
     cand = postings.join(broadcast_checked(rare), on=on).select("query_id", "doc_id")
-    need = cand.join(terms.select("query_id", *on, "_idf"), on="query_id")
+    need = cand.join(broadcast_checked(terms.select("query_id", *on, "_idf", "_n")), on="query_id")
     if isinstance(index, StoredIndex):
-        # the lookup reads the buckets of the query tokens only (dynamic partition pruning on the small token set)
-        postings = postings.join(broadcast_checked(q.select(*on).distinct()), on=on, how="left_semi")
+        # the lookup keeps the postings of the query tokens before anything is shuffled
+        postings = postings.join(broadcast_checked(terms.select(*on).distinct()), on=on, how="left_semi")
     hits = need.join(postings.select(*on, "doc_id", "tf"), on=[*on, "doc_id"], how="inner")
-    per_doc = hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_m"),
+    per_doc = hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"),
                                                      F.sum(F.col("tf") * F.col("_idf")).alias("_s"))
-    full = per_doc.join(n_terms, on="query_id").where(F.col("_m") == F.col("_n"))
+    full = per_doc.where(F.col("_m") == F.col("_n"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     return (full.select("query_id", "doc_id", F.round("_s", 6).alias("score"))
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))

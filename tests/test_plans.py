@@ -41,5 +41,18 @@ def test_no_non_scaling_operators(spark, name):
 
 
 def test_stored_index_is_pruned_by_bucket(spark):
-    p = plan_text(QUERIES["fts_match"](spark, SMALL))
-    assert "dynamicpruningexpression(bucket" in p
+    from pyspark.sql import functions as F
+    from tessera.operators import search as S
+    from tessera.plans.retrieval import stored_index
+    from tessera.plans.standins import Tables
+    t = Tables(spark, SMALL)
+    index = stored_index(spark, t)
+    one = t.documents.where("doc_id = 1").select(F.lit(1).alias("query_id"), F.substring("text", 1, 12).alias("text"))
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")   # show the whole scan description
+    try:
+        p = plan_text(S.fts_match(index, one, 5))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    scans = [x for x in p.split("FileScan") if "/postings" in x]
+    assert scans and all("bucket" in x.split("PartitionFilters: ")[1].split("]")[0] for x in scans)
