@@ -135,9 +135,33 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+#: Bytes hashed at a time (a longer word is hashed whole).
+HASH_CHUNK = 1 << 20
+
+
 def word_keys(raw: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and 64-bit keys of the words in a byte array; ``is_word`` marks the byte values words are made
-    of. Equal words have equal keys; different words differ but for 64-bit collisions."""
+    of. Equal words have equal keys, wherever they stand; different words differ but for 64-bit collisions."""
+    starts, keys, at = [], [], 0
+    while at < len(raw):
+        to = min(len(raw), at + HASH_CHUNK)
+        if to < len(raw):
+            gaps = np.flatnonzero(~is_word[raw[at:to]])
+            if len(gaps):
+                to = at + int(gaps[-1]) + 1
+            else:  # one long word: up to its end
+                rest = np.flatnonzero(~is_word[raw[to:]])
+                to = to + int(rest[0]) if len(rest) else len(raw)
+        s, k = _word_keys(raw[at:to], is_word)
+        starts.append(s + at)
+        keys.append(k)
+        at = to
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(keys)
+
+
+def _word_keys(raw: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = is_word[raw]
     edge = np.diff(inside)

@@ -103,6 +103,24 @@ def test_features_are_distinct_words_pairs_and_skips():
     assert set(place[row == 3]) < set(place[row == 0])
 
 
+def test_word_keys_do_not_depend_on_chunks(monkeypatch):
+    from tessera.llm import common
+    rng = np.random.default_rng(0)
+    raw = np.frombuffer(b" ".join(b"abcdefgh"[: rng.integers(1, 9)] * int(rng.integers(1, 40)) for _ in range(900)),
+                        np.uint8)
+    is_word = np.ones(256, bool)
+    is_word[0x20] = False
+    whole = common.word_keys(raw, is_word)
+    words = bytes(raw).split()
+    key_of = {}
+    assert len(whole[0]) == len(words)
+    assert all(key_of.setdefault(w, k) == k for w, k in zip(words, whole[1])) and len(set(key_of.values())) == len(key_of)
+    monkeypatch.setattr(common, "HASH_CHUNK", 100)
+    for a, b in zip(whole, common.word_keys(raw, is_word)):
+        assert (a == b).all()
+    assert [len(x) for x in common.word_keys(raw[:0], is_word)] == [0, 0]
+
+
 def tokens(text):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     return [*re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(low)), None]
