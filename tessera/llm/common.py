@@ -49,6 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column of ``with_row``.
+ROW = "__row"
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    """``df`` stored once, each row with a number of its own in ``ROW``, so that equal rows can be told apart."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
                  most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` text bytes (a single longer text makes its own batch)."""

@@ -13,7 +13,9 @@ is covered exactly by such shortest runs, hence every maximal repeated run is de
 and nothing else is.
 
 Lines end at newline characters. Blank lines belong to no run and stay, as does the text around a run. A null text has
-no lines and stays null; a row with a null doc_id is left alone; rows are told apart by doc_id. Extra columns are kept.
+no lines and stays null; a row with a null doc_id is left alone. The input is stored once with a row number, and rows
+are told apart by it: of rows that share a doc_id each has its own lines, the one with the smallest number comes first.
+Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -21,18 +23,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import ROW, stored, with_row
 
 MIN_WORDS = 8
+#: What tells documents apart, in the order that decides which copy is first.
+DOC = ["doc_id", ROW]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, pos, h, words): non-blank lines; ``line`` counts all lines, ``pos`` the non-blank ones."""
-    split = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "own"))
-    solid = split.select("doc_id", "line", F.unhex(F.md5("own")).alias("h"),
+    """(*DOC, line, pos, h, words): non-blank lines; ``line`` counts all lines, ``pos`` the non-blank ones. Rows
+    without a number get one; a result that is read more than once must then be stored."""
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias(ROW), "text")
+    split = own.where("doc_id is not null and text is not null").select(
+        *DOC, F.posexplode(F.split("text", "\n")).alias("line", "own"))
+    solid = split.select(*DOC, "line", F.unhex(F.md5("own")).alias("h"),
                          F.regexp_count("own", F.lit(r"\S+")).alias("words")).where("words > 0")
-    return solid.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("line")) - 1)
+    return solid.withColumn("pos", F.row_number().over(Window.partitionBy(*DOC).orderBy("line")) - 1)
 
 
 def _ranked(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -47,69 +54,69 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _shortest_runs(active: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, pos, n): the shortest runs of repeated lines with ``min_words`` words that begin or end at a line."""
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    """(*DOC, pos, n): the shortest runs of repeated lines with ``min_words`` words that begin or end at a line."""
+    by_doc = Window.partitionBy(*DOC).orderBy("pos")
     apart = active.withColumn("segment", F.col("pos") - F.row_number().over(by_doc))
-    upto = Window.partitionBy("doc_id", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*DOC, "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     total = apart.withColumn("upto", F.sum("words").over(upto)).withColumn("before", F.col("upto") - F.col("words"))
-    ahead = Window.partitionBy("doc_id", "segment").orderBy("before").rangeBetween(0, min_words - 1)
-    behind = Window.partitionBy("doc_id", "segment").orderBy("upto").rangeBetween(-(min_words - 1), 0)
+    ahead = Window.partitionBy(*DOC, "segment").orderBy("before").rangeBetween(0, min_words - 1)
+    behind = Window.partitionBy(*DOC, "segment").orderBy("upto").rangeBetween(-(min_words - 1), 0)
     measured = total.select(
-        "doc_id", "pos",
+        *DOC, "pos",
         F.when(F.max("upto").over(ahead) - F.col("before") >= min_words, F.count(F.lit(1)).over(ahead)).alias("fore"),
         F.when(F.col("upto") - F.min("before").over(behind) >= min_words, F.count(F.lit(1)).over(behind)).alias("aft"))
     begins = F.struct(F.col("pos").alias("pos"), F.col("fore").alias("n"))
     ends = F.struct((F.col("pos") - F.col("aft") + 1).alias("pos"), F.col("aft").alias("n"))
     same = (F.col("fore") == 1) & (F.col("aft") == 1)
-    return (measured.select("doc_id", F.inline(F.when(same, F.array(begins)).otherwise(F.array(begins, ends))))
+    return (measured.select(*DOC, F.inline(F.when(same, F.array(begins)).otherwise(F.array(begins, ends))))
             .where("n is not null"))
 
 
 def doubled(suffixes: DataFrame, k: int) -> DataFrame:
-    """From (doc_id, pos, r), ranks by the first k lines, the ranks by the first 2k lines: pairs of ranks k lines apart,
+    """From (*DOC, pos, r), ranks by the first k lines, the ranks by the first 2k lines: pairs of ranks k lines apart,
     numbered in their order. Suffixes without 2k lines, and those whose first 2k lines occur once, are in no interval
     with another and drop out."""
-    after = suffixes.select("doc_id", (F.col("pos") - k).alias("pos"), F.col("r").alias("r2"))
-    pairs = stored(suffixes.join(after, ["doc_id", "pos"]), "rank-pairs")
+    after = suffixes.select(*DOC, (F.col("pos") - k).alias("pos"), F.col("r").alias("r2"))
+    pairs = stored(suffixes.join(after, [*DOC, "pos"]), "rank-pairs")
     again = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("r", "r2")
     order = _ranked(again, ["r", "r2"], "rank")
-    return stored(pairs.join(order, ["r", "r2"]).select("doc_id", "pos", F.col("rank").alias("r")), "suffix-ranks")
+    return stored(pairs.join(order, ["r", "r2"]).select(*DOC, "pos", F.col("rank").alias("r")), "suffix-ranks")
 
 
 def suffix_ranks(lines: DataFrame, doublings: int) -> DataFrame:
-    """(doc_id, pos, r): the suffix array of the line sequences by their first 2 ** ``doublings`` lines, restricted to
+    """(*DOC, pos, r): the suffix array of the line sequences by their first 2 ** ``doublings`` lines, restricted to
     intervals of at least two suffixes; equal ranks share that prefix, smaller ranks sort first."""
     repeated = lines.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    out = lines.join(_ranked(repeated, ["h"], "r"), "h").select("doc_id", "pos", "r")
+    out = lines.join(_ranked(repeated, ["h"], "r"), "h").select(*DOC, "pos", "r")
     for n in range(doublings):
         out = doubled(out, 2 ** n)
     return out
 
 
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, pos, n): shortest runs that also occur earlier. ``lines`` as from ``lines_of``, stored."""
+    """(*DOC, pos, n): shortest runs that also occur earlier. ``lines`` as from ``lines_of``, stored."""
     repeated = lines.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     ranks = _ranked(repeated, ["h"], "r")
-    active = stored(lines.join(ranks, "h").select("doc_id", "pos", "words", "r"), "active-lines")
+    active = stored(lines.join(ranks, "h").select(*DOC, "pos", "words", "r"), "active-lines")
     runs = stored(_shortest_runs(active, min_words), "runs")
     longest = runs.agg(F.max("n")).first()[0] or 0
-    suffixes, k, found = active.select("doc_id", "pos", "r"), 1, []
+    suffixes, k, found = active.select(*DOC, "pos", "r"), 1, []
     while k <= longest:
         # runs of k to 2k - 1 lines: the ranks over k lines at their first and their last k lines
         own = runs.where(F.col("n").between(k, 2 * k - 1))
-        named = own.join(suffixes, ["doc_id", "pos"])
+        named = own.join(suffixes, [*DOC, "pos"])
         if k > 1:
-            tail = suffixes.select("doc_id", F.col("pos").alias("at"), F.col("r").alias("r2"))
-            named = (named.withColumn("at", F.col("pos") + F.col("n") - k).join(tail, ["doc_id", "at"])
-                     .select("doc_id", "pos", "n", "r", "r2"))
+            tail = suffixes.select(*DOC, F.col("pos").alias("at"), F.col("r").alias("r2"))
+            named = (named.withColumn("at", F.col("pos") + F.col("n") - k).join(tail, [*DOC, "at"])
+                     .select(*DOC, "pos", "n", "r", "r2"))
         else:
             named = named.withColumn("r2", F.lit(0).cast("long"))
         named = stored(named, "named-runs")
-        place = F.struct("doc_id", "pos")
+        place = F.struct(*DOC, "pos")
         first = (named.groupBy("n", "r", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
                  .where("c > 1").select("n", "r", "r2", "first"))
         copies = named.join(_dealt(first, "r", "r2", "n"), ["n", "r", "r2"]).where(place > F.col("first"))
-        found.append(stored(copies.select("doc_id", "pos", "n"), "later-copies"))
+        found.append(stored(copies.select(*DOC, "pos", "n"), "later-copies"))
         k *= 2
         if k > longest:
             break
@@ -123,23 +130,24 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, runs): per document that holds later copies, the stretches of lines to delete, as an ascending array of
+    """(*DOC, runs): per document that holds later copies, the stretches of lines to delete, as an ascending array of
     (first, last) line numbers from 0."""
     lines = stored(lines_of(docs), "lines")
     covered = (later_copies(lines, min_words)
-               .select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
+               .select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
                .distinct())
-    marked = covered.join(lines.select("doc_id", "pos", "line"), ["doc_id", "pos"])
-    island = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    runs = marked.select("doc_id", "line", island.alias("island")).groupBy("doc_id", "island").agg(
+    marked = covered.join(lines.select(*DOC, "pos", "line"), [*DOC, "pos"])
+    island = F.col("line") - F.row_number().over(Window.partitionBy(*DOC).orderBy("line"))
+    runs = marked.select(*DOC, "line", island.alias("island")).groupBy(*DOC, "island").agg(
         F.min("line").alias("first"), F.max("line").alias("last"))
-    return runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    return runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def _cut(docs: DataFrame, min_words: int) -> DataFrame:
     """The columns of ``docs`` with the new text, and __n_lines, __n_deleted, __emptied."""
-    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    rows = with_row(docs)
+    runs = repeated_runs(rows, min_words).select(ROW, F.col("runs").alias("__runs"))
+    joined = rows.join(runs, ROW, "left")
     n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     some = F.size("__runs")
     # what stays: the stretches between the deleted ones

@@ -118,6 +118,19 @@ def test_passage_over_fifty_words_is_cut_and_the_rest_stays(spark):
     assert got == {1: rows[0][1], 2: "second own line", 3: rows[2][1]}
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """The first of equal rows keeps its text; so does a line that another row of the id holds at the same place."""
+    line, other = "one two three four five six seven eight", "a b c d e f g h"
+    rows = [(1, f"{line}\n{other}")] * 2 + [(2, line), (3, "x y\nz"), (3, f"own words here\n{line}"), (None, line)]
+    docs = frame(spark, rows)
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_deleted"], r["emptied"]) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(0, line, 0, False), (1, "", 2, True), (1, rows[0][1], 0, False), (2, "", 1, True),
+                   (3, "own words here", 1, False), (3, "x y\nz", 0, False)]
+    kept = line_dedup.without_later_copies(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [
+        (0, line), (1, rows[0][1]), (3, "own words here"), (3, "x y\nz")]
+
+
 def test_sharding_rows(spark, odd, empty):
     out = sharding.shard_by_bytes(odd, 3).collect()
     byte = {d: (t or "").encode() for d, t in ODD}
