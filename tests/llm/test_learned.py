@@ -58,6 +58,37 @@ def test_phrases_equal_brute_force():
     assert got.tolist() == [w for _, w in found]
 
 
+def test_packed_phrases_equal_brute_force():
+    rng = np.random.default_rng(0)
+    letters = [chr(0x4E00 + i) for i in range(300)] + [" "]
+    sample = "".join(rng.choice(letters[-60:] * 5 + letters, 4000))
+    model = langid.train({"x": [sample], "y": ["abc"]})
+    assert isinstance(model.tables[0], langid.Packed) and not isinstance(model.tables[1], langid.Packed)
+    coded = "".join(map(chr, langid.encode(" " + sample, model.codes)))
+    texts = ["".join(rng.choice([*letters, "\u6000"], n)) for n in (1, 7, 300, 900)] + [sample[100:1000]]
+    got = langid.parse([langid.encode(t, model.codes) for t in texts], model)[:, 0]
+    assert got.tolist() == [longest_phrases("".join(map(chr, langid.encode(t, model.codes))), coded) for t in texts]
+
+
+def test_languages_of_many_letters_beside_alphabets():
+    """More letters in all than one table of codes holds, and languages of thousands of letters, as in clean texts."""
+    rng = np.random.default_rng(0)
+
+    def texts(first, letters, size, n):
+        common = 1 / np.arange(1, 3001)
+        words = ["".join(chr(first + int(x)) for x in rng.integers(0, letters, size)) for _ in common]
+        return ["，".join(rng.choice(words, 80, p=common / common.sum())) for _ in range(n)]
+    own = {"ko": texts(0xAC00, 2000, 2, 40), "zh": texts(0x4E00, 3000, 2, 60), "ja": texts(0x6000, 3000, 2, 50),
+           "en": texts(ord("a"), 26, 5, 60), "ru": texts(0x430, 32, 5, 60), "el": texts(0x3B1, 24, 5, 60)}
+    model = langid.train({name: t[:-10] for name, t in own.items()})
+    for name, t in own.items():
+        assert langid.judge(t[-10:], model)[0] == [name] * 10
+        assert langid.accepts(t[-10:], model).all()
+        # also what a short sample knows little of
+        assert langid.accepts(t[-10:], langid.train({name: t[:1]})).all()
+    assert not langid.accepts(["שלום עולם ומה שלומך", "", None, "123"], model).any()
+
+
 def test_language_odd_rows(spark, empty):
     rows = [(100 + i, "the cat and the dog sat there with them", "en") for i in range(5)] + [
         (200 + i, "der hund und die katze sind nicht hier", "de") for i in range(5)]
