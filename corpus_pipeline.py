@@ -2,8 +2,8 @@
 
 Every stage reads what the stage before it kept, written as Parquet. All but the last return the columns of
 ``documents``; the last returns the packed pieces. Null texts are rejected by the first stage; a document whose every
-line is a later copy is dropped by the third; of each group of near-duplicates the smallest doc_id stays. An empty table
-passes through all stages.
+line is a later copy is dropped by the third; of each group of near-duplicates one row stays, that of the smallest
+doc_id (any id comes before none; of rows that share it the first stored). An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, line_dedup, packing, simhash, toxicity
-from tessera.llm.common import prepare, scratch, table
+from tessera.llm.common import ROW, prepare, scratch, table, with_row
 from tessera.llm.queries import PACKING_TOKENIZER
 
 
@@ -32,10 +32,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one document of each group of near-duplicates stays, the smallest doc_id."""
-    verdicts = simhash.near_duplicates(docs, words=4, bits=4)
-    gone = verdicts.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Operator 5: one row of each group of near-duplicates stays, the smallest doc_id. Rows are grouped by a number of
+    their own, so repeated rows and rows without doc_id are copies like any other."""
+    rows = with_row(docs)
+    verdicts = simhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), words=4, bits=4)
+    ids = rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("place"))
+    first = (verdicts.select(F.col("doc_id").alias(ROW), "component_id").join(ids, ROW)
+             .groupBy("component_id").agg(F.min("place").alias("first")).select(F.col(f"first.{ROW}").alias(ROW)))
+    return rows.join(first, ROW, "left_semi").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

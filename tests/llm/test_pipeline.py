@@ -54,6 +54,15 @@ def test_near_duplicate_stage_keeps_one_of_each_group(stages):
     assert [d for d, _ in pairs(after)] == sorted(d for d, g in group.items() if d == g)
 
 
+def test_near_duplicate_stage_keeps_one_of_repeated_rows_and_rows_without_id(spark):
+    rows = [(7, "the same words here"), (7, "the same words here"), (9, "the same words here"),
+            (None, "the same words here"), (None, "no id at all"), (None, "no id at all"), (8, "of its own")]
+    after = corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows), SMALL)
+    assert after.columns == frame(spark, rows).columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in after.collect()) == [
+        (0, "no id at all"), (7, "the same words here"), (8, "of its own")]
+
+
 def test_packing_stage(stages):
     before, after = stages["packing"]
     check_packing(pairs(before), after.collect())
