@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, langid, line_dedup, ngram_lm, packing, sharding, simhash, topk, toxicity
+from tessera.llm import (bpe, exact_dedup, langid, line_dedup, merkle, ngram_lm, packing, sharding, simhash, topk,
+                         toxicity)
 from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, held_out, table
 
 QUERIES: dict = {}
@@ -102,3 +103,69 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_lm")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
+#: CRC-32 (reflected polynomial 0xEDB88320) of a string's UTF-8 bytes: a table made by rule, one step per byte.
+_CRC_TABLE = ("crc_table as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 "
+              "= 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(i as bigint))) as steps)")
+
+
+def _crc(text: str) -> str:
+    byte = f"cast('0x' || substr(hex(encode({text})), cast(2 * i + 1 as integer), 2) as bigint)"
+    return (f"xor(4294967295, list_reduce(list_transform(range(octet_length(encode({text}))), lambda i: {byte}), lambda c, b: "
+            "xor(c >> 8, steps[cast((xor(c, b) & 255) + 1 as integer)]), 4294967295))")
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in (*merkle.FIELDS[:-1], text))})"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of the trees over ``leaves`` (tree, j, digest, cnt), and what stands left and right of each."""
+    return (f"{name} as (select tree, 0 as level, j, digest, cnt from {leaves} union all select tree, level + 1, j // 8, "
+            "sha256(string_agg(digest, '' order by j)), (cnt + 7) // 8 from {0} where cnt > 1 group by tree, level, j // 8, "
+            "cnt), {0}_sides as (select a.tree, a.level, a.j, coalesce(string_agg(b.digest, '' order by b.j) filter (b.j < "
+            "a.j), '') as l, coalesce(string_agg(b.digest, '' order by b.j) filter (b.j > a.j), '') as r from {0} a join {0} "
+            "b on a.tree = b.tree and a.level = b.level and a.j // 8 = b.j // 8 where a.cnt > 1 group by all)").replace(
+                "{0}", name)
+
+
+def _climb(name: str, start: str, tree: str) -> str:
+    """From (id, tree, level, j, acc, proof) up to the root of ``tree``."""
+    return (f"{name} as (select * from {start} union all select c.id, c.tree, c.level + 1, c.j // 8, sha256(s.l || c.acc || "
+            f"s.r), c.proof || s.l || s.r from {name} c join {tree}_sides s on c.tree = s.tree and c.level = s.level and c.j "
+            "= s.j)")
+
+
+_OP12 = (
+    f"with recursive {_CRC_TABLE}, d as (select row_number() over () as id, doc_id, coalesce('=' || lang, '') as tree, "
+    f"{_leaf('text')} as leaf, case when {_crc('cast(doc_id as varchar)')} % 3 = 0 then {_leaf('low')} end as shown from "
+    f"(select *, translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}') as low from documents) t, crc_table), "
+    "p as (select id, tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as j, leaf as "
+    "digest, coalesce(shown, leaf) as shown, doc_id, count(*) over (partition by tree) as cnt from d), "
+    + _tree("low", "p") + ", subs as (select '' as tree, row_number() over (order by tree) - 1 as j, digest, count(*) over "
+    "() as cnt, tree as name from low where cnt = 1), " + _tree("top", "subs")
+    + ", begin_own as (select id, tree, 0 as level, j, shown as acc, '' as proof from p), "
+    + _climb("own", "begin_own", "low")
+    + ", begin_top as (select o.id, '' as tree, 0 as level, s.j, o.acc, o.proof from (select id, tree, acc, proof from own "
+    "qualify row_number() over (partition by id order by level desc) = 1) o join subs s on o.tree = s.name), "
+    + _climb("whole", "begin_top", "top")
+    + " select p.doc_id, p.digest as leaf, s.digest as subroot, t.digest as root, sha256(w.proof) as proof_sha256, w.acc as "
+    "folded_root, w.acc = t.digest as verified from p join subs s on p.tree = s.name join (select digest from top where cnt "
+    "= 1) t on true join (select * from whole qualify row_number() over (partition by id order by level desc) = 1) w on "
+    "w.id = p.id")
+
+
+@query("op12_merkle", _OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    *others, text = [F.col(c) for c in merkle.FIELDS]
+    low = merkle.leaf_digest(*others, F.when(text.isNotNull(), exact_dedup.normalised(text)))
+    m = merkle.build(docs, merkle.leaf_digest(*others, text), part=F.col("lang"), key=F.col("doc_id"),
+                     presented=F.when(held_out("doc_id", 3, 0), low))
+    return merkle.proofs(m).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                                   "verified")
