@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import checkpoint_dir
 
@@ -86,6 +87,40 @@ def keep_rows(docs: DataFrame, keep, most: int = 1 << 20) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def query_blocks(queries: DataFrame, most: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the distinct ids of ``queries`` (vec_id, vector), each with its smallest vector, in blocks of
+    about ``most`` bytes and one vector length. The blocks are dealt and written by tasks; the driver reads one at a
+    time, when it is asked for."""
+    spark = queries.sparkSession
+    asked = (queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+             .withColumn("dim", F.size("vector")))
+    asked = stored(asked, "queries")
+    total = asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("dim > 0")
+    blocks = F.ceil(F.col("n") * F.col("dim") * 8 / F.lit(most))
+    dealt = asked.join(total, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    path = scratch(spark, "query-blocks")
+    dealt.repartition("dim", "block").select("dim", "block", "vec_id", "vector").write.partitionBy("dim", "block").parquet(path)
+    schema = T.StructType([asked.schema["vec_id"], asked.schema["vector"], T.StructField("dim", T.IntegerType()),
+                           T.StructField("block", T.IntegerType())])
+    written = spark.read.schema(schema).parquet(path)
+    for dim, block in sorted(tuple(r) for r in written.select("dim", "block").distinct().collect()):
+        own = written.where((F.col("dim") == dim) & (F.col("block") == block)).select("vec_id", "vector").toArrow()
+        vectors = own.column("vector").combine_chunks()
+        yield own.column("vec_id").to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def gathered(spark: SparkSession, blocks: Iterator, candidates, schema: str) -> DataFrame:
+    """The rows of ``candidates(broadcast block)`` for all ``blocks``, each written before its broadcast is destroyed and
+    the next block is read."""
+    path = scratch(spark, "candidates")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        candidates(sent).write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
 def held_out(column: str, modulus: int, remainder: int):
     """Whether crc32 of the id written as text leaves ``remainder``."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (bpe, exact_dedup, langid, line_dedup, merkle, ngram_lm, packing, sharding, simhash, topk,
-                         toxicity)
+from tessera.llm import (ann, bpe, exact_dedup, langid, line_dedup, merkle, ngram_lm, packing, sharding, simhash, spelling,
+                         topk, toxicity)
 from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, held_out, table
 
 QUERIES: dict = {}
@@ -105,6 +105,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
 
 
+@query("op11_ann")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable_vectors(table(spark, sf_dir, "embeddings"))
+    return ann.search(ann.build(rows), rows.where(F.col("vec_id") % 100 == 0), 10)
+
+
 #: CRC-32 (reflected polynomial 0xEDB88320) of a string's UTF-8 bytes: a table made by rule, one step per byte.
 _CRC_TABLE = ("crc_table as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 "
               "= 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(i as bigint))) as steps)")
@@ -169,3 +175,27 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
                      presented=F.when(held_out("doc_id", 3, 0), low))
     return merkle.proofs(m).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
                                    "verified")
+
+
+_OP13 = (
+    f"with recursive {_CRC_TABLE}, runs as (select doc_id, run, count(*) as c from (select doc_id, unnest(regexp_extract_all("
+    f"translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) as run from documents) t where "
+    f"length(run) >= 6 group by all), hashed as (select run, c, {_crc("coalesce(doc_id || ':' || run, '')")} as h, doc_id from "
+    "runs, crc_table), words as (select word, cast(sum(c) as bigint) as n from (select case when doc_id is not null and h % "
+    "199 = 0 then substr(run, 1, cast(h % length(run) as integer)) || substr(run, cast(h % length(run) as integer) + 2) else "
+    "run end as word, c from hashed) t where length(word) >= 6 group by word having sum(c) >= 5), cuts as (select word, p, "
+    "substr(word, 1, cast(p as integer)) || substr(word, cast(p as integer) + 2) as cut from (select word, "
+    "unnest(range(length(word))) as p from words) t), near as (select a.word, b.word as other from cuts a join cuts b on a.p "
+    "= b.p and a.cut = b.cut and a.word <> b.word union select c.word, w.word from cuts c join words w on c.cut = w.word "
+    "union select w.word, c.word from cuts c join words w on c.cut = w.word), best as (select near.word, count(*) as n_near, "
+    "arg_min(o.word, (-o.n, o.word)) as form, max(o.n) as form_n from near join words o on o.word = near.other group by "
+    "near.word), judged as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * w.n then form end as "
+    "form, case when form_n >= 5 * w.n then form_n end as form_n from words w left join best using (word)), climb as (select "
+    "word, word as top, 0 as steps from words union all select c.word, j.form, steps + 1 from climb c join judged j on c.top = "
+    "j.word where j.form is not null) select j.word, j.form, c.top as root, j.n, j.n_near, j.form_n from judged j join "
+    "(select word, arg_max(top, steps) as top from climb group by word) c using (word)")
+
+
+@query("op13_spelling", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.count_words(table(spark, sf_dir, "documents"), spelling.latin_words()))
