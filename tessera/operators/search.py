@@ -1,176 +1,35 @@
-"""Full-text and vector search.
+"""Vector search, and its fusion with text search (``textindex``) over embedded texts (``embedding``).
 
-* ``fts_index`` / ``fts_match`` — inverted index as a (token, doc_id, tf) table; a query matches documents that
-  hold all its terms, scored by Σ tf·idf. Tokens: accent-folded, lower-case, split on non-letters/digits,
-  Portuguese stop words removed (no stemmer: Spark has none; stated deviation).
 * ``cosine_topk`` — exact nearest neighbours. Queries come in blocks of bounded bytes; per block each task multiplies
   its vectors with the block in numpy and keeps the best k per query over all its batches, so no vector × query pair
   rows are materialized; a per-query top-k over those candidates finishes it.
 * ``build_cells`` / ``search_cells`` — inverted lists: KMeans cells over normalized vectors, stored by cell; probe the
   nearest cells only, exact re-rank inside them (``ivf_search`` does both).
-* ``batch_embed`` / ``resume_embed`` — texts → vectors with an injected embedder in ``mapInPandas`` (batches,
-  shape check, retry with back-off), resumable by an anti join on what is already done.
 * ``hybrid_search`` — reciprocal-rank fusion of the text and vector rankings.
 """
 
 from __future__ import annotations
 
 import heapq
-import pkgutil
-import time
-import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from typing import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import concat_search_text, strip_accents, truncate_text
-from tessera.operators.joins import anti_done, broadcast_checked, first_seen_dedupe
+from tessera.operators.embedding import (batch_embed, embed_batch, hash_embedder, letter_embedder,  # noqa: F401
+                                         resume_embed)
 from tessera.operators.layout import spread
+from tessera.operators.textindex import (StoredIndex, fts_index, fts_match, fts_phrase, query_terms,  # noqa: F401
+                                         stop_words, store_index, tokens)
 
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-# Batch size and back-off of the embedding calls.
-EMBED_BATCH = 64
-RETRY_STEP_S = 5
-RETRY_MAX_S = 60
-EMBED_ATTEMPTS = 8
 # Query vectors sent to the tasks at a time.
 QUERY_BLOCK_BYTES = 16 << 20
 
 
-@lru_cache(maxsize=8)
-def stop_words(language: str = "portuguese") -> tuple[str, ...]:
-    """The stop-word list of ``language`` (Spark's public default list, kept as package data so that no jar has to
-    be found), accent folded like the tokens."""
-    raw = pkgutil.get_data("tessera.data", f"stopwords_{language}.txt")
-    if not raw:
-        raise ValueError(f"no stop-word list for {language}")
-
-    def fold(w):
-        return "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn").lower()
-    return tuple(sorted({fold(w) for w in raw.decode("utf-8").split()}))
-
-
-def tokens(col) -> "F.Column":
-    """Accent-folded lower-case tokens of a text column (array)."""
-    return F.filter(F.split(strip_accents(col), TOKEN_SPLIT), lambda x: x != "")
-
-
-def token_bucket(col, buckets: int):
-    """Stable hash bucket of a token (the stored index is partitioned by it)."""
-    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
-
-
-def fts_index(df: DataFrame, id_col: str, text_cols: list[str], language: str = "portuguese") -> DataFrame:
-    """(token, doc_id, tf)."""
-    doc = concat_search_text(*text_cols)
-    t = spread(df.select(id_col, *text_cols)).select(F.col(id_col).alias("doc_id"), F.explode(tokens(doc)).alias("token"))
-    t = t.where(~F.col("token").isin(list(stop_words(language))))
-    return t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
-# Postings of a bucket are spread over this many hash groups of the document id, so that the postings of a common word
-# are several files and several tasks.
-POSTING_SALTS = 8
-
-
-@dataclass(frozen=True)
-class StoredIndex:
-    """A text index in use: postings partitioned by token bucket, the document frequency per token (same buckets), and
-    the number of indexed documents."""
-
-    spark: SparkSession
-    path: str
-    buckets: int
-
-    @property
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
-
-    @property
-    def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
-
-    @property
-    def n_docs(self) -> int:
-        return self.spark.read.parquet(f"{self.path}/size").first()[0]
-
-
-def store_index(index_df: DataFrame, path: str, buckets: int) -> StoredIndex:
-    """Write the index (full refresh): postings once, then the term and document counts from the stored postings."""
-    spark = index_df.sparkSession
-    salted = index_df.withColumn("bucket", token_bucket(F.col("token"), buckets))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(POSTING_SALTS))
-    salted.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    terms = postings.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
-    terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    postings.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs")).write.mode("overwrite") \
-        .parquet(f"{path}/size")
-    return StoredIndex(spark, path, buckets)
-
-
-def query_terms(query_df: DataFrame, language: str = "portuguese") -> DataFrame:
-    """(query_id, token): the distinct search tokens of each query."""
-    return (query_df.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
-            .where(~F.col("token").isin(list(stop_words(language)))).distinct())
-
-
-def fts_match(index: DataFrame | StoredIndex, query_df: DataFrame, k: int = 10, language: str = "portuguese",
-              n_docs: DataFrame | int | None = None) -> DataFrame:
-    """Top-k documents per query holding every query term, scored by Σ tf · ln(N / df) (rounded to 6 digits), ties by
-    doc_id. ``query_df`` = (query_id, text). ``index``: postings (token, doc_id, tf), or a stored index, of which only
-    the buckets of the query tokens are read and whose stored counts give N and df. ``n_docs`` replaces N."""
-    q, on = query_terms(query_df, language), ["token"]
-    if isinstance(index, StoredIndex):
-        on = ["bucket", "token"]
-        q = q.withColumn("bucket", token_bucket(F.col("token"), index.buckets))
-        postings, dfreq, total = index.postings, index.terms, F.lit(index.n_docs)
-    else:
-        # only the postings of query tokens count
-        postings = index.join(broadcast_checked(q.select("token").distinct()), on=on, how="left_semi")
-        dfreq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        total = index.select("doc_id").distinct().agg(F.count(F.lit(1))).scalar() if n_docs is None else None
-    if n_docs is not None:
-        total = F.lit(n_docs) if isinstance(n_docs, int) else n_docs.agg(F.count(F.lit(1))).scalar()
-    # per query its terms with their frequencies; a query with a term that no document holds has no match
-    own = Window.partitionBy("query_id")
-    found = dfreq.join(broadcast_checked(q.select(*on).distinct()), on=on, how="left_semi")
-    terms = (q.join(found, on=on, how="left").withColumn("_n", F.count(F.lit(1)).over(own))
-             .withColumn("_known", F.count("df").over(own)).where(F.col("_known") == F.col("_n"))
-             .select("query_id", *on, "df", "_n", F.log(total / F.col("df")).alias("_idf")))
-    if isinstance(index, StoredIndex):
-        # written once: four steps below read these few rows
-        path = f"{index.path}/asked-{uuid.uuid4().hex}"
-        terms.write.parquet(path)
-        terms = index.spark.read.parquet(path)
-        # only the partitions of the asked buckets are read (at most as many values as there are buckets)
-        asked = [r["bucket"] for r in terms.select("bucket").distinct().collect()]
-        postings = postings.where(F.col("bucket").isin(asked))
-    # conjunctive match, rarest term first: the candidates of a query are the postings of its rarest term; only
-    # (candidate, term) pairs are then looked up, so the work is min(df) × terms, not Σ df
-    rare = terms.groupBy("query_id").agg(F.min_by(F.struct(*on), F.struct("df", "token")).alias("_t")) \
-        .select("query_id", *[F.col(f"_t.{c}").alias(c) for c in on])
-    cand = postings.join(broadcast_checked(rare), on=on).select("query_id", "doc_id")
-    need = cand.join(broadcast_checked(terms.select("query_id", *on, "_idf", "_n")), on="query_id")
-    if isinstance(index, StoredIndex):
-        # the lookup keeps the postings of the query tokens before anything is shuffled
-        postings = postings.join(broadcast_checked(terms.select(*on).distinct()), on=on, how="left_semi")
-    hits = need.join(postings.select(*on, "doc_id", "tf"), on=[*on, "doc_id"], how="inner")
-    per_doc = hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"),
-                                                     F.sum(F.col("tf") * F.col("_idf")).alias("_s"))
-    full = per_doc.where(F.col("_m") == F.col("_n"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return (full.select("query_id", "doc_id", F.round("_s", 6).alias("score"))
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
-
-
 def _normalize(v):
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     return F.transform(v, lambda x: x.cast("double") / norm)
@@ -206,23 +65,42 @@ def _ranked(cand: DataFrame, k: int) -> DataFrame:
             .where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, in the shared folder."""
+    from tessera.session import scratch_path
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, q_id: str, q_vec: str, id_type: str,
-                   cells_of=None) -> DataFrame:
+                   cells_of=None, stored: bool = False) -> DataFrame:
     """One pass over ``vectors`` (id, v and, with ``cells_of``, cell) per block of queries; each task keeps the best k
-    per query over all its batches. ``cells_of`` maps a block's matrix to its mask (cells × queries)."""
+    per query over all its batches. ``cells_of`` maps a block's matrix to its mask (cells × queries). The queries, and
+    for more than one block the vectors (unless they are ``stored``), are computed once; a block's candidates are written
+    before its broadcast is destroyed and the next block is read, so that one block at a time is held."""
     spark = vectors.sparkSession
     q_type = queries.schema[q_id].dataType.simpleString()
     schema = f"query_id {q_type}, vec_id {id_type}, score double"
-    out = None
-    for qids, qm in _query_blocks(queries, q_id, q_vec):
+    blocks = _query_blocks(_written(queries.select(q_id, q_vec), "queries"), q_id, q_vec)
+    block, found = next(blocks, None), []
+    while block is not None:
+        after = next(blocks, None)
+        if after is not None and not stored:
+            vectors, stored = _written(vectors, "vectors"), True
+        qids, qm = block
         mask = cells_of(qm) if cells_of else None
         own = vectors
         if mask is not None:
             own = own.where(F.col("cell").isin([int(c) for c in np.flatnonzero(mask.any(axis=1))]))
         sent = spark.sparkContext.broadcast((qids, qm, mask))
-        part = own.mapInPandas(_topk_kernel(sent, k), schema)
-        out = part if out is None else out.unionByName(part)
-    return _ranked(out if out is not None else spark.createDataFrame([], schema), k)
+        found.append(_written(own.mapInPandas(_topk_kernel(sent, k), schema), "candidates"))
+        sent.destroy()
+        block = after
+    out = found[0] if found else spark.createDataFrame([], schema)
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return _ranked(out, k)
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
@@ -281,7 +159,8 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, probes: int
         return mask
 
     stored = index.vectors
-    return _search_blocks(stored, queries, k, q_id, q_vec, stored.schema["id"].dataType.simpleString(), cells_of)
+    return _search_blocks(stored, queries, k, q_id, q_vec, stored.schema["id"].dataType.simpleString(), cells_of,
+                          stored=True)
 
 
 def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probes: int = 4,
@@ -324,99 +203,12 @@ def _topk_kernel(sent, k: int):
     return best
 
 
-# ---- embedding ------------------------------------------------------------------------------------------------
-Embedder = Callable[[list], np.ndarray]
-
-
-def hash_embedder(dim: int) -> Embedder:
-    """Deterministic test embedder (no network): hashed token counts, L2-normalized."""
-    import re
-    import xxhash
-
-    def embed(texts):
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for tok in re.findall(r"\w+", (t or "").lower()):
-                h = xxhash.xxh64_intdigest(tok)
-                out[i, h % dim] += 1.0 if (h >> 63) == 0 else -1.0
-            n = np.linalg.norm(out[i])
-            if n > 0:
-                out[i] /= n
-        return out
-    return embed
-
-
-def letter_embedder(letters: str) -> Embedder:
-    """How often each of ``letters`` occurs in a text, as it is written: a vector that SQL can compute as well."""
-    def embed(texts):
-        return np.array([[(t or "").count(c) for c in letters] for t in texts], dtype=np.float32)
-    return embed
-
-
-def embed_batch(embedder: Embedder, texts: list, dim: int, attempts: int = EMBED_ATTEMPTS,
-                sleep=time.sleep) -> np.ndarray:
-    """One call of the embedder. Transport errors are tried again after growing waits, ``attempts`` calls in all; an
-    answer of another shape than (texts, ``dim``) is an error of its own and not asked for again."""
-    for wait in [min(RETRY_STEP_S * n, RETRY_MAX_S) for n in range(1, attempts)] + [None]:
-        try:
-            answer = np.asarray(embedder(texts), dtype=np.float32)
-            break
-        except OSError:
-            if wait is None:
-                raise
-            sleep(wait)
-    if answer.shape != (len(texts), dim):
-        raise ValueError(f"embedder answered with shape {answer.shape}, expected {(len(texts), dim)}")
-    return answer
-
-
-def batch_embed(df: DataFrame, id_col: str, text_col: str, embedder: Embedder, dim: int,
-                batch: int = EMBED_BATCH, attempts: int = EMBED_ATTEMPTS) -> DataFrame:
-    """(id, vector): texts go to ``embedder`` ``batch`` at a time inside each task (parallelism = partitions); every
-    answer is shape-checked and a failing call is tried again a bounded number of times."""
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            ids = pdf["id"].tolist()
-            texts = pdf["text"].tolist()
-            for s in range(0, len(ids), batch):
-                vecs = embed_batch(embedder, texts[s:s + batch], dim, attempts)
-                yield pd.DataFrame({"id": ids[s:s + batch], "vector": list(vecs)})
-
-    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(
-        run, f"id {id_type}, vector array<float>")
-
-
-def resume_embed(source_df: DataFrame, done_df: DataFrame, embedder: Embedder, dim: int, id_col: str = "id",
-                 text_col: str = "text", max_chars: int = 800, limit: int = 0, batch: int = EMBED_BATCH,
-                 target: str | None = None, order: list[str] | None = None) -> DataFrame:
-    """One resumable pass: skip ids already done, first occurrence of each id (empty id / text skipped; first by the
-    columns ``order``, by the text itself if none are given), cut the text to ``max_chars``, embed, store the new rows
-    once, and append the stored rows to ``target`` when given. ``limit`` counts full batches only: the first
-    ceil(limit / batch) · batch texts by id. Returns the stored new (id, vector) rows: nothing is embedded twice."""
-    from tessera.session import scratch_path
-    spark, by = source_df.sparkSession, list(order or [text_col])
-    todo = anti_done(source_df.select(id_col, text_col, *[c for c in by if c not in (id_col, text_col)]),
-                     done_df.select(F.col(id_col)), id_col)
-    todo = first_seen_dedupe(todo, [id_col], by, nonempty=[text_col])
-    todo = todo.select(F.col(id_col), truncate_text(F.col(text_col), max_chars).alias(text_col))
-    if limit:
-        n = -(-limit // batch) * batch
-        todo = todo.orderBy(id_col).limit(n)
-    path = scratch_path(spark, f"embedded-{uuid.uuid4().hex}")
-    batch_embed(todo, id_col, text_col, embedder, dim, batch).write.parquet(path)
-    new = spark.read.parquet(path)
-    if target:
-        new.write.mode("append").parquet(target)
-    return new
-
-
 def hybrid_search(index: DataFrame | StoredIndex, vectors: DataFrame, queries: DataFrame, k: int = 10, c: int = 60,
                   id_col: str = "vec_id", vec_col: str = "embedding", candidates: int | None = None) -> DataFrame:
     """Text + vector search fused by reciprocal rank: ``queries`` = (query_id, text, vector). Each side ranks
     ``candidates`` (default k) documents per query; the fused top-k is returned (query_id, doc_id, score, rank)."""
     n = candidates or k
+    queries = _written(queries.select("query_id", "text", "vector"), "hybrid-queries")
     text_hits = fts_match(index, queries.select("query_id", "text"), n)
     vec_hits = cosine_topk(vectors, queries.select("query_id", "vector"), n, id_col=id_col, vec_col=vec_col)
     return rrf_fuse(text_hits, vec_hits, k, c)

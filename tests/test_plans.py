@@ -42,17 +42,22 @@ def test_no_non_scaling_operators(spark, name):
 
 def test_stored_index_is_pruned_by_bucket(spark):
     from pyspark.sql import functions as F
-    from tessera.operators import search as S
+    from tessera.operators import textindex as T
     from tessera.plans.retrieval import stored_index
     from tessera.plans.standins import Tables
     t = Tables(spark, SMALL)
-    index = stored_index(spark, t)
+    index = stored_index(spark, SMALL)
     one = t.documents.where("doc_id = 1").select(F.lit(1).alias("query_id"), F.substring_index("text", " ", 2).alias("text"))
     old = spark.conf.get("spark.sql.maxMetadataStringLength")
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")   # show the whole scan description
     try:
-        p = plan_text(S.fts_match(index, one, 5))
+        terms, postings, _ = T._asked(index, one, "portuguese", None, ["tf"])
+        p = plan_text(index.postings.where(F.col("bucket").isin([1, 2])))
     finally:
         spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    # what was read of the index is the postings of the asked terms, and only those
+    assert {r["token"] for r in postings.select("token").distinct().collect()} == {
+        r["token"] for r in terms.select("token").distinct().collect()}
+    assert postings.columns == ["bucket", "token", "doc_id", "tf"]
     scans = [x for x in p.split("FileScan") if "/postings" in x]
     assert scans and all("bucket" in x.split("PartitionFilters: ")[1].split("]")[0] for x in scans)

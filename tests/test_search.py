@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import embedding as E
 from tessera.operators import search as S
 from tessera.plans.retrieval import label_centroids
 from tessera.plans.standins import Tables
@@ -125,7 +126,9 @@ def test_fts_match_requires_all_terms(spark):
     hits = S.fts_match(idx, q, 5, n_docs=docs).collect()
     assert [r["doc_id"] for r in hits] == [1]
     assert "de" not in {r["token"] for r in idx.collect()}   # stop word removed
-    assert "licitacao" in {r["token"] for r in idx.collect()}  # accent folded
+    assert "licit" in {r["token"] for r in idx.collect()}  # stemmed
+    whole = S.fts_index(docs, "doc_id", ["text"], stems=False)
+    assert "licitacao" in {r["token"] for r in whole.collect()}  # accent folded
 
 
 def test_rrf_fuse_sums_reciprocal_ranks(spark):
@@ -134,3 +137,167 @@ def test_rrf_fuse_sums_reciprocal_ranks(spark):
     got = {r["doc_id"]: (r["score"], r["rank"]) for r in S.rrf_fuse(text, vec, k=3, c=60).collect()}
     assert got[11] == (round(1 / 62 + 1 / 61, 9), 1)
     assert got[10] == (round(1 / 61, 9), 2) and got[12][1] == 3
+
+
+def test_terms_match_other_forms_of_the_word(spark):
+    docs = spark.createDataFrame([(1, "Licitações públicas"), (2, "pública licitação"), (3, "publicou licitante 2x40")],
+                                 "doc_id long, text string")
+    q = spark.createDataFrame([(1, "LICITAÇÃO"), (2, "publicações"), (3, "2X40")], "query_id long, text string")
+    index = S.store_index(docs, "doc_id", ["text"], scratch_path(spark, "forms-index"), 4)
+    got = {(r["query_id"], r["doc_id"]) for r in S.fts_match(index, q, 5).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 3)} and index.n_docs == 3
+
+
+def plain_phrases(docs, asked):
+    """(query, doc) -> (hits, first place), over lists of tokens."""
+    import re
+    words = lambda t: [w for w in re.split(r"[^\w]+", t.lower()) if w]
+    stop, out = set(S.stop_words()), {}
+    for q, phrase in asked:
+        need = [(i, w) for i, w in enumerate(words(phrase)) if w not in stop]
+        for d, text in docs:
+            own = words(text)
+            at = [p for p in range(-len(own), len(own)) if need and all(
+                0 <= p + i < len(own) and own[p + i] == w and w not in stop for i, w in need)]
+            if at:
+                out[q, d] = (len(at), min(at) + 1)
+    return out
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_phrases_against_plain_search(spark, stored):
+    import random
+    rnd = random.Random(4)
+    vocab = ["kiwi", "grub", "de", "a", "golf", "x1"]
+    docs = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(0, 40)))) for i in range(60)] + [(99, "kiwi " * 500)]
+    asked = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(1, 4)))) for i in range(40)]
+    asked += [(50, "kiwi kiwi kiwi"), (51, "kiwi missing"), (52, "de a"), (53, "golf de grub"), (54, "")]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string")
+    index = (S.store_index(ddf, "doc_id", ["text"], scratch_path(spark, "phrase-index"), 5, stems=False) if stored
+             else S.fts_index(ddf, "doc_id", ["text"], positions=True))
+    got = S.fts_phrase(index, spark.createDataFrame(asked, "query_id long, text string")).collect()
+    assert {(r["query_id"], r["doc_id"]): (r["hits"], r["first_place"]) for r in got} == plain_phrases(docs, asked)
+    assert len(got) == len({(r["query_id"], r["doc_id"]) for r in got})
+
+
+def test_stored_index_reads_asked_buckets_only_and_keeps_positions_as_differences(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat_ws(' ', repeat('kiwi ', 40), id, 'golf') as text")
+    index = S.store_index(docs, "doc_id", ["text"], scratch_path(spark, "wide-index"), 8)
+    assert index.n_docs == 3000 and index.terms.where("token = 'kiw'").first()["df"] == 3000
+    import glob
+
+    import pyarrow.parquet as pq
+    path = index.path.replace("file:", "")
+    seen = set()
+    for f in glob.glob(f"{path}/postings/*/*.parquet"):
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        for i in range(group.num_columns):
+            if group.column(i).path_in_schema.startswith("positions"):
+                seen |= set(group.column(i).encodings)
+    assert "DELTA_BINARY_PACKED" in seen
+    asked = spark.createDataFrame([(1, "golf")], "query_id long, text string")
+    S.fts_match(index, asked, 3)
+    plan = index.postings.where(F.col("bucket") == 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+class Broken(Exception):
+    pass
+
+
+def test_a_pass_that_breaks_off_keeps_its_committed_slices(spark):
+    """Slices are committed while the pass runs; the second pass asks only for what is missing."""
+    asked, limit = spark.sparkContext.accumulator(0), 400
+
+    def embedder(fails):
+        def embed(texts):
+            if fails and any(int(t.split()[1]) % 1000 == 777 for t in texts):
+                raise RuntimeError("the endpoint is gone for good")
+            asked.add(len(texts))
+            return np.array([[len(t), int(t.split()[1])] for t in texts])
+        return embed
+    src = spark.range(limit * 10).selectExpr("id", "concat('text ', id) as text")
+    target = scratch_path(spark, "crash-table")
+    with pytest.raises(Exception, match="gone for good"):
+        S.resume_embed(src, None, embedder(True), 2, target=target, slice_rows=limit, at_once=1)
+    table = E.EmbeddedTable(spark, target)
+    kept = {r["id"] for r in table.rows("id bigint, vector array<float>").collect()}
+    assert 0 < len(kept) < 4000 and len(table.open_passes()) == 1
+    before = asked.value
+    out = S.resume_embed(src, None, embedder(False), 2, target=target, slice_rows=limit)
+    assert asked.value - before == 4000 - len(kept)
+    rows = table.rows("id bigint, vector array<float>").collect()
+    assert {r["id"]: list(r["vector"]) for r in rows} == {i: [len(f"text {i}"), float(i)] for i in range(4000)}
+    assert len(rows) == 4000 == out.count() and table.open_passes() == [] and len(table.committed()) == 1
+    assert S.resume_embed(src, None, embedder(True), 2, target=target).count() == 0
+    more = spark.range(4005).selectExpr("id", "concat('text ', id) as text")
+    assert S.resume_embed(more, None, embedder(False), 2, target=target).count() == 5
+    assert spark.read.parquet(target).count() == 4005
+
+
+def test_calls_are_in_flight_side_by_side_in_order_and_bounded():
+    import threading
+    import time
+    now, most, taken = [0], [0], [0]
+    lock = threading.Lock()
+
+    def call(i):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        return i * i
+
+    def items():
+        for i in range(40):
+            taken[0] = i + 1
+            yield i
+    began = time.time()
+    out = E.in_order(items(), call, 8)
+    assert next(out) == 0 and taken[0] <= 8     # no item is taken before there is room for its call
+    assert list(out) == [i * i for i in range(1, 40)]
+    assert most[0] == 8 and time.time() - began < 40 * 0.02 / 3
+    done = []
+
+    def fails(i):
+        if i == 5:
+            raise Broken
+        time.sleep(0.01)
+        done.append(i)
+    with pytest.raises(Broken):
+        list(E.in_order(range(1000), fails, 4))
+    assert len(done) < 20
+
+
+def test_a_sleeping_embedder_is_asked_side_by_side(spark):
+    import time
+
+    def slow(texts):
+        time.sleep(0.25)
+        return np.ones((len(texts), 2))
+    df = spark.range(16).selectExpr("id", "cast(id as string) as text").repartition(1)
+    took = {}
+    for workers in (1, 8):
+        began = time.time()
+        got = E.batch_embed(df, "id", "text", slow, 2, batch=1, workers=workers).collect()
+        took[workers] = time.time() - began
+        assert sorted(r["id"] for r in got) == list(range(16))
+    assert took[8] < took[1] - 1.5
+
+
+def test_each_text_is_embedded_once_for_several_query_blocks(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        asked.add(len(texts))
+        return np.array([[t.count(c) + 1.0 for c in "abc"] for t in texts])
+    docs = spark.range(20).selectExpr("id as doc_id", "repeat('a b', int(id % 5)) as text")
+    queries = spark.range(9).selectExpr("id as query_id", "concat('a ', repeat('b', int(id))) as text")
+    vecs = S.batch_embed(docs, "doc_id", "text", embed, 3)
+    own = S.batch_embed(queries, "query_id", "text", embed, 3).withColumnRenamed("id", "query_id")
+    index = S.store_index(docs, "doc_id", ["text"], scratch_path(spark, "once-index"), 4)
+    monkeypatch.setattr(S, "QUERY_BLOCK_BYTES", 72)
+    S.hybrid_search(index, vecs, queries.join(own, "query_id"), 3, id_col="id", vec_col="vector").collect()
+    assert asked.value == 29
