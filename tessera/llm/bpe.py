@@ -6,6 +6,8 @@ undoing their merges never shows a pair across the seam that would have merged e
 lowest rank first. Pieces (matches of the split pattern) are independent, so a text is re-encoded near an edit only.
 
 Null texts count as empty; empty texts have no ids; repeated rows are encoded each; extra columns are ignored.
+
+Rows are told apart as rows: those that share an id, and rows without one, each have a result of their own.
 """
 
 from __future__ import annotations
@@ -187,13 +189,13 @@ class BatchBpe:
         return mix64(hashes + np.uint64(size * MIX_2 % 2 ** 64))
 
     def _follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left << 20) | right
+        key = (left << 32) | right
         slot = (mix64(key.astype(np.uint64)) >> np.uint64(64 - self.PAIR_BITS)).astype(np.int64)
         miss = np.flatnonzero(self.pair_key[slot] != key)
         out = self.pair_ok[slot]
         if len(miss):
             new, back = np.unique(key[miss], return_inverse=True)
-            ok = np.array([self.bpe._seam_survives(k >> 20, k & 0xFFFFF) for k in new.tolist()], bool)
+            ok = np.array([self.bpe._seam_survives(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
             out[miss] = ok[back]
             self.pair_key[slot[miss]], self.pair_ok[slot[miss]] = key[miss], out[miss]
         return out
@@ -353,12 +355,18 @@ class _Coder:
         decimal = {n: str(n) for n in self.bpe.bytes_of}
 
         def coded(pieces: list[str]) -> list[tuple]:
-            return [(len(ids), ",".join([decimal[n] for n in ids]), self.bpe.decode(ids))
-                    for ids in batch.encode([p.encode("utf-8") for p in pieces])]
+            out, raw = [], [p.encode("utf-8") for p in pieces]
+            for p, ids in zip(raw, batch.encode(raw)):
+                back = self.bpe.decode(ids)
+                if back != p:  # two byte strings met in one hash: this piece by exact look-ups
+                    ids = self.bpe.encode_piece(p)
+                    back = self.bpe.decode(ids)
+                out.append((len(ids), ",".join([decimal[n] for n in ids]), back))
+            return out
         self.pieces = _Remembered(coded)
         self.stretches = _Remembered(self._stretches)
         self.at_spaces = pattern == public_tokenizers.PATTERN
-        self.joined = regex.compile(r"\s \s")
+        self.joined = regex.compile(r"\s \s|\s\s\Z")
 
     def _cut(self, stretch: str) -> list[str]:
         """The pattern's matches. A stretch that begins with a space is the first of its text and has none before it;

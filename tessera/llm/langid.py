@@ -18,6 +18,8 @@ the language's sample does not hold matches nothing, and everything else counts
 A text that is null or has no letter is ``und`` with score 0. Ties go to the first language by name. With no labelled
 rows every text is ``und``. Score: the winner's share when each language weighs 2 to the power of minus its phrase bits
 (softened), between 0 and 1. Repeated rows and extra columns do not matter.
+
+Rows are told apart as rows: those that share an id, and rows without one, each have a result of their own.
 """
 
 from __future__ import annotations

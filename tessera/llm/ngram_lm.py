@@ -19,6 +19,9 @@ a log scale.
 Tokens: words are runs of bytes other than space and 0x09-0x0D after lower-casing A-Z, then one end, which is also the
 context of the first word. Null and empty texts have the end alone. Repeated rows count as often as they occur; extra
 columns are ignored; with no training row every token is unknown, N = V = 0.
+
+Rows are told apart as rows: those that share an id, and rows without one (which count as training rows), each have a score
+of their own. Counts are 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -103,7 +106,7 @@ class Block:
         self.starts = self.ends + 1 - self.lengths
         self.training = np.repeat(~self.held, self.lengths)
         if answers:
-            self.count = np.concatenate([_array(c, np.uint32) for _, c, _ in answers]).astype(np.int64)
+            self.count = np.concatenate([_array(c, np.uint64) for _, c, _ in answers]).astype(np.int64)
             self.number = np.concatenate([_array(i, np.uint32).astype(np.uint64) + bases[s] for s, _, i in answers])
 
     def training_counts(self) -> np.ndarray:
@@ -146,7 +149,7 @@ def _word_parcels(shards: int):
                 cut = np.searchsorted(_shard_of_key(block.keys, shards), np.arange(shards + 1))
                 yield pa.RecordBatch.from_pylist(
                     [{"shard": s, "block": row["block"], "keys": _squeeze(block.keys[a:b]),
-                      "counts": _squeeze(counts[a:b])} for s, (a, b) in enumerate(zip(cut[:-1], cut[1:]))],
+                      "counts": _squeeze(counts[a:b])} for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b],
                     pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()),
                                ("counts", pa.binary())]))
     return run
@@ -173,7 +176,7 @@ def _add_words(table: pa.Table) -> pa.Table:
     for block, own in zip(table.column("block").to_pylist(), keys):
         mine = at[begin:begin + len(own)]
         begin += len(own)
-        rows.append({"shard": shard, "block": block, "counts": _squeeze(total[mine].astype(np.uint32)),
+        rows.append({"shard": shard, "block": block, "counts": _squeeze(total[mine].astype(np.uint64)),
                      "numbers": _squeeze(number[mine].astype(np.uint32))})
     return pa.Table.from_pylist(rows, pa.schema([
         ("shard", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("numbers", pa.binary()),
@@ -220,7 +223,7 @@ def _pair_parcels(facts, shards: int):
             if len(own):
                 first, sizes = _runs(ctx[own])
                 parts = (ctx[own][first], block.count[context[own[first]]], sizes.astype(np.uint32), num[own],
-                         block.count[word[own]].astype(np.uint32), seen[own].astype(np.uint32))
+                         block.count[word[own]].astype(np.uint64), seen[own].astype(np.uint32))
                 out.append({"shard": s, "block": row["block"],
                             **{k: _squeeze(v) for k, v in zip(_PAIR_FIELDS, parts)}})
         return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("block", pa.int64()),
@@ -260,7 +263,7 @@ def _answer_pairs(facts):
         mass = facts.value["part_mass"]
         z = total + bins + 1
         got = [[_array(x, d) for x in table.column(c).to_pylist()] for c, d in zip(
-            _PAIR_FIELDS, (np.uint64, np.int64, np.uint32, np.uint64, np.uint32, np.uint32))]
+            _PAIR_FIELDS, (np.uint64, np.int64, np.uint32, np.uint64, np.uint64, np.uint32))]
         contexts, context_counts, sizes, words, word_counts, seen = (np.concatenate(x) for x in got)
         sizes = sizes.astype(np.int64)
         every = np.repeat(contexts, sizes)
@@ -364,5 +367,6 @@ def score(docs: DataFrame, held_out, hot: int = HOT) -> DataFrame:
     both = answers.select(F.lit(0).alias("kind"), "shard", "block", F.col("counts").alias("a"),
                           F.col("numbers").alias("b")).union(
         replies.select(F.lit(1), "shard", "block", "codes", "weights"))
-    return (blocks.groupBy("block").cogroup(both.groupBy("block"))
-            .applyInArrow(_scores(facts, shards), SCORE_SCHEMA))
+    out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_scores(facts, shards), SCORE_SCHEMA)
+    spark.sql(f"drop table {name}")  # out of the catalog; the plan above reads its files
+    return out

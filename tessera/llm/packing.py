@@ -9,6 +9,8 @@ which pattern; pieces are ranked within their length and placed without meeting
 
 A null text is empty (its document is the separator alone); repeated rows are packed as separate documents by
 ``doc_id``; an empty table gives no rows.
+
+Rows are told apart as rows: those that share an id, and rows without one, each have a result of their own.
 """
 
 from __future__ import annotations

@@ -12,6 +12,9 @@ a hash of the id (by chance a few fewer); their features reach the driver as arr
 
 Words are runs of letters, digits and non-ASCII bytes after lower-casing. A null or empty text has no features and gets
 the bias alone. With no labelled row the score is 0. Repeated rows and extra columns do not matter.
+
+Rows are told apart as rows: those that share an id, and rows without one, each have a score of their own. In learning, of
+rows that share an id one is used, and rows without id or label are not.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep_rows, mix64, prepare, text_batches, word_keys
+from tessera.llm.common import keep_rows, mix64, prepare, stored, text_batches, word_keys
 
 BITS = 22
 SIZE = 1 << BITS
 SAMPLE_TOXIC, SAMPLE_OTHER = 2000, 4000
-SAMPLE_PLACES = 1 << 16
+#: Bytes of the sample's features; beyond it fewer rows are taken, each whole.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.7
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2 strength, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 10.0, 1.0, 10
@@ -109,9 +113,9 @@ def _score(sent):
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, most=1 << 20):
         row, place = features(batch.column("text").to_pylist())
-        own = [np.unique(place[row == i])[:SAMPLE_PLACES].astype("<i4").tobytes() for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())],
-                                         ["doc_id", "label", "places"])
+        own = [np.unique(place[row == i]).astype("<i4").tobytes() for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("turn"),
+                                          pa.array(own, pa.binary())], ["doc_id", "label", "turn", "places"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -124,11 +128,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     most = {1: SAMPLE_TOXIC, 0: SAMPLE_OTHER}
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1 << 52)) / float(1 << 52)
     share = F.when(F.col("label") == 1, most[1] / max(1, sizes.get(1, 0))).otherwise(most[0] / max(1, sizes.get(0, 0)))
-    chosen = marked.where(place < share)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-    got = (texts.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
-           .mapInArrow(_sampled, "doc_id bigint, label int, places binary").collect())
-    got = sorted({r["doc_id"]: r for r in got}.values(), key=lambda r: r["doc_id"])
+    chosen = marked.withColumn("turn", place / share).where("turn < 1")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label", "turn")), "doc_id")
+    held = stored(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "turn", "text")
+                  .mapInArrow(_sampled, "doc_id bigint, label int, turn double, places binary"), "toxicity-sample")
+    # rows in the order of their turn, both classes alike, while their features fit; of rows that share an id the largest
+    listed = held.groupBy("doc_id", "label", "turn").agg(F.max(F.length("places")).alias("bytes")).collect()
+    listed.sort(key=lambda r: (r["turn"], r["doc_id"]))
+    within = [r for r, upto in zip(listed, np.cumsum([r["bytes"] for r in listed])) if upto <= SAMPLE_BYTES]
+    if not within:
+        return fit([], np.zeros(0))
+    got = held.where(F.col("turn") <= within[-1]["turn"]).collect()
+    got = sorted({r["doc_id"]: r for r in sorted(got, key=lambda r: (len(r["places"]), r["places"]))}.values(),
+                 key=lambda r: r["doc_id"])
     got = [r for c in (0, 1) for r in [x for x in got if x["label"] == c][:most[c]]]
     return fit([np.frombuffer(r["places"], "<i4") for r in got], np.array([r["label"] for r in got]))
 

@@ -113,7 +113,7 @@ def brute_top(rows, asked, k):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 1000])
+@pytest.mark.parametrize("block", [800, 1 << 20])
 def test_top_k_with_ties_and_odd_rows(spark, block):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=33).astype(np.float32).tolist()) for i in range(300)]
@@ -122,7 +122,7 @@ def test_top_k_with_ties_and_odd_rows(spark, block):
              (405, [1.0, 2.0]), (410, [0.0] * 33)]
     own = topk.integer_vectors(vectors(spark, rows))
     asked = [i for i, _ in rows if i % 5 == 0]
-    got = topk.top_k(own, own.where("vec_id % 5 = 0"), 5, query_block=block).collect()
+    got = topk.top_k(own, own.where("vec_id % 5 = 0"), 5, block_bytes=block).collect()
     assert {tuple(r) for r in got} == brute_top(rows, asked, 5)
     twice = own.union(own.where("vec_id = 10"))
     again = [tuple(r) for r in topk.top_k(twice, twice.where("vec_id = 10"), 5).collect()]
@@ -141,3 +141,30 @@ def test_segment_bound_holds():
             assert (bound + 1e-6 >= x @ y.T).all()
             assert last is None or (bound <= last + 1e-6).all()
             last = bound
+
+
+@pytest.mark.parametrize("top", [20, 24, 26, 28, 30])
+def test_top_k_is_exact_for_large_numbers(spark, top):
+    """Whole numbers whose products pass 2**53; ties and neighbours differ by one unit."""
+    rng = np.random.default_rng(top)
+    base = rng.integers(-(1 << top), 1 << top, (12, 8 if top == 30 else 64))
+    rows = [(i, base[i % 12].tolist()) for i in range(60)]
+    for i in range(12, 60):
+        rows[i][1][i % 7] += i % 3 - 1
+    own = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>").repartition(3)
+    got = topk.top_k(own, own.where("vec_id % 5 = 0"), 5).collect()
+    want = set()
+    for q, v in rows[::5]:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_products_beyond_a_long_are_an_error_and_up_to_it_exact():
+    big = np.array([[2 ** 61, 3]], np.int64)
+    for q, want in (([3, 5], 3 * 2 ** 61 + 15), ([-4, 1], -2 ** 63 + 3)):
+        q = np.array(q, np.int64)
+        got = topk.exact_products(big, q, np.array([2.0 ** 61]), float(np.sqrt((q ** 2).sum())))
+        assert got.tolist() == [want]
+    with pytest.raises(OverflowError):
+        topk.exact_products(big, np.array([4, 0], np.int64), np.array([2.0 ** 61]), 4.0)
