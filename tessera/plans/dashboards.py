@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import filter_conjunction
 from tessera.operators import bi, topk
 from tessera.plans.registry import query
 from tessera.plans.standins import Tables, indicators, notices, with_standins
+from tessera.session import scratch_path
+from tessera.sources.sinks import View, read_refreshed, refresh_views
 
 MEDIAN_YEAR = 1995  # the single-year median views use this year of the test data
 
@@ -99,6 +103,39 @@ def q_median_by_uf(spark, sf):
     return bi.median_by_uf(latest_indicators(spark, sf), MEDIAN_YEAR)
 
 
+#: The stored aggregates over the latest indicator rows: one shared view, three that read it.
+MEDIAN_VIEWS = (
+    View("latest", ("indicators",), lambda f: bi.latest_per_key(
+        filter_conjunction(f["indicators"], {"sphere": "Municipal"}, positive="amount"), ["municipality", "yr"],
+        order="period", tiebreak="row_id")),
+    View("by_year", ("latest",), lambda f: bi.median_by_year(f["latest"])),
+    View("by_region", ("latest",), lambda f: bi.median_by_region(f["latest"], MEDIAN_YEAR)),
+    View("by_uf", ("latest",), lambda f: bi.median_by_uf(f["latest"], MEDIAN_YEAR)))
+
+
+def _all_medians_sql() -> str:
+    parts = [("by_year", "cast(yr as varchar)", ""), ("by_region", "region", f"where yr = {MEDIAN_YEAR}"),
+             ("by_uf", "uf", f"where yr = {MEDIAN_YEAR}")]
+    return with_standins(" union all ".join(
+        f"select '{name}' as family, {g} as member, cast(round(cast(quantile_cont(amount, 0.5) as decimal(38,10)), 2) as "
+        f"decimal(38,2)) as median_value from ({_LATEST_SQL}) l {where} group by 2" for name, g, where in parts), "indicators")
+
+
+@query("median_views", bench=True, oracle=_all_medians_sql)
+def q_median_views(spark, sf):
+    """The three medians as stored views over one stored view of the latest rows."""
+    root = scratch_path(spark, f"views-{uuid.uuid4().hex}")
+    states = refresh_views(spark, MEDIAN_VIEWS, {"indicators": indicators(Tables(spark, sf))}, root)
+    if set(states.values()) != {"refreshed"}:
+        raise RuntimeError(f"views not refreshed: {states}")
+    out = None
+    for name, member in (("by_year", "year"), ("by_region", "region"), ("by_uf", "uf")):
+        part = read_refreshed(spark, f"{root}/{name}").select(F.lit(name).alias("family"), F.col(member).alias("member"),
+                                                              "median_value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("reporting_by_year", oracle=with_standins(
     "select cast(yr as varchar) as year, count(distinct municipality) as municipalities_reporting "
     "from indicators where sphere = 'Municipal' group by 1", "indicators"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.plans.registry import query
 from tessera.plans.standins import TABLES, Tables, ledger, notices, with_standins
 from tessera.session import scratch_path
-from tessera.sources import sinks, tables, text
+from tessera.sources import keyed, sinks, tables, text
 from tessera.operators import bi
 
 
@@ -56,7 +56,7 @@ def q_full_refresh_sink(spark, sf):
     n = Tables(spark, sf).nation
     sinks.full_refresh_sink(n.where(F.col("n_nationkey") < 5), path)   # first load
     sinks.full_refresh_sink(n, path)                                   # full refresh replaces it
-    return spark.read.parquet(path)
+    return sinks.read_refreshed(spark, path)
 
 
 @query("materialize_view", oracle=with_standins(
@@ -231,3 +231,15 @@ def q_insert_if_absent(spark, sf):
     c = Tables(spark, sf).customer
     return sinks.insert_if_absent(c.where(F.col("c_custkey") % 2 == 0), c.where(F.col("c_custkey") % 3 == 0),
                                   ["c_custkey"])
+
+
+@query("insert_if_absent_table", oracle=(
+    "select * from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0"))
+def q_insert_if_absent_table(spark, sf):
+    """The same into a stored table: the second batch rewrites only the buckets of its keys."""
+    c = Tables(spark, sf).customer
+    table = keyed.KeyedTable(spark, _scratch(spark, "customers"), c.schema, ("c_custkey",), buckets=16)
+    merge = keyed.first_write(["c_custkey"], ["c_name"])
+    table.apply(c.where(F.col("c_custkey") % 2 == 0), merge, 0)
+    table.apply(c.where(F.col("c_custkey") % 3 == 0), merge, 1)
+    return table.rows()

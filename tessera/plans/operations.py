@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import price_expr
 from tessera.operators import bi, joins as J, offers as O, progress as G, topk, windows as W
+from tessera.operators.parity import table_parity
 from tessera.plans.registry import query
+from tessera.session import scratch_path
+from tessera.sources.keyed import DoneTable, KeyedTable, last_write
 from tessera.sources.tables import literal_frame
 from tessera.plans.standins import (TABLES, Tables, ledger, offers, samples, snapshots, vote_events,
                                     with_standins)
@@ -21,6 +26,19 @@ def q_anti_done(spark, sf):
     return J.anti_done(t.documents.select("doc_id", "lang"), t.labels, "doc_id")
 
 
+@query("anti_done_stored", oracle="select doc_id, lang from documents d where not exists "
+                                  "(select 1 from labels l where l.doc_id = d.doc_id)")
+def q_anti_done_stored(spark, sf):
+    """The same against a stored table of done keys, bucketed and sorted by key: only the source is shuffled."""
+    t = Tables(spark, sf)
+    name = f"done_{uuid.uuid4().hex}"
+    done = DoneTable(spark, name, "doc_id", 2 * spark.sparkContext.defaultParallelism, scratch_path(spark, name))
+    done.add(t.labels.select("doc_id"))
+    out = done.todo(t.documents.select("doc_id", "lang"))
+    spark.sql(f"drop table {name}")  # out of the catalog; the plan above reads its files
+    return out
+
+
 def _blacklist(t):
     return t.lineitem.where(F.col("l_returnflag") == "R").select((F.col("l_suppkey") % 397).alias("machine_id"))
 
@@ -134,13 +152,39 @@ _RIGHT_SUPPLIER_SQL = ("select s_suppkey, s_name, case when s_suppkey % 7 = 0 th
     "r.s_name and l.s_acctbal is not distinct from r.s_acctbal then 'match' else 'differs' end as status "
     "from supplier l full outer join r on l.s_suppkey = r.s_suppkey"))
 def q_table_diff(spark, sf):
+    return J.table_diff(*_supplier_sides(spark, sf), ["s_suppkey"], ["s_name", "s_acctbal"])
+
+
+def _supplier_sides(spark, sf):
     s = Tables(spark, sf).supplier.select("s_suppkey", "s_name", "s_acctbal")
     right = s.where(F.col("s_suppkey") % 10 != 0).select(
         "s_suppkey", "s_name",
         F.when(F.col("s_suppkey") % 7 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).alias("s_acctbal")
     ).unionByName(s.where(F.col("s_suppkey") % 13 == 0).select((F.col("s_suppkey") + 1000000).alias("s_suppkey"),
                                                                 "s_name", "s_acctbal"))
-    return J.table_diff(s, right, ["s_suppkey"], ["s_name", "s_acctbal"])
+    return s, right
+
+
+@query("table_parity", oracle=(
+    f"with r as ({_RIGHT_SUPPLIER_SQL}) select coalesce(l.s_suppkey, r.s_suppkey) as s_suppkey, case when "
+    "r.s_suppkey is null then 'missing' when l.s_suppkey is null then 'extra' when l.s_name is not distinct from "
+    "r.s_name and l.s_acctbal is not distinct from r.s_acctbal then 'match' else 'differs' end as status "
+    "from supplier l full outer join r on l.s_suppkey = r.s_suppkey"))
+def q_table_parity(spark, sf):
+    """``table_diff`` with bucket sums first."""
+    left, right = _supplier_sides(spark, sf)
+    return table_parity(left, right, ["s_suppkey"], ["s_name", "s_acctbal"])
+
+
+@query("table_parity_orders", oracle=(
+    "select o_orderkey, case when o_orderkey % 5003 = 7 then 'missing' when o_orderkey % 4001 = 3 then 'differs' else 'match' "
+    "end as status from orders"))
+def q_table_parity_orders(spark, sf):
+    """Two copies of the orders that differ in a few rows: most buckets agree and are not joined."""
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    copy = o.where(F.col("o_orderkey") % 5003 != 7).withColumn(
+        "o_orderstatus", F.when(F.col("o_orderkey") % 4001 == 3, F.lit("?")).otherwise(F.col("o_orderstatus")))
+    return table_parity(o, copy, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
 @query("dedupe_keep_last", oracle=(
@@ -155,6 +199,18 @@ _VOTES_SQL = ("select slug, voter, vote as value, ts as updated_at from (select
               "slug, voter order by ts desc, seq desc) as rn from vote_events) v where rn = 1 and vote <> 0")
 
 
+@query("upsert_votes_table", oracle=with_standins(_VOTES_SQL, "vote_events"))
+def q_upsert_votes_table(spark, sf):
+    """The same kept in a stored table: every batch rewrites only the buckets of its keys (the second one comes twice)."""
+    votes = vote_events(Tables(spark, sf)).select("slug", "voter", "vote", "ts", "seq")
+    table = KeyedTable(spark, scratch_path(spark, f"votes-{uuid.uuid4().hex}"), votes.schema, ("slug", "voter"), buckets=16)
+    merge = last_write(["slug", "voter"], ["ts", "seq"])
+    for n, part in enumerate((0, 1, 1, 2)):
+        table.apply(votes.where(F.col("seq") % 3 == part), merge, (0, 1, 1, 2)[n])
+    return table.rows().where(F.col("vote") != 0).select("slug", "voter", F.col("vote").alias("value"),
+                                                         F.col("ts").alias("updated_at"))
+
+
 @query("upsert_votes", oracle=with_standins(_VOTES_SQL, "vote_events"))
 def q_upsert_votes(spark, sf):
     return G.upsert_votes(vote_events(Tables(spark, sf)))

@@ -1,73 +1,72 @@
-"""Sinks: full refresh of a table or Parquet folder, materialized aggregates, the JSON divergence report, and
-insert-if-absent. A refresh takes the place of the old rows only when it is complete, so a retried or failed job leaves
-either the old or the new output."""
+"""Sinks: full refresh of a table or Parquet folder, stored aggregates and aggregates over them, the JSON divergence
+report, and insert-if-absent. A refresh takes the place of the old rows in one step when it is complete (``versions``)."""
 
 from __future__ import annotations
 
-import uuid
-from typing import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from graphlib import TopologicalSorter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.versions import read_refreshed, write_version, write_version_table
+
 
 def _is_path(name_or_path: str) -> bool:
     return "/" in name_or_path or ":" in name_or_path
 
 
 def full_refresh_sink(df: DataFrame, name_or_path: str, partition_by: Iterable[str] = ()) -> None:
-    """Replace the target: a catalog table (``db.table``) or a Parquet folder. The new rows are written beside it first
-    and take its place only when they are complete, so a failed job leaves the old rows as they were (``df`` may read
-    the target itself). Column comments in field metadata are kept by the catalog write."""
-    spark, parts = df.sparkSession, list(partition_by)
-    mark = uuid.uuid4().hex[:12]
+    """Replace the target: a catalog name (``db.table``, a view over its current version) or a folder (read it with
+    ``read_refreshed``). The new rows are written whole beside the old ones and take their place in one step, so a job
+    that breaks off anywhere leaves the old rows or the new ones (``df`` may read the target itself). Column comments in
+    field metadata are kept by the catalog form."""
     if _is_path(name_or_path):
-        target = name_or_path.rstrip("/")
-        beside = f"{target}.new-{mark}"
-        df.write.partitionBy(*parts).parquet(beside)
-        _swap_folders(spark, beside, target, f"{target}.old-{mark}")
-        return
-    beside = f"{name_or_path}_new_{mark}"
-    df.write.format("parquet").partitionBy(*parts).saveAsTable(beside)
-    spark.sql(f"DROP TABLE IF EXISTS {name_or_path}")
-    spark.sql(f"ALTER TABLE {beside} RENAME TO {name_or_path}")
-    table_comment = next((f.metadata.get("table_comment") for f in df.schema.fields
-                          if f.metadata and f.metadata.get("table_comment")), None)
-    if table_comment:
-        # rows are already in place; a failing comment does not undo them
-        try:
-            spark.sql(f"COMMENT ON TABLE {name_or_path} IS " + _sql_literal(table_comment))
-        except Exception:  # noqa: BLE001
-            pass
-
-
-def _swap_folders(spark, new: str, target: str, old: str) -> None:
-    """Put ``new`` where ``target`` is: the old folder steps aside, the new one is renamed, the old one is removed; if
-    the rename fails the old folder comes back."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    at = fs_path(target)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = fs.exists(at)
-    if had and not fs.rename(at, fs_path(old)):
-        raise OSError(f"cannot move {target} aside")
-    if not fs.rename(fs_path(new), at):
-        if had:
-            fs.rename(fs_path(old), at)
-        raise OSError(f"cannot put {new} in place of {target}")
-    if had:
-        fs.delete(fs_path(old), True)
-    spark.catalog.refreshByPath(target)
-
-
-def _sql_literal(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        write_version(df, name_or_path, list(partition_by))
+    else:
+        write_version_table(df, name_or_path, list(partition_by))
 
 
 def materialize_view(df: DataFrame, name_or_path: str) -> DataFrame:
     """A named aggregate recomputed by full refresh only; returns the stored result for reuse."""
     full_refresh_sink(df, name_or_path)
     spark = df.sparkSession
-    return spark.read.parquet(name_or_path) if _is_path(name_or_path) else spark.table(name_or_path)
+    return read_refreshed(spark, name_or_path) if _is_path(name_or_path) else spark.table(name_or_path)
+
+
+@dataclass(frozen=True)
+class View:
+    """A stored aggregate: ``build`` gets the frames of ``parents`` (other views, or sources) by name."""
+
+    name: str
+    parents: tuple[str, ...]
+    build: Callable[[dict[str, DataFrame]], DataFrame]
+
+
+def refresh_views(spark: SparkSession, views: Iterable[View], sources: dict[str, DataFrame], root: str) -> dict[str, str]:
+    """Refresh the views below ``root``, parents first. A view that several others read is computed and stored once; they
+    read the stored rows. A view that fails keeps its old rows, and the views above it are left as they are. Returns what
+    became of each: ``refreshed``, ``failed: …`` or ``skipped: <parent>``."""
+    by_name = {v.name: v for v in views}
+    unknown = {p for v in by_name.values() for p in v.parents} - set(by_name) - set(sources)
+    if unknown or set(by_name) & set(sources):
+        raise ValueError(f"unknown parents {sorted(unknown)}, or views named as sources are")
+    order = TopologicalSorter({n: [p for p in v.parents if p in by_name] for n, v in by_name.items()}).static_order()
+    out: dict[str, str] = {}
+    for name in order:  # a cycle is an error before anything is written
+        view = by_name[name]
+        broken = [p for p in view.parents if p in by_name and out[p] != "refreshed"]
+        if broken:
+            out[name] = f"skipped: {broken[0]}"
+            continue
+        frames = {p: read_refreshed(spark, f"{root}/{p}") if p in by_name else sources[p] for p in view.parents}
+        try:
+            full_refresh_sink(view.build(frames), f"{root}/{name}")
+            out[name] = "refreshed"
+        except Exception as exc:  # noqa: BLE001 - one view's failure is reported, the others go on
+            out[name] = f"failed: {type(exc).__name__}: {exc}"
+    return out
 
 
 def insert_if_absent(target_df: DataFrame, new_df: DataFrame, keys: list[str],

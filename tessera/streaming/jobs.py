@@ -158,6 +158,14 @@ def upsert_votes_stream(stream_df: DataFrame, changes_path: str, keys=("slug", "
     return out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def into_keyed_table(stream_df: DataFrame, table, merge, checkpoint: str | None = None):
+    """Every micro-batch merged into a ``KeyedTable`` under its batch number: only the buckets of its keys are rewritten,
+    and a batch that is delivered again after a crash changes nothing."""
+    checkpoint = checkpoint or new_checkpoint(stream_df.sparkSession, "keyed")
+    return stream_df.writeStream.foreachBatch(lambda batch, batch_id: table.apply(batch, merge, batch_id) and None) \
+        .option("checkpointLocation", checkpoint)
+
+
 def current_votes(spark: SparkSession, changes_path: str, keys=("slug", "voter")) -> DataFrame:
     k = list(keys)
     log = spark.read.parquet(changes_path)
@@ -167,11 +175,16 @@ def current_votes(spark: SparkSession, changes_path: str, keys=("slug", "voter")
 
 def compact_votes(spark: SparkSession, changes_path: str, keys=("slug", "voter")) -> None:
     """Replace the change log by its last change per key, removals included, so that reading the live table does not
-    grow with the number of batches. Later batches append beside it, and a replayed batch repeats what it holds."""
-    from tessera.sources.sinks import full_refresh_sink
+    grow with the number of batches. The last changes are added as a folder of their own, and the folders they were
+    taken from are removed after that: since a key's last change wins, the log gives the same votes at every step, also
+    while a later batch appends beside it or an earlier one is replayed."""
+    from tessera.sources.folders import Folder
+    old = [n for n in Folder(spark, changes_path).names() if n.startswith("batch=")]
     last = spark.read.parquet(changes_path).groupBy(*keys).agg(
         F.max_by(F.struct("value", "updated_at", "batch_id"), F.col("batch_id")).alias("_v"))
-    full_refresh_sink(last.select(*keys, "_v.*", F.lit("compacted").alias("batch")), changes_path, ["batch"])
+    last.select(*keys, "_v.*").write.parquet(f"{changes_path}/batch=compacted-{uuid.uuid4().hex}")
+    for name in old:
+        Folder(spark, f"{changes_path}/{name}").remove()
 
 
 # ---- stateful processors --------------------------------------------------------------------------------------

@@ -146,7 +146,7 @@ def test_unreadable_record_is_its_own_problem(spark):
 @pytest.mark.parametrize("kind", ["folder", "table"])
 def test_a_failing_refresh_leaves_the_old_rows(spark, kind):
     name = scratch_path(spark, f"refresh-{uuid.uuid4().hex}") if kind == "folder" else f"refresh_{uuid.uuid4().hex}"
-    read = spark.read.parquet if kind == "folder" else spark.table
+    read = (lambda at: sinks.read_refreshed(spark, at)) if kind == "folder" else spark.table
     sinks.full_refresh_sink(spark.range(3), name)
     bad = spark.range(2000).withColumn("id", F.when(F.col("id") < 1500, F.col("id")).otherwise(
         F.raise_error(F.lit("broken row")).cast("long")))
