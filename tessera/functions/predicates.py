@@ -100,6 +100,10 @@ def valid_key_format(df: DataFrame, col: str, pattern: str) -> DataFrame:
     return df.withColumn("valid", F.coalesce(F.col(col).rlike(pattern), F.lit(False)))
 
 
+# Every Unicode space, and the four separators that count as spaces when a text is split into words.
+ANY_SPACE = r"(?U:[\s\x1c-\x1f])"
+
+
 def moderate_comments(df: DataFrame, name: str = "name", body: str = "body", honeypot: str | None = None,
                       max_links: int = MAX_LINKS, name_len=(NAME_MIN, NAME_MAX),
                       body_len=(BODY_MIN, BODY_MAX)) -> DataFrame:
@@ -108,8 +112,8 @@ def moderate_comments(df: DataFrame, name: str = "name", body: str = "body", hon
     trimmed, body trimmed; empty name or body shorter than 2 → rejected; more than ``max_links`` http(s) links →
     rejected. Adds clean_name, clean_body, links, reason, accepted, stored."""
     raw_n, raw_b = F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(body), F.lit(""))
-    n = F.regexp_replace(F.regexp_replace(raw_n, r"\s+", " "), r"^ | $", "")
-    b = F.regexp_replace(raw_b, r"^\s+|\s+$", "")
+    n = F.regexp_replace(F.regexp_replace(raw_n, f"{ANY_SPACE}+", " "), r"^ | $", "")
+    b = F.regexp_replace(raw_b, f"^{ANY_SPACE}+|{ANY_SPACE}+$", "")
     links = F.regexp_count(b, F.lit(r"https?://"))
     hp = F.lit(False) if honeypot is None else (F.coalesce(F.length(F.col(honeypot)), F.lit(0)) > 0)
     reason = (F.when((F.length(raw_n) < name_len[0]) | (F.length(raw_n) > name_len[1]), F.lit("name_length"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.quantile import exact_percentile
+from tessera.operators.quantile import counted_up, exact_percentile, value_at
 
 # Labels for missing categories.
 NOT_INFORMED = "Not informed"
@@ -150,24 +150,13 @@ def cache_hit_ratio(df: DataFrame, hit: str, read: str, digits: int = 2) -> Data
 
 def nearest_rank_p95(df: DataFrame, group: str, value: str, ok: str, p: float = 0.95) -> DataFrame:
     """Successful rows per group and the value at 0-based index int(n·p)−1 of the sorted successful values
-    (index −1 means the last one, as a Python list would read it). The rank is found with the same
-    range-partitioned ranking as the exact percentile, so a big group is never sorted in one task."""
+    (index −1 means the last one, as a Python list would read it; null values count as rows and sort first). Equal values
+    are counted before they are sorted, so neither a big group nor a value that very many rows hold is sorted in one task;
+    the sizes of the groups are the sums of those counts."""
     okd = df.where(F.col(ok)).select(F.col(group), F.col(value).cast("double").alias("_v"))
-    counts = okd.groupBy(group).agg(F.count(F.lit(1)).alias("ok_rows"))
+    upto = counted_up(okd, [group])
+    sizes = upto.groupBy(group).agg(F.sum("_c").alias("ok_rows"))
     idx = F.floor(F.col("ok_rows") * F.lit(p)).cast("long") - 1
-    counts = counts.withColumn("_k", F.when(idx < 0, F.col("ok_rows") - 1).otherwise(idx))
-    picked = _value_at_rank(okd, group, counts.select(group, "_k"))
-    return counts.join(picked, on=group, how="left").select(group, "ok_rows", F.col("_val").alias("p95"))
-
-
-def _value_at_rank(vals: DataFrame, group: str, targets: DataFrame) -> DataFrame:
-    """Value at 0-based rank ``_k`` inside each group of (group, _v), via range partitioning."""
-    from tessera.operators.ranking import sorted_with_ids
-    s = sorted_with_ids(vals, [group, "_v"])
-    st = s.groupBy("_pid", group).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    st = st.withColumn("_before", F.sum("_cnt").over(Window.partitionBy(group).orderBy("_pid")) - F.col("_cnt"))
-    st = st.join(targets, on=group).where((F.col("_k") >= F.col("_before")) &
-                                          (F.col("_k") < F.col("_before") + F.col("_cnt")))
-    return (s.join(st, on=["_pid", group])
-            .where(F.col("_before") + F.col("_mid") - F.col("_first") == F.col("_k"))
-            .groupBy(group).agg(F.max("_v").alias("_val")))
+    targets = sizes.withColumn("_k", F.when(idx < 0, F.col("ok_rows") - 1).otherwise(idx))
+    picked = value_at(upto, [group], targets, "p95").withColumnRenamed(group, "_g")
+    return targets.join(picked, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "ok_rows", "p95")

@@ -13,14 +13,30 @@ from pyspark.sql import functions as F
 from tessera.operators.ranking import running_sum
 
 
+def counted_up(vals: DataFrame, group_cols: list[str]) -> DataFrame:
+    """(group columns, _v, _c rows of the value, _upto rows up to and with it). ``vals`` is computed once (the sorted
+    counts are stored), and group sizes are sums of the counts."""
+    counts = vals.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return running_sum(counts, list(group_cols), ["_v"], "_c", "_upto")
+
+
+def value_at(upto: DataFrame, group_cols: list[str], targets: DataFrame, out: str) -> DataFrame:
+    """Per group of ``targets`` (group columns, _k) the value at 0-based rank _k of ``counted_up`` rows."""
+    same = F.lit(True)
+    for i, c in enumerate(group_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    own = targets.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], "_k")
+    inside = (F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c"))
+    return upto.join(own, on=same, how="inner").where(inside).select(*group_cols, F.col("_v").alias(out))
+
+
 def exact_percentile(df: DataFrame, group_cols: list[str], value_col: str, p: float = 0.5,
                      out: str = "percentile", with_count: str | None = None) -> DataFrame:
     """One row per group: ``out`` = percentile_cont(p) of the non-null values (double), optional row count."""
     g = list(group_cols)
     vals = df.select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = running_sum(counts, g, ["_v"], "_c", "_upto")
-    sizes = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counted_up(vals, g)
+    sizes = upto.groupBy(*g).agg(F.sum("_c").alias("_n"))
     pos = (F.col("_n") - 1) * F.lit(float(p))
     sizes = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], "_n", F.floor(pos).alias("_klo"),
                          F.ceil(pos).alias("_khi"), (pos - F.floor(pos)).alias("_frac"))

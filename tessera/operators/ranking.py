@@ -9,7 +9,7 @@ row of a key, the last row that an earlier partition holds of it (one boundary r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,27 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     return _with_neighbour(df, keys, order, cols, prefix, back=True)
 
 
+def segments(df: DataFrame, keys: list[str], order: list[str], col: str, new_after: Column, out: str) -> DataFrame:
+    """``df`` + ``out``: how many rows of the key up to this one begin a new segment. ``new_after`` says so from ``col`` and
+    its value in the key's previous row, ``_before`` (null in the first row, which begins none). One sorted copy serves both
+    steps: inside a partition by windows over (partition, key); across partitions by one row per (partition, key) with its
+    first and last value and the number of segments begun inside, from which the rest follows."""
+    k = list(keys)
+    s = sorted_with_ids(df, k + list(order))
+    inner = Window.partitionBy("_pid", *k).orderBy("_mid")
+    flag = F.when(F.col("_before").isNull(), 0).when(new_after, 1).otherwise(0)
+    marked = s.withColumn("_before", F.lag(col).over(inner)).withColumn("_new", flag).drop("_before")
+    edges = marked.groupBy("_pid", *k).agg(F.min_by(col, "_mid").alias(col), F.max_by(col, "_mid").alias("_last"),
+                                           F.sum("_new").alias("_begun"))
+    outer = (Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))).orderBy("_pid")
+    edges = (edges.withColumn("_before", F.lag("_last").over(outer)).withColumn("_first", flag)
+             .withColumn("_sofar", F.sum(F.col("_begun") + F.col("_first")).over(outer) - F.col("_begun"))
+             .select("_pid", *k, "_sofar"))
+    local = marked.withColumn("_local", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    return (_join_partition(local, edges, k).withColumn(out, F.col("_sofar") + F.col("_local"))
+            .select(*df.columns, out))
+
+
 def with_next(df: DataFrame, keys: list[str], order: list[str], cols: list[str], prefix: str = "next_") -> DataFrame:
     """``df`` plus ``next_<col>`` of the next row in the key by ``order`` (null for the last row)."""
     return _with_neighbour(df, keys, order, cols, prefix, back=False)

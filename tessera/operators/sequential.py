@@ -56,13 +56,10 @@ def _epoch_s(col):
 
 def idle_segments(df: DataFrame, key: str, order: list[str], t_col: str, idle_s: float, strict: bool) -> DataFrame:
     """``df`` + ``_seg``: a new segment of a key starts after an idle gap longer than ``idle_s`` (or equal to it,
-    when ``strict`` is false). Previous row and running count use the skew-safe rank helpers."""
-    from tessera.operators.ranking import running_sum, with_previous
-    p = with_previous(df, [key], order, [t_col]).drop("_rank")
-    gap = F.col(t_col) - F.col(f"prev_{t_col}")
-    starts = F.when(F.col(f"prev_{t_col}").isNull(), 0).when(gap > idle_s if strict else gap >= idle_s, 1) \
-        .otherwise(0)
-    return running_sum(p.withColumn("_new", starts), [key], order, "_new", "_seg").drop("_new", f"prev_{t_col}")
+    when ``strict`` is false). The table is sorted and stored once for it."""
+    from tessera.operators.ranking import segments
+    gap = F.col(t_col) - F.col("_before")
+    return segments(df, [key], order, t_col, gap > idle_s if strict else gap >= idle_s, "_seg")
 
 
 def sliding_rate_limit(df: DataFrame, key: str, ts: str, n: int, window_s: float, inclusive: bool = True,

@@ -92,14 +92,18 @@ def latest_version(releases_df: DataFrame, sources_df: DataFrame, lock_df: DataF
                     "previous_version")
 
 
-def first_valid_claim(claims_df: DataFrame, tickets_df: DataFrame, devices_df: DataFrame) -> DataFrame:
+def first_valid_claim(claims_df: DataFrame, tickets_df: DataFrame, devices_df: DataFrame,
+                      life: str | None = None) -> DataFrame:
     """A one-time ticket is consumed by its first claim made before it expires, unless the ticket's device is
-    revoked (then no claim consumes it). Claims are filtered by a join to their ticket, and the first one per
+    revoked (then no claim consumes it); with ``life`` (an interval) no claim counts that was made longer than that before
+    the expiry, when the ticket was not there yet. Claims are filtered by a join to their ticket, and the first one per
     token is an aggregate (``min_by``, combined map-side)."""
     t = tickets_df.join(devices_df.select(F.col("device_id"), F.col("status").alias("_dev_status")),
                         on="device_id", how="left")
     t = t.where(F.col("_dev_status").isNotNull() & (F.col("_dev_status") != "revoked"))
     c = claims_df.join(t, on="token", how="inner").where(F.col("claimed_at") < F.col("expires_at"))
+    if life:
+        c = c.where(F.col("claimed_at") >= F.col("expires_at") - F.expr(f"INTERVAL {life}"))
     first = c.groupBy("token").agg(F.min_by(F.struct("device_id", "claimed_at"),
                                             F.struct("claimed_at", "claim_id")).alias("_c"))
     return first.select("token", F.col("_c.device_id").alias("device"), F.col("_c.claimed_at").alias("claimed_at"))

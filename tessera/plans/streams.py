@@ -182,3 +182,34 @@ def q_silent_key_stream(spark, sf):
     src = J.file_stream(spark, sf, "events")
     J.run_available(J.to_parquet(J.silent_key_stream(src, "user_id", "ts", SILENCE_LIMIT_S), path))
     return spark.read.parquet(path)
+
+
+# How long a ticket lives in the claim stream.
+TICKET_LIFE = "20 minutes"
+
+
+@query("first_valid_claim_stream", oracle=(
+    "with c as (select 'tk' || cast(cast(floor(event_id / 4) as bigint) as varchar) as token, ts as claimed_at, event_id as "
+    "claim_id from events), t as (select 'tk' || cast(cast(floor(event_id / 4) as bigint) as varchar) as token, user_id as "
+    "device_id, ts + interval 20 minutes as expires_at from events where event_id % 4 = 0), d as (select c_custkey as "
+    "device_id, case when c_custkey % 10 = 0 then 'revoked' else 'connected' end as status from customer), ok as (select "
+    "c.token, t.device_id, c.claimed_at, c.claim_id, t.expires_at from c join t on c.token = t.token join d on d.device_id = "
+    "t.device_id where d.status <> 'revoked' and c.claimed_at < t.expires_at and c.claimed_at >= t.expires_at - interval 20 "
+    "minutes) select token, arg_min(device_id, (claimed_at, claim_id)) as device, min(claimed_at) as claimed_at from ok where "
+    "expires_at <= (select least(max(ts), max(case when event_id % 4 = 0 then ts + interval 20 minutes end)) from events) - "
+    "interval 40 minutes group by token"))
+def q_first_valid_claim_stream(spark, sf):
+    """Tickets whose expiry lies two ticket lives before the end of both streams: the watermarks have closed them."""
+    path, t = _out(spark, "claims"), Tables(spark, sf)
+    k = F.col("event_id")
+    token = F.concat(F.lit("tk"), F.floor(k / 4).cast("string")).alias("token")
+    claims = J.file_stream(spark, sf, "events").select(token, F.col("ts").alias("claimed_at"), k.alias("claim_id"))
+    tickets = J.file_stream(spark, sf, "events").where(k % 4 == 0).select(
+        token, F.col("user_id").alias("device_id"), (F.col("ts") + F.expr(f"INTERVAL {TICKET_LIFE}")).alias("expires_at"))
+    devices = t.customer.select(F.col("c_custkey").alias("device_id"),
+                                F.when(F.col("c_custkey") % 10 == 0, "revoked").otherwise("connected").alias("status"))
+    J.run_available(J.to_parquet(J.first_valid_claim_stream(claims, tickets, devices, TICKET_LIFE, "0 seconds"), path))
+    ts, life = F.col("ts").cast("timestamp"), F.expr(f"INTERVAL {TICKET_LIFE}")
+    last = t.events.agg(F.least(F.max(ts), F.max(F.when(k % 4 == 0, ts + life)))).scalar()
+    out = spark.read.parquet(path)
+    return out.where(F.col("expires_at") <= last - F.expr("INTERVAL 40 MINUTES")).select("token", "device", "claimed_at")

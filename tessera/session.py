@@ -109,7 +109,4 @@ def _remove_at_exit(spark: SparkSession, folder: str) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables and stream checkpoints."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"

@@ -292,21 +292,83 @@ def silent_key_stream(stream_df: DataFrame, key: str, ts: str, limit_seconds: fl
         outputMode="Append", timeMode="EventTime")
 
 
+class IdleProcessor(StatefulProcessor):
+    """Per key: the last event time, and when by the clock of the machine it came. The timer runs on that clock, so it
+    fires although the whole source has stopped."""
+
+    def __init__(self, limit_s: float, ts_col: str):
+        self.limit_ms, self.ts_col = int(limit_s * 1000), ts_col
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long, heard_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(_micros(pdf[self.ts_col]).max()) for pdf in rows)
+        if self.last.exists():
+            newest = max(newest, self.last.get()[0])
+        now = timerValues.getCurrentProcessingTimeInMs()
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.last.update((newest, now))
+        self.handle.registerTimer(now + self.limit_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        us, heard = self.last.get()
+        yield _silence_frame([(key[0], us, (timerValues.getCurrentProcessingTimeInMs() - heard) / 1000.0)])
+
+    def close(self) -> None:
+        pass
+
+
+def idle_key_stream(stream_df: DataFrame, key: str, ts: str, limit_seconds: float) -> DataFrame:
+    """(key, silent_from, silent_seconds): a key from which nothing has come for ``limit_seconds`` by the clock, once per
+    silence, whether other keys send or the whole source stands still (run it with a processing-time trigger: every trigger
+    looks at the timers). ``silent_from`` is its last event time, ``silent_seconds`` how long nothing has come."""
+    ensure_rocksdb(stream_df.sparkSession)
+    kt = stream_df.schema[key].dataType.simpleString()
+    s = stream_df.select(key, F.col(ts).cast("timestamp").alias("event_ts"))
+    return s.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=IdleProcessor(limit_seconds, "event_ts"),
+        outputStructType=f"key {kt}, silent_from timestamp_ntz, silent_seconds double",
+        outputMode="Append", timeMode="ProcessingTime")
+
+
+def first_valid_claim_stream(claims: DataFrame, tickets: DataFrame, devices: DataFrame, life: str,
+                             watermark: str = "10 minutes") -> DataFrame:
+    """Stream form of ``first_valid_claim``: (token, device, claimed_at). Claims (token, claimed_at, claim_id) and tickets
+    (token, device_id, expires_at) are two streams, joined on the token while the claim lies within ``life`` before the
+    expiry: both sides keep rows only until the watermarks rule a partner out. Of the matches of a ticket the earliest is
+    given out when the watermark has passed its expiry, whatever the order in which claims came. ``devices`` is a table."""
+    t = tickets.join(devices.select("device_id", F.col("status").alias("device_status")), "device_id", "inner")
+    t = t.where(F.col("device_status").isNotNull() & (F.col("device_status") != "revoked"))
+    t = (t.select(F.col("token").alias("ticket"), "device_id", F.col("expires_at").cast("timestamp").alias("expires_at"))
+         .withWatermark("expires_at", watermark))
+    c = (claims.select("token", F.col("claimed_at").cast("timestamp").alias("claimed_at"), "claim_id")
+         .withWatermark("claimed_at", watermark))
+    within = ((F.col("token") == F.col("ticket")) & (F.col("claimed_at") < F.col("expires_at"))
+              & (F.col("claimed_at") >= F.col("expires_at") - F.expr(f"INTERVAL {life}")))
+    first = F.min_by(F.struct("device_id", "claimed_at"), F.struct("claimed_at", "claim_id")).alias("first")
+    return (c.join(t, within, "inner").groupBy("token", "expires_at").agg(first)
+            .select("token", F.col("first.device_id").alias("device"),
+                    F.col("first.claimed_at").cast("timestamp_ntz").alias("claimed_at"), "expires_at"))
+
+
 class TrackerProcessor(StatefulProcessor):
     """Phase / deadline tracker; the open phase's deadline is an event-time timer."""
 
-    def __init__(self, ts_col: str, event_col: str, id_col: str | None = None):
-        self.ts_col, self.event_col, self.id_col = ts_col, event_col, id_col
+    def __init__(self, ts_col: str, event_col: str, id_col: str | None = None, safe_col: str | None = None):
+        self.ts_col, self.event_col, self.id_col, self.safe_col = ts_col, event_col, id_col, safe_col
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("tracker", "phase string, since double, ssh double")
+        self.state = handle.getValueState("tracker", "phase string, since double, ssh double, safe boolean")
 
-    def _load(self) -> Tracker:
+    def _load(self, safe: bool = False) -> Tracker:
         if self.state.exists():
-            p, s, f = self.state.get()
-            return Tracker(p, s, f)
-        return Tracker()
+            return Tracker(*self.state.get())
+        return Tracker(protected=safe)
 
     def _save(self, st: Tracker) -> None:
         for old in list(self.handle.listTimers()):
@@ -314,16 +376,18 @@ class TrackerProcessor(StatefulProcessor):
         if st.phase is None:
             self.state.clear()
             return
-        self.state.update((st.phase, st.since, st.ssh_fail_since))
+        self.state.update((st.phase, st.since, st.ssh_fail_since, bool(st.protected)))
         d, _ = st.deadline()
-        self.handle.registerTimer(int(d * 1000) + 1)
+        if d is not None:  # a protected entity may boot for as long as it takes
+            self.handle.registerTimer(int(d * 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         chunks = [(_micros(pdf[self.ts_col]), pdf[self.event_col].to_numpy(dtype=object),
-                   pdf[self.id_col].to_numpy() if self.id_col else np.zeros(len(pdf))) for pdf in rows]
-        us, events, ids = (np.concatenate(x) for x in zip(*chunks))
+                   pdf[self.id_col].to_numpy() if self.id_col else np.zeros(len(pdf)),
+                   pdf[self.safe_col].to_numpy(dtype=bool) if self.safe_col else np.zeros(len(pdf), bool)) for pdf in rows]
+        us, events, ids, safe = (np.concatenate(x) for x in zip(*chunks))
         order = np.lexsort((ids, us))
-        st, out = self._load(), []
+        st, out = self._load(bool(safe[0])), []
         for t, ev in zip((us[order] / 1e6).tolist(), events[order].tolist()):
             for v in (st.expire(t), st.step(ev, t)):
                 if v:
@@ -349,17 +413,20 @@ def _tracker_frame(rows):
                          "at": pd.to_datetime([int(round(r[4] * 1e6)) for r in rows], unit="us")})
 
 
-def deadline_tracker_stream(stream_df: DataFrame, key: str, ts: str, event: str,
-                            watermark: str = "0 seconds", tiebreak: str | None = None) -> DataFrame:
+def deadline_tracker_stream(stream_df: DataFrame, key: str, ts: str, event: str, watermark: str = "0 seconds",
+                            tiebreak: str | None = None, protected: str | None = None) -> DataFrame:
     """Stream form of ``deadline_tracker``: verdict rows (ready / failed) as they happen; a deadline fails its
-    phase when the watermark passes it. Events of equal time are taken in the order of ``tiebreak``."""
+    phase when the watermark passes it. Events of equal time are taken in the order of ``tiebreak``. ``protected`` names a
+    boolean column that is constant per entity (for instance from a join with a table of them)."""
     ensure_rocksdb(stream_df.sparkSession)
     kt = stream_df.schema[key].dataType.simpleString()
     extra = [F.col(tiebreak).alias("event_order")] if tiebreak else []
+    extra += [F.coalesce(F.col(protected), F.lit(False)).alias("event_safe")] if protected else []
     s = stream_df.select(key, F.col(ts).cast("timestamp").alias("event_ts"), event, *extra) \
         .withWatermark("event_ts", watermark)
     return s.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=TrackerProcessor("event_ts", event, "event_order" if tiebreak else None),
+        statefulProcessor=TrackerProcessor("event_ts", event, "event_order" if tiebreak else None,
+                                           "event_safe" if protected else None),
         outputStructType=f"key {kt}, phase string, verdict string, reason string, at timestamp_ntz",
         outputMode="Append", timeMode="EventTime")
 
