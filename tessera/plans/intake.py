@@ -163,6 +163,35 @@ def q_read_ledger(spark, sf):
     return text.read_ledger(spark, path).select("key", "status", "seq")
 
 
+def _broken_ledger(spark, sf) -> text.ParsedLines:
+    """The ledger with lines cut short, lines that are no objects, lines without a key and lines with a wrong type."""
+    path, k = _scratch(spark, "broken-ledger"), F.col("seq")
+    whole = F.to_json(F.struct("key", "status", "seq"))
+    line = (F.when(k % 11 == 0, F.substring(whole, F.lit(1), F.length(whole) - 5)).when(k % 13 == 0, F.lit("[1, 2]"))
+            .when(k % 17 == 0, F.to_json(F.struct("status", "seq")))
+            .when(k % 19 == 0, F.replace(whole, F.concat(F.lit('"seq":'), k.cast("string")), F.lit('"seq":"soon"')))
+            .when(k % 23 == 0, F.lit("  ")).otherwise(whole))
+    ledger(Tables(spark, sf)).select(line.alias("value")).write.text(path)
+    return text.read_ledger_lines(spark, path)
+
+
+_BROKEN_SQL = ("select *, case when seq % 11 = 0 then 'not JSON' when seq % 13 = 0 then 'not an object' when seq % 17 = 0 then "
+               "'key: missing' when seq % 19 = 0 then 'seq: not a bigint' when seq % 23 = 0 then 'blank' end as reason from "
+               "ledger")
+
+
+@query("read_ledger_lines", oracle=with_standins(
+    f"select key, status, seq from ({_BROKEN_SQL}) t where reason is null", "ledger"))
+def q_read_ledger_lines(spark, sf):
+    return _broken_ledger(spark, sf).rows
+
+
+@query("unreadable_lines", oracle=with_standins(
+    f"select reason, count(*) as n from ({_BROKEN_SQL}) t where reason <> 'blank' group by reason", "ledger"))
+def q_unreadable_lines(spark, sf):
+    return _broken_ledger(spark, sf).unreadable.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("read_json_orders", oracle=(
     "select case when o_orderkey % 2 = 0 then 'one' else 'two' end as account, 'order' as kind, cast(o_orderkey as "
     "varchar) as order_id, o_orderstatus as status, o_orderkey % 4 = 0 as product_is_object, case when o_orderkey "

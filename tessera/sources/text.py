@@ -4,7 +4,9 @@ lists, JSON-lines ledgers and landed JSON orders. All parsing is JVM-side regex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +82,50 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = SITES_SCHEMA
     return df.where(F.col(first).isNotNull() & (F.trim(F.col(first)) != ""))
 
 
+@dataclass(frozen=True)
+class ParsedLines:
+    """What a reader of JSON lines has found: ``rows`` with the asked fields, and ``unreadable`` lines as (file, line,
+    reason). Every line that is not blank is in one of the two."""
+
+    rows: DataFrame
+    unreadable: DataFrame
+
+
+def read_json_lines(spark: SparkSession, path: str, fields: dict[str, str], required: tuple[str, ...] = ()) -> ParsedLines:
+    """JSON lines with ``fields`` (name → type). A line is unreadable if it is not JSON, not an object, lacks a
+    ``required`` field, or holds a value that is not of its field's type; the others are not touched by it. Lines are
+    parsed into variants, so a field may be a scalar in one line and an object in the next (``scalar_or_member``)."""
+    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+             .where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")))
+    reason = F.when(F.col("v").isNull(), F.lit("not JSON")).when(
+        ~F.schema_of_variant("v").startswith("OBJECT"), F.lit("not an object"))
+    for name, kind in fields.items():
+        raw = F.try_variant_get("v", f"$.{name}", "variant")
+        there = raw.isNotNull() & ~F.is_variant_null(raw)
+        if name in required:
+            reason = reason.when(~there, F.lit(f"{name}: missing"))
+        if kind != "variant":
+            reason = reason.when(there & F.try_variant_get("v", f"$.{name}", kind).isNull(), F.lit(f"{name}: not a {kind}"))
+    judged = lines.withColumn("reason", reason)
+    rows = judged.where(F.col("reason").isNull()).select(
+        *[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in fields.items()])
+    return ParsedLines(rows, judged.where(F.col("reason").isNotNull()).select("file", "line", "reason"))
+
+
+def scalar_or_member(value: Column | str, member: str) -> Column:
+    """Text of a variant that is either a scalar or an object with ``member``; null for an object without it."""
+    inside = F.schema_of_variant(value).startswith("OBJECT")
+    return F.when(inside, F.try_variant_get(value, f"$.{member}", "string")).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+LEDGER_FIELDS = {"key": "string", "status": "string", "seq": "bigint"}
+
+
+def read_ledger_lines(spark: SparkSession, path: str) -> ParsedLines:
+    """The ledger with its unreadable lines apart: a line cut short by a crash costs that line only."""
+    return read_json_lines(spark, path, LEDGER_FIELDS, required=("key",))
+
+
 LEDGER_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("status", T.StringType()),
                               T.StructField("seq", T.LongType())])
 

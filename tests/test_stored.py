@@ -218,3 +218,23 @@ def test_parity_gives_the_rows_of_the_diff_and_joins_only_what_differs(spark):
     empty = left.limit(0)
     assert {r["status"] for r in parity.table_parity(left, empty, ["id"], ["a", "b"]).collect()} == {"missing"}
     assert parity.table_parity(empty, empty, ["id"], ["a", "b"]).count() == 0
+
+
+def test_unreadable_lines_are_kept_apart_and_counts_add_up(spark):
+    from tessera.sources import text
+    path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+    lines = ['{"key": "a", "status": "ok", "seq": 1}', '{"key": "b", "seq": null, "extra": [1]}', '{"key": "c", "sta', "", "  ",
+             '"text"', "7", "null", '{"key": null, "seq": 2}', '{"key": "d", "seq": "x"}', '{"key": 5, "seq": 3}', "{}"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    got = text.read_ledger_lines(spark, path)
+    rows = sorted(map(tuple, got.rows.collect()))
+    assert rows == [("5", None, 3), ("a", "ok", 1), ("b", None, None)]
+    bad = {r["line"]: r["reason"] for r in got.unreadable.collect()}
+    assert bad == {'{"key": "c", "sta': "not JSON", '"text"': "not an object", "7": "not an object", "null": "not an object",
+                   '{"key": null, "seq": 2}': "key: missing", '{"key": "d", "seq": "x"}': "seq: not a bigint",
+                   "{}": "key: missing"}
+    assert len(rows) + len(bad) == sum(bool(x.strip()) for x in lines)
+    assert all(path.split("/")[-1] in r["file"] for r in got.unreadable.collect())
+    either = spark.createDataFrame([('"flat"',), ('{"name": "inner"}',), ('{"other": 1}',), ("3",)], "j string").select(
+        text.scalar_or_member(F.parse_json("j"), "name").alias("t"))
+    assert [r["t"] for r in either.collect()] == ["flat", "inner", None, "3"]
