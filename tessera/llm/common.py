@@ -87,6 +87,15 @@ def keep_rows(docs: DataFrame, keep, most: int = 1 << 20) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def partitions_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """The session's shuffle partitions, or more where the optimizer's size of ``df`` asks for it (files: their bytes), so
+    that a partition's share does not grow with the data. No job runs; without an estimate the session's number stays."""
+    spark = df.sparkSession
+    have = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(have, -(-size // each)) if size < 1 << 60 else have
+
+
 def query_blocks(queries: DataFrame, most: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of the distinct ids of ``queries`` (vec_id, vector), each with its smallest vector, in blocks of
     about ``most`` bytes and one vector length. The blocks are dealt and written by tasks; the driver reads one at a

@@ -11,7 +11,7 @@ import mmap
 
 import numpy as np
 
-_HEAD = 4  # 64-bit words: numbers, bits of the low part, bytes of the low part, bytes of the high part
+_HEAD = 4  # 64-bit words: numbers, bits of the low part, words of the low part, words of the high part
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -34,24 +34,43 @@ def encode(values: np.ndarray) -> bytes:
     bits = np.zeros(n + (int(high[-1]) + 1 if n else 0), np.uint8)
     bits[high + np.arange(n)] = 1
     packed = np.packbits(bits, bitorder="little")
-    head = np.array([n, low_bits, len(low), len(packed)], "<u8")
-    out = head.tobytes() + low.tobytes() + packed.tobytes()
-    return out + bytes(-len(out) % 8)
+    head = np.array([n, low_bits, -(-len(low) // 8), -(-len(packed) // 8)], "<u8")
+    return head.tobytes() + low.tobytes() + bytes(-len(low) % 8) + packed.tobytes() + bytes(-len(packed) % 8)
+
+
+def _bit_of_rank(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the set bit with ``rank`` set bits below it, in each word: halves are halved."""
+    place, rank = np.zeros(len(words), np.uint64), rank.astype(np.int64)
+    for size in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count((words >> place) & np.uint64((1 << size) - 1)).astype(np.int64)
+        up = rank >= below
+        rank -= np.where(up, below, 0)
+        place += np.where(up, np.uint64(size), np.uint64(0))
+    return place.astype(np.int64)
 
 
 class EliasFano:
-    """Reads and searches in an encoded sequence at ``offset`` of a buffer, in place."""
+    """Reads and searches in an encoded sequence at ``offset`` of a buffer, in place: beside the buffer there are two
+    counts per 64 high bits, of the ones and of the zeros up to there."""
 
     def __init__(self, buffer, offset: int = 0):
         n, bits, low, high = (int(x) for x in np.frombuffer(buffer, "<u8", _HEAD, offset))
         at = offset + 8 * _HEAD
-        self.n, self.bits, self.end = n, bits, at + low + high + (-(low + high) % 8)
-        self._windows = np.ndarray((max(1, low - 7),), "<u8", buffer, at, (1,))
-        vector = np.unpackbits(np.frombuffer(buffer, np.uint8, high, at + low), bitorder="little")
-        self._ones = np.flatnonzero(vector)[:n]
-        high_part = self._ones - np.arange(n)
-        # where the numbers of each high part begin
-        self._begin = np.searchsorted(high_part, np.arange(int(high_part[-1]) + 2 if n else 1))
+        self.n, self.bits, self.end = n, bits, at + 8 * (low + high)
+        self._windows = np.ndarray((max(1, 8 * low - 7),), "<u8", buffer, at, (1,))
+        self._high = np.ndarray((high,), "<u8", buffer, at + 8 * low)
+        kind = np.uint32 if 64 * high < 1 << 32 else np.int64
+        self._ones = np.cumsum(np.bitwise_count(self._high), dtype=kind)
+        self._zeros = (np.arange(64, 64 * high + 64, 64, dtype=np.int64) - self._ones).astype(kind)
+        self._last = int(self._place(np.array([n - 1]), True)[0]) - (n - 1) if n else -1
+
+    def _place(self, i: np.ndarray, ones: bool) -> np.ndarray:
+        """Places of the ones (or zeros) number ``i`` among the high bits."""
+        upto = self._ones if ones else self._zeros
+        word = np.searchsorted(upto, i.astype(upto.dtype), side="right")
+        before = np.where(word > 0, upto[np.maximum(word, 1) - 1], 0).astype(np.int64)
+        bits = self._high[word] if ones else ~self._high[word]
+        return 64 * word + _bit_of_rank(bits, i - before)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -61,14 +80,22 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Numbers at places ``i``."""
-        return ((self._ones[i] - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
+        i = np.asarray(i, np.int64)
+        return ((self._place(i, True) - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
+
+    def _begin(self, high: np.ndarray) -> np.ndarray:
+        """Place of the first number whose high part is at least ``high``: the ones before the zero that ends the part
+        before it."""
+        out = np.where(high > self._last, self.n, 0)
+        some = np.flatnonzero((high > 0) & (high <= self._last))
+        out[some] = self._place(high[some] - 1, False) - (high[some] - 1)
+        return out
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Place of the first number that is at least x (n if there is none): the high bits give the range, a binary
         search over the low bits finds the place in it."""
         high = (x >> np.uint64(self.bits)).astype(np.int64)
-        last = len(self._begin) - 1
-        lo, hi = self._begin[np.minimum(high, last)], self._begin[np.minimum(high + 1, last)]
+        lo, hi = self._begin(high), self._begin(high + 1)
         want = x & np.uint64((1 << self.bits) - 1)
         while True:
             open_ = np.flatnonzero(lo < hi)

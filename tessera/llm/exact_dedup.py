@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, ROW, scratch, stored
+from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, ROW, partitions_for, scratch, stored
 
 
 def normalised(text):
@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """Verdict per document against ``index`` (a scratch one if none is given)."""
     if index is not None:
         return index.add(docs)
-    own = DigestIndex(docs.sparkSession)
+    own = DigestIndex(docs.sparkSession, buckets=partitions_for(docs))
     out = own.add(docs)
     own.close()
     return out

@@ -35,11 +35,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     without a number get one; a result that is read more than once must then be stored."""
     row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias(ROW), "text")
-    split = own.where("doc_id is not null and text is not null").select(
-        *DOC, F.posexplode(F.split("text", "\n")).alias("line", "own"))
-    solid = split.select(*DOC, "line", F.unhex(F.md5("own")).alias("h"),
-                         F.regexp_count("own", F.lit(r"\S+")).alias("words")).where("words > 0")
-    return solid.withColumn("pos", F.row_number().over(Window.partitionBy(*DOC).orderBy("line")) - 1)
+    every = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("own")))
+    solid = F.filter(every, lambda x: x["own"].rlike(r"\S"))  # numbered inside the row: no line moves for it
+    split = own.where("doc_id is not null and text is not null").select(*DOC, F.posexplode(solid).alias("pos", "own"))
+    return split.select(*DOC, "own.line", "pos", F.unhex(F.md5("own.own")).alias("h"),
+                        F.regexp_count("own.own", F.lit(r"\S+")).alias("words"))
 
 
 def _ranked(groups: DataFrame, keys: list[str], name: str) -> DataFrame:

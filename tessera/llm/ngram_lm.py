@@ -34,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, ASCII_UPPER, mix64, prepare, scratch, stored, text_batches, word_keys
+from tessera.llm.common import (ASCII_LOWER, ASCII_UPPER, mix64, partitions_for, prepare, scratch, stored, text_batches,
+                                word_keys)
 from tessera.llm.elias_fano import Trie
 
 DISCOUNT, BACK = 0.75, 1.0
@@ -340,7 +341,7 @@ def score(docs: DataFrame, held_out, hot: int = HOT) -> DataFrame:
     held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
     spark = prepare(docs.sparkSession)
     sc = spark.sparkContext
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions_for(docs)
     shards = 4 * partitions  # several to a task, so that tasks get about as much each
     # the blocks lie bucketed by block, so that joining answers to them moves the answers only
     name = f"lm_blocks_{scratch(spark, 'x').rsplit('-', 1)[1]}"

@@ -230,3 +230,26 @@ def test_every_row_is_a_row_of_its_own(spark):
             at += length
     slots = sharding.shard_by_bytes(docs, 2).groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("s")).collect()
     assert all(r["s"] == list(range(len(r["s"]))) for r in slots)
+
+
+# --- operator 1 ------------------------------------------------------------------------------------------------------
+
+def test_winner_and_score_equal_a_plain_parse():
+    """Cost per language: phrases of a longest-match parse times log2 of its sample; the cheapest wins."""
+    from tests.llm.test_learned import longest_phrases
+    rng = np.random.default_rng(3)
+    samples = {"x": ["".join(rng.choice(list("abc d"), 300)), "bad cab"], "y": ["".join(rng.choice(list("cdef "), 200))],
+               "z": ["".join(rng.choice(list("gh i"), 90))]}
+    model = langid.train(samples)
+    texts = ["".join(rng.choice(list(letters), n)) for letters in ("abcd ", "cdef", "gh i", "acfgz") for n in (3, 40, 700)]
+    names, scores, letters, _ = langid.judge([*texts, None, "", " 12 "], model)
+    size = {k: sum(len(langid.encode(t, model.codes)) + 1 for t in own) for k, own in samples.items()}
+    for t, name, score in zip(texts, names, scores):
+        plain = "".join(map(chr, langid.encode(t, model.codes)))
+        cost = {}
+        for k, own in samples.items():
+            whole = "".join(chr(0) + "".join(map(chr, langid.encode(p, model.codes))) for p in own)
+            cost[k] = longest_phrases(plain, whole) * math.log2(size[k])
+        assert name == min(sorted(cost), key=cost.get)
+        assert score == pytest.approx(1 / sum(2 ** (-(c - min(cost.values())) / langid.SOFTEN) for c in cost.values()))
+    assert names[len(texts):] == ["und"] * 3
