@@ -66,27 +66,34 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """FTRL-proximal over rows of distinct places; the place after the last is the bias, which L1 leaves alone."""
+    """FTRL-proximal over rows of distinct places; the bias stands after the last of them, and L1 leaves it alone. The
+    state covers the places that the rows hold, not all ``SIZE``."""
     if not len(rows):
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
-    z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
+    held = np.zeros(SIZE, bool)
+    for row in rows:
+        held[row] = True
+    names = np.flatnonzero(held).astype(np.int32)
+    number = np.cumsum(held, dtype=np.int32) - 1
+    rows, bias = [number[row] for row in rows], len(names)
+    del held, number
+    z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
-        over = np.abs(z[at]) - np.where(at == SIZE, 0.0, L1)
+        over = np.abs(z[at]) - np.where(at == bias, 0.0, L1)
         return np.where(over > 0, -np.sign(z[at]) * over / ((BETA + np.sqrt(n[at])) / ALPHA + L2), 0.0)
 
     order = np.random.default_rng(7).permutation(len(rows))
     for _ in range(PASSES):
         for i in order:
-            at = np.append(rows[i], SIZE)
+            at = np.append(rows[i], bias)
             w = weights(at)
             gradient = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
             step = (np.sqrt(n[at] + gradient * gradient) - np.sqrt(n[at])) / ALPHA
             z[at] += gradient - step * w
             n[at] += gradient * gradient
-    places = np.flatnonzero((z > L1) | (z < -L1))
-    places = places[places < SIZE]
-    return Model(places, weights(places), float(weights(np.array([SIZE]))[0]))
+    kept = np.flatnonzero(np.abs(z[:bias]) > L1)
+    return Model(names[kept].astype(np.int64), weights(kept), float(weights(np.array([bias]))[0]))
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
@@ -138,11 +145,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     within = [r for r, upto in zip(listed, np.cumsum([r["bytes"] for r in listed])) if upto <= SAMPLE_BYTES]
     if not within:
         return fit([], np.zeros(0))
-    got = held.where(F.col("turn") <= within[-1]["turn"]).collect()
-    got = sorted({r["doc_id"]: r for r in sorted(got, key=lambda r: (len(r["places"]), r["places"]))}.values(),
-                 key=lambda r: r["doc_id"])
-    got = [r for c in (0, 1) for r in [x for x in got if x["label"] == c][:most[c]]]
-    return fit([np.frombuffer(r["places"], "<i4") for r in got], np.array([r["label"] for r in got]))
+    got = held.where(F.col("turn") <= within[-1]["turn"]).select("doc_id", "label", "places").toArrow()
+    ids, marks = got.column("doc_id").to_pylist(), got.column("label").to_pylist()
+    own = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("places")]
+    last: dict[int, int] = {}
+    for i, d in enumerate(ids):
+        if d not in last or (len(own[i]), own[i].tobytes()) > (len(own[last[d]]), own[last[d]].tobytes()):
+            last[d] = i
+    use = [last[d] for d in sorted(last)]
+    use = [i for c in (0, 1) for i in [x for x in use if marks[x] == c][:most[c]]]
+    return fit([own[i] for i in use], np.array([marks[i] for i in use]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
