@@ -80,7 +80,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not now:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not d:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 # a machine-local folder would not survive a lost executor: the cluster must name a shared one
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
             d = tempfile.mkdtemp(prefix="tessera-ckpt-")
