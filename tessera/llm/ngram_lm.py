@@ -7,7 +7,8 @@ what it asked about and no task or driver ever holds the vocabulary. Pairs of ne
 shard of a context adds up the counts of its successors, writes them into a trie (monotone context ids and pointers,
 successor ids relative to their context, one quantised probability each, one quantised back-off weight per context) and
 answers the blocks' pairs by successor search within the context's range. What is gathered is proportional to the
-distinct words and pairs of the blocks. Contexts seen in more than one of ``HOT`` tokens are divided into ``PARTS`` by
+distinct words and pairs of the blocks. The words and the trie of every shard stay in the shared folder as the model, one row
+per shard, and answer the blocks of other documents in the same way, the trie read in place. Contexts seen in more than one of ``HOT`` tokens are divided into ``PARTS`` by
 their successor's key, so that no shard gets a frequent word whole.
 
 Model: base probability of a word (c + 1) / (N + V + 1), with one unknown word. After context h a seen word has
@@ -27,11 +28,13 @@ of their own. Counts are 64-bit numbers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import (ASCII_LOWER, ASCII_UPPER, mix64, partitions_for, prepare, scratch, stored, text_batches,
@@ -157,11 +160,15 @@ def _word_parcels(shards: int):
 
 
 WORD_SCHEMA = ("shard bigint, block bigint, counts binary, numbers binary, n_words bigint, n_tokens bigint, "
-               "part_mass array<double>")
+               "part_mass array<double>, keys binary")
+_WORD_TYPES = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("numbers", pa.binary()),
+                         ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("part_mass", pa.list_(pa.float64())),
+                         ("keys", pa.binary())])
 
 
 def _add_words(table: pa.Table) -> pa.Table:
-    """Counts and numbers for every block's keys of one shard, and a row of totals (block null)."""
+    """Counts and numbers for every block's keys of one shard, and a row (block null) of totals and of the shard's words in
+    the order of their numbers."""
     shard = table.column("shard")[0].as_py()
     keys = [_array(k, np.uint64) for k in table.column("keys").to_pylist()]
     counts = [_array(c, np.uint32).astype(np.int64) for c in table.column("counts").to_pylist()]
@@ -172,16 +179,30 @@ def _add_words(table: pa.Table) -> pa.Table:
     number[~known] = 0
     mass = np.bincount(_part(unique[known]), total[known] + 1, PARTS)
     rows = [{"shard": shard, "block": None, "n_words": int(known.sum()), "n_tokens": int(total.sum()),
-             "part_mass": mass.tolist()}]
+             "part_mass": mass.tolist(), "keys": _squeeze(unique[known]), "counts": _squeeze(total[known].astype(np.uint64))}]
     begin = 0
     for block, own in zip(table.column("block").to_pylist(), keys):
         mine = at[begin:begin + len(own)]
         begin += len(own)
         rows.append({"shard": shard, "block": block, "counts": _squeeze(total[mine].astype(np.uint64)),
                      "numbers": _squeeze(number[mine].astype(np.uint32))})
-    return pa.Table.from_pylist(rows, pa.schema([
-        ("shard", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("numbers", pa.binary()),
-        ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("part_mass", pa.list_(pa.float64()))]))
+    return pa.Table.from_pylist(rows, _WORD_TYPES)
+
+
+def _ask_words(parcels: pa.Table, words: pa.Table) -> pa.Table:
+    """What a stored model's words of one shard say about the blocks' keys: counts (0 if unknown) and numbers."""
+    own, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if words.num_rows:
+        own = _array(words.column("keys")[0].as_py(), np.uint64)
+        counts = _array(words.column("counts")[0].as_py(), np.uint64)
+    rows = []
+    for shard, block, raw in zip(*(parcels.column(c).to_pylist() for c in ("shard", "block", "keys"))):
+        keys = _array(raw, np.uint64)
+        at = np.minimum(np.searchsorted(own, keys), max(0, len(own) - 1))
+        hit = own[at] == keys if len(own) else np.zeros(len(keys), bool)
+        rows.append({"shard": shard, "block": block, "numbers": _squeeze(np.where(hit, at, 0).astype(np.uint32)),
+                     "counts": _squeeze(np.where(hit, counts[at] if len(own) else 0, 0).astype(np.uint64))})
+    return pa.Table.from_pylist(rows, _WORD_TYPES)
 
 
 # --- pairs ----------------------------------------------------------------------------------------------------------
@@ -233,15 +254,14 @@ def _pair_parcels(facts, shards: int):
 
 
 def build_trie(contexts: np.ndarray, context_counts: np.ndarray, sizes: np.ndarray, words: np.ndarray,
-               counts: np.ndarray, base: np.ndarray, part_mass: np.ndarray) -> Trie:
-    """Trie of smoothed, quantised values. ``contexts`` (number times PARTS plus part) and ``words`` ascending,
+               counts: np.ndarray, base: np.ndarray, part_mass: np.ndarray) -> bytes:
+    """Layout of the trie of smoothed, quantised values. ``contexts`` (number times PARTS plus part) and ``words`` ascending,
     ``counts`` above zero, ``base``: base probability of each successor, ``part_mass``: that of each context's part."""
     h = np.repeat(context_counts, sizes)
     codes = quantise_probability((counts - DISCOUNT) / (h + BACK))
     first = np.cumsum(sizes) - sizes
     reached = np.add.reduceat(base, first) if len(first) else np.zeros(0)
-    return Trie.mapped(Trie.layout(contexts, sizes, words, codes,
-                                   quantise_weight(back_off(sizes, context_counts, part_mass, reached))))
+    return Trie.layout(contexts, sizes, words, codes, quantise_weight(back_off(sizes, context_counts, part_mass, reached)))
 
 
 def back_off(successors, count, part_mass, reached):
@@ -258,46 +278,76 @@ def quantise_weight(w: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log10(w) * WEIGHT_STEPS) + WEIGHT_ONE, 0, 65535).astype(np.uint16)
 
 
-def _answer_pairs(facts):
-    def run(table: pa.Table) -> pa.Table:
-        total, bins = facts.value["tokens"], facts.value["words"]
-        mass = facts.value["part_mass"]
-        z = total + bins + 1
-        got = [[_array(x, d) for x in table.column(c).to_pylist()] for c, d in zip(
+REPLY_SCHEMA = "shard bigint, block bigint, codes binary, weights binary, trie binary"
+_REPLY_TYPES = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("codes", pa.binary()), ("weights", pa.binary()),
+                          ("trie", pa.binary())])
+
+
+class _Asked:
+    """The pairs of all blocks that one shard answers about."""
+
+    def __init__(self, table: pa.Table, facts: dict):
+        self.table, self.got = table, [[_array(x, d) for x in table.column(c).to_pylist()] for c, d in zip(
             _PAIR_FIELDS, (np.uint64, np.int64, np.uint32, np.uint64, np.uint64, np.uint32))]
-        contexts, context_counts, sizes, words, word_counts, seen = (np.concatenate(x) for x in got)
-        sizes = sizes.astype(np.int64)
-        every = np.repeat(contexts, sizes)
-        part = np.where(context_counts * facts.value["hot"] > total, (contexts % np.uint64(PARTS)).astype(np.int64), PARTS)
-        part_mass = mass[part]
-        # the training pairs of all blocks added up
-        train = np.flatnonzero(seen)
+        self.contexts, self.context_counts, sizes, self.words, self.word_counts, self.seen = (
+            np.concatenate(x) for x in self.got)
+        self.sizes = sizes.astype(np.int64)
+        self.every = np.repeat(self.contexts, self.sizes)
+        hot = self.context_counts * facts["hot"] > facts["tokens"]
+        self.part_mass = facts["part_mass"][np.where(hot, (self.contexts % np.uint64(PARTS)).astype(np.int64), PARTS)]
+
+    def trie(self, z: int) -> bytes:
+        """The trie of the training pairs of all blocks added up."""
+        every, words = self.every, self.words
+        train = np.flatnonzero(self.seen)
         order = train[np.lexsort((words[train], every[train]))]
         c, w = every[order], words[order]
         new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])) if len(order) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        counts = np.add.reduceat(seen[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        base = (word_counts[order][first].astype(float) + 1) / z
+        counts = np.add.reduceat(self.seen[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        base = (self.word_counts[order][first].astype(float) + 1) / z
         run_at, run_size = _runs(c[first])
-        unique_c, at = np.unique(contexts, return_index=True)
+        unique_c, at = np.unique(self.contexts, return_index=True)
         own = at[np.searchsorted(unique_c, c[first][run_at])]
-        trie = build_trie(c[first][run_at], context_counts[own], run_size, w[first], counts, base, part_mass[own])
-        # answers: a byte per pair, two per context
-        of_context, place = trie.lookup(every, words)
+        return build_trie(c[first][run_at], self.context_counts[own], run_size, w[first], counts, base, self.part_mass[own])
+
+    def answers(self, trie: Trie) -> list[dict]:
+        """A row per block: a byte per pair, two per context."""
+        of_context, place = trie.lookup(self.every, self.words)
         codes = np.where(place >= 0, trie.codes[np.maximum(place, 0)], 0).astype(np.uint8) if trie.successors.n \
-            else np.zeros(len(every), np.uint8)
-        lead = of_context[np.cumsum(sizes) - sizes]
-        weights = quantise_weight(back_off(0, context_counts, part_mass, 0.0))
+            else np.zeros(len(self.every), np.uint8)
+        lead = of_context[np.cumsum(self.sizes) - self.sizes]
+        weights = quantise_weight(back_off(0, self.context_counts, self.part_mass, 0.0))
         known = lead >= 0
         weights[known] = trie.weights[lead[known]]
         rows, a, b = [], 0, 0
-        for shard, block, n, m in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(),
-                                      map(len, got[0]), map(len, got[3])):
+        for shard, block, n, m in zip(self.table.column("shard").to_pylist(), self.table.column("block").to_pylist(),
+                                      map(len, self.got[0]), map(len, self.got[3])):
             rows.append({"shard": shard, "block": block, "codes": _squeeze(codes[b:b + m]),
                          "weights": _squeeze(weights[a:a + n])})
             a, b = a + n, b + m
-        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("block", pa.int64()),
-                                                     ("codes", pa.binary()), ("weights", pa.binary())]))
+        return rows
+
+
+def _answer_pairs(facts):
+    """The shard's trie (block null) and its answers to the blocks it was built from."""
+    def run(table: pa.Table) -> pa.Table:
+        asked = _Asked(table, facts.value)
+        layout = asked.trie(facts.value["tokens"] + facts.value["words"] + 1)
+        kept = {"shard": table.column("shard")[0].as_py(), "block": None, "trie": layout}
+        return pa.Table.from_pylist([kept, *asked.answers(Trie.mapped(layout))], _REPLY_TYPES)
+    return run
+
+
+def _ask_pairs(facts):
+    """A stored model's answers to the pairs of other blocks: the shard's trie is read where it lies in its row."""
+    def run(pairs: pa.Table, tries: pa.Table) -> pa.Table:
+        if not pairs.num_rows:
+            return pa.Table.from_pylist([], _REPLY_TYPES)
+        none = np.zeros(0, np.int64)
+        layout = tries.column("trie")[0].as_buffer() if tries.num_rows else build_trie(
+            none.astype(np.uint64), none, none, none.astype(np.uint64), none, none.astype(float), none.astype(float))
+        return pa.Table.from_pylist(_Asked(pairs, facts.value).answers(Trie(layout)), _REPLY_TYPES)
     return run
 
 
@@ -336,38 +386,98 @@ def _scores(facts, shards: int):
     return run
 
 
-def score(docs: DataFrame, held_out, hot: int = HOT) -> DataFrame:
-    """Score every row of ``docs`` (doc_id, text) by a model of the rows where the Column ``held_out`` is false: doc_id,
-    held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
-    spark = prepare(docs.sparkSession)
-    sc = spark.sparkContext
-    partitions = partitions_for(docs)
-    shards = 4 * partitions  # several to a task, so that tasks get about as much each
-    # the blocks lie bucketed by block, so that joining answers to them moves the answers only
+@dataclass
+class NgramModel:
+    """A trained model in the shared folder: per shard its words (keys and counts in the order of their numbers) and its
+    trie, and the facts that all tasks need (sums, first numbers of the shards, hot rule, masses)."""
+
+    spark: SparkSession
+    words_path: str
+    replies_path: str
+    shards: int
+    facts: dict
+
+    def words(self) -> DataFrame:
+        return self.spark.read.schema(WORD_SCHEMA).parquet(self.words_path).where("block is null")
+
+    def tries(self) -> DataFrame:
+        return self.spark.read.schema(REPLY_SCHEMA).parquet(self.replies_path).where("block is null").select("shard", "trie")
+
+
+@contextmanager
+def _stored_blocks(docs: DataFrame, held_out, partitions: int) -> Iterator[DataFrame]:
+    """The blocks, bucketed by block, so that joining answers to them moves the answers only. The table leaves the catalog
+    at the end; plans made of it read its files."""
+    spark = docs.sparkSession
     name = f"lm_blocks_{scratch(spark, 'x').rsplit('-', 1)[1]}"
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                  F.coalesce(held_out, F.lit(False)).alias("held")).mapInArrow(_blocks, BLOCK_SCHEMA)
      .write.bucketBy(partitions, "block").option("path", scratch(spark, "lm-blocks")).saveAsTable(name))
-    blocks = spark.table(name)
-    parcels = blocks.select("block", "doc_ids", "held", "lengths", "keys", "tokens").mapInArrow(
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def _parcels(blocks: DataFrame, shards: int) -> DataFrame:
+    return blocks.select("block", "doc_ids", "held", "lengths", "keys", "tokens").mapInArrow(
         _word_parcels(shards), "shard bigint, block bigint, keys binary, counts binary")
-    words = stored(parcels.groupBy("shard").applyInArrow(_add_words, WORD_SCHEMA), "lm-words")
-    sums = words.where("block is null").orderBy("shard").collect()  # one row per shard
-    bases = np.zeros(shards, np.uint64)
-    for r in sums:
-        bases[r["shard"] + 1:] += np.uint64(r["n_words"])
-    total, bins = sum(r["n_tokens"] for r in sums), sum(r["n_words"] for r in sums)
-    mass = sum((np.array(r["part_mass"]) for r in sums), np.zeros(PARTS)) / (total + bins + 1)
-    mass[0] += 1 / (total + bins + 1)  # the unknown word is in part 0
-    facts = sc.broadcast({"tokens": total, "words": bins, "bases": bases, "hot": hot, "part_mass": np.append(mass, 1.0)})
-    answers = words.where("block is not null").select("shard", "block", "counts", "numbers")
-    pairs = (blocks.groupBy("block").cogroup(answers.groupBy("block"))
-             .applyInArrow(_pair_parcels(facts, shards), PAIR_SCHEMA))
-    replies = stored(pairs.groupBy("shard").applyInArrow(
-        _answer_pairs(facts), "shard bigint, block bigint, codes binary, weights binary"), "lm-replies")
+
+
+def _scored(blocks: DataFrame, answers: DataFrame, replies: DataFrame, facts, shards: int) -> DataFrame:
     both = answers.select(F.lit(0).alias("kind"), "shard", "block", F.col("counts").alias("a"),
                           F.col("numbers").alias("b")).union(
-        replies.select(F.lit(1), "shard", "block", "codes", "weights"))
-    out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_scores(facts, shards), SCORE_SCHEMA)
-    spark.sql(f"drop table {name}")  # out of the catalog; the plan above reads its files
-    return out
+        replies.where("block is not null").select(F.lit(1), "shard", "block", "codes", "weights"))
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_scores(facts, shards), SCORE_SCHEMA)
+
+
+def train_and_score(docs: DataFrame, held_out, hot: int = HOT) -> tuple[DataFrame, NgramModel]:
+    """The scores of every row of ``docs`` (doc_id, text) by a model of the rows where the Column ``held_out`` is false, and
+    that model, which can be asked about other documents (``score_by``)."""
+    spark = prepare(docs.sparkSession)
+    partitions = partitions_for(docs)
+    shards = 4 * partitions  # several to a task, so that tasks get about as much each
+    with _stored_blocks(docs, held_out, partitions) as blocks:
+        words_path, replies_path = scratch(spark, "lm-words"), scratch(spark, "lm-replies")
+        _parcels(blocks, shards).groupBy("shard").applyInArrow(_add_words, WORD_SCHEMA).write.option(
+            "compression", "zstd").parquet(words_path)
+        words = spark.read.schema(WORD_SCHEMA).parquet(words_path)
+        # one row per shard
+        sums = words.where("block is null").select("shard", "n_words", "n_tokens", "part_mass").orderBy("shard").collect()
+        bases = np.zeros(shards, np.uint64)
+        for r in sums:
+            bases[r["shard"] + 1:] += np.uint64(r["n_words"])
+        total, bins = sum(r["n_tokens"] for r in sums), sum(r["n_words"] for r in sums)
+        mass = sum((np.array(r["part_mass"]) for r in sums), np.zeros(PARTS)) / (total + bins + 1)
+        mass[0] += 1 / (total + bins + 1)  # the unknown word is in part 0
+        model = NgramModel(spark, words_path, replies_path, shards, {
+            "tokens": total, "words": bins, "bases": bases, "hot": hot, "part_mass": np.append(mass, 1.0)})
+        facts = spark.sparkContext.broadcast(model.facts)
+        answers = words.where("block is not null").select("shard", "block", "counts", "numbers")
+        pairs = (blocks.groupBy("block").cogroup(answers.groupBy("block"))
+                 .applyInArrow(_pair_parcels(facts, shards), PAIR_SCHEMA))
+        pairs.groupBy("shard").applyInArrow(_answer_pairs(facts), REPLY_SCHEMA).write.option(
+            "compression", "zstd").parquet(replies_path)
+        replies = spark.read.schema(REPLY_SCHEMA).parquet(replies_path)
+        return _scored(blocks, answers, replies, facts, shards), model
+
+
+def score(docs: DataFrame, held_out, hot: int = HOT) -> DataFrame:
+    """Score every row of ``docs`` (doc_id, text) by a model of the rows where the Column ``held_out`` is false: doc_id,
+    held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
+    return train_and_score(docs, held_out, hot)[0]
+
+
+def score_by(model: NgramModel, docs: DataFrame) -> DataFrame:
+    """The same columns for documents that the model has not learnt from (all held out): their blocks ask the shards of the
+    stored model, which answer from their words and their tries."""
+    spark = prepare(docs.sparkSession)
+    with _stored_blocks(docs, F.lit(True), partitions_for(docs)) as blocks:
+        facts = spark.sparkContext.broadcast(model.facts)
+        answers = stored(_parcels(blocks, model.shards).groupBy("shard").cogroup(model.words().groupBy("shard"))
+                         .applyInArrow(_ask_words, WORD_SCHEMA).select("shard", "block", "counts", "numbers"), "lm-answers")
+        pairs = (blocks.groupBy("block").cogroup(answers.groupBy("block"))
+                 .applyInArrow(_pair_parcels(facts, model.shards), PAIR_SCHEMA))
+        replies = stored(pairs.groupBy("shard").cogroup(model.tries().groupBy("shard"))
+                         .applyInArrow(_ask_pairs(facts), REPLY_SCHEMA), "lm-replies")
+        return _scored(blocks, answers, replies, facts, model.shards)

@@ -230,7 +230,7 @@ def test_trie_values_sum_to_one(contexts):
     first = np.cumsum(sizes) - sizes
     h = np.add.reduceat(counts, first)
     ids = (np.arange(contexts) * 7).astype(np.uint64) * np.uint64(ngram_lm.PARTS)
-    trie = ngram_lm.build_trie(ids, h, sizes, words, counts, base[words.astype(int)], np.ones(contexts))
+    trie = ngram_lm.Trie.mapped(ngram_lm.build_trie(ids, h, sizes, words, counts, base[words.astype(int)], np.ones(contexts)))
     for i in range(contexts):
         at, place = trie.lookup(np.full(v, ids[i]), np.arange(v).astype(np.uint64))
         weight = 10 ** ((float(trie.weights[at[0]]) - ngram_lm.WEIGHT_ONE) / ngram_lm.WEIGHT_STEPS)

@@ -253,3 +253,18 @@ def test_winner_and_score_equal_a_plain_parse():
         assert name == min(sorted(cost), key=cost.get)
         assert score == pytest.approx(1 / sum(2 ** (-(c - min(cost.values())) / langid.SOFTEN) for c in cost.values()))
     assert names[len(texts):] == ["und"] * 3
+
+
+@pytest.mark.parametrize("hot", [1, 40])
+def test_a_stored_model_scores_other_documents_as_brute_force_does(spark, texts, hot):
+    rows = sorted(texts.items())[:50]
+    held = lambda d: crc(d) % 7 == 2 or d > 1000
+    scores, model = ngram_lm.train_and_score(frame(spark, rows), common.held_out("doc_id", 7, 2), hot)
+    check_scores(scores.collect(), brute_parts(rows, lambda d: crc(d) % 7 == 2, hot))
+    others = [(1001, rows[3][1]), (1002, "entirely unknown wordage"), (1003, None), (None, rows[5][1][:300]),
+              (1004, rows[7][1][::-1])]
+    got = ngram_lm.score_by(model, frame(spark, others)).collect()
+    want = brute_parts([*rows, *[(d, t) for d, t in others if d]], held, hot)
+    assert all(r["held_out"] for r in got) and len(got) == len(others)
+    check_scores([r for r in got if r["doc_id"]], {d: want[d] for d, _ in others if d})
+    assert model.tries().count() <= model.shards and ngram_lm.score_by(model, frame(spark, [])).count() == 0
