@@ -6,7 +6,8 @@ each distinct fingerprint under sets of three positional bytes chosen so that an
 the sets (a Turan system: 20 sets for 8 positions). Within a posting list the shared positional bytes of a pair are
 tallied, pairs below the guaranteed count are dropped, and the rest is verified by bit distance. A list emits links
 that connect what it connects (at most one per fingerprint), never all its pairs; a list longer than ``LONG_LIST`` is
-filed again under one more positional byte. Equal fingerprints are merged first, so copies never meet in a list.
+filed again under one more positional byte, and if it is still longer under groups of the bits that are left. Equal
+fingerprints are merged first, so copies never meet in a list.
 
 Words are the runs of bytes other than space and 0x09-0x0D after lower-casing A-Z; a shingle is ``words`` of them
 joined by spaces, repeats included; a shorter text is one shingle; a text without words (or null) has fingerprint 0 and
@@ -204,6 +205,23 @@ def _filed(rows: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
     return rows.select(F.explode(F.array(*lists)).alias("list"), "fingerprint", "node")
 
 
+def _filed_by_rest(rows: DataFrame, sets: list[tuple[int, ...]], bits: int) -> DataFrame:
+    """(list, fingerprint, node) for rows of lists under four positions: the 32 bits at the other positions are cut into
+    one group more than bits may differ, so two near fingerprints of a list agree in a whole group; each row is filed
+    under its list and each of its groups."""
+    shifts = F.array(*[F.array(*[F.lit(8 * p) for p in range(POSITIONS) if p not in s]) for s in sets])
+    own = F.element_at(shifts, F.shiftrightunsigned("list", 32).cast("int") + 1)
+    rest = F.lit(0).cast("long")
+    for j in range(4):
+        byte = F.call_function("shiftrightunsigned", F.col("fingerprint"), own[j]).bitwiseAND(F.lit(255))
+        rest = rest + byte * (1 << 8 * j)
+    edges = [32 * i // (bits + 1) for i in range(bits + 2)]
+    lists = [F.xxhash64("list", F.lit(i), F.shiftrightunsigned("rest", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)))
+             for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    return (rows.withColumn("rest", rest)
+            .select(F.explode(F.array(*lists)).alias("list"), "fingerprint", F.col("a").alias("node")))
+
+
 def links(nodes: DataFrame, bits: int) -> DataFrame:
     """Links (a, b) between the nodes (fingerprint, node) at most ``bits`` apart, enough to connect them."""
     if not 0 <= bits <= 4:
@@ -221,7 +239,10 @@ def links(nodes: DataFrame, bits: int) -> DataFrame:
         # every four shared positions that hold a set: the set and one position more
         wider = sorted({tuple(sorted((*s, p))) for s in sets for p in range(POSITIONS) if p not in s})
         again = long_lists.select("fingerprint", F.col("a").alias("node")).distinct()
-        out = out.union(linked(_filed(again, wider), whole=True).where("b is not null"))
+        second = linked(_filed(again, wider), whole=False)
+        out, long_lists = out.union(second.where("b is not null")), second.where("b is null")
+        if not long_lists.isEmpty():
+            out = out.union(linked(_filed_by_rest(long_lists, wider, bits), whole=True).where("b is not null"))
     return out.select("a", "b")
 
 

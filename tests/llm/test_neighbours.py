@@ -55,7 +55,7 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in lost) == [(0, 0), (0, 7), (7, 7), (7, 7)]
 
 
-@pytest.mark.parametrize("short_list, long_list", [(48, 1 << 16), (2, 1 << 16), (48, 20)])
+@pytest.mark.parametrize("short_list, long_list", [(48, 1 << 16), (2, 1 << 16), (48, 20), (4, 3)])
 def test_links_connect_what_is_near(spark, monkeypatch, short_list, long_list):
     """Also when lists are long enough to be searched, or to be filed again under one more byte."""
     monkeypatch.setattr(simhash, "SHORT_LIST", short_list)
