@@ -1,7 +1,9 @@
-"""Input layout helpers."""
+"""Input layout and intermediate results."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -19,3 +21,11 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     except Exception:  # noqa: BLE001 - no plan or RDD view (e.g. Spark Connect): leave the layout alone
         return df
     return df.repartition(sc.defaultParallelism * factor) if n < sc.defaultParallelism else df
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, in the shared folder: every later reader sees the same rows, also after a lost executor."""
+    from tessera.session import scratch_path
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

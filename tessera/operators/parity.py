@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import broadcast_checked, table_diff
+from tessera.operators.layout import written_once
 
 FAN, LEVELS = 1024, 3
 #: Buckets are divided again while at most this share of them differs.
@@ -37,7 +38,6 @@ def bucket_sums(df: DataFrame, keys: list[str], values: list[str], by: list[str]
 def differing_buckets(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], levels: int = LEVELS) -> tuple:
     """(stored bucket table, its columns) of the buckets that differ at the finest level looked at; (None, []) if the
     tables are equal."""
-    from tessera.operators.textindex import _written
     by: list[str] = []
     narrowed = None
     for level in range(levels):
@@ -49,7 +49,7 @@ def differing_buckets(left: DataFrame, right: DataFrame, keys: list[str], values
                 own = own.join(broadcast_checked(narrowed), by[:-1], "left_semi")
             sums.append(bucket_sums(own, keys, values, by))
         a, b = (s.select(*by, F.struct("n", "sum", "xor").alias(c)) for s, c in zip(sums, ("_a", "_b")))
-        both = _written(left.sparkSession, a.join(b, by, "full_outer").select(
+        both = written_once(a.join(b, by, "full_outer").select(
             *by, F.col("_a").eqNullSafe(F.col("_b")).alias("same")), "bucket-parity")
         counts = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("same")).alias("differ")).first()
         narrowed = both.where(~F.col("same")).select(*by)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.embedding import (batch_embed, embed_batch, hash_embedder, letter_embedder,  # noqa: F401
                                          resume_embed)
-from tessera.operators.layout import spread
+from tessera.operators.layout import spread, written_once
 from tessera.operators.textindex import (StoredIndex, fts_index, fts_match, fts_phrase, query_terms,  # noqa: F401
                                          stop_words, store_index, tokens)
 
@@ -65,14 +65,6 @@ def _ranked(cand: DataFrame, k: int) -> DataFrame:
             .where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, in the shared folder."""
-    from tessera.session import scratch_path
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, q_id: str, q_vec: str, id_type: str,
                    cells_of=None, stored: bool = False) -> DataFrame:
     """One pass over ``vectors`` (id, v and, with ``cells_of``, cell) per block of queries; each task keeps the best k
@@ -82,19 +74,19 @@ def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, q_id: str, q_
     spark = vectors.sparkSession
     q_type = queries.schema[q_id].dataType.simpleString()
     schema = f"query_id {q_type}, vec_id {id_type}, score double"
-    blocks = _query_blocks(_written(queries.select(q_id, q_vec), "queries"), q_id, q_vec)
+    blocks = _query_blocks(written_once(queries.select(q_id, q_vec), "queries"), q_id, q_vec)
     block, found = next(blocks, None), []
     while block is not None:
         after = next(blocks, None)
         if after is not None and not stored:
-            vectors, stored = _written(vectors, "vectors"), True
+            vectors, stored = written_once(vectors, "vectors"), True
         qids, qm = block
         mask = cells_of(qm) if cells_of else None
         own = vectors
         if mask is not None:
             own = own.where(F.col("cell").isin([int(c) for c in np.flatnonzero(mask.any(axis=1))]))
         sent = spark.sparkContext.broadcast((qids, qm, mask))
-        found.append(_written(own.mapInPandas(_topk_kernel(sent, k), schema), "candidates"))
+        found.append(written_once(own.mapInPandas(_topk_kernel(sent, k), schema), "candidates"))
         sent.destroy()
         block = after
     out = found[0] if found else spark.createDataFrame([], schema)
@@ -208,7 +200,7 @@ def hybrid_search(index: DataFrame | StoredIndex, vectors: DataFrame, queries: D
     """Text + vector search fused by reciprocal rank: ``queries`` = (query_id, text, vector). Each side ranks
     ``candidates`` (default k) documents per query; the fused top-k is returned (query_id, doc_id, score, rank)."""
     n = candidates or k
-    queries = _written(queries.select("query_id", "text", "vector"), "hybrid-queries")
+    queries = written_once(queries.select("query_id", "text", "vector"), "hybrid-queries")
     text_hits = fts_match(index, queries.select("query_id", "text"), n)
     vec_hits = cosine_topk(vectors, queries.select("query_id", "vector"), n, id_col=id_col, vec_col=vec_col)
     return rrf_fuse(text_hits, vec_hits, k, c)

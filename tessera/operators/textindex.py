@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import pkgutil
 import unicodedata
-import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import accent_table, concat_search_text
 from tessera.functions.stemmer import STEMMERS, composed
 from tessera.operators.joins import broadcast_checked
+from tessera.operators.layout import written_once
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # The token under which the index counts a document: its posting holds the number of its indexed words.
@@ -146,22 +146,15 @@ def query_terms(query_df: DataFrame, language: str = "portuguese", stems: bool =
             .agg(F.sort_array(F.collect_list("place")).alias("places")))
 
 
-def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    from tessera.session import scratch_path
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _asked(index: DataFrame | StoredIndex, query_df: DataFrame, language: str, n_docs: DataFrame | int | None,
            columns: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """The terms of the queries that can match (query_id, token, places, df, _n terms of the query, _idf), the postings of
     those terms with ``columns``, and what the two are joined on. Of a stored index only the buckets of the asked tokens
     are read, once; the terms and their postings are written, since several steps read them."""
     if isinstance(index, StoredIndex):
-        spark, on = index.spark, ["bucket", "token"]
+        on = ["bucket", "token"]
         q = query_terms(query_df, index.language, index.stems).withColumn("bucket", token_bucket(F.col("token"), index.buckets))
-        q = _written(spark, q, "asked")
+        q = written_once(q, "asked")
         # at most as many values as there are buckets
         buckets = F.col("bucket").isin([r["bucket"] for r in q.select("bucket").distinct().collect()])
         dfreq, postings, total = index.terms.where(buckets), index.postings.where(buckets), F.lit(index.n_docs)
@@ -180,8 +173,8 @@ def _asked(index: DataFrame | StoredIndex, query_df: DataFrame, language: str, n
              .withColumn("_known", F.count("df").over(own)).where(F.col("_known") == F.col("_n"))
              .select("query_id", *on, "places", "df", "_n", F.log(total / F.col("df")).alias("_idf")))
     if isinstance(index, StoredIndex):
-        terms = _written(spark, terms, "asked-terms")
-        postings = _written(spark, postings.join(broadcast_checked(terms.select(*on).distinct()), on=on, how="left_semi")
+        terms = written_once(terms, "asked-terms")
+        postings = written_once(postings.join(broadcast_checked(terms.select(*on).distinct()), on=on, how="left_semi")
                             .select(*on, "doc_id", *columns), "asked-postings")
     return terms, postings, on
 

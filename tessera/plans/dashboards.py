@@ -121,7 +121,7 @@ def _all_medians_sql() -> str:
         f"decimal(38,2)) as median_value from ({_LATEST_SQL}) l {where} group by 2" for name, g, where in parts), "indicators")
 
 
-@query("median_views", bench=True, oracle=_all_medians_sql)
+@query("median_views", oracle=_all_medians_sql)
 def q_median_views(spark, sf):
     """The three medians as stored views over one stored view of the latest rows."""
     root = scratch_path(spark, f"views-{uuid.uuid4().hex}")

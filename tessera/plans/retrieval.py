@@ -177,7 +177,7 @@ _PHRASES_SQL = ("(select item_id * 1000 + generate_subscripts(ps, 1) as item_id,
                 "benchmark) a)")
 
 
-@query("fts_phrase", bench=True, oracle=lambda: (
+@query("fts_phrase", oracle=lambda: (
     f"with {_placed_sql('d', 'documents', 'doc_id')}, p as {_PHRASES_SQL}, {_placed_sql('q', 'p', 'item_id')}, n as (select "
     "item_id, count(*) as n from q group by item_id), found as (select q.item_id as query_id, d.doc_id, d.place - q.place + 1 "
     "as begins from q join d using (token) join n on n.item_id = q.item_id group by all having count(*) = max(n.n)) select "
