@@ -12,7 +12,7 @@ from tests.llm.test_tokens import check_packing
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +82,35 @@ def test_odd_tables_pass_through(spark, rows, tmp_path):
         stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert (docs.count() > 0) == bool(rows)
+
+
+def test_language_and_toxicity_stages_equal_a_plain_judgement(spark, real, texts):
+    """Every row judged by itself: phrases by brute force and the script rule; weights summed over a text's own features."""
+    import math
+
+    import numpy as np
+
+    import corpus_pipeline
+    from tessera.llm import langid, toxicity
+    from tests.llm.test_learned import longest_phrases
+    samples = langid.sample(real)
+    model = langid.train(samples)
+    whole = {k: "".join(chr(0) + "".join(map(chr, langid.encode(p, model.codes))) for p in own) for k, own in samples.items()}
+    some = sorted(texts)[:25]
+    for d in some:
+        codes = langid.encode(texts[d][:langid.BLOCK], model.codes)
+        cost = {k: longest_phrases("".join(map(chr, codes)), whole[k]) * bits
+                for k, bits in zip(model.languages, model.phrase_bits)}
+        assert langid.judge([texts[d][:langid.BLOCK]], model)[0] == [min(sorted(cost), key=cost.get)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, real, SMALL).collect()}
+    assert kept == {d for d, t in texts.items() if langid.accepts([t], model)[0]}
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "toxic")
+    learnt = toxicity.train(real, labels)
+    weight = dict(zip(learnt.places.tolist(), learnt.weights.tolist()))
+    clean = set()
+    for d, t in texts.items():
+        total = learnt.bias + sum(weight.get(p, 0.0) for p in np.unique(toxicity.features([t])[1]).tolist())
+        if 1 / (1 + math.exp(-total)) < toxicity.THRESHOLD:
+            clean.add(d)
+    got = {r["doc_id"] for r in corpus_pipeline.toxicity_stage(spark, real, SMALL).collect()}
+    assert got == clean and len(clean) < len(texts)
