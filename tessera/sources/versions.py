@@ -3,7 +3,8 @@
 A folder target keeps its rows in version folders; a version counts once its marker exists, and the newest marked version is
 the current one. A catalog target is a view over the newest version table. In both forms a version is written whole, then
 made current by one step (an empty file, one catalog statement), and only then are versions older than the one before
-removed: whatever breaks off, readers find the old rows or the new ones, and a reader still under way keeps its files.
+removed: whatever breaks off, readers find the old rows or the new ones, and a reader still under way keeps its files. A
+target has one writer at a time.
 """
 
 from __future__ import annotations

@@ -244,3 +244,12 @@ def test_neighbours_cross_partitions(spark):
     back = {r["t"]: r["prev_t"] for r in with_previous(df, ["k"], ["t"], ["t"]).collect()}
     ahead = {r["t"]: r["next_t"] for r in with_next(df, ["k"], ["t"], ["t"]).collect()}
     assert {t: (back[t], ahead[t]) for t in want} == want
+
+
+def test_comments_are_split_and_trimmed_at_every_unicode_space(spark):
+    from tessera.functions import predicates
+    rows = spark.createDataFrame([("\u00a0Ana\u2003\u2003Maria \x1c", "\u3000 a body \x85"), ("Bo\tB", "\u2028x\u2029y\u2028")],
+                                 "name string, body string")
+    got = [(r["clean_name"], r["clean_body"]) for r in predicates.moderate_comments(rows).collect()]
+    assert got == [(" ".join(n.split()), b.strip()) for n, b in (("\u00a0Ana\u2003\u2003Maria \x1c", "\u3000 a body \x85"),
+                                                                 ("Bo\tB", "\u2028x\u2029y\u2028"))]
