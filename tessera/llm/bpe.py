@@ -366,7 +366,7 @@ class _Coder:
         self.pieces = _Remembered(coded)
         self.stretches = _Remembered(self._stretches)
         self.at_spaces = pattern == public_tokenizers.PATTERN
-        self.joined = regex.compile(r"\s \s|\s\s\Z")
+        self.joined, self.open_end = regex.compile(r"\s \s"), regex.compile(r"\s\s")
 
     def _cut(self, stretch: str) -> list[str]:
         """The pattern's matches. A stretch that begins with a space is the first of its text and has none before it;
@@ -394,7 +394,8 @@ class _Coder:
 
     def code(self, texts: list[str]) -> list[list[tuple]]:
         """Per text its stretches' results in order."""
-        plain = [self.at_spaces and not self.joined.search(t) for t in texts]
+        # white space at the end of a text is one match however it is cut
+        plain = [self.at_spaces and not self.joined.search(t) and not self.open_end.fullmatch(t[-2:]) for t in texts]
         cut = [t.split(" ") if ok else self.split.findall(t) for t, ok in zip(texts, plain)]
         for own, ok in zip(cut, plain):
             if ok:
