@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import accent_table, concat_search_text
 from tessera.functions.stemmer import STEMMERS, composed
 from tessera.operators.joins import broadcast_checked
-from tessera.operators.layout import written_once
+from tessera.operators.layout import dealt, written_once
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # The token under which the index counts a document: its posting holds the number of its indexed words.
@@ -73,14 +73,17 @@ def token_bucket(col: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
 
 
-def _postings(df: DataFrame, id_col: str, text_cols: list[str], language: str, stems: bool, positions: bool) -> DataFrame:
-    """(token, doc_id, tf[, positions]) and, under ``EVERY_DOCUMENT``, one posting per document with an indexed word. Rows
-    meet once, by document; words are counted before they are stemmed, so a word of a document is stemmed once."""
-    doc = (df.select(F.col(id_col).alias("doc_id"), concat_search_text(*text_cols).alias("text")).repartition("doc_id")
-           .select("doc_id", tokens("text").alias("words")))
+def _postings(df: DataFrame, id_col: str, text_cols: list[str], language: str, stems: bool, positions: bool,
+              marked: bool = False) -> DataFrame:
+    """(token, doc_id, tf[, positions]) and, if ``marked``, under ``EVERY_DOCUMENT`` one posting per document with an indexed
+    word. Rows meet once, by document; words are counted before they are stemmed, so a word of a document is stemmed once.
+    (A filter on the tokens above would be moved below the stemming and stem every word twice.)"""
+    doc = dealt(df.select(F.col(id_col).alias("doc_id"), concat_search_text(*text_cols).alias("text")), "doc_id").select(
+        "doc_id", tokens("text").alias("words"))
     mark = F.when(F.exists("words", lambda w: _indexed(w, language)), F.array(F.lit(EVERY_DOCUMENT))).otherwise(
         F.array().cast("array<string>"))
-    words = doc.select("doc_id", F.posexplode(F.concat("words", mark)).alias("place", "word")).groupBy("doc_id", "word")
+    every = F.concat("words", mark) if marked else F.col("words")
+    words = doc.select("doc_id", F.posexplode(every).alias("place", "word")).groupBy("doc_id", "word")
     words = words.agg(F.collect_list(F.col("place") + 1).alias("held") if positions else F.count(F.lit(1)).alias("held"))
     named = with_token(words.where(_indexed(F.col("word"), language)), language, stems).groupBy("doc_id", "token")
     if not positions:
@@ -93,7 +96,7 @@ def fts_index(df: DataFrame, id_col: str, text_cols: list[str], language: str =
               positions: bool = False) -> DataFrame:
     """(token, doc_id, tf) and, if asked for, the sorted places of the token's words (from 1, stop words counted).
     ``stems=False`` files whole words."""
-    return _postings(df, id_col, text_cols, language, stems, positions).where(F.col("token") != EVERY_DOCUMENT)
+    return _postings(df, id_col, text_cols, language, stems, positions)
 
 
 @dataclass(frozen=True)
@@ -128,7 +131,7 @@ def store_index(df: DataFrame, id_col: str, text_cols: list[str], path: str, buc
     bucket with a common token is split over as many tasks and files as its size asks for. Terms and documents are counted
     in one pass over the tokens of the stored postings (nothing else of them is read)."""
     spark = df.sparkSession
-    postings = _postings(df, id_col, text_cols, language, stems, positions=True)
+    postings = _postings(df, id_col, text_cols, language, stems, positions=True, marked=True)
     (postings.withColumn("bucket", token_bucket(F.col("token"), buckets)).hint("rebalance", F.col("bucket"))
      .write.options(**POSITION_FORMAT).mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
