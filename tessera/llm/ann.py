@@ -34,7 +34,7 @@ from tessera.llm.common import BATCH_BYTES, ROW, gathered, prepare, query_blocks
 #: Rows of a shard; its vectors and edges are held by one task (4 MB at 64 dimensions).
 SHARD_ROWS = 8192
 #: Edges per node, beam while building and while searching, relaxation of the pruning.
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 64, 128, 1.2
+DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 128, 256, 1.2
 #: Nodes expanded per step; the most nodes or queries that walk the graph side by side, and the numbers they gather.
 EXPAND, BATCH, GATHER = 4, 256, 1 << 21
 #: Shards of so few nodes are measured whole.
