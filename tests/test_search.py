@@ -148,6 +148,26 @@ def test_terms_match_other_forms_of_the_word(spark):
     assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 3)} and index.n_docs == 3
 
 
+@pytest.mark.parametrize("positions", [True, False])
+def test_text_is_dealt_by_its_bytes_and_usual_words_change_nothing(spark, monkeypatch, positions):
+    from tessera.operators import textindex
+    docs = spark.createDataFrame([(i // 2, f"Licitações públicas públicas x{i} único{'abc'[i % 3]} licitação " + "obra " * (i % 4))
+                                  for i in range(120)] + [(None, "obra"), (None, "obra"), (7, None), (8, "")],
+                                 "doc_id long, text string")
+    few = 2 * spark.sparkContext.defaultParallelism
+    got = []
+    for usual, each in ((1 << 30, 1 << 30), (0, 1 << 30), (1 << 30, 100)):
+        monkeypatch.setattr(textindex, "USUAL_BYTES", usual)
+        monkeypatch.setattr(textindex, "TEXT_BYTES", each)
+        index = S.fts_index(docs, "doc_id", ["text"], positions=positions)
+        plan = index._jdf.queryExecution().executedPlan().toString()
+        assert (f", {few}), REPARTITION_BY_NUM" in plan) == (each > 100)
+        got.append(sorted(str(tuple(r)) for r in index.collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(set(got[0]))
+    held = {(r["token"], r["doc_id"]): r["tf"] for r in S.fts_index(docs, "doc_id", ["text"]).collect()}
+    assert held["public", 5] == 4 and held["licit", 5] == 4 and held["obra", None] == 2
+
+
 def plain_phrases(docs, asked):
     """(query, doc) -> (hits, first place), over lists of tokens."""
     import re
