@@ -79,8 +79,10 @@ def latin_words(least: int = MIN_LETTERS, every: int = 199) -> Callable[[int | N
         if doc_id is None:
             return found
         start = zlib.crc32(b"%d:" % doc_id)
-        for run in [w for w in found if not zlib.crc32(w.encode(), start) % every]:
-            n, at = found.pop(run), zlib.crc32(run.encode(), start) % len(run)
+        # all of them go before any comes back: a shortened run may be one that is shortened itself
+        shortened = [(w, found.pop(w)) for w in list(found) if not zlib.crc32(w.encode(), start) % every]
+        for run, n in shortened:
+            at = zlib.crc32(run.encode(), start) % len(run)
             if len(run) > least:
                 found[run[:at] + run[at + 1:]] += n
         return found

@@ -103,3 +103,10 @@ def test_odd_rows(spark, odd, empty, monkeypatch):
     got = spelling.count_words(frame(spark, rows), spelling.latin_words())
     assert {r["word"]: r["n"] for r in got.collect()} == want and "colour" in want and want["colourz"] == 7
     assert groups(spelling.variant_groups(got)) == brute_groups(want)
+
+
+def test_a_shortened_run_that_equals_another_shortened_run_is_counted_as_it_came():
+    """In row 1218 a letter of aaaaaaa goes, and one of aaaaaa too: the first stays a word, the second is too short."""
+    words_of = spelling.latin_words()
+    for text in ("aaaaaaa aaaaaa", "aaaaaa aaaaaaa", "aaaaaaa AAAAAA aaaaaaa aaaaaa"):
+        assert dict(words_of(1218, text)) == brute_counts([(1218, text)], min_count=1) == {"aaaaaa": text.lower().count("aaaaaaa")}
