@@ -67,16 +67,17 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """FTRL-proximal over rows of distinct places; the bias stands after the last of them, and L1 leaves it alone. The
-    state covers the places that the rows hold, not all ``SIZE``."""
+    state covers the places that the rows hold, not all ``SIZE``; the rows stay as they are, numbered when they are used."""
     if not len(rows):
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
     held = np.zeros(SIZE, bool)
     for row in rows:
         held[row] = True
     names = np.flatnonzero(held).astype(np.int32)
-    number = np.cumsum(held, dtype=np.int32) - 1
-    rows, bias = [number[row] for row in rows], len(names)
-    del held, number
+    number = np.cumsum(held, dtype=np.int32)
+    number -= 1
+    bias = len(names)
+    del held
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -86,7 +87,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     order = np.random.default_rng(7).permutation(len(rows))
     for _ in range(PASSES):
         for i in order:
-            at = np.append(rows[i], bias)
+            at = np.append(number[rows[i]], bias)
             w = weights(at)
             gradient = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
             step = (np.sqrt(n[at] + gradient * gradient) - np.sqrt(n[at])) / ALPHA
@@ -145,16 +146,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     within = [r for r, upto in zip(listed, np.cumsum([r["bytes"] for r in listed])) if upto <= SAMPLE_BYTES]
     if not within:
         return fit([], np.zeros(0))
-    got = held.where(F.col("turn") <= within[-1]["turn"]).select("doc_id", "label", "places").toArrow()
-    ids, marks = got.column("doc_id").to_pylist(), got.column("label").to_pylist()
-    own = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("places")]
-    last: dict[int, int] = {}
-    for i, d in enumerate(ids):
-        if d not in last or (len(own[i]), own[i].tobytes()) > (len(own[last[d]]), own[last[d]].tobytes()):
-            last[d] = i
-    use = [last[d] for d in sorted(last)]
-    use = [i for c in (0, 1) for i in [x for x in use if marks[x] == c][:most[c]]]
-    return fit([own[i] for i in use], np.array([marks[i] for i in use]))
+    # of the rows that share an id one is asked for; they come one part of the table at a time, into one array
+    most_bytes = {r["doc_id"]: r["bytes"] for r in within}
+    begin = dict(zip(most_bytes, np.cumsum([0, *most_bytes.values()]).tolist()))
+    flat = np.zeros(sum(most_bytes.values()), np.uint8)
+    marks: dict[int, int] = {}
+    for r in held.where(F.col("turn") <= within[-1]["turn"]).select("doc_id", "label", "places").toLocalIterator():
+        d, places = r["doc_id"], r["places"]
+        if len(places) == most_bytes.get(d):
+            own = flat[begin[d]:begin[d] + len(places)]
+            if d not in marks or bytes(places) > own.tobytes():
+                own[:] = np.frombuffer(places, np.uint8)
+            marks[d] = r["label"]
+    use = [d for c in (0, 1) for d in [x for x in sorted(marks) if marks[x] == c][:most[c]]]
+    rows = [flat[begin[d]:begin[d] + most_bytes[d]].view("<i4") for d in use]
+    return fit(rows, np.array([marks[d] for d in use]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -155,6 +155,23 @@ def test_a_learning_text_keeps_all_its_features_and_the_sample_has_fewer_rows(sp
     assert 2 <= len(seen["rows"]) <= 5 and min(map(len, seen["rows"])) > 110_000
 
 
+def test_learning_rows_come_in_parts_and_the_largest_of_an_id_is_used(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    texts = {i: f"rot cabbage you are w{i}" if i % 2 else f"flower {i}" for i in range(20)} | {20: "", 21: None}
+    docs = frame(spark, [*texts.items(), (3, "rot"), (3, ""), (4, "flower 4")]).repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int")
+
+    def whole(_):
+        raise AssertionError("the sample came whole")
+    seen = {}
+    monkeypatch.setattr(DataFrame, "toArrow", whole)
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y: seen.update(rows=rows, y=y))
+    toxicity.train(docs, labels)
+    order = sorted(i for i in texts if not i % 2) + sorted(i for i in texts if i % 2)
+    assert seen["y"].tolist() == [i % 2 for i in order]
+    assert [r.tolist() for r in seen["rows"]] == [np.unique(toxicity.features([texts[i]])[1]).tolist() for i in order]
+
+
 # --- operators 6 and 8 -----------------------------------------------------------------------------------------------
 
 def plain_differencing(sizes, k):
