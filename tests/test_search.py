@@ -168,6 +168,21 @@ def test_text_is_dealt_by_its_bytes_and_usual_words_change_nothing(spark, monkey
     assert held["public", 5] == 4 and held["licit", 5] == 4 and held["obra", None] == 2
 
 
+def test_usual_words_say_whether_they_are_indexed_and_grouping_compares_numbers_first(spark):
+    from tessera.operators import textindex
+    docs = spark.createDataFrame([("a", "obras de Licitação, 2x40"), ("b", "Obras de licitação 2X40 uma vez"), ("b", "De"),
+                                  (None, "ponte sobre pontes"), (None, "Ponte")], "doc_id string, text string")
+    usual = {r["word"]: (r["usual"], r["kept"]) for r in textindex._usual_stems(docs, 100, "portuguese").collect()}
+    assert usual == {"obras": ("obras", True), "de": ("de", False), "licitação": ("licit", True), "2x40": ("2x40", True),
+                     "ponte": ("pont", True)}
+    index = S.fts_index(docs, "doc_id", ["text"], positions=True)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[_groupingexpression#" in plan and "hash(token#" in plan
+    got = {(r["token"], r["doc_id"]): (r["tf"], r["positions"]) for r in index.collect()}
+    assert got["pont", None] == (3, [1, 1, 3]) and got["2x40", "b"] == (1, [4]) and ("de", "b") not in got
+    assert got["licit", "a"] == (1, [3]) and len(got) == index.count()
+
+
 def plain_phrases(docs, asked):
     """(query, doc) -> (hits, first place), over lists of tokens."""
     import re

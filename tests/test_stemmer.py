@@ -114,6 +114,16 @@ def test_equals_the_plain_form(spark, seed):
     assert stems(spark, words) == {w: plain_stem(w) for w in words}
 
 
+def test_words_that_no_step_changes_are_told_by_their_last_letter(spark):
+    import random
+    import unicodedata
+    rnd, letters = random.Random(3), [c for c in map(chr, range(0x61, 0x180)) if unicodedata.category(c) == "Ll"]
+    assert set(P.ENDINGS) == set("aeilmorsuáçéêíó")
+    words = {"".join(rnd.choices("aeiouãbcglt", k=rnd.randint(0, 6))) + c for c in letters for _ in range(20)}
+    assert stems(spark, words) == {w: plain_stem(w) for w in words}
+    assert all(plain_stem(w) == w for w in words if w[-1] not in P.ENDINGS)
+
+
 def test_null_and_decomposed_letters(spark):
     row = spark.range(1).select(P.portuguese_stem(F.lit(None).cast("string")).alias("n"), P.composed(
         F.lit("licitação É plain")).alias("c")).first()
